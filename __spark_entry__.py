@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cadence.operators import activity, joins, sessions, skew  # noqa: E402
-from cadence.sources import tables  # noqa: E402
+from cadence.operators import activity, insights, joins, primitives, quality, sessions, skew  # noqa: E402
+from cadence.operators.quantiles import exact_percentiles  # noqa: E402
+from cadence.session import scratch_path  # noqa: E402
+from cadence.sources import generate, ingest  # noqa: E402
+from cadence.sources.schemas import INTERACTIONS  # noqa: E402
 from cadence.sources.tables import INTERACTIONS_SQL, interactions, load, user_metadata, user_metadata_sql  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -31,6 +34,10 @@ ORDERS_YEAR_START, ORDERS_YEAR_END, ORDERS_N_MONTHS = "1996-01-01", "1997-01-01"
 ACTIVE_ACTIONS = ("click", "view", "purchase", "signup")
 TIMELINE_USERS = (7, 42, 99)
 TOP_K = 20
+KNOWN_ACTIONS = ("click", "error", "purchase", "signup", "view")
+DURATION_DOMAIN = (100, 300_000)  # the reference's duration_ms range
+AS_OF = "2024-02-01"
+PERCENTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 I = INTERACTIONS_SQL
 M = user_metadata_sql()
@@ -144,6 +151,167 @@ def q_key_frequency(spark, d):
     return skew.key_frequency(load(spark, d, "orders"), "o_custkey", top=TOP_K)
 
 
+# ---------------------------------------------------------------- insights
+def q_retention(spark, d):
+    return insights.retention(_orders_activity(spark, d))
+
+
+def q_popular_actions(spark, d):
+    return insights.popular_actions(interactions(spark, d))
+
+
+def q_subscription_insights(spark, d):
+    return insights.subscription_insights(interactions(spark, d), user_metadata(spark, d))
+
+
+def q_activity_by_hour(spark, d):
+    return insights.activity_by_hour(interactions(spark, d))
+
+
+def q_version_usage(spark, d):
+    return insights.version_usage(interactions(spark, d))
+
+
+# ---------------------------------------------------------------- outliers / quality
+def q_duration_percentiles(spark, d):
+    return exact_percentiles(interactions(spark, d), "duration_ms", PERCENTILES)
+
+
+def q_duration_capped(spark, d):
+    return quality.capped(interactions(spark, d).select("event_id", "duration_ms"), "duration_ms", 0.01, 0.99)
+
+
+def q_duration_outliers(spark, d):
+    return quality.iqr_outliers(interactions(spark, d).select("event_id", "user_id", "duration_ms"), "duration_ms")
+
+
+def _rules():
+    c = F.col
+    return {
+        "user_id_present": c("user_id").isNotNull(),
+        "action_type_known": c("action_type").isin(list(KNOWN_ACTIONS)),
+        "duration_in_range": c("duration_ms").between(*DURATION_DOMAIN),
+        "page_id_numeric": c("page_id").rlike("^[0-9]+$"),
+        "app_version_format": c("app_version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"),
+        "date_matches_timestamp": c("date") == F.to_date("timestamp"),
+    }
+
+
+_RULES_SQL = {
+    "user_id_present": "user_id IS NOT NULL",
+    "action_type_known": f"action_type IN {KNOWN_ACTIONS!r}",
+    "duration_in_range": f"duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]}",
+    "page_id_numeric": "regexp_matches(page_id, '^[0-9]+$')",
+    "app_version_format": "regexp_matches(app_version, '^[0-9]+\\.[0-9]+\\.[0-9]+$')",
+    "date_matches_timestamp": "\"date\" = CAST(\"timestamp\" AS DATE)",
+}
+
+
+def q_dq_completeness(spark, d):
+    return quality.completeness(interactions(spark, d))
+
+
+def q_dq_validity(spark, d):
+    return quality.validity(interactions(spark, d), _rules())
+
+
+def q_dq_uniqueness(spark, d):
+    inter = quality.uniqueness(interactions(spark, d), ["user_id", "timestamp", "action_type"], "interactions(user_id,timestamp,action_type)")
+    docs = quality.uniqueness(load(spark, d, "documents"), [F.sha2("text", 256)], "documents(text)")
+    return inter.unionByName(docs)
+
+
+def q_dq_consistency(spark, d):
+    inter = interactions(spark, d)
+    cust, orders = load(spark, d, "customer"), load(spark, d, "orders")
+    return (
+        quality.rule_check(inter, F.col("date") == F.to_date("timestamp"), "interactions.date = to_date(timestamp)")
+        .unionByName(quality.orphans(inter, "user_id", cust, "c_custkey", "interactions.user_id in customer"))
+        .unionByName(quality.orphans(orders, "o_custkey", cust, "c_custkey", "orders.o_custkey in customer"))
+        .unionByName(quality.orphans(load(spark, d, "lineitem"), "l_orderkey", orders, "o_orderkey", "lineitem.l_orderkey in orders"))
+    )
+
+
+def q_dq_timeliness(spark, d):
+    return (
+        quality.timeliness(load(spark, d, "events"), "ts", AS_OF, "events")
+        .unionByName(quality.timeliness(load(spark, d, "orders"), "o_orderdate", AS_OF, "orders"))
+        .unionByName(quality.timeliness(load(spark, d, "lineitem"), "l_shipdate", AS_OF, "lineitem"))
+    )
+
+
+def q_dq_accuracy(spark, d):
+    li = load(spark, d, "lineitem")
+    truth = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))).alias("price_from_lines")
+    )
+    docs = load(spark, d, "documents")
+    doc_truth = docs.select("doc_id", F.length("text").alias("chars_counted"))
+    return quality.accuracy(load(spark, d, "orders"), truth, "o_orderkey", "o_totalprice", "price_from_lines", "orders.o_totalprice").unionByName(
+        quality.accuracy(docs, doc_truth, "doc_id", "n_chars", "chars_counted", "documents.n_chars")
+    )
+
+
+def q_quarantine(spark, d):
+    return quality.quarantine(interactions(spark, d), _rules(), scratch_path(spark, "quarantine"))
+
+
+def q_impute(spark, d):
+    out = quality.impute_by_group(
+        interactions(spark, d), "duration_ms", "action_type", valid=F.col("duration_ms").between(*DURATION_DOMAIN)
+    )
+    return out.select("event_id", "action_type", "duration_ms", "imputed")
+
+
+def q_ingest_corrupt_rows(spark, d):
+    from pyspark.sql import types as T
+
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    path = scratch_path(spark, "docs-csv")
+    docs.write.mode("overwrite").option("header", True).csv(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
+    return ingest.ingest_report(ingest.read_csv_capturing_errors(spark, path, schema, multiline=False), "doc_id")
+
+
+# ---------------------------------------------------------------- generator / formats
+def q_generate_interactions(spark, d):
+    return generate.generate_interactions(spark, ids=load(spark, d, "events"), id_col="event_id")
+
+
+def q_generate_metadata(spark, d):
+    return generate.generate_metadata(spark, ids=load(spark, d, "customer"), id_col="c_custkey")
+
+
+def q_convert_round_trip(spark, d):
+    inter = interactions(spark, d).drop("event_id").withColumn("user_id", F.col("user_id").cast("string"))
+    back = ingest.csv_parquet_round_trip(inter, INTERACTIONS, ["date"])
+    return back.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---------------------------------------------------------------- primitives
+def q_sum_numeric(spark, d):
+    return primitives.sum_numeric(load(spark, d, "lineitem"), "l_returnflag")
+
+
+def q_running_count(spark, d):
+    return primitives.running_count(interactions(spark, d), tiebreak=("event_id",)).select(
+        "event_id", "event_number", "seconds_since_previous"
+    )
+
+
+def q_duration_band(spark, d):
+    return primitives.duration_band(interactions(spark, d)).groupBy("duration_band").agg(F.count(F.lit(1)).alias("events"))
+
+
+def q_top_users(spark, d):
+    per_user = interactions(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+    return primitives.top_k(per_user, "events", TOP_K, ["user_id"])
+
+
+def q_time_features(spark, d):
+    return primitives.time_features(interactions(spark, d))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dau_series": q_dau_series,
     "mau_series": q_mau_series,
@@ -169,6 +337,31 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bucketed_join": q_bucketed_join,
     "partition_profile": q_partition_profile,
     "key_frequency": q_key_frequency,
+    "retention": q_retention,
+    "popular_actions": q_popular_actions,
+    "subscription_insights": q_subscription_insights,
+    "activity_by_hour": q_activity_by_hour,
+    "version_usage": q_version_usage,
+    "duration_percentiles": q_duration_percentiles,
+    "duration_capped": q_duration_capped,
+    "duration_outliers": q_duration_outliers,
+    "dq_completeness": q_dq_completeness,
+    "dq_validity": q_dq_validity,
+    "dq_uniqueness": q_dq_uniqueness,
+    "dq_consistency": q_dq_consistency,
+    "dq_timeliness": q_dq_timeliness,
+    "dq_accuracy": q_dq_accuracy,
+    "quarantine": q_quarantine,
+    "impute": q_impute,
+    "ingest_corrupt_rows": q_ingest_corrupt_rows,
+    "generate_interactions": q_generate_interactions,
+    "generate_metadata": q_generate_metadata,
+    "convert_round_trip": q_convert_round_trip,
+    "sum_numeric": q_sum_numeric,
+    "running_count": q_running_count,
+    "duration_band": q_duration_band,
+    "top_users": q_top_users,
+    "time_features": q_time_features,
 }
 
 # ---------------------------------------------------------------- oracle SQL
@@ -202,6 +395,58 @@ def _session_per_sql(gap: int) -> str:
 
 _ENRICH_SQL = f"""SELECT i.*, m.subscription_type FROM {I} i LEFT JOIN {M} m ON i.user_id = m.user_id"""
 
+def _completeness_sql() -> str:
+    cols = ["event_id", "user_id", "timestamp", "action_type", "page_id", "duration_ms", "app_version", "date"]
+    parts = [
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count("{c}") AS nulls,
+            round((count(*) - count("{c}")) / count(*), 6) AS null_rate FROM {I}"""
+        for c in cols
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _validity_sql() -> str:
+    parts = [
+        f"""SELECT '{n}' AS rule, count(*) AS rows,
+            CAST(coalesce(sum(CASE WHEN {cond} THEN 0 ELSE 1 END), 0) AS BIGINT) AS violations,
+            round(coalesce(sum(CASE WHEN {cond} THEN 0 ELSE 1 END), 0) / count(*), 6) AS violation_rate FROM {I}"""
+        for n, cond in _RULES_SQL.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _reasons_sql() -> str:
+    parts = ", ".join(f"CASE WHEN NOT coalesce({cond}, false) THEN '{n}' END" for n, cond in _RULES_SQL.items())
+    return f"nullif(concat_ws(';', {parts}), '')"
+
+
+def _uniq_sql(label: str, source: str, key: str) -> str:
+    return f"""SELECT '{label}' AS "check", CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_keys,
+        count(*) FILTER (WHERE n > 1) AS duplicate_keys, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
+      FROM (SELECT {key}, count(*) AS n FROM {source} GROUP BY {key})"""
+
+
+def _orphan_sql(label: str, fact: str, fk: str, dim: str, dk: str) -> str:
+    return f"""SELECT '{label}' AS "check", CAST(count(*) AS BIGINT) AS rows,
+        CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {dim} d WHERE d.{dk} = f.{fk})) AS BIGINT) AS violations
+      FROM {fact} f"""
+
+
+def _timeliness_sql(label: str, table: str, col: str) -> str:
+    lag = f"(date_diff('microsecond', max({col}), TIMESTAMP '{AS_OF}') / 3.6e9)"
+    return f"""SELECT '{label}' AS "table", max({col}) AS latest, round({lag}, 6) AS lag_hours, {lag} > 24.0 AS is_stale FROM {table}"""
+
+
+def _accuracy_sql(label: str, src: str, key: str, value: str, truth: str) -> str:
+    off = f"abs(s.{value} - t._t) > 1e-6 * greatest(abs(s.{value}), abs(t._t), 1.0)"
+    return f"""SELECT '{label}' AS "check", count(*) AS rows, count(*) FILTER (WHERE t._t IS NULL) AS missing,
+        count(*) FILTER (WHERE {off}) AS mismatches, round(count(*) FILTER (WHERE {off}) / count(*), 6) AS mismatch_rate
+      FROM {src} s LEFT JOIN {truth} t ON s.{key} = t.{key}"""
+
+
+_PCT_SQL = ", ".join(f"quantile_cont(duration_ms, {p}) AS q{i}" for i, p in enumerate(PERCENTILES))
+
+
 _ORACLE: dict[str, str] = {
     "dau_series": f"""SELECT "date", count(DISTINCT user_id) AS daily_active_users FROM {I} GROUP BY "date" """,
     "mau_series": f"""SELECT CAST(date_trunc('month', "timestamp") AS DATE) AS month,
@@ -242,6 +487,90 @@ _ORACLE: dict[str, str] = {
     "count_salted": "SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey",
     "bucketed_join": _ENRICH_SQL,
     "key_frequency": f"SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey ORDER BY count DESC, o_custkey LIMIT {TOP_K}",
+    "retention": f"""WITH um AS (SELECT DISTINCT user_id, CAST(date_trunc('month', "timestamp") AS DATE) AS m FROM {_ORDERS_ACT}
+          WHERE user_id IS NOT NULL AND "timestamp" IS NOT NULL),
+        c AS (SELECT user_id, m, min(m) OVER (PARTITION BY user_id) AS cohort_month FROM um),
+        g AS (SELECT cohort_month, CAST((year(m) * 12 + month(m)) - (year(cohort_month) * 12 + month(cohort_month)) AS INTEGER) AS months_since,
+                count(*) AS active_users FROM c GROUP BY 1, 2)
+      SELECT *, max(CASE WHEN months_since = 0 THEN active_users END) OVER (PARTITION BY cohort_month) AS cohort_users,
+        round(active_users / max(CASE WHEN months_since = 0 THEN active_users END) OVER (PARTITION BY cohort_month), 6) AS retention
+      FROM g""",
+    "popular_actions": f"""SELECT action_type, count(*) AS events, count(DISTINCT user_id) AS users FROM {I}
+        GROUP BY action_type ORDER BY events DESC, action_type""",
+    "subscription_insights": f"""SELECT m.subscription_type, count(*) AS events, count(DISTINCT i.user_id) AS users,
+        round(sum(i.duration_ms) / count(i.duration_ms), 4) AS avg_duration_ms
+      FROM {I} i JOIN {M} m ON i.user_id = m.user_id GROUP BY 1""",
+    "activity_by_hour": f"""SELECT CAST(hour("timestamp") AS INTEGER) AS hour, count(*) AS events, count(DISTINCT user_id) AS users
+        FROM {I} GROUP BY 1""",
+    "version_usage": f"""SELECT app_version, TRY_CAST(split_part(app_version, '.', 1) AS INTEGER) AS major,
+        TRY_CAST(split_part(app_version, '.', 2) AS INTEGER) AS minor, TRY_CAST(split_part(app_version, '.', 3) AS INTEGER) AS patch,
+        count(*) AS events, count(DISTINCT user_id) AS users FROM {I} GROUP BY app_version""",
+    "duration_percentiles": " UNION ALL ".join(
+        f"SELECT CAST({p} AS DOUBLE) AS p, CAST(quantile_cont(duration_ms, {p}) AS DOUBLE) AS value FROM {I}" for p in PERCENTILES
+    ),
+    "duration_capped": f"""SELECT event_id, duration_ms,
+        least(greatest(CAST(duration_ms AS DOUBLE), (SELECT quantile_cont(duration_ms, 0.01) FROM {I})),
+              (SELECT quantile_cont(duration_ms, 0.99) FROM {I})) AS duration_ms_capped FROM {I}""",
+    "duration_outliers": f"""WITH q AS (SELECT quantile_cont(duration_ms, 0.25) AS q1, quantile_cont(duration_ms, 0.75) AS q3 FROM {I})
+      SELECT event_id, user_id, duration_ms, CASE WHEN duration_ms < q1 - 1.5 * (q3 - q1) THEN 'low' ELSE 'high' END AS outlier
+      FROM {I}, q WHERE duration_ms < q1 - 1.5 * (q3 - q1) OR duration_ms > q3 + 1.5 * (q3 - q1)""",
+    "dq_completeness": _completeness_sql(),
+    "dq_validity": _validity_sql(),
+    "dq_uniqueness": _uniq_sql("interactions(user_id,timestamp,action_type)", I, 'user_id, "timestamp", action_type')
+    + " UNION ALL "
+    + _uniq_sql("documents(text)", "documents", "sha256(text)"),
+    "dq_consistency": " UNION ALL ".join(
+        [
+            f"""SELECT 'interactions.date = to_date(timestamp)' AS "check", count(*) AS rows,
+                CAST(coalesce(sum(CASE WHEN "date" = CAST("timestamp" AS DATE) THEN 0 ELSE 1 END), 0) AS BIGINT) AS violations FROM {I}""",
+            _orphan_sql("interactions.user_id in customer", I, "user_id", "customer", "c_custkey"),
+            _orphan_sql("orders.o_custkey in customer", "orders", "o_custkey", "customer", "c_custkey"),
+            _orphan_sql("lineitem.l_orderkey in orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+        ]
+    ),
+    "dq_timeliness": " UNION ALL ".join(
+        [
+            _timeliness_sql("events", "events", "ts"),
+            _timeliness_sql("orders", "orders", "o_orderdate"),
+            _timeliness_sql("lineitem", "lineitem", "l_shipdate"),
+        ]
+    ),
+    "dq_accuracy": _accuracy_sql(
+        "orders.o_totalprice", "orders", "o_orderkey", "o_totalprice",
+        "(SELECT l_orderkey AS o_orderkey, sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS _t FROM lineitem GROUP BY 1)",
+    )
+    + " UNION ALL "
+    + _accuracy_sql("documents.n_chars", "documents", "doc_id", "n_chars", "(SELECT doc_id, length(text) AS _t FROM documents)"),
+    "quarantine": f"SELECT * FROM (SELECT *, {_reasons_sql()} AS reasons FROM {I}) WHERE reasons IS NOT NULL",
+    "impute": f"""WITH m AS (SELECT action_type, avg(duration_ms) AS mu FROM {I}
+          WHERE duration_ms IS NOT NULL AND duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]} GROUP BY 1)
+      SELECT i.event_id, i.action_type,
+        CASE WHEN i.duration_ms IS NOT NULL AND i.duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]}
+             THEN i.duration_ms ELSE CAST(round(m.mu) AS BIGINT) END AS duration_ms,
+        NOT coalesce(i.duration_ms IS NOT NULL AND i.duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]}, false) AS imputed
+      FROM {I} i LEFT JOIN m ON i.action_type = m.action_type""",
+    "generate_interactions": generate.interactions_sql("(SELECT event_id AS id FROM events)"),
+    "generate_metadata": generate.metadata_sql("(SELECT c_custkey AS id FROM customer)"),
+    "convert_round_trip": 'SELECT CAST(ts AS DATE) AS "date", count(*) AS rows FROM events GROUP BY 1',
+    "sum_numeric": """SELECT l_returnflag, sum(l_orderkey) AS sum_l_orderkey, sum(l_partkey) AS sum_l_partkey,
+        sum(l_suppkey) AS sum_l_suppkey, sum(l_linenumber) AS sum_l_linenumber, sum(l_quantity) AS sum_l_quantity,
+        sum(l_extendedprice) AS sum_l_extendedprice, sum(l_discount) AS sum_l_discount, sum(l_tax) AS sum_l_tax
+      FROM lineitem GROUP BY l_returnflag""",
+    "running_count": f"""SELECT event_id,
+        row_number() OVER w AS event_number,
+        {_sec('"timestamp"')} - {_sec('lag("timestamp") OVER w')} AS seconds_since_previous
+      FROM {I} WINDOW w AS ({_SESSION_WINDOW})""",
+    "duration_band": f"""SELECT coalesce(CASE WHEN duration_ms < 10000 THEN 'short' WHEN duration_ms < 60000 THEN 'medium'
+        WHEN duration_ms IS NOT NULL THEN 'long' END, 'unknown') AS duration_band, count(*) AS events FROM {I} GROUP BY 1""",
+    "top_users": f"""SELECT user_id, count(*) AS events FROM {I} GROUP BY user_id ORDER BY events DESC, user_id LIMIT {TOP_K}""",
+    "time_features": f"""SELECT event_id, CAST(month("timestamp") AS INTEGER) AS month, CAST("timestamp" AS DATE) AS day,
+        CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day_text,
+        CAST(date_diff('day', CAST(date_trunc('year', CAST("timestamp" AS DATE)) AS DATE), CAST("timestamp" AS DATE)) AS INTEGER) AS day_of_year0,
+        {_sec('"timestamp"')} AS epoch_seconds,
+        round(({_sec('"timestamp"')} % 86400) / 60, 2) AS minute_of_day,
+        CAST(user_id AS VARCHAR) || '@' || CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS user_day,
+        (hour("timestamp") >= 9 AND hour("timestamp") < 17) AS office_hours
+      FROM {I}""",
 }
 
 

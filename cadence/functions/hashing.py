@@ -2,7 +2,8 @@
 
 Plain 64-bit integer arithmetic that any SQL engine repeats exactly (no
 engine-specific hash), kept below 2**62 so ANSI overflow checks never fire.
-A Lehmer step ``x -> x * 48271 mod (2**31 - 1)`` is the mixing primitive.
+A Lehmer step ``x -> x * 48271 mod (2**31 - 1)`` followed by an xor-shift
+is the mixing primitive.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ MULTIPLIER = 48271
 
 
 def lehmer(x, rounds: int = 1) -> Column:
-    """Apply ``rounds`` Lehmer steps to a non-negative integer column."""
+    """``rounds`` of (Lehmer step, then xor with itself shifted right by 11)
+    on a non-negative integer column; values stay below 2**31.  The xor-shift
+    breaks the linear relation a plain Lehmer step keeps between nearby ids."""
     c = F.pmod(as_col(x).cast("bigint"), F.lit(MODULUS)) + 1
     for _ in range(rounds):
         c = F.pmod(c * MULTIPLIER, F.lit(MODULUS))
+        c = c.bitwiseXOR(F.shiftright(c, 11))
     return c
 
 

@@ -93,10 +93,12 @@ def session_core(
         )
         return out
 
-    # Per-chunk summary of hot users.  The filter is on a column computed below
-    # the window, so it stays above it and the event exchange is reused.
+    # Per-chunk summary of hot users.  This branch reads only the user, time
+    # and tie-break columns (Catalyst prunes the rest), and the filter on the
+    # partition key goes through the window down to the Parquet scan, so only
+    # hot users' rows are shuffled a second time.
     summary = (
-        local.where(F.col("_hot"))
+        local.where(F.col(user).isin(hot))
         .groupBy(user, "_c")
         .agg(
             F.min("_sec").alias("_first"),
