@@ -142,12 +142,12 @@ def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
 
 def quarantine(df: DataFrame, rules: Mapping[str, Column], path: str, fmt: str = "parquet") -> DataFrame:
     """Write valid and invalid rows to separate folders for audit
-    (``_valid=true`` / ``_valid=false`` under ``path``) in one tagging pass,
+    (``is_valid=true`` / ``is_valid=false`` under ``path``) in one tagging pass,
     and return a reader of the quarantined rows."""
-    tagged = with_reasons(df, rules).withColumn("_valid", F.col("reasons").isNull())
-    tagged.write.mode("overwrite").format(fmt).partitionBy("_valid").save(path)
+    tagged = with_reasons(df, rules).withColumn("is_valid", F.col("reasons").isNull())
+    tagged.write.mode("overwrite").format(fmt).partitionBy("is_valid").save(path)
     base = df.sparkSession.read.format(fmt).load(path)
-    return base.where(~F.col("_valid")).drop("_valid")
+    return base.where(~F.col("is_valid")).drop("is_valid")
 
 
 def impute_by_group(

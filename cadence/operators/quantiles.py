@@ -30,6 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.session import shared_dir
+
 
 def _bucket_of(v: Column, bounds: list[float]) -> Column:
     """Number of ``bounds`` (sorted, distinct) that are <= v, as a CASE tree."""
@@ -43,13 +45,21 @@ def _bucket_of(v: Column, bounds: list[float]) -> Column:
     return build(0, len(bounds))
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], buckets: int = 256) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, col: str, probs: Sequence[float], buckets: int = 256, checkpoint: bool = True
+) -> DataFrame:
     """One row per probability: ``(p, value)`` (DOUBLE); nulls ignored.
 
     Empty input gives no rows.
     """
     spark = df.sparkSession
     hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    if checkpoint:
+        # The source is scanned once: the histogram (one row per distinct
+        # value) is written to the shared checkpoint folder and the three
+        # later passes read that instead of the source.
+        shared_dir(spark)
+        hist = hist.checkpoint(eager=True)
     fracs = [i / buckets for i in range(1, buckets)]
     row = hist.agg(F.percentile_approx("v", fracs, 10_000).alias("b")).first()
     bounds = sorted(set(row["b"] or [])) if row else []

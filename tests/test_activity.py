@@ -1,0 +1,83 @@
+import datetime as dt
+
+from cadence.operators import activity
+
+D = dt.date
+
+
+def frame(spark, data):
+    return spark.createDataFrame(
+        [(u, dt.datetime(d.year, d.month, d.day, 12), d, a) for u, d, a in data],
+        "user_id string, timestamp timestamp, date date, action_type string",
+    )
+
+
+def one(df):
+    rows = df.collect()
+    return rows[0][0] if rows else None
+
+
+def test_streak_days_examples(spark):
+    data = [
+        ("a", D(2024, 1, 1), "x"),
+        ("a", D(2024, 1, 2), "x"),
+        ("a", D(2024, 1, 2), "x"),  # same-day repeat: counted once
+        ("a", D(2024, 1, 4), "x"),  # gap of 2: not a continuation
+        ("b", D(2024, 3, 5), "x"),  # one-event user: first day counts 1
+    ]
+    # a: first day 1 + continuation 1 = 2; b: 1
+    assert one(activity.streak_days(frame(spark, data), date_col="date")) == 3
+
+
+def test_streak_days_empty_gives_no_row(spark):
+    empty = frame(spark, []).where("false")
+    assert activity.streak_days(empty, date_col="date").count() == 0
+
+
+def test_year_bounds_half_open(spark):
+    data = [("a", D(2023, 12, 31), "x"), ("a", D(2024, 1, 1), "x"), ("a", D(2025, 1, 1), "x")]
+    out = activity.dau_series(frame(spark, data), date_col="date", start="2024-01-01", end="2025-01-01")
+    assert [tuple(r) for r in out.collect()] == [(D(2024, 1, 1), 1)]
+
+
+def test_users_active_all_twelve_months(spark):
+    full = [("all12", D(2024, m, 3), "x") for m in range(1, 13)]
+    eleven = [("only11", D(2024, m, 3), "x") for m in range(1, 12)]
+    split = [("twoyears", D(2023, m, 3), "x") for m in range(7, 13)] + [("twoyears", D(2024, m, 3), "x") for m in range(1, 7)]
+    df = frame(spark, full + eleven + split + [(None, D(2024, m, 1), "x") for m in range(1, 13)])
+    assert one(activity.users_active_in_n_periods(df, n=12)) == 1
+
+
+def test_users_active_matches_count_distinct_form(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF001
+    from cadence.sources.tables import load
+
+    o = load(spark, SF001, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("timestamp"))
+    ours = one(activity.users_active_in_n_periods(o, n=4, start="1996-01-01", end="1997-01-01"))
+    alt = (
+        o.where((F.col("timestamp") >= "1996-01-01") & (F.col("timestamp") < "1997-01-01"))
+        .groupBy("user_id")
+        .agg(F.count_distinct(F.month("timestamp")).alias("m"))
+        .where("m >= 4")
+        .count()
+    )
+    assert ours == alt == 62
+
+
+def test_active_users_action_filter_and_grains(spark):
+    data = [("a", D(2024, 1, 1), "edit"), ("b", D(2024, 1, 1), "error"), ("a", D(2024, 2, 9), "share")]
+    df = frame(spark, data)
+    daily = activity.active_users(df, grain="day", actions=["edit", "share"]).collect()
+    assert sorted((r[0], r[1]) for r in daily) == [(D(2024, 1, 1), 1), (D(2024, 2, 9), 1)]
+    monthly = activity.mau_series(df).collect()
+    assert sorted((r[0], r[1]) for r in monthly) == [(D(2024, 1, 1), 2), (D(2024, 2, 1), 1)]
+    yearly = activity.active_users(df, grain="year").collect()
+    assert [(r[0], r[1]) for r in yearly] == [(D(2024, 1, 1), 2)]
+
+
+def test_user_timeline(spark):
+    data = [("b", D(2024, 1, 2), "x"), ("a", D(2024, 1, 1), "x"), ("c", D(2024, 1, 1), "x")]
+    out = activity.user_timeline(frame(spark, data), ["a", "b"])
+    assert [r["user_id"] for r in out.collect()] == ["a", "b"]
