@@ -138,6 +138,12 @@ def q_count_salted(spark, d):
     return joins.salted_count(load(spark, d, "orders"), "o_custkey")
 
 
+def q_prepartitioned_join(spark, d):
+    spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
+    laid = joins.prepare_layout(interactions(spark, d), "user_id", buckets=8, partition_by=("date",))
+    return joins.layout_join(laid, user_metadata(spark, d), buckets=8)
+
+
 def q_bucketed_join(spark, d):
     return joins.bucketed_join(interactions(spark, d), user_metadata(spark, d))
 
@@ -294,7 +300,7 @@ def q_sum_numeric(spark, d):
 
 
 def q_running_count(spark, d):
-    return primitives.running_count(interactions(spark, d), tiebreak=("event_id",)).select(
+    return primitives.running_count(interactions(spark, d), tiebreak=("event_id",), hot_min_rows=1_000_000).select(
         "event_id", "event_number", "seconds_since_previous"
     )
 
@@ -335,6 +341,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "activity_by_dims_broadcast": q_activity_by_dims_broadcast,
     "count_salted": q_count_salted,
     "bucketed_join": q_bucketed_join,
+    "prepartitioned_join": q_prepartitioned_join,
     "partition_profile": q_partition_profile,
     "key_frequency": q_key_frequency,
     "retention": q_retention,
@@ -486,6 +493,7 @@ _ORACLE: dict[str, str] = {
         FROM {I} i JOIN {M} m ON i.user_id = m.user_id GROUP BY 1, 2""",
     "count_salted": "SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey",
     "bucketed_join": _ENRICH_SQL,
+    "prepartitioned_join": _ENRICH_SQL,
     "key_frequency": f"SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey ORDER BY count DESC, o_custkey LIMIT {TOP_K}",
     "retention": f"""WITH um AS (SELECT DISTINCT user_id, CAST(date_trunc('month', "timestamp") AS DATE) AS m FROM {_ORDERS_ACT}
           WHERE user_id IS NOT NULL AND "timestamp" IS NOT NULL),
@@ -558,7 +566,9 @@ _ORACLE: dict[str, str] = {
       FROM lineitem GROUP BY l_returnflag""",
     "running_count": f"""SELECT event_id,
         row_number() OVER w AS event_number,
-        {_sec('"timestamp"')} - {_sec('lag("timestamp") OVER w')} AS seconds_since_previous
+        CASE WHEN row_number() OVER w > 1 THEN
+          CASE WHEN lag("timestamp") OVER w IS NOT NULL THEN {_sec('"timestamp"')} - {_sec('lag("timestamp") OVER w')} ELSE 0 END
+        END AS seconds_since_previous
       FROM {I} WINDOW w AS ({_SESSION_WINDOW})""",
     "duration_band": f"""SELECT coalesce(CASE WHEN duration_ms < 10000 THEN 'short' WHEN duration_ms < 60000 THEN 'medium'
         WHEN duration_ms IS NOT NULL THEN 'long' END, 'unknown') AS duration_band, count(*) AS events FROM {I} GROUP BY 1""",

@@ -126,6 +126,30 @@ def write_bucketed(
     return spark.table(table)
 
 
+def prepare_layout(
+    events: DataFrame, key: str = "user_id", buckets: int = 8, partition_by: Sequence[str] = ("date",)
+) -> DataFrame:
+    """Preprocessing for downstream joins and date-range jobs: store the
+    events partitioned by ``partition_by`` (partition pruning for ranges)
+    and bucketed + sorted by ``key`` inside each partition (joins on ``key``
+    need no shuffle).  Returns a reader of the stored table."""
+    return write_bucketed(events, key, buckets, partition_by=partition_by)
+
+
+def layout_join(
+    laid_out: DataFrame,
+    users: DataFrame,
+    cols: Sequence[str] = ("subscription_type",),
+    key: str = "user_id",
+    buckets: int = 8,
+) -> DataFrame:
+    """``enrich`` of a table stored by ``prepare_layout`` with a dimension
+    bucketed the same way: matching buckets are joined in place."""
+    dim = write_bucketed(users.select(key, *cols), key, buckets)
+    j = laid_out.join(dim.hint("merge"), laid_out[key] == dim[key], "left_outer")
+    return j.select(*[laid_out[c] for c in laid_out.columns], *[dim[c] for c in cols])
+
+
 def bucketed_join(
     events: DataFrame,
     users: DataFrame,

@@ -1,7 +1,7 @@
 """Small operators that the larger jobs are made of, exposed on their own.
 
 * ``sum_numeric``      ``groupBy(k).sum()`` over every numeric column, named ``sum_<col>``
-* ``running_count``    per-user running event number and previous-event gap (windows)
+* ``running_count``    per-user running event number and previous-event gap (skew-safe windows)
 * ``duration_band``    CASE WHEN banding with a null fill
 * ``top_k``            sort + limit with a total order (TakeOrderedAndProject)
 * ``time_features``    the scalar functions the jobs use, side by side
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,19 +28,38 @@ def sum_numeric(df: DataFrame, key: str) -> DataFrame:
 
 
 def running_count(
-    df: DataFrame, user: str = "user_id", ts: str = "timestamp", tiebreak: Sequence[str] = ()
+    df: DataFrame,
+    user: str = "user_id",
+    ts: str = "timestamp",
+    tiebreak: Sequence[str] = (),
+    hot_users: Sequence | None = None,
+    hot_min_rows: int | None = None,
+    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """``(…, event_number, seconds_since_previous)`` per user in time order.
 
-    The per-user window is the reference's access pattern; a user's events
-    form one window partition, so use ``sessions.session_core`` when single
-    users can hold a large share of the data.
+    Runs on the session machinery with an infinite gap (one session per
+    user), so a user holding a large share of the rows is split into time
+    chunks instead of one window partition.  ``seconds_since_previous`` is
+    null for a user's first event and 0 after an event without timestamp.
     """
-    w = Window.partitionBy(user).orderBy(F.col(ts).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tiebreak])
-    return df.select(
+    from cadence.operators.sessions import session_core
+
+    core = session_core(
+        df,
+        user=user,
+        ts=ts,
+        gap_seconds=2**62,
+        tiebreak=tiebreak,
+        hot_users=hot_users,
+        hot_min_rows=hot_min_rows,
+        chunk_seconds=chunk_seconds,
+        with_step=True,
+    )
+    return core.select(
         *df.columns,
-        F.row_number().over(w).cast("bigint").alias("event_number"),
-        (epoch_seconds(ts) - epoch_seconds(F.lag(ts).over(w))).alias("seconds_since_previous"),
+        F.col("session_step").alias("event_number"),
+        F.when(F.col("session_step") > 1, F.col("time_diff")).alias("seconds_since_previous"),
     )
 
 

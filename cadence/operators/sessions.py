@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions import epoch_seconds
 from cadence.operators.skew import hot_keys as find_hot_keys
+from cadence.plans.lineage import cut_lineage
 
 _NULL_CHUNK = -(2**62)  # chunk of null timestamps: sorts before every real chunk
 _INTERNAL = ["_sec", "_c", "_hot", "_rn", "_tdl", "_fl", "_lseq", "_lstart"]
@@ -52,10 +53,18 @@ def session_core(
     hot_min_rows: int | None = None,
     chunk_seconds: int = 3600,
     with_step: bool = False,
+    cut: str | None = None,
 ) -> DataFrame:
     """Input columns + ``time_diff`` (BIGINT), ``is_new_session`` (INT),
     ``session_seq`` (BIGINT) and, with ``with_step``, ``session_step``
-    (1-based position of the event inside its session)."""
+    (1-based position of the event inside its session).
+
+    ``cut`` materializes the input first (``"cache"``, ``"checkpoint"`` or
+    ``"table"``, see ``plans.lineage``): worth it when the input is an
+    expensive plan, since hot-user detection and the per-chunk summary read it
+    again.
+    """
+    df = cut_lineage(df, cut)
     hot = _resolve_hot(df, user, hot_users, hot_min_rows)
     cols = df.columns
     sec = epoch_seconds(ts)

@@ -1,10 +1,15 @@
 """Join strategies with an explicit, checked choice.
 
-``broadcast`` is only used behind a size check: the dimension's estimated
-size from the optimized plan (the same statistic Spark's own
-``autoBroadcastJoinThreshold`` uses) must be known and below ``max_bytes``.
-Beyond it the join falls back to a shuffle strategy, so a dimension that
-grows with the data never ends up collected on the driver.
+``broadcast`` is only used behind a size check that is a measurement, not a
+guess: one aggregate over the dimension sums its exact payload (fixed-width
+bytes per column plus the byte length of every string/binary value, plus
+per-row overhead), and the broadcast goes ahead only when that total and the
+row count are under the limits.  Catalyst's estimate is consulted first only
+for a plain file scan, to skip the measuring pass when the files alone are
+far over the limit (the in-memory size is not below the compressed files);
+estimates of derived plans (joins multiply sizes) are never trusted.  Beyond the limits the
+join falls back to sort-merge, so a dimension that grows with the data is
+never collected on the driver.
 """
 
 from __future__ import annotations
@@ -13,11 +18,15 @@ import logging
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
 STRATEGIES = ("auto", "broadcast", "merge", "shuffle_hash", "salted")
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+DEFAULT_BROADCAST_ROWS = 50_000_000
+_ESTIMATE_SLACK = 64  # estimate this many times over the limit: refuse without measuring
+_ROW_OVERHEAD = 16
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -26,26 +35,53 @@ def estimated_bytes(df: DataFrame) -> int | None:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # pragma: no cover - defensive: stats unavailable
         return None
-    # Long.MaxValue-ish or default fallback sizes mean "unknown"
-    default = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
-    if size >= default or size >= 2**62:
-        return None
-    return size
+    return None if size >= 2**62 else size
+
+
+def _value_bytes(field: T.StructField):
+    c = F.col(f"`{field.name}`")
+    dt = field.dataType
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, payload bytes) of ``df``, measured by one distributed aggregate."""
+    per_row = F.lit(_ROW_OVERHEAD)
+    for f in df.schema.fields:
+        per_row = per_row + _value_bytes(f)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_row), F.lit(0)).alias("b")).first()
+    return int(r["n"]), int(r["b"])
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """True when the optimized plan is only projections over file scans, so
+    the estimate is the (compressed) file size: a floor of the real size."""
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    return not any(k in plan for k in ("Join", "Aggregate", "Filter", "Window", "Union", "Generate", "Expand"))
 
 
-def broadcast_ok(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= max_bytes
+def broadcast_ok(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    est = estimated_bytes(df)
+    if est is not None and _plain_scan(df) and est > max_bytes * _ESTIMATE_SLACK:
+        return False
+    rows, size = measured_size(df)
+    return rows <= max_rows and size <= max_bytes
 
 
-def apply_strategy(dim: DataFrame, strategy: str, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, str]:
+def apply_strategy(
+    dim: DataFrame, strategy: str, max_bytes: int = DEFAULT_BROADCAST_BYTES, max_rows: int = DEFAULT_BROADCAST_ROWS
+) -> tuple[DataFrame, str]:
     """Hint ``dim`` for the requested strategy; returns (hinted df, strategy used)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     if strategy == "broadcast":
-        if broadcast_ok(dim, max_bytes):
+        if broadcast_ok(dim, max_bytes, max_rows):
             return F.broadcast(dim), "broadcast"
-        log.warning("broadcast refused: dimension estimate %s > %s bytes; using sort-merge", estimated_bytes(dim), max_bytes)
+        log.warning("broadcast refused: dimension over %s bytes / %s rows; using sort-merge", max_bytes, max_rows)
         return dim.hint("merge"), "merge"
     if strategy == "merge":
         return dim.hint("merge"), "merge"

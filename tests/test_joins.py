@@ -73,3 +73,26 @@ def test_bucketed_join_has_no_exchange_under_join(spark):
     assert rows(j) == rows(joins.enrich(ev, md))
     txt = plan_text(j, "simple")
     assert "SortMergeJoin" in txt and count_exchanges(j) == 0, txt
+
+
+def test_prepared_layout_join_prunes_and_needs_no_exchange(spark):
+    spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
+    ev, md = interactions(spark, SF001), user_metadata(spark, SF001)
+    laid = joins.prepare_layout(ev, "user_id", buckets=4)
+    j = joins.layout_join(laid, md, buckets=4)
+    assert rows(j.select(*ev.columns, "subscription_type")) == rows(joins.enrich(ev, md))
+    assert count_exchanges(j) == 0
+    from cadence.plans.inspect import partition_filters
+
+    ranged = laid.where(F.col("date") == dt.date(2024, 1, 3))
+    assert any("date" in f for f in partition_filters(ranged))
+
+
+def test_broadcast_check_is_measured(spark):
+    from cadence.plans.strategy import broadcast_ok, measured_size
+
+    md = user_metadata(spark, SF001).select("user_id", "subscription_type")
+    n, b = measured_size(md)
+    assert n == md.count() and b > 0
+    assert broadcast_ok(md, max_bytes=b) and not broadcast_ok(md, max_bytes=b - 1)
+    assert not broadcast_ok(md, max_rows=n - 1)

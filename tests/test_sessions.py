@@ -100,3 +100,22 @@ def test_session_plan_has_one_exchange_before_metrics(spark):
     # grouping by (user, session number) reuses the user partitioning
     m = sessions.session_metrics(df, tiebreak=("event_id",), order=False)
     assert count_exchanges(m) == 1
+
+
+@pytest.mark.parametrize("cut", ["cache", "checkpoint", "table"])
+def test_lineage_cuts_give_same_result(spark, cut):
+    df = interactions(spark, SF001)
+    kw = dict(tiebreak=("event_id",), hot_users=[1, 2, 3], chunk_seconds=600)
+    assert rows(sessions.session_core(df, **kw)) == rows(sessions.session_core(df, cut=cut, **kw))
+
+
+def test_running_count_hot_split_equals_plain(spark):
+    from cadence.operators.primitives import running_count
+
+    df = interactions(spark, SF001)
+    users = [r[0] for r in df.select("user_id").distinct().collect()]
+    plain = running_count(df, tiebreak=("event_id",))
+    split = running_count(df, tiebreak=("event_id",), hot_users=users[:40], chunk_seconds=900)
+    assert rows(plain) == rows(split)
+    first = plain.where("event_number = 1")
+    assert first.count() == len(users) and first.where("seconds_since_previous is not null").count() == 0
