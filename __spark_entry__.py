@@ -135,7 +135,7 @@ def q_activity_by_dims_broadcast(spark, d):
 
 
 def q_count_salted(spark, d):
-    return joins.salted_count(load(spark, d, "orders"), "o_custkey")
+    return joins.salted_count(load(spark, d, "orders"), "o_custkey", salt_cols=["o_orderkey"])
 
 
 def q_prepartitioned_join(spark, d):

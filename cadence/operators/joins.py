@@ -98,10 +98,16 @@ def activity_by(
     return out
 
 
-def salted_count(df: DataFrame, key: str, salts: int = 16, count_name: str = "count") -> DataFrame:
+def salted_count(
+    df: DataFrame, key: str, salts: int = 16, count_name: str = "count", salt_cols: Sequence[str] | None = None
+) -> DataFrame:
     """Rows per key in two phases: (key, salt) then key.  The first phase
-    spreads one hot key over ``salts`` reducers; result equals a plain count."""
-    first = df.groupBy(key, det_salt(salts, *df.columns).alias("_salt")).agg(F.count(F.lit(1)).alias("_n"))
+    spreads one hot key over ``salts`` reducers; result equals a plain count.
+
+    The salt hashes ``salt_cols`` (default: every column); pass a row id
+    column so the scan reads only the key and that column."""
+    cols = list(salt_cols) if salt_cols else df.columns
+    first = df.groupBy(key, det_salt(salts, *cols).alias("_salt")).agg(F.count(F.lit(1)).alias("_n"))
     return first.groupBy(key).agg(F.sum("_n").cast("bigint").alias(count_name))
 
 
