@@ -150,7 +150,7 @@ def q_bucketed_join(spark, d):
 
 # ---------------------------------------------------------------- skew
 def q_partition_profile(spark, d):
-    return skew.partition_profile(interactions(spark, d).repartition(8, "user_id"))
+    return skew.partition_profile(interactions(spark, d))
 
 
 def q_key_frequency(spark, d):

@@ -18,22 +18,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions import det_salt
-from cadence.operators.skew import hot_keys
+from cadence.operators.skew import hot_key_stats
 from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy
 from cadence.session import scratch_path
 
 
-def _salted_pair(fact: DataFrame, dim: DataFrame, key: str, salts: int, hot: list):
-    """Salt the fact side of hot keys over ``salts`` buckets (hash of the row,
-    deterministic under retries) and replicate only the hot dimension rows
-    over all buckets.  Cold keys keep salt 0, so nothing else is copied."""
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    fact_s = fact.withColumn("_salt", F.when(is_hot, det_salt(salts, *fact.columns)).otherwise(F.lit(0)))
-    dim_s = dim.withColumn(
+def _salt_table(fact: DataFrame, key: str, counts: list[tuple], salt_rows: int, max_salts: int) -> DataFrame:
+    """One row per hot key with its number of salts: enough that each salt
+    carries about ``salt_rows`` fact rows, at most ``max_salts``.  Bounded by
+    the hot-key list, so broadcasting it is safe."""
+    rows = [(k, int(min(max_salts, max(2, -(-n // salt_rows))))) for k, n in counts]
+    key_type = fact.schema[key].dataType.simpleString()
+    return fact.sparkSession.createDataFrame(rows, f"{key} {key_type}, _ns int")
+
+
+def _salted_pair(fact: DataFrame, dim: DataFrame, key: str, salts: DataFrame):
+    """Salt the fact rows of hot keys over that key's number of salts (a hash
+    of the row: deterministic under retries) and replicate only the hot keys'
+    dimension rows over all their salts.  Cold keys keep salt 0."""
+    st = F.broadcast(salts)
+    row_hash = F.xxhash64(*[fact[c] for c in fact.columns])
+    fact_s = fact.join(st, key, "left").withColumn(
+        "_salt", F.when(F.col("_ns").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_ns"))).cast("int")
+    )
+    dim_s = dim.join(st, key, "left").withColumn(
         "_salt",
-        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+        F.explode(F.when(F.col("_ns").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_ns") - 1))),
     )
-    return fact_s, dim_s
+    return fact_s.drop("_ns"), dim_s.drop("_ns")
 
 
 def enrich(
@@ -47,18 +59,32 @@ def enrich(
     salts: int = 16,
     hot_min_rows: int = 1_000_000,
     hot: Sequence | None = None,
+    salt_rows: int = 1_000_000,
+    max_salts: int | None = None,
 ) -> DataFrame:
     """All event columns + ``cols`` from ``users``; unmatched events get nulls.
 
     ``dedupe`` keeps one dimension row per key (which one is unspecified), for
     dimensions known to carry accidental duplicates.
+
+    ``strategy="salted"``: keys with more than ``hot_min_rows`` events get
+    ``ceil(rows / salt_rows)`` salts (at most ``max_salts``, default the
+    shuffle partition count), so a key holding a third of the data spreads
+    over as many reducers as it needs.  ``hot`` names the hot keys directly,
+    each with ``salts`` salts.
     """
     dim = users.select(key, *cols)
     if dedupe:
         dim = dim.dropDuplicates([key])
     if strategy == "salted":
-        hot_list = list(hot) if hot is not None else hot_keys(events, key, hot_min_rows)
-        fact_s, dim_s = _salted_pair(events, dim, key, salts, hot_list)
+        spark = events.sparkSession
+        if max_salts is None:
+            max_salts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if hot is not None:
+            table = _salt_table(events, key, [(k, salts * salt_rows) for k in hot], salt_rows, max(max_salts, salts))
+        else:
+            table = _salt_table(events, key, [(r[0], r[1]) for r in hot_key_stats(events, key, hot_min_rows)], salt_rows, max_salts)
+        fact_s, dim_s = _salted_pair(events, dim, key, table)
         j = fact_s.join(dim_s, [key, "_salt"], "left_outer")
         return j.select(*events.columns, *cols)
     dim_h, _ = apply_strategy(dim, strategy, max_broadcast_bytes)

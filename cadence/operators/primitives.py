@@ -34,7 +34,7 @@ def running_count(
     tiebreak: Sequence[str] = (),
     hot_users: Sequence | None = None,
     hot_min_rows: int | None = None,
-    chunk_seconds: int = 3600,
+    chunk_seconds: int | str = "auto",
 ) -> DataFrame:
     """``(…, event_number, seconds_since_previous)`` per user in time order.
 

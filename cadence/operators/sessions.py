@@ -28,19 +28,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions import epoch_seconds
-from cadence.operators.skew import hot_keys as find_hot_keys
+from cadence.operators.skew import hot_key_stats as find_hot_stats
 from cadence.plans.lineage import cut_lineage
 
 _NULL_CHUNK = -(2**62)  # chunk of null timestamps: sorts before every real chunk
 _INTERNAL = ["_sec", "_c", "_hot", "_rn", "_tdl", "_fl", "_lseq", "_lstart"]
 
 
-def _resolve_hot(df, user, hot_users, hot_min_rows):
+def _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows):
+    """(hot user list, chunk width in seconds)."""
+    if hot_users is None and hot_min_rows is None:
+        return [], 0
+    if hot_users is not None and chunk_seconds != "auto":
+        return list(hot_users), int(chunk_seconds)
     if hot_users is not None:
-        return list(hot_users)
-    if hot_min_rows is None:
-        return []
-    return find_hot_keys(df, user, hot_min_rows)
+        stats = find_hot_stats(df, user, 0, ts=ts, only=list(hot_users))
+        hot = list(hot_users)
+    else:
+        stats = find_hot_stats(df, user, hot_min_rows, ts=ts)
+        hot = [r[0] for r in stats]
+    if chunk_seconds != "auto":
+        return hot, int(chunk_seconds)
+    # widest chunk that keeps every hot user's expected rows per chunk near
+    # ``chunk_rows`` (events spread over its active span)
+    widths = [max(1, ((t1 - t0 + 1) * chunk_rows) // n) for _, n, t0, t1 in stats if n and t0 is not None]
+    return hot, (min(widths) if widths else 3600)
 
 
 def session_core(
@@ -51,7 +63,8 @@ def session_core(
     tiebreak: Sequence[str] = (),
     hot_users: Sequence | None = None,
     hot_min_rows: int | None = None,
-    chunk_seconds: int = 3600,
+    chunk_seconds: int | str = "auto",
+    chunk_rows: int = 1_000_000,
     with_step: bool = False,
     cut: str | None = None,
 ) -> DataFrame:
@@ -59,13 +72,18 @@ def session_core(
     ``session_seq`` (BIGINT) and, with ``with_step``, ``session_step``
     (1-based position of the event inside its session).
 
+    Hot users are ``hot_users`` or the users with more than ``hot_min_rows``
+    events.  ``chunk_seconds="auto"`` picks the widest chunk that keeps about
+    ``chunk_rows`` events per (hot user, chunk), from each hot user's event
+    count and active span.
+
     ``cut`` materializes the input first (``"cache"``, ``"checkpoint"`` or
     ``"table"``, see ``plans.lineage``): worth it when the input is an
     expensive plan, since hot-user detection and the per-chunk summary read it
     again.
     """
     df = cut_lineage(df, cut)
-    hot = _resolve_hot(df, user, hot_users, hot_min_rows)
+    hot, chunk_seconds = _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows)
     cols = df.columns
     sec = epoch_seconds(ts)
     order = [F.col(ts).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]

@@ -29,21 +29,35 @@ def key_frequency(df: DataFrame, key: str, top: int | None = 20, count_name: str
     return out.limit(top) if top else out
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int = 10_000) -> list:
-    """Keys with more than ``min_rows`` rows (nulls excluded).
-
-    At most ``total_rows / min_rows`` keys can qualify; ``max_keys`` bounds
-    what reaches the driver.  Callers treat keys beyond the list exactly, just
-    without splitting them.
+def hot_key_stats(
+    df: DataFrame, key: str, min_rows: int, max_keys: int = 10_000, ts: str | None = None, only: list | None = None
+) -> list[tuple]:
+    """``[(key, rows[, first_second, last_second])]`` for keys with more than
+    ``min_rows`` rows (nulls excluded), largest first.
+
+    At most ``total_rows / min_rows`` keys can qualify, and ``max_keys``
+    bounds what reaches the driver; callers handle keys beyond the list
+    exactly, just without splitting them.  With ``ts`` the time span of each
+    key comes along (for choosing chunk widths).  ``only`` restricts the
+    statistics to given keys (then ``min_rows`` may be 0).
     """
+    src = df.where(F.col(key).isNotNull())
+    if only is not None:
+        src = src.where(F.col(key).isin(list(only)))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if ts:
+        aggs += [F.min(F.unix_timestamp(ts)).alias("_t0"), F.max(F.unix_timestamp(ts)).alias("_t1")]
     rows = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        src.groupBy(key)
+        .agg(*aggs)
         .where(F.col("_n") > min_rows)
         .orderBy(F.col("_n").desc(), F.col(key))
         .limit(max_keys)
-        .select(key)
         .collect()
     )
-    return [r[0] for r in rows]
+    return [tuple(r) for r in rows]
+
+
+def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int = 10_000) -> list:
+    """Keys with more than ``min_rows`` rows (see ``hot_key_stats``)."""
+    return [r[0] for r in hot_key_stats(df, key, min_rows, max_keys)]

@@ -96,3 +96,17 @@ def test_broadcast_check_is_measured(spark):
     assert n == md.count() and b > 0
     assert broadcast_ok(md, max_bytes=b) and not broadcast_ok(md, max_bytes=b - 1)
     assert not broadcast_ok(md, max_rows=n - 1)
+
+
+def test_salt_count_scales_with_key_size(spark):
+    hot = [(i, "hot", "x") for i in range(900)]
+    warm = [(2000 + i, "warm", "x") for i in range(120)]
+    cold = [(5000 + i, f"c{i}", "x") for i in range(30)]
+    f = facts(spark, hot + warm + cold)
+    d = dims(spark, [("hot", "US", "free"), ("warm", "UK", "basic"), ("c3", "DE", "premium")])
+    from cadence.operators.joins import _salt_table
+
+    t = {r[0]: r[1] for r in _salt_table(f, "user_id", [("hot", 900), ("warm", 120)], salt_rows=50, max_salts=10).collect()}
+    assert t == {"hot": 10, "warm": 3}
+    got = joins.enrich(f, d, strategy="salted", hot_min_rows=100, salt_rows=50, max_salts=10)
+    assert rows(got) == rows(joins.enrich(f, d))

@@ -122,3 +122,15 @@ def test_running_count_hot_split_equals_plain(spark):
     assert rows(plain) == rows(split)
     first = plain.where("event_number = 1")
     assert first.count() == len(users) and first.where("seconds_since_previous is not null").count() == 0
+
+
+def test_auto_chunk_width_from_hot_user_stats(spark):
+    from cadence.operators.sessions import _resolve_hot
+
+    df = interactions(spark, SF001)
+    hot, width = _resolve_hot(df, "user_id", "timestamp", None, 80, "auto", 10)
+    assert hot and 1 <= width < 30 * 86400
+    kw = dict(tiebreak=("event_id",), with_step=True)
+    plain = sessions.session_core(df, **kw)
+    auto = sessions.session_core(df, hot_min_rows=80, chunk_rows=10, **kw)
+    assert rows(plain) == rows(auto)
