@@ -23,15 +23,19 @@ def whole_second_gap(later, earlier) -> Column:
     return epoch_seconds(later) - epoch_seconds(earlier)
 
 
-def period_start(ts, grain: str) -> Column:
+def period_start(ts, grain: str, ntz: bool = False) -> Column:
     """Start of the hour/day/week/month/quarter/year containing ``ts``.
 
     Returned as TIMESTAMP for hour, DATE otherwise (so month series join
-    cleanly with date dimensions).
+    cleanly with date dimensions).  With ``ntz`` (input is TIMESTAMP_NTZ) the
+    hour start is built from the wall-clock fields, so it is TIMESTAMP_NTZ
+    and independent of the session time zone.
     """
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}, got {grain!r}")
     c = as_col(ts)
+    if grain == "hour" and ntz:
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
     if grain == "hour":
         return F.date_trunc("hour", c)
     if grain == "day":

@@ -51,9 +51,8 @@ def active_users(
     are not counted.
     """
     df = _restrict(df, ts, start, end, date_col, action_col, actions)
-    period = F.col(date_col) if (grain == "day" and date_col) else period_start(ts, grain)
-    if grain == "hour" and isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        period = period.cast(T.TimestampNTZType())  # keep the input's time-zone-free type
+    ntz = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
+    period = F.col(date_col) if (grain == "day" and date_col) else period_start(ts, grain, ntz=ntz)
     return (
         df.select(period.alias(period_name), F.col(user).alias("_u"))
         .groupBy(period_name)

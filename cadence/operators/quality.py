@@ -102,7 +102,8 @@ def timeliness(df: DataFrame, ts: str, as_of, label: str, max_lag_hours: float =
     """``(table, latest, lag_hours, is_stale)`` against an as-of time."""
     ref = bound_literal(df, ts, as_of)
     latest = df.agg(F.max(ts).alias("latest"))
-    lag = (F.unix_micros(F.col("latest").cast("timestamp")) - F.unix_micros(ref.cast("timestamp"))) * -1 / 3.6e9
+    # wall-clock difference for TIMESTAMP_NTZ (no session time zone, no DST)
+    lag = F.timestamp_diff("MICROSECOND", F.col("latest"), ref) / 3.6e9
     return latest.select(
         F.lit(label).alias("table"),
         "latest",
