@@ -33,7 +33,7 @@ def running_count(
     ts: str = "timestamp",
     tiebreak: Sequence[str] = (),
     hot_users: Sequence | None = None,
-    hot_min_rows: int | None = None,
+    hot_min_rows: int | None = 1_000_000,
     chunk_seconds: int | str = "auto",
 ) -> DataFrame:
     """``(…, event_number, seconds_since_previous)`` per user in time order.

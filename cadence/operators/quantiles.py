@@ -46,10 +46,19 @@ def _bucket_of(v: Column, bounds: list[float]) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, col: str, probs: Sequence[float], buckets: int = 256, checkpoint: bool = True
+    df: DataFrame,
+    col: str,
+    probs: Sequence[float],
+    buckets: int | None = None,
+    checkpoint: bool = True,
+    rows_per_bucket: int = 1_000_000,
+    max_buckets: int = 65_536,
 ) -> DataFrame:
     """One row per probability: ``(p, value)`` (DOUBLE); nulls ignored.
 
+    ``buckets`` defaults to about one per ``rows_per_bucket`` distinct values
+    (at least 256, at most ``max_buckets``), so each bucket's running count is
+    a bounded sort however many distinct values there are.
     Empty input gives no rows.
     """
     spark = df.sparkSession
@@ -60,8 +69,11 @@ def exact_percentiles(
         # later passes read that instead of the source.
         shared_dir(spark)
         hist = hist.checkpoint(eager=True)
+    if buckets is None:
+        distinct = hist.count()
+        buckets = int(min(max_buckets, max(256, -(-distinct // rows_per_bucket))))
     fracs = [i / buckets for i in range(1, buckets)]
-    row = hist.agg(F.percentile_approx("v", fracs, 10_000).alias("b")).first()
+    row = hist.agg(F.percentile_approx("v", fracs, max(10_000, 4 * buckets)).alias("b")).first()
     bounds = sorted(set(row["b"] or [])) if row else []
     b = hist.withColumn("_b", _bucket_of(F.col("v"), bounds))
     local = b.withColumn("_cum", F.sum("n").over(Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))

@@ -62,7 +62,7 @@ def session_core(
     gap_seconds: int = 1800,
     tiebreak: Sequence[str] = (),
     hot_users: Sequence | None = None,
-    hot_min_rows: int | None = None,
+    hot_min_rows: int | None = 1_000_000,
     chunk_seconds: int | str = "auto",
     chunk_rows: int = 1_000_000,
     with_step: bool = False,
@@ -73,7 +73,8 @@ def session_core(
     (1-based position of the event inside its session).
 
     Hot users are ``hot_users`` or the users with more than ``hot_min_rows``
-    events.  ``chunk_seconds="auto"`` picks the widest chunk that keeps about
+    events (found by one aggregate over the user column; ``hot_min_rows=None``
+    skips the detection and keeps one window per user).  ``chunk_seconds="auto"`` picks the widest chunk that keeps about
     ``chunk_rows`` events per (hot user, chunk), from each hot user's event
     count and active span.
 

@@ -81,3 +81,8 @@ def test_user_timeline(spark):
     data = [("b", D(2024, 1, 2), "x"), ("a", D(2024, 1, 1), "x"), ("c", D(2024, 1, 1), "x")]
     out = activity.user_timeline(frame(spark, data), ["a", "b"])
     assert [r["user_id"] for r in out.collect()] == ["a", "b"]
+
+
+def test_count_on_empty_input_gives_one_zero_row(spark):
+    empty = frame(spark, []).where("false")
+    assert [tuple(r) for r in activity.users_active_in_n_periods(empty, n=1).collect()] == [(0,)]

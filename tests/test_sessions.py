@@ -134,3 +134,12 @@ def test_auto_chunk_width_from_hot_user_stats(spark):
     plain = sessions.session_core(df, **kw)
     auto = sessions.session_core(df, hot_min_rows=80, chunk_rows=10, **kw)
     assert rows(plain) == rows(auto)
+
+
+def test_session_count_equals_session_window_on_whole_seconds(spark):
+    from pyspark.sql import functions as F
+
+    df = interactions(spark, SF001).withColumn("timestamp", F.date_trunc("second", F.col("timestamp")).cast("timestamp_ntz"))
+    ours = sessions.session_metrics(df, tiebreak=("event_id",), order=False).count()
+    sw = df.groupBy("user_id", F.session_window(F.col("timestamp").cast("timestamp"), "30 minutes")).count().count()
+    assert ours == sw == 9549
