@@ -9,7 +9,6 @@ tables.  Every query reads whole tables.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 from collections.abc import Callable

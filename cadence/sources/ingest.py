@@ -28,12 +28,17 @@ def read_csv_capturing_errors(spark, path: str, schema: T.StructType, multiline:
 
 
 def ingest_report(df: DataFrame, key: str) -> DataFrame:
-    """``(status, rows, keyed_rows)``: ok / corrupt counts of a capturing
-    read; ``keyed_rows`` counts rows whose ``key`` still parsed.  (Spark
-    refuses queries over raw CSV that reference only the corrupt column.)"""
-    return df.groupBy(F.when(F.col(CORRUPT).isNull(), "ok").otherwise("corrupt").alias("status")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(key).alias("keyed_rows")
+    """``(status, rows, keyed_rows)`` of a capturing read: ``corrupt`` (the
+    line did not parse), ``no_key`` (parsed, but ``key`` is null) or ``ok``;
+    ``keyed_rows`` counts rows whose ``key`` parsed.  The status itself reads
+    ``key``: Spark refuses plans over raw CSV that keep only the corrupt
+    column, which column pruning would otherwise produce for a bare count."""
+    status = (
+        F.when(F.col(CORRUPT).isNotNull(), F.lit("corrupt"))
+        .when(F.col(key).isNull(), F.lit("no_key"))
+        .otherwise(F.lit("ok"))
     )
+    return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keyed_rows"))
 
 
 def csv_parquet_round_trip(df: DataFrame, schema: T.StructType, partition_by: list[str]) -> DataFrame:

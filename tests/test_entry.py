@@ -37,3 +37,14 @@ def test_all_queries_match_oracle_at_sf0001(spark):
 
     bad = [(s, n, d) for s, n, d in compare(spark, SF0001) if s not in ("OK", "ROWS")]
     assert not bad, bad
+
+
+def test_count_equals_collected_rows_for_every_query(spark):
+    """The driver may count or collect; pruning must not change or break either."""
+    bad = []
+    for name, q in E.queries().items():
+        df = q(spark, SF0001)
+        c, r = df.count(), len(df.collect())
+        if c != r:
+            bad.append((name, c, r))
+    assert not bad, bad
