@@ -26,18 +26,22 @@ def build_session(
     app_name: str = "cadence",
     shuffle_partitions: int | None = None,
     max_partition_bytes: str | None = None,
+    adaptive: bool = True,
     extra_conf: dict[str, str] | None = None,
 ) -> SparkSession:
     """Create (or reuse) a SparkSession with the engine defaults.
 
     ``shuffle_partitions`` and ``max_partition_bytes`` are the knobs the
     reference tunes by hand (35 partitions, 64 MB splits); on a cluster leave
-    them unset and let AQE coalesce from the cluster default.
+    them unset and let AQE coalesce from the cluster default.  ``adaptive``
+    switches adaptive query execution (on by default; the reference turns it
+    off once to show the plain sort-merge plan).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    conf["spark.sql.adaptive.enabled"] = str(adaptive).lower()
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if max_partition_bytes is not None:
