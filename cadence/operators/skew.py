@@ -30,32 +30,54 @@ def key_frequency(df: DataFrame, key: str, top: int | None = 20, count_name: str
 
 
 def hot_key_stats(
-    df: DataFrame, key: str, min_rows: int, max_keys: int = 10_000, ts: str | None = None, only: list | None = None
+    df: DataFrame,
+    key: str,
+    min_rows: int,
+    max_keys: int = 10_000,
+    ts: str | None = None,
+    only: list | None = None,
+    sample_rows_per_key: int | None = 400,
+    seed: int = 17,
 ) -> list[tuple]:
     """``[(key, rows[, first_second, last_second])]`` for keys with more than
     ``min_rows`` rows (nulls excluded), largest first.
 
+    Used only to *steer plans* (which keys to split or salt); every caller is
+    exact for any list.  So by default the statistics come from a seeded
+    Bernoulli sample holding about ``sample_rows_per_key`` rows of a key at
+    the threshold: one scan of the needed columns and a tiny aggregate,
+    instead of a full group-by over all keys.  Keys are kept from half the
+    threshold (estimated) so borderline keys are not missed; ``rows`` is then
+    an estimate.  ``sample_rows_per_key=None`` counts exactly.
+
     At most ``total_rows / min_rows`` keys can qualify, and ``max_keys``
-    bounds what reaches the driver; callers handle keys beyond the list
-    exactly, just without splitting them.  With ``ts`` the time span of each
-    key comes along (for choosing chunk widths).  ``only`` restricts the
-    statistics to given keys (then ``min_rows`` may be 0).
+    bounds what reaches the driver; keys beyond the list are still handled
+    exactly, just not split.  With ``ts`` the time span of each key comes
+    along (for chunk widths).  ``only`` restricts to given keys (exact).
     """
     src = df.where(F.col(key).isNotNull())
+    frac = 1.0
     if only is not None:
         src = src.where(F.col(key).isin(list(only)))
+    elif sample_rows_per_key and min_rows > 0:
+        frac = min(1.0, sample_rows_per_key / min_rows)
+    cut = min_rows
+    if frac < 1.0:
+        src = src.sample(withReplacement=False, fraction=frac, seed=seed)
+        cut = min_rows * frac / 2
     aggs = [F.count(F.lit(1)).alias("_n")]
     if ts:
         aggs += [F.min(F.unix_timestamp(ts)).alias("_t0"), F.max(F.unix_timestamp(ts)).alias("_t1")]
     rows = (
         src.groupBy(key)
         .agg(*aggs)
-        .where(F.col("_n") > min_rows)
+        .where(F.col("_n") > cut)
         .orderBy(F.col("_n").desc(), F.col(key))
         .limit(max_keys)
         .collect()
     )
-    return [tuple(r) for r in rows]
+    scale = 1.0 / frac
+    return [(r[0], int(round(r[1] * scale)), *tuple(r)[2:]) for r in rows]
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int = 10_000) -> list:

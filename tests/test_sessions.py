@@ -143,3 +143,23 @@ def test_session_count_equals_session_window_on_whole_seconds(spark):
     ours = sessions.session_metrics(df, tiebreak=("event_id",), order=False).count()
     sw = df.groupBy("user_id", F.session_window(F.col("timestamp").cast("timestamp"), "30 minutes")).count().count()
     assert ours == sw == 9549
+
+
+def test_sampled_hot_detection_finds_a_third_of_rows_and_stays_exact(spark):
+    from pyspark.sql import functions as F
+
+    from cadence.operators.skew import hot_key_stats
+
+    base = interactions(spark, SF001)
+    # user 7 re-labelled on ~30 % of events: one key holding a third of the rows
+    df = base.withColumn("user_id", F.when(F.col("event_id") % 10 < 3, F.lit(7)).otherwise(F.col("user_id")))
+    stats = hot_key_stats(df, "user_id", min_rows=2000, ts="timestamp")
+    assert [s[0] for s in stats] == [7]
+    assert 2400 <= stats[0][1] <= 3600  # estimate of ~3000+ rows
+    kw = dict(tiebreak=("event_id",), with_step=True)
+    plain = sessions.session_core(df, hot_min_rows=None, **kw)
+    split = sessions.session_core(df, hot_min_rows=2000, chunk_rows=300, **kw)
+    assert rows(plain) == rows(split)
+    from cadence.plans.inspect import plan_text
+
+    assert "_cdiff" in plan_text(split, "simple")  # the chunked path was taken
