@@ -32,7 +32,6 @@ from cadence.operators.skew import hot_key_stats as find_hot_stats
 from cadence.plans.lineage import cut_lineage
 
 _NULL_CHUNK = -(2**62)  # chunk of null timestamps: sorts before every real chunk
-_INTERNAL = ["_sec", "_c", "_hot", "_rn", "_tdl", "_fl", "_lseq", "_lstart"]
 
 
 def _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows):
@@ -73,10 +72,11 @@ def session_core(
     (1-based position of the event inside its session).
 
     Hot users are ``hot_users`` or the users with more than ``hot_min_rows``
-    events (found by one aggregate over the user column; ``hot_min_rows=None``
-    skips the detection and keeps one window per user).  ``chunk_seconds="auto"`` picks the widest chunk that keeps about
-    ``chunk_rows`` events per (hot user, chunk), from each hot user's event
-    count and active span.
+    events, found on a sample (``skew.hot_key_stats``: the list only steers
+    the plan, results are exact for any list); ``hot_min_rows=None`` skips
+    the detection and keeps one window per user.  ``chunk_seconds="auto"``
+    takes the finest width any hot user needs for about ``chunk_rows`` events
+    per (user, chunk), from its event count and active span.
 
     ``cut`` materializes the input first (``"cache"``, ``"checkpoint"`` or
     ``"table"``, see ``plans.lineage``): worth it when the input is an
@@ -92,7 +92,7 @@ def session_core(
     if hot:
         is_hot = F.col(user).isin(hot)
         chunk = F.when(is_hot, F.coalesce(F.floor(sec / F.lit(chunk_seconds)), F.lit(_NULL_CHUNK))).otherwise(F.lit(0))
-        base = df.withColumn("_sec", sec).withColumn("_hot", is_hot).withColumn("_c", chunk.cast("bigint"))
+        base = df.withColumn("_sec", sec).withColumn("_c", chunk.cast("bigint"))
         part = [user, "_c"]
     else:
         base = df.withColumn("_sec", sec)
