@@ -60,7 +60,10 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
 def _plain_scan(df: DataFrame) -> bool:
     """True when the optimized plan is only projections over file scans, so
     the estimate is the (compressed) file size: a floor of the real size."""
-    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    try:
+        plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    except Exception:  # no JVM handle (Spark Connect): treat as derived
+        return False
     return not any(k in plan for k in ("Join", "Aggregate", "Filter", "Window", "Union", "Generate", "Expand"))
 
 

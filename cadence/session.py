@@ -60,15 +60,23 @@ def shared_dir(spark: SparkSession) -> str:
     Taken from ``spark.checkpoint.dir`` (the cluster names it).  Only when the
     session has none — local tests — a fresh folder is created and set.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None:
+        d = d or sc.getConf().get("spark.checkpoint.dir", None)
         jdir = sc._jsc.sc().getCheckpointDir()
-        d = jdir.get() if jdir.isDefined() else None
+        if not d and jdir.isDefined():
+            d = jdir.get()
+        if not d:
+            d = tempfile.mkdtemp(prefix="cadence-ckpt-")
+        if not jdir.isDefined():
+            sc.setCheckpointDir(d)
     if not d:
         d = tempfile.mkdtemp(prefix="cadence-ckpt-")
-    if not (sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(d)
+        spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
