@@ -1,0 +1,65 @@
+"""Stage and task metrics from Spark's event log — the bottleneck analysis
+one would do in the Spark UI, as a DataFrame (the UI stays off).
+
+``event_log_conf(folder)`` gives the settings for a session that writes a
+plain-JSON event log there; ``stage_report(spark, path)`` reads it back with
+Spark and returns one row per stage attempt: task count, task-time median
+and maximum, the skew ratio between them, shuffle read/write bytes, spill
+and input bytes.  A stage whose slowest task is many times its median task
+is the skew signature the reference hunted for by eye.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def event_log_conf(folder: str) -> dict[str, str]:
+    """Session settings for an uncompressed, single-file event log in ``folder``."""
+    return {
+        "spark.eventLog.enabled": "true",
+        "spark.eventLog.dir": folder,
+        "spark.eventLog.compress": "false",
+        "spark.eventLog.rolling.enabled": "false",
+    }
+
+
+def _m(path: str):
+    return F.col("`Task Metrics`." + ".".join(f"`{p}`" for p in path.split("/")))
+
+
+def stage_report(spark: SparkSession, path: str) -> DataFrame:
+    """One row per (stage, attempt): see the module docstring."""
+    ev = spark.read.json(path)
+    tasks = ev.where(F.col("Event") == "SparkListenerTaskEnd").select(
+        F.col("`Stage ID`").alias("stage_id"),
+        F.col("`Stage Attempt ID`").alias("attempt"),
+        (F.col("`Task Info`.`Finish Time`") - F.col("`Task Info`.`Launch Time`")).alias("task_ms"),
+        (_m("Shuffle Read Metrics/Remote Bytes Read") + _m("Shuffle Read Metrics/Local Bytes Read")).alias("shuffle_read"),
+        _m("Shuffle Write Metrics/Shuffle Bytes Written").alias("shuffle_write"),
+        _m("Memory Bytes Spilled").alias("spill_memory"),
+        _m("Disk Bytes Spilled").alias("spill_disk"),
+        _m("Input Metrics/Bytes Read").alias("input_bytes"),
+    )
+    per_stage = tasks.groupBy("stage_id", "attempt").agg(
+        F.count(F.lit(1)).alias("tasks"),
+        F.median("task_ms").alias("median_task_ms"),
+        F.max("task_ms").alias("max_task_ms"),
+        F.sum("shuffle_read").alias("shuffle_read_bytes"),
+        F.sum("shuffle_write").alias("shuffle_write_bytes"),
+        F.sum("spill_memory").alias("spill_memory_bytes"),
+        F.sum("spill_disk").alias("spill_disk_bytes"),
+        F.sum("input_bytes").alias("input_bytes"),
+    )
+    names = ev.where(F.col("Event") == "SparkListenerStageCompleted").select(
+        F.col("`Stage Info`.`Stage ID`").alias("stage_id"),
+        F.col("`Stage Info`.`Stage Attempt ID`").alias("attempt"),
+        F.col("`Stage Info`.`Stage Name`").alias("stage_name"),
+        (F.col("`Stage Info`.`Completion Time`") - F.col("`Stage Info`.`Submission Time`")).alias("stage_ms"),
+    )
+    return (
+        per_stage.join(names, ["stage_id", "attempt"], "left")
+        .withColumn("skew_ratio", F.round(F.col("max_task_ms") / F.greatest(F.col("median_task_ms"), F.lit(1.0)), 2))
+        .orderBy("stage_id", "attempt")
+    )

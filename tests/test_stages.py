@@ -1,0 +1,33 @@
+import os
+import subprocess
+import sys
+import tempfile
+import textwrap
+
+from conftest import ROOT, SF001
+
+from cadence.plans.stages import stage_report
+
+
+def test_stage_report_from_event_log(spark):
+    folder = tempfile.mkdtemp(prefix="cadence-evlog-")
+    job = textwrap.dedent(
+        f"""
+        import sys
+        sys.path.insert(0, {ROOT!r})
+        from pyspark.sql import functions as F
+        from cadence.session import build_session
+        from cadence.plans.stages import event_log_conf
+        spark = build_session(master="local[2]", shuffle_partitions=4, extra_conf=event_log_conf({folder!r}))
+        ev = spark.read.parquet("{SF001}/events.parquet")
+        ev.groupBy("user_id").agg(F.count(F.lit(1))).write.format("noop").mode("overwrite").save()
+        spark.stop()
+        """
+    )
+    subprocess.run([sys.executable, "-c", job], check=True, timeout=600, capture_output=True)
+    logs = [os.path.join(folder, f) for f in os.listdir(folder)]
+    assert len(logs) == 1
+    rep = stage_report(spark, logs[0]).collect()
+    assert rep and all(r["tasks"] >= 1 and r["max_task_ms"] >= r["median_task_ms"] for r in rep)
+    assert sum(r["shuffle_write_bytes"] or 0 for r in rep) > 0  # the group-by shuffled
+    assert sum(r["input_bytes"] or 0 for r in rep) > 0

@@ -1,0 +1,17 @@
+"""Print the per-stage report of a Spark event log.
+
+Usage: python tools/stage_report.py <event-log-file-or-folder>
+Write the log with ``build_session(extra_conf=event_log_conf(folder))``.
+"""
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from cadence.plans.stages import stage_report  # noqa: E402
+from cadence.session import local_test_session  # noqa: E402
+
+if __name__ == "__main__":
+    spark = local_test_session(cores=2, shuffle_partitions=2)
+    stage_report(spark, sys.argv[1]).show(200, truncate=60)
