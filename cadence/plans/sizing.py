@@ -1,0 +1,62 @@
+"""Parallelism and memory settings from data volume and cluster shape.
+
+The reference sizes clusters by hand; the rules it states are kept here as
+fixed values and turned into Spark settings:
+
+* one task per 128 MB of input (scan splits and shuffle partitions),
+* 4 cores per executor,
+* 4 x the partition size of working memory per core (2 GB per 4-core
+  executor at 128 MB partitions), plus 10 % overhead (at least 384 MB).
+
+AQE then coalesces shuffle partitions at run time toward the same 128 MB
+target and splits skewed ones, so the static count is an upper bound that
+gives enough parallelism for the largest stage.
+"""
+
+from __future__ import annotations
+
+import math
+
+# The reference's sizing rules.
+PARTITION_BYTES = 128 * 1024**2
+CORES_PER_EXECUTOR = 4
+MEMORY_PER_CORE_PARTITIONS = 4
+OVERHEAD_FRACTION = 0.10
+MIN_OVERHEAD_MB = 384
+
+
+def recommend(
+    input_bytes: int,
+    executors: int | None = None,
+    cores_per_executor: int = CORES_PER_EXECUTOR,
+    partition_bytes: int = PARTITION_BYTES,
+    shuffle_ratio: float = 1.0,
+) -> dict:
+    """Settings for scanning ``input_bytes``; ``shuffle_ratio`` is the size of
+    the largest shuffle relative to the input.
+
+    Returns ``{"conf": {spark setting: value}, "tasks": ..., "executors": ...,
+    "executor_memory_mb": ..., "overhead_mb": ...}``.  ``executors``
+    defaults to one core per input partition (one wave), as the reference's
+    tables assume.
+    """
+    tasks = max(1, math.ceil(input_bytes / partition_bytes))
+    shuffle_parts = max(1, math.ceil(input_bytes * shuffle_ratio / partition_bytes))
+    if executors is None:
+        executors = max(1, math.ceil(tasks / cores_per_executor))
+    mem_mb = math.ceil(cores_per_executor * MEMORY_PER_CORE_PARTITIONS * partition_bytes / 1024**2)
+    overhead_mb = max(MIN_OVERHEAD_MB, math.ceil(mem_mb * OVERHEAD_FRACTION))
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.executor.instances": str(executors),
+        "spark.executor.cores": str(cores_per_executor),
+        "spark.executor.memory": f"{mem_mb}m",
+        "spark.executor.memoryOverhead": f"{overhead_mb}m",
+    }
+    return {"conf": conf, "tasks": tasks, "executors": executors, "executor_memory_mb": mem_mb, "overhead_mb": overhead_mb}

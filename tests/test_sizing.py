@@ -1,0 +1,21 @@
+from cadence.plans.sizing import recommend
+
+GB = 1024**3
+
+
+def test_reference_sizing_table():
+    # 1 GB -> 8 partitions, 2 executors of 4 cores, 2 GB each
+    r = recommend(1 * GB)
+    assert (r["tasks"], r["executors"], r["executor_memory_mb"]) == (8, 2, 2048)
+    # 100 GB -> 800 / 200; 500 GB -> 4000 / 1000; 1 TB -> 8192 / 2048
+    assert (recommend(100 * GB)["tasks"], recommend(100 * GB)["executors"]) == (800, 200)
+    assert (recommend(500 * GB)["tasks"], recommend(500 * GB)["executors"]) == (4000, 1000)
+    assert recommend(1024 * GB)["tasks"] == 8192
+    assert recommend(1 * GB)["overhead_mb"] == 384
+
+
+def test_cluster_of_fixed_size_and_shuffle_ratio():
+    r = recommend(100 * 1024 * GB, executors=1000, shuffle_ratio=0.25)
+    assert r["executors"] == 1000
+    assert int(r["conf"]["spark.sql.shuffle.partitions"]) == 204800
+    assert r["conf"]["spark.sql.adaptive.enabled"] == "true"
