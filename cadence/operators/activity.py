@@ -84,20 +84,24 @@ def users_active_in_n_periods(
     actions: Sequence[str] | None = None,
     action_col: str = "action_type",
     value_name: str = "monthly_active_users",
+    method: str = "count",
 ) -> DataFrame:
     """Number of users active in at least ``n`` distinct periods of ``[start, end)``.
 
     With n = 12 months inside one calendar year this is "active every month".
     One row, one BIGINT column.  Periods carry their year (``trunc``), so a
     range longer than a year does not merge January 2024 with January 2025.
+
+    ``method="count"`` counts each user's distinct periods; ``"window"``
+    numbers them with ``row_number()`` and keeps the n-th, the reference's
+    form (Catalyst applies the rank limit before the shuffle).  Same result.
     """
     df = _restrict(df, ts, start, end, date_col, action_col, actions)
-    per_user = (
-        df.select(F.col(user).alias("_u"), period_start(ts, grain).alias("_p"))
-        .distinct()
-        .groupBy("_u")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    pairs = df.select(F.col(user).alias("_u"), period_start(ts, grain).alias("_p")).distinct()
+    if method == "window":
+        nth = pairs.select("_u", F.row_number().over(Window.partitionBy("_u").orderBy("_p")).alias("_rn"))
+        return nth.where(F.col("_rn") == n).agg(F.count("_u").cast("bigint").alias(value_name))
+    per_user = pairs.groupBy("_u").agg(F.count(F.lit(1)).alias("_n"))
     return per_user.where(F.col("_n") >= n).agg(F.count("_u").cast("bigint").alias(value_name))
 
 

@@ -46,6 +46,7 @@ def test_users_active_all_twelve_months(spark):
     split = [("twoyears", D(2023, m, 3), "x") for m in range(7, 13)] + [("twoyears", D(2024, m, 3), "x") for m in range(1, 7)]
     df = frame(spark, full + eleven + split + [(None, D(2024, m, 1), "x") for m in range(1, 13)])
     assert one(activity.users_active_in_n_periods(df, n=12)) == 1
+    assert one(activity.users_active_in_n_periods(df, n=12, method="window")) == 1
 
 
 def test_users_active_matches_count_distinct_form(spark):
@@ -63,7 +64,8 @@ def test_users_active_matches_count_distinct_form(spark):
         .where("m >= 4")
         .count()
     )
-    assert ours == alt == 62
+    window = one(activity.users_active_in_n_periods(o, n=4, start="1996-01-01", end="1997-01-01", method="window"))
+    assert ours == alt == window == 62
 
 
 def test_active_users_action_filter_and_grains(spark):
