@@ -8,8 +8,8 @@ distributed selection:
 1. histogram: value -> count (map-side combined; a hot value is one row);
 2. cut the value axis into ~``buckets`` ranges with boundaries from a sketch
    over the distinct values (a bounded list of doubles); the bucket of a
-   value is a fixed binary search over those literals, so it is the same on
-   every retry;
+   value is a binary search over those fixed split points (``Bucketizer``),
+   so it is the same on every retry;
 3. running count inside each bucket, plus the totals of the preceding
    buckets (one row per bucket) — a two-level prefix sum;
 4. the values at ranks floor(p·(N-1)) and ceil(p·(N-1)) are the histogram
@@ -33,16 +33,19 @@ from pyspark.sql import functions as F
 from cadence.session import shared_dir
 
 
-def _bucket_of(v: Column, bounds: list[float]) -> Column:
-    """Number of ``bounds`` (sorted, distinct) that are <= v, as a CASE tree."""
+def _with_bucket(hist: DataFrame, bounds: list[float]) -> DataFrame:
+    """Adds ``_b`` = number of ``bounds`` (sorted, distinct) that are <= v.
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    Spark's ``Bucketizer`` does the binary search over the split points on
+    the JVM, for any number of buckets (an expression tree would outgrow
+    code generation at tens of thousands of splits)."""
+    from pyspark.ml.feature import Bucketizer
 
-    return build(0, len(bounds))
+    if not bounds:
+        return hist.withColumn("_b", F.lit(0))
+    splits = [-math.inf, *bounds, math.inf]
+    out = Bucketizer(splits=splits, inputCol="v", outputCol="_bd", handleInvalid="keep").transform(hist)
+    return out.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
 
 
 def exact_percentiles(
@@ -75,7 +78,7 @@ def exact_percentiles(
     fracs = [i / buckets for i in range(1, buckets)]
     row = hist.agg(F.percentile_approx("v", fracs, max(10_000, 4 * buckets)).alias("b")).first()
     bounds = sorted(set(row["b"] or [])) if row else []
-    b = hist.withColumn("_b", _bucket_of(F.col("v"), bounds))
+    b = _with_bucket(hist, bounds)
     local = b.withColumn("_cum", F.sum("n").over(Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     # one row per bucket (at most ``buckets`` + 1): collected, it gives the
     # total count and each bucket's offset.
