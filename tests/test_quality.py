@@ -70,3 +70,12 @@ def test_quarantine_writes_both_sides_and_impute(spark):
     assert {"is_valid=false", "is_valid=true"} <= set(os.listdir(path))
     imp = {r["id"]: (r["v"], r["imputed"]) for r in quality.impute_by_group(df, "v", "grp", valid=F.col("v") < 100).collect()}
     assert imp == {1: (5, False), 2: (6, True), 3: (None, True), 4: (7, False)}
+
+
+def test_exact_percentiles_many_buckets(spark):
+    rnd = random.Random(3)
+    xs = [float(rnd.randint(0, 10**6)) for _ in range(20000)]
+    probs = [0.001, 0.3, 0.5, 0.999]
+    got = {r["p"]: r["value"] for r in exact_percentiles(vals(spark, xs), "x", probs, buckets=5000).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(np.array(xs), p)), rel=1e-12)
