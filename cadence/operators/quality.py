@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cadence.operators._common import bound_literal
 from cadence.operators.quantiles import percentile_values
-from cadence.plans.strategy import apply_strategy
+from cadence.plans.strategy import bounded_lookup
 
 
 def _violates(cond: Column) -> Column:
@@ -157,12 +157,13 @@ def impute_by_group(
 ) -> DataFrame:
     """Replace null (or invalid) ``col`` values by the mean of the valid ones
     in the same ``group``; adds ``imputed`` (boolean).  The group means are
-    one row per group, broadcast back when their measured size allows."""
+    computed once and broadcast back (``plans.strategy.bounded_lookup``)."""
     good = F.col(col).isNotNull() & (valid if valid is not None else F.lit(True))
     means = df.where(good).groupBy(group).agg(F.avg(col).alias("_mean"))
-    # One row per group: broadcast after a measured size check.  Joining on a
-    # low-cardinality group by shuffle would send each group to one reducer.
-    means, _ = apply_strategy(means, "broadcast")
+    # One row per group, computed once and broadcast when the group count is
+    # bounded: a shuffle join on a low-cardinality group would send each group
+    # to one reducer, and re-planning the aggregate would scan the input again.
+    means, _ = bounded_lookup(means)
     fill = F.round("_mean").cast("bigint") if integral else F.col("_mean")
     j = df.withColumn("_good", good).join(means, group, "left")
     out_col = out_col or col

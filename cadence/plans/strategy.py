@@ -91,3 +91,17 @@ def apply_strategy(
     if strategy == "shuffle_hash":
         return dim.hint("shuffle_hash"), "shuffle_hash"
     return dim, strategy
+
+
+def bounded_lookup(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
+    """Materialize a small result (e.g. per-group statistics) once.
+
+    Runs ``df`` with a ``max_rows + 1`` limit: when it fits, returns a
+    broadcast-hinted local copy (a proven bound: at most ``max_rows`` rows)
+    so the caller's join neither recomputes ``df`` nor shuffles the big side;
+    otherwise returns ``df`` itself for a shuffle join.  (rows, True/False)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df, False
+    local = df.sparkSession.createDataFrame(rows, df.schema)
+    return F.broadcast(local), True
