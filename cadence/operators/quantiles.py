@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.session import shared_dir
+from cadence.plans.lineage import cut_lineage
 
 
 def _with_bucket(hist: DataFrame, bounds: list[float]) -> DataFrame:
@@ -68,16 +68,23 @@ def exact_percentiles(
     hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     if checkpoint:
         # The source is scanned once: the histogram (one row per distinct
-        # value) is written to the shared checkpoint folder and the three
-        # later passes read that instead of the source.
-        shared_dir(spark)
-        hist = hist.checkpoint(eager=True)
+        # value) is written to the shared folder and the later passes read it.
+        hist = cut_lineage(hist, "table")
+
+    def sketch(k: int):
+        fracs = [i / k for i in range(1, k)]
+        return F.percentile_approx("v", fracs, max(10_000, 4 * k))
+
+    # one job: distinct-value count and a 256-bucket sketch; a finer sketch
+    # only when the distinct values need more buckets
+    k = buckets or 256
+    first = hist.agg(F.count(F.lit(1)).alias("d"), sketch(k).alias("b")).first()
     if buckets is None:
-        distinct = hist.count()
-        buckets = int(min(max_buckets, max(256, -(-distinct // rows_per_bucket))))
-    fracs = [i / buckets for i in range(1, buckets)]
-    row = hist.agg(F.percentile_approx("v", fracs, max(10_000, 4 * buckets)).alias("b")).first()
-    bounds = sorted(set(row["b"] or [])) if row else []
+        need = int(min(max_buckets, max(256, -(-first["d"] // rows_per_bucket))))
+        if need > k:
+            k = need
+            first = hist.agg(F.count(F.lit(1)).alias("d"), sketch(k).alias("b")).first()
+    bounds = sorted(set(first["b"] or []))
     b = _with_bucket(hist, bounds)
     local = b.withColumn("_cum", F.sum("n").over(Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     # one row per bucket (at most ``buckets`` + 1): collected, it gives the
