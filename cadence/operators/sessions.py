@@ -35,23 +35,26 @@ _NULL_CHUNK = -(2**62)  # chunk of null timestamps: sorts before every real chun
 
 
 def _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows):
-    """(hot user list, chunk width in seconds)."""
+    """``[(hot user, chunk width in seconds)]``."""
     if hot_users is None and hot_min_rows is None:
-        return [], 0
+        return []
     if hot_users is not None and chunk_seconds != "auto":
-        return list(hot_users), int(chunk_seconds)
+        return [(u, int(chunk_seconds)) for u in hot_users]
     if hot_users is not None:
         stats = find_hot_stats(df, user, 0, ts=ts, only=list(hot_users))
-        hot = list(hot_users)
+        known = {r[0] for r in stats}
+        stats += [(u, 0, None, None) for u in hot_users if u not in known]
     else:
         stats = find_hot_stats(df, user, hot_min_rows, ts=ts)
-        hot = [r[0] for r in stats]
     if chunk_seconds != "auto":
-        return hot, int(chunk_seconds)
-    # widest chunk that keeps every hot user's expected rows per chunk near
-    # ``chunk_rows`` (events spread over its active span)
-    widths = [max(1, ((t1 - t0 + 1) * chunk_rows) // n) for _, n, t0, t1 in stats if n and t0 is not None]
-    return hot, (min(widths) if widths else 3600)
+        return [(r[0], int(chunk_seconds)) for r in stats]
+    # per user: the widest chunk that keeps about ``chunk_rows`` of its events
+    # per chunk, its events spread over its active span
+    out = []
+    for u, n, t0, t1 in stats:
+        width = max(1, ((t1 - t0 + 1) * chunk_rows) // n) if n and t0 is not None else 3600
+        out.append((u, int(width)))
+    return out
 
 
 def session_core(
@@ -75,8 +78,8 @@ def session_core(
     events, found on a sample (``skew.hot_key_stats``: the list only steers
     the plan, results are exact for any list); ``hot_min_rows=None`` skips
     the detection and keeps one window per user.  ``chunk_seconds="auto"``
-    takes the finest width any hot user needs for about ``chunk_rows`` events
-    per (user, chunk), from its event count and active span.
+    gives each hot user the chunk width that holds about ``chunk_rows`` of its
+    events, from its event count and active span.
 
     ``cut`` materializes the input first (``"cache"``, ``"checkpoint"`` or
     ``"table"``, see ``plans.lineage``): worth it when the input is an
@@ -84,15 +87,20 @@ def session_core(
     again.
     """
     df = cut_lineage(df, cut)
-    hot, chunk_seconds = _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows)
+    widths = _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows)
+    hot = [u for u, _ in widths]
     cols = df.columns
     sec = epoch_seconds(ts)
     order = [F.col(ts).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
 
     if hot:
-        is_hot = F.col(user).isin(hot)
-        chunk = F.when(is_hot, F.coalesce(F.floor(sec / F.lit(chunk_seconds)), F.lit(_NULL_CHUNK))).otherwise(F.lit(0))
-        base = df.withColumn("_sec", sec).withColumn("_c", chunk.cast("bigint"))
+        # each hot user's chunk width comes from a broadcast table of at most
+        # the hot-list length (no shuffle; cold users get no width, one chunk)
+        wt = df.sparkSession.createDataFrame(widths, f"`{user}` {df.schema[user].dataType.simpleString()}, _w long")
+        chunk = F.when(
+            F.col("_w").isNotNull(), F.coalesce(F.floor(sec / F.col("_w")), F.lit(_NULL_CHUNK))
+        ).otherwise(F.lit(0))
+        base = df.join(F.broadcast(wt), user, "left").withColumn("_sec", sec).withColumn("_c", chunk.cast("bigint")).drop("_w")
         part = [user, "_c"]
     else:
         base = df.withColumn("_sec", sec)

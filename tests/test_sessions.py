@@ -128,8 +128,8 @@ def test_auto_chunk_width_from_hot_user_stats(spark):
     from cadence.operators.sessions import _resolve_hot
 
     df = interactions(spark, SF001)
-    hot, width = _resolve_hot(df, "user_id", "timestamp", None, 80, "auto", 10)
-    assert hot and 1 <= width < 30 * 86400
+    widths = _resolve_hot(df, "user_id", "timestamp", None, 80, "auto", 10)
+    assert widths and all(1 <= w < 30 * 86400 for _, w in widths)
     kw = dict(tiebreak=("event_id",), with_step=True)
     plain = sessions.session_core(df, **kw)
     auto = sessions.session_core(df, hot_min_rows=80, chunk_rows=10, **kw)
