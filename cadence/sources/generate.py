@@ -37,15 +37,28 @@ def _ids(spark: SparkSession, n: int | None, ids: DataFrame | None, id_col: str)
 
 
 def generate_interactions(
-    spark: SparkSession, n: int | None = None, seed: int = 0, ids: DataFrame | None = None, id_col: str = "id"
+    spark: SparkSession,
+    n: int | None = None,
+    seed: int = 0,
+    ids: DataFrame | None = None,
+    id_col: str = "id",
+    hot_user_share: float = 0.0,
 ) -> DataFrame:
-    """``n`` rows (or one per id of ``ids``) in the interactions schema + ``id``."""
+    """``n`` rows (or one per id of ``ids``) in the interactions schema + ``id``.
+
+    ``hot_user_share`` gives that fraction of the rows to one user
+    (``u000000``), the "certain user_ids are much more frequent" case the
+    skew handling is built for.
+    """
     i = F.col("id")
     u = lambda s, lo, hi: uniform_int(i, s, lo, hi, seed)
     start = F.lit(EVENT_START).cast("timestamp_ntz")
+    user = F.format_string("u%06d", u(1, 1, MAX_USER))
+    if hot_user_share > 0:
+        user = F.when(u(9, 0, 999_999) < int(hot_user_share * 1_000_000), F.lit("u000000")).otherwise(user)
     return _ids(spark, n, ids, id_col).select(
         "id",
-        F.format_string("u%06d", u(1, 1, MAX_USER)).alias("user_id"),
+        user.alias("user_id"),
         (start + F.make_dt_interval(secs=u(2, 0, EVENT_SPAN_SECONDS))).alias("timestamp"),
         _pick(ACTION_TYPES, u(3, 0, len(ACTION_TYPES) - 1)).alias("action_type"),
         F.format_string("p%06d", u(4, 1, MAX_PAGE)).alias("page_id"),
