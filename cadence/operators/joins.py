@@ -16,11 +16,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadence.functions import det_salt
 from cadence.operators.skew import hot_key_stats
 from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy
 from cadence.session import scratch_path
+from cadence.sources.local import local_table
 
 
 def _salt_table(fact: DataFrame, key: str, counts: list[tuple], salt_rows: int, max_salts: int) -> DataFrame:
@@ -28,8 +30,7 @@ def _salt_table(fact: DataFrame, key: str, counts: list[tuple], salt_rows: int,
     carries about ``salt_rows`` fact rows, at most ``max_salts``.  Bounded by
     the hot-key list, so broadcasting it is safe."""
     rows = [(k, int(min(max_salts, max(2, -(-n // salt_rows))))) for k, n in counts]
-    key_type = fact.schema[key].dataType.simpleString()
-    return fact.sparkSession.createDataFrame(rows, f"{key} {key_type}, _ns int")
+    return local_table(fact.sparkSession, rows, T.StructType([fact.schema[key], T.StructField("_ns", T.IntegerType())]))
 
 
 def _salted_pair(fact: DataFrame, dim: DataFrame, key: str, salts: DataFrame):

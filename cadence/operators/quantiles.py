@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.plans.lineage import cut_lineage
+from cadence.sources.local import local_table
 
 
 def _with_bucket(hist: DataFrame, bounds: list[float]) -> DataFrame:
@@ -97,7 +98,7 @@ def exact_percentiles(
     for bk, n in totals:
         offsets.append((bk, run))
         run += n
-    offs = spark.createDataFrame(offsets, "_b int, _off long")
+    offs = local_table(spark, offsets, "_b int, _off long")
     cum = local.join(F.broadcast(offs), "_b").select(
         "v", (F.col("_off") + F.col("_cum") - F.col("n")).alias("_lo"), (F.col("_off") + F.col("_cum")).alias("_hi")
     )

@@ -26,10 +26,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadence.functions import epoch_seconds
 from cadence.operators.skew import hot_key_stats as find_hot_stats
 from cadence.plans.lineage import cut_lineage
+from cadence.sources.local import local_table
 
 _NULL_CHUNK = -(2**62)  # chunk of null timestamps: sorts before every real chunk
 
@@ -96,7 +98,7 @@ def session_core(
     if hot:
         # each hot user's chunk width comes from a broadcast table of at most
         # the hot-list length (no shuffle; cold users get no width, one chunk)
-        wt = df.sparkSession.createDataFrame(widths, f"`{user}` {df.schema[user].dataType.simpleString()}, _w long")
+        wt = local_table(df.sparkSession, widths, T.StructType([df.schema[user], T.StructField("_w", T.LongType())]))
         chunk = F.when(
             F.col("_w").isNotNull(), F.coalesce(F.floor(sec / F.col("_w")), F.lit(_NULL_CHUNK))
         ).otherwise(F.lit(0))

@@ -100,8 +100,10 @@ def bounded_lookup(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, b
     broadcast-hinted local copy (a proven bound: at most ``max_rows`` rows)
     so the caller's join neither recomputes ``df`` nor shuffles the big side;
     otherwise returns ``df`` itself for a shuffle join.  (rows, True/False)."""
+    from cadence.sources.local import local_table
+
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df, False
-    local = df.sparkSession.createDataFrame(rows, df.schema)
+    local = local_table(df.sparkSession, [tuple(r) for r in rows], df.schema)
     return F.broadcast(local), True
