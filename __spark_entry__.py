@@ -79,6 +79,12 @@ def q_users_active_in_n_months(spark, d):
     )
 
 
+def q_users_active_in_n_months_window(spark, d):
+    return activity.users_active_in_n_periods(
+        _orders_activity(spark, d), n=ORDERS_N_MONTHS, start=ORDERS_YEAR_START, end=ORDERS_YEAR_END, method="window"
+    )
+
+
 def q_streak_days(spark, d):
     return activity.streak_days(interactions(spark, d), start=YEAR_START, end=YEAR_END, date_col="date")
 
@@ -328,6 +334,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mau_series_events": q_mau_series_events,
     "active_users_by_grain": q_active_users_by_grain,
     "users_active_in_n_months": q_users_active_in_n_months,
+    "users_active_in_n_months_window": q_users_active_in_n_months_window,
     "streak_days": q_streak_days,
     "user_timeline": q_user_timeline,
     "sessionize": q_sessionize,
@@ -341,6 +348,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enrich_broadcast": _enrich("broadcast"),
     "enrich_shuffle_hash": _enrich("shuffle_hash"),
     "enrich_salted": _enrich("salted"),
+    "enrich_auto": _enrich("auto"),
     "activity_by_dims": q_activity_by_dims,
     "activity_by_dims_broadcast": q_activity_by_dims_broadcast,
     "count_salted": q_count_salted,
@@ -470,6 +478,10 @@ _ORACLE: dict[str, str] = {
         SELECT user_id FROM (SELECT DISTINCT user_id, date_trunc('month', "timestamp") AS m FROM {_ORDERS_ACT}
           WHERE "timestamp" >= TIMESTAMP '{ORDERS_YEAR_START}' AND "timestamp" < TIMESTAMP '{ORDERS_YEAR_END}')
         GROUP BY user_id HAVING count(*) >= {ORDERS_N_MONTHS})""",
+    "users_active_in_n_months_window": f"""SELECT count(user_id) AS monthly_active_users FROM (
+        SELECT user_id FROM (SELECT DISTINCT user_id, date_trunc('month', "timestamp") AS m FROM {_ORDERS_ACT}
+          WHERE "timestamp" >= TIMESTAMP '{ORDERS_YEAR_START}' AND "timestamp" < TIMESTAMP '{ORDERS_YEAR_END}')
+        GROUP BY user_id HAVING count(*) >= {ORDERS_N_MONTHS})""",
     "streak_days": f"""SELECT CAST(sum(days_diff) AS BIGINT) AS daily_active_users FROM (
         SELECT CAST(coalesce(d - lag(d) OVER (PARTITION BY user_id ORDER BY d), 1) AS INTEGER) AS days_diff
         FROM (SELECT DISTINCT user_id, "date" AS d FROM {I}
@@ -491,6 +503,7 @@ _ORACLE: dict[str, str] = {
     "enrich_broadcast": _ENRICH_SQL,
     "enrich_shuffle_hash": _ENRICH_SQL,
     "enrich_salted": _ENRICH_SQL,
+    "enrich_auto": _ENRICH_SQL,
     "activity_by_dims": f"""SELECT m.country, m.subscription_type, count(*) AS count
         FROM {I} i JOIN {M} m ON i.user_id = m.user_id GROUP BY 1, 2""",
     "activity_by_dims_broadcast": f"""SELECT m.country, m.subscription_type, count(*) AS count
