@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from cadence.plans.inspect import partition_filters, pushed_filters, read_schemas
 from cadence.sources import generate, ingest
-from cadence.sources.files import read_csv, read_parquet, write_csv, write_noop, write_parquet
+from cadence.sources.files import read_csv, read_orc, read_parquet, write_csv, write_noop, write_orc, write_parquet
 from cadence.sources.schemas import INTERACTIONS
 from cadence.sources.tables import interactions
 
@@ -47,6 +47,9 @@ def test_csv_round_trip_equals_parquet_round_trip_and_widens_int(spark):
     assert b.columns[-1] == "date"  # discovered partition column comes last
     cols = [f.name for f in INTERACTIONS.fields]
     assert rows(a.select(cols)) == rows(b.select(cols))
+    o = os.path.join(tmp(), "o")
+    write_orc(df, o, ["date"])
+    assert rows(read_orc(spark, o, INTERACTIONS).select(cols)) == rows(b.select(cols))
 
 
 def test_partition_pruning_and_pushdown(spark):
