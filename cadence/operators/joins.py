@@ -85,9 +85,13 @@ def enrich(
             table = _salt_table(events, key, [(k, salts * salt_rows) for k in hot], salt_rows, max(max_salts, salts))
         else:
             table = _salt_table(events, key, [(r[0], r[1]) for r in hot_key_stats(events, key, hot_min_rows)], salt_rows, max_salts)
-        fact_s, dim_s = _salted_pair(events, dim, key, table)
+        # dimension attributes travel under private names, so an attribute
+        # that the events also carry cannot make the output ambiguous
+        tmp = {c: f"_d{i}" for i, c in enumerate(cols)}
+        dim_t = dim.select(key, *[F.col(c).alias(t) for c, t in tmp.items()])
+        fact_s, dim_s = _salted_pair(events, dim_t, key, table)
         j = fact_s.join(dim_s, [key, "_salt"], "left_outer")
-        return j.select(*events.columns, *cols)
+        return j.select(*[F.col(f"`{c}`") for c in events.columns], *[F.col(t).alias(c) for c, t in tmp.items()])
     dim_h, _ = apply_strategy(dim, strategy, max_broadcast_bytes)
     j = events.join(dim_h, events[key] == dim_h[key], "left_outer")
     return j.select(*[events[c] for c in events.columns], *[dim_h[c] for c in cols])

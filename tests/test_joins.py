@@ -110,3 +110,12 @@ def test_salt_count_scales_with_key_size(spark):
     assert t == {"hot": 10, "warm": 3}
     got = joins.enrich(f, d, strategy="salted", hot_min_rows=100, salt_rows=50, max_salts=10)
     assert rows(got) == rows(joins.enrich(f, d))
+
+
+def test_enrich_attribute_also_in_events(spark):
+    f = spark.createDataFrame([(1, "a", "XX"), (2, "b", "YY")], "event_id long, user_id string, country string")
+    d = dims(spark, [("a", "US", "free")])
+    for strategy in ("merge", "broadcast", "salted"):
+        out = joins.enrich(f, d, cols=("country",), strategy=strategy, hot=["a"] if strategy == "salted" else None)
+        assert out.columns == ["event_id", "user_id", "country", "country"]
+        assert sorted((r[0], r[3]) for r in out.collect()) == [(1, "US"), (2, None)]
