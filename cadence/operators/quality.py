@@ -1,6 +1,7 @@
 """Data quality: the six dimensions, quarantine, imputation, outliers.
 
 Each check is one distributed pass producing a small report DataFrame.
+Rates are null (not an error under ANSI mode) on empty input.
 Rules are ``name -> Column`` conditions that are *true for a good row*; a
 row whose condition is false or null violates the rule.
 """
@@ -35,7 +36,7 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         F.col("s.column").alias("column"),
         F.col("_rows").alias("rows"),
         F.col("s.nulls").alias("nulls"),
-        F.round(F.col("s.nulls") / F.col("_rows"), 6).alias("null_rate"),
+        F.round(F.try_divide(F.col("s.nulls"), F.col("_rows")), 6).alias("null_rate"),
     )
 
 
@@ -51,7 +52,7 @@ def validity(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
         F.col("s.rule").alias("rule"),
         F.col("_rows").alias("rows"),
         F.coalesce(F.col("s.v"), F.lit(0)).cast("bigint").alias("violations"),
-        F.round(F.coalesce(F.col("s.v"), F.lit(0)) / F.col("_rows"), 6).alias("violation_rate"),
+        F.round(F.try_divide(F.coalesce(F.col("s.v"), F.lit(0)), F.col("_rows")), 6).alias("violation_rate"),
     )
 
 
@@ -125,7 +126,7 @@ def accuracy(
         F.count(F.lit(1)).alias("rows"),
         F.count(F.when(F.col("_t").isNull(), 1)).alias("missing"),
         F.count(F.when(off, 1)).alias("mismatches"),
-        F.round(F.count(F.when(off, 1)) / F.count(F.lit(1)), 6).alias("mismatch_rate"),
+        F.round(F.try_divide(F.count(F.when(off, 1)), F.count(F.lit(1))), 6).alias("mismatch_rate"),
     )
 
 

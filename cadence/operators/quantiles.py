@@ -65,6 +65,8 @@ def exact_percentiles(
     a bounded sort however many distinct values there are.
     Empty input gives no rows.
     """
+    if any(not 0.0 <= float(p) <= 1.0 for p in probs):
+        raise ValueError(f"probabilities must lie in [0, 1], got {list(probs)}")
     spark = df.sparkSession
     hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     if checkpoint:

@@ -79,3 +79,13 @@ def test_exact_percentiles_many_buckets(spark):
     got = {r["p"]: r["value"] for r in exact_percentiles(vals(spark, xs), "x", probs, buckets=5000).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(np.array(xs), p)), rel=1e-12)
+
+
+def test_reports_on_empty_input(spark):
+    empty = spark.createDataFrame([], "k long, s string")
+    comp = quality.completeness(empty).collect()
+    assert [(r["column"], r["rows"], r["nulls"], r["null_rate"]) for r in comp] == [("k", 0, 0, None), ("s", 0, 0, None)]
+    val = quality.validity(empty, {"k_pos": F.col("k") > 0}).first()
+    assert (val["rows"], val["violations"], val["violation_rate"]) == (0, 0, None)
+    with pytest.raises(ValueError):
+        exact_percentiles(empty, "k", [1.5])
