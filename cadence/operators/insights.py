@@ -78,7 +78,7 @@ def subscription_insights(
         .agg(
             F.sum("_n").cast("bigint").alias("events"),
             F.count_distinct(key).alias("users"),
-            F.round(F.sum("_d") / F.sum("_dn"), 4).alias("avg_duration_ms"),
+            F.round(F.try_divide(F.sum("_d"), F.sum("_dn")), 4).alias("avg_duration_ms"),
         )
     )
 
