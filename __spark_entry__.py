@@ -195,6 +195,10 @@ def q_duration_capped(spark, d):
     return quality.capped(interactions(spark, d).select("event_id", "duration_ms"), "duration_ms", 0.01, 0.99)
 
 
+def q_duration_trimmed(spark, d):
+    return quality.capped(interactions(spark, d).select("event_id", "duration_ms"), "duration_ms", 0.01, 0.99, mode="filter")
+
+
 def q_duration_outliers(spark, d):
     return quality.iqr_outliers(interactions(spark, d).select("event_id", "user_id", "duration_ms"), "duration_ms")
 
@@ -363,6 +367,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "version_usage": q_version_usage,
     "duration_percentiles": q_duration_percentiles,
     "duration_capped": q_duration_capped,
+    "duration_trimmed": q_duration_trimmed,
     "duration_outliers": q_duration_outliers,
     "dq_completeness": q_dq_completeness,
     "dq_validity": q_dq_validity,
@@ -536,6 +541,8 @@ _ORACLE: dict[str, str] = {
     "duration_capped": f"""SELECT event_id, duration_ms,
         least(greatest(CAST(duration_ms AS DOUBLE), (SELECT quantile_cont(duration_ms, 0.01) FROM {I})),
               (SELECT quantile_cont(duration_ms, 0.99) FROM {I})) AS duration_ms_capped FROM {I}""",
+    "duration_trimmed": f"""SELECT event_id, duration_ms FROM {I}
+        WHERE duration_ms BETWEEN (SELECT quantile_cont(duration_ms, 0.01) FROM {I}) AND (SELECT quantile_cont(duration_ms, 0.99) FROM {I})""",
     "duration_outliers": f"""WITH q AS (SELECT quantile_cont(duration_ms, 0.25) AS q1, quantile_cont(duration_ms, 0.75) AS q3 FROM {I})
       SELECT event_id, user_id, duration_ms, CASE WHEN duration_ms < q1 - 1.5 * (q3 - q1) THEN 'low' ELSE 'high' END AS outlier
       FROM {I}, q WHERE duration_ms < q1 - 1.5 * (q3 - q1) OR duration_ms > q3 + 1.5 * (q3 - q1)""",

@@ -173,12 +173,21 @@ def impute_by_group(
     ).drop("_good", "_mean")
 
 
-def capped(df: DataFrame, col: str, lower: float = 0.01, upper: float = 0.99, out_col: str | None = None) -> DataFrame:
-    """Winsorize ``col`` at its exact ``lower``/``upper`` percentiles (two
-    scalars computed by a distributed job, then used as literals)."""
+def capped(
+    df: DataFrame, col: str, lower: float = 0.01, upper: float = 0.99, out_col: str | None = None, mode: str = "cap"
+) -> DataFrame:
+    """Handle long tails of ``col`` with its exact ``lower``/``upper``
+    percentiles (two scalars from a distributed job, then literals).
+
+    ``mode="cap"`` winsorizes into ``out_col`` (default ``<col>_capped``);
+    ``mode="filter"`` keeps only the rows inside the bounds."""
     b = percentile_values(df, col, {"lo": lower, "hi": upper})
-    out_col = out_col or f"{col}_capped"
     lo, hi = F.lit(b["lo"]).cast("double"), F.lit(b["hi"]).cast("double")
+    if mode == "filter":
+        return df.where(F.col(col).between(lo, hi))
+    if mode != "cap":
+        raise ValueError("mode must be 'cap' or 'filter'")
+    out_col = out_col or f"{col}_capped"
     return df.withColumn(out_col, F.least(F.greatest(F.col(col).cast("double"), lo), hi))
 
 
