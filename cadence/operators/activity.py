@@ -8,7 +8,8 @@
 "Active" means: at least one event of an accepted action type in the period.
 All distinct counts are exact and pre-aggregated map-side: a (period, user)
 pair leaves a map task once however many events it has, so a single very
-busy user never funnels its raw events into one reducer.
+busy user never funnels its raw events into one reducer.  Per-user work
+holds at most one entry per calendar period of the range.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from cadence.functions import days_between, period_start
 from cadence.operators._common import in_range
 
 
+_MAX_DAYS = 1 << 30  # "to the end of the array" for slice
+
+
 def _restrict(df, ts, start, end, date_col, action_col, actions):
     # Filter on the partition column when there is one (partition pruning),
     # else on the timestamp itself (Parquet row-group pushdown).
@@ -97,11 +101,17 @@ def users_active_in_n_periods(
     form (Catalyst applies the rank limit before the shuffle).  Same result.
     """
     df = _restrict(df, ts, start, end, date_col, action_col, actions)
-    pairs = df.select(F.col(user).alias("_u"), period_start(ts, grain).alias("_p")).distinct()
+    period = period_start(ts, grain)
     if method == "window":
+        pairs = df.select(F.col(user).alias("_u"), period.alias("_p")).distinct()
         nth = pairs.select("_u", F.row_number().over(Window.partitionBy("_u").orderBy("_p")).alias("_rn"))
         return nth.where(F.col("_rn") == n).agg(F.count("_u").cast("bigint").alias(value_name))
-    per_user = pairs.groupBy("_u").agg(F.count(F.lit(1)).alias("_n"))
+    # One shuffle by user: each user's set of periods (at most one entry per
+    # period of the range, built map-side) is sized directly.  A null period
+    # counts as one more distinct value, as in a grouping.
+    per_user = df.groupBy(F.col(user).alias("_u")).agg(
+        (F.size(F.collect_set(period)) + F.max(F.when(period.isNull(), 1).otherwise(0))).alias("_n")
+    )
     return per_user.where(F.col("_n") >= n).agg(F.count("_u").cast("bigint").alias(value_name))
 
 
@@ -119,20 +129,28 @@ def streak_days(
     """Count of (user, day) that are the user's first active day in range or
     directly follow an active day — the reference's "daily streak" figure.
 
-    Equals (#users) + (#day-to-day continuations).  Days are de-duplicated
-    before the per-user window, so a window partition holds at most one row
-    per calendar day of the range, however many events the user has.
+    Equals (#users) + (#day-to-day continuations).  Each user's active days
+    are collected as a set (at most one entry per calendar day of the range,
+    however many events the user has) in a single shuffle by user.
     One row; no row on empty input (the grouped sum has no group).
     """
     df = _restrict(df, ts, start, end, date_col, action_col, actions)
     day = F.col(date_col) if date_col else F.to_date(ts)
-    days = df.select(F.col(user).alias("_u"), day.alias("_d")).distinct()
-    w = Window.partitionBy("_u").orderBy("_d")
-    diffs = days.select(F.coalesce(days_between(F.col("_d"), F.lag("_d").over(w)), F.lit(1)).alias("days_diff"))
+    # One shuffle by user: the sorted set of the user's active days (at most
+    # one entry per calendar day of the range, de-duplicated map-side), then
+    # consecutive-day pairs counted with array functions — no window sort.
+    per_user = df.groupBy(F.col(user).alias("_u")).agg(
+        F.array_sort(F.collect_set(day)).alias("_ds"), F.max(F.when(day.isNull(), 1).otherwise(0)).alias("_null")
+    )
+    ds = F.col("_ds")
+    gaps = F.zip_with(F.slice(ds, 2, _MAX_DAYS), F.slice(ds, 1, _MAX_DAYS), lambda a, b: F.datediff(a, b))
+    continuations = F.size(F.filter(gaps, lambda g: g == 1))
+    # first day counts 1; a null day sorts first and counts 1, and the day
+    # after it counts 1 too (its difference to null is unknown -> 1)
+    streak = F.col("_null") + F.when(F.size(ds) > 0, 1).otherwise(0) + continuations
     return (
-        diffs.where(F.col("days_diff") == 1)
-        .groupBy("days_diff")
-        .agg(F.sum("days_diff").cast("bigint").alias(value_name))
+        per_user.groupBy(F.lit(1).alias("_g"))  # grouped: no row on empty input
+        .agg(F.sum(streak).cast("bigint").alias(value_name))
         .select(value_name)
     )
 

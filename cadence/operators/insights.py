@@ -25,12 +25,17 @@ def _month_index(c):
 def retention(df: DataFrame, user: str = "user_id", ts: str = "timestamp") -> DataFrame:
     """``(cohort_month, months_since, active_users, cohort_users, retention)``.
 
-    A user's cohort is the month of their first event.  (user, month) pairs
-    are de-duplicated first, so the per-user window that finds the cohort
-    holds at most one row per month, whatever the user's event volume.
+    A user's cohort is the month of their first event.  One shuffle by user
+    collects each user's set of active months (at most one entry per month,
+    built map-side, whatever the user's event volume); the cohort is its
+    minimum, and each month becomes one (cohort, offset) row.
     """
-    um = df.where(F.col(user).isNotNull()).select(F.col(user).alias("_u"), period_start(ts, "month").alias("_m")).distinct()
-    um = um.where(F.col("_m").isNotNull()).withColumn("cohort_month", F.min("_m").over(Window.partitionBy("_u")))
+    per_user = (
+        df.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+        .groupBy(F.col(user).alias("_u"))
+        .agg(F.collect_set(period_start(ts, "month")).alias("_ms"))
+    )
+    um = per_user.select(F.array_min("_ms").alias("cohort_month"), F.explode("_ms").alias("_m"))
     counts = (
         um.select("cohort_month", (_month_index(F.col("_m")) - _month_index(F.col("cohort_month"))).alias("months_since"))
         .groupBy("cohort_month", "months_since")

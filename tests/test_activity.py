@@ -88,3 +88,27 @@ def test_user_timeline(spark):
 def test_count_on_empty_input_gives_one_zero_row(spark):
     empty = frame(spark, []).where("false")
     assert [tuple(r) for r in activity.users_active_in_n_periods(empty, n=1).collect()] == [(0,)]
+
+
+def test_streak_days_null_days_without_range(spark):
+    """No date range: null days behave as in the lag/fillna form (a null day
+    counts 1, and the first real day after it counts 1 as well)."""
+    data = [
+        ("a", None), ("a", None), ("a", D(2024, 1, 1)), ("a", D(2024, 1, 2)),
+        ("b", None), ("c", D(2024, 5, 5)), (None, D(2024, 1, 1)), (None, D(2024, 1, 3)),
+    ]
+    df = spark.createDataFrame(data, "user_id string, date date")
+
+    def brute():
+        total = 0
+        for u in {u for u, _ in data}:
+            days = sorted({d for uu, d in data if uu == u}, key=lambda d: (d is not None, d or D(1, 1, 1)))
+            prev = "none"
+            for d in days:
+                diff = None if (prev == "none" or prev is None or d is None) else (d - prev).days
+                total += 1 if diff in (None, 1) else 0
+                prev = d
+        return total
+
+    got = activity.streak_days(df, start=None, end=None, date_col="date").collect()[0][0]
+    assert got == brute() == 6  # a: 3, b: 1, c: 1, null user: 1
