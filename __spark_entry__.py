@@ -89,6 +89,10 @@ def q_streak_days(spark, d):
     return activity.streak_days(interactions(spark, d), start=YEAR_START, end=YEAR_END, date_col="date")
 
 
+def q_daily_user_rollup(spark, d):
+    return activity.daily_user_rollup(interactions(spark, d))
+
+
 def q_user_timeline(spark, d):
     return activity.user_timeline(interactions(spark, d), TIMELINE_USERS, order_by=("timestamp", "event_id"))
 
@@ -340,6 +344,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "users_active_in_n_months": q_users_active_in_n_months,
     "users_active_in_n_months_window": q_users_active_in_n_months_window,
     "streak_days": q_streak_days,
+    "daily_user_rollup": q_daily_user_rollup,
     "user_timeline": q_user_timeline,
     "sessionize": q_sessionize,
     "sessionize_6h": q_sessionize_6h,
@@ -492,6 +497,8 @@ _ORACLE: dict[str, str] = {
         FROM (SELECT DISTINCT user_id, "date" AS d FROM {I}
               WHERE "date" >= DATE '{YEAR_START}' AND "date" < DATE '{YEAR_END}'))
         WHERE days_diff = 1 GROUP BY days_diff""",
+    "daily_user_rollup": f"""SELECT user_id, "date", count(*) AS events, min("timestamp") AS first_ts,
+        max("timestamp") AS last_ts, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM {I} GROUP BY user_id, "date" """,
     "user_timeline": f"""SELECT * FROM {I} WHERE user_id IN {TIMELINE_USERS!r} ORDER BY user_id, "timestamp", event_id""",
     "sessionize": f"SELECT * FROM {_sessionized_sql(1800)}",
     "sessionize_6h": f"SELECT * FROM {_sessionized_sql(6 * 3600)}",

@@ -155,6 +155,30 @@ def streak_days(
     )
 
 
+def daily_user_rollup(
+    df: DataFrame,
+    user: str = "user_id",
+    ts: str = "timestamp",
+    date_col: str | None = "date",
+    duration: str | None = "duration_ms",
+) -> DataFrame:
+    """One row per (user, day): ``(user_id, date, events, first_ts, last_ts
+    [, duration_ms])`` — the preprocessing step for the activity jobs.
+
+    Written once (partitioned by ``date``), it replaces the raw events for
+    ``dau_series``, ``mau_series``, ``streak_days``,
+    ``users_active_in_n_periods`` and ``insights.retention`` (pass
+    ``ts="first_ts"``): each reads one row per active user-day instead of
+    every event, with the same results.  Partial aggregation builds it
+    map-side, so a busy user costs one row per day per map task.
+    """
+    day = F.col(date_col) if date_col else F.to_date(ts)
+    aggs = [F.count(F.lit(1)).alias("events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")]
+    if duration:
+        aggs.append(F.sum(duration).alias(duration))
+    return df.groupBy(F.col(user).alias(user), day.alias("date")).agg(*aggs)
+
+
 def user_timeline(
     df: DataFrame, user_ids: Sequence, user: str = "user_id", order_by: Sequence[str] = ("timestamp",)
 ) -> DataFrame:

@@ -112,3 +112,21 @@ def test_streak_days_null_days_without_range(spark):
 
     got = activity.streak_days(df, start=None, end=None, date_col="date").collect()[0][0]
     assert got == brute() == 6  # a: 3, b: 1, c: 1, null user: 1
+
+
+def test_jobs_on_daily_rollup_equal_jobs_on_events(spark):
+    from conftest import SF001, rows
+    from cadence.operators import insights
+    from cadence.sources.tables import interactions
+
+    ev = interactions(spark, SF001)
+    ru = activity.daily_user_rollup(ev)
+    yr = dict(start="2024-01-01", end="2025-01-01", date_col="date")
+    assert rows(activity.dau_series(ev, date_col="date")) == rows(activity.dau_series(ru, date_col="date", ts="first_ts"))
+    assert rows(activity.mau_series(ev)) == rows(activity.mau_series(ru, ts="first_ts"))
+    assert rows(activity.streak_days(ev, **yr)) == rows(activity.streak_days(ru, ts="first_ts", **yr))
+    assert rows(activity.users_active_in_n_periods(ev, n=1, **yr)) == rows(
+        activity.users_active_in_n_periods(ru, n=1, ts="first_ts", **yr)
+    )
+    assert rows(insights.retention(ev)) == rows(insights.retention(ru, ts="first_ts"))
+    assert ru.agg({"events": "sum"}).first()[0] == ev.count()
