@@ -27,6 +27,7 @@ def _jobs():
         "mau": lambda a, ev, md: activity.mau_series(ev, **year(a)),
         "users_active_all_months": lambda a, ev, md: activity.users_active_in_n_periods(ev, n=a.n, **year(a)),
         "streak_days": lambda a, ev, md: activity.streak_days(ev, **year(a)),
+        "daily_user_rollup": lambda a, ev, md: activity.daily_user_rollup(ev),
         "sessionize": lambda a, ev, md: sessions.sessionize(ev, gap_seconds=a.gap),
         "session_metrics": lambda a, ev, md: sessions.session_metrics(ev, gap_seconds=a.gap),
         "session_averages": lambda a, ev, md: sessions.session_averages(ev, gap_seconds=a.gap),
