@@ -152,8 +152,8 @@ def q_count_salted(spark, d):
 
 def q_prepartitioned_join(spark, d):
     spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
-    laid = joins.prepare_layout(interactions(spark, d), "user_id", buckets=8, partition_by=("date",))
-    return joins.layout_join(laid, user_metadata(spark, d), buckets=8)
+    laid = joins.prepare_layout(interactions(spark, d), "user_id", partition_by=("date",))
+    return joins.layout_join(laid, user_metadata(spark, d))
 
 
 def q_bucketed_join(spark, d):

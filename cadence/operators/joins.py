@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from cadence.functions import det_salt
 from cadence.operators.skew import hot_key_stats
-from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy
+from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy, estimated_bytes
 from cadence.session import scratch_path
 from cadence.sources.local import local_table
 
@@ -142,6 +142,17 @@ def salted_count(
     return first.groupBy(key).agg(F.sum("_n").cast("bigint").alias(count_name))
 
 
+BUCKET_BYTES = 1 << 30  # target bytes of fact data per bucket for buckets="auto"
+
+
+def auto_buckets(fact: DataFrame, bucket_bytes: int = BUCKET_BYTES, minimum: int = 8) -> int:
+    """Bucket count for a fact table: about one bucket per ``bucket_bytes`` of
+    its (file-based) size estimate, at least ``minimum`` — so the bucketed
+    join runs with parallelism that grows with the data."""
+    size = estimated_bytes(fact) or 0
+    return max(minimum, -(-size // bucket_bytes))
+
+
 def write_bucketed(
     df: DataFrame,
     key: str,
@@ -164,13 +175,25 @@ def write_bucketed(
 
 
 def prepare_layout(
-    events: DataFrame, key: str = "user_id", buckets: int = 8, partition_by: Sequence[str] = ("date",)
+    events: DataFrame, key: str = "user_id", buckets: int | str = "auto", partition_by: Sequence[str] = ("date",)
 ) -> DataFrame:
     """Preprocessing for downstream joins and date-range jobs: store the
     events partitioned by ``partition_by`` (partition pruning for ranges)
     and bucketed + sorted by ``key`` inside each partition (joins on ``key``
-    need no shuffle).  Returns a reader of the stored table."""
-    return write_bucketed(events, key, buckets, partition_by=partition_by)
+    need no shuffle).  Returns a reader of the stored table; its bucket count
+    is what ``layout_join`` must use for the dimension."""
+    n = auto_buckets(events) if buckets == "auto" else int(buckets)
+    return write_bucketed(events, key, n, partition_by=partition_by)
+
+
+def bucket_count(table: DataFrame) -> int | None:
+    """Bucket count of a table read back from ``write_bucketed`` (None if not bucketed)."""
+    spec = table._jdf.queryExecution().analyzed().collectLeaves().head()
+    try:
+        bs = spec.catalogTable().get().bucketSpec()
+        return int(bs.get().numBuckets()) if bs.isDefined() else None
+    except Exception:  # not a catalog table
+        return None
 
 
 def layout_join(
@@ -178,11 +201,13 @@ def layout_join(
     users: DataFrame,
     cols: Sequence[str] = ("subscription_type",),
     key: str = "user_id",
-    buckets: int = 8,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``enrich`` of a table stored by ``prepare_layout`` with a dimension
-    bucketed the same way: matching buckets are joined in place."""
-    dim = write_bucketed(users.select(key, *cols), key, buckets)
+    bucketed the same way (same count, read from the stored table unless
+    given): matching buckets are joined in place."""
+    n = buckets or bucket_count(laid_out) or 8
+    dim = write_bucketed(users.select(key, *cols), key, n)
     j = laid_out.join(dim.hint("merge"), laid_out[key] == dim[key], "left_outer")
     return j.select(*[laid_out[c] for c in laid_out.columns], *[dim[c] for c in cols])
 
@@ -192,13 +217,15 @@ def bucketed_join(
     users: DataFrame,
     cols: Sequence[str] = ("subscription_type",),
     key: str = "user_id",
-    buckets: int = 8,
+    buckets: int | str = "auto",
 ) -> DataFrame:
-    """``enrich`` over bucketed copies of both sides: the sort-merge join reads
-    matching buckets directly, with no exchange on either side."""
+    """``enrich`` over bucketed copies of both sides (same bucket count,
+    ``"auto"`` = one per GiB of events): the sort-merge join reads matching
+    buckets directly, with no exchange on either side."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
-    ev = write_bucketed(events, key, buckets)
-    dim = write_bucketed(users.select(key, *cols), key, buckets)
+    n = auto_buckets(events) if buckets == "auto" else int(buckets)
+    ev = write_bucketed(events, key, n)
+    dim = write_bucketed(users.select(key, *cols), key, n)
     j = ev.join(dim.hint("merge"), ev[key] == dim[key], "left_outer")
     return j.select(*[ev[c] for c in events.columns], *[dim[c] for c in cols])

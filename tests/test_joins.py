@@ -119,3 +119,14 @@ def test_enrich_attribute_also_in_events(spark):
         out = joins.enrich(f, d, cols=("country",), strategy=strategy, hot=["a"] if strategy == "salted" else None)
         assert out.columns == ["event_id", "user_id", "country", "country"]
         assert sorted((r[0], r[3]) for r in out.collect()) == [(1, "US"), (2, None)]
+
+
+def test_auto_bucket_count_grows_with_size_and_is_reused(spark):
+    ev, md = interactions(spark, SF001), user_metadata(spark, SF001)
+    assert joins.auto_buckets(ev) == 8
+    assert joins.auto_buckets(ev, bucket_bytes=10_000) > 8
+    laid = joins.prepare_layout(ev, "user_id", buckets=6)
+    assert joins.bucket_count(laid) == 6
+    j = joins.layout_join(laid, md)  # dimension bucketed with the stored count
+    assert count_exchanges(j) == 0
+    assert rows(j.select(*ev.columns, "subscription_type")) == rows(joins.enrich(ev, md))
