@@ -10,14 +10,16 @@ Scale design
 ------------
 The natural plan is one window per user: exchange by user, sort, lag, running
 sum.  A user holding a large share of all events would put all of them in one
-task.  Such *hot* users (found with ``skew.hot_keys`` or passed in) are cut
-into time chunks of ``chunk_seconds``; each (user, chunk) is sessionized
-locally in its own window, then a small per-chunk summary (first/last second,
-local starts, rows) is scanned per user to carry the session counter and the
-gap across chunk borders — a distributed prefix sum.  The summary has at most
-one row per (hot user, chunk) and joins back on the same keys the events are
-already partitioned by, so the event side is shuffled once.  Other users keep
-a single chunk and need no fix-up.  Both paths give identical results.
+task.  Such *hot* users (found on a sample by ``skew.hot_key_stats``, or
+passed in) are cut into time chunks, each user with its own width so a chunk
+holds about ``chunk_rows`` events; each (user, chunk) is sessionized locally
+in its own window, then a small per-chunk summary (first/last second, local
+starts, rows) is scanned per user to carry the session counter and the gap
+across chunk borders — a distributed prefix sum.  The summary has one row
+per (hot user, chunk) and joins back on the keys the events are already
+partitioned by, so the event side is shuffled once.  Other users keep a
+single chunk and need no fix-up.  Both paths give identical results (unit and
+property tests check them against each other and against the definition).
 """
 
 from __future__ import annotations
