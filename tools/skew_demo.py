@@ -7,9 +7,9 @@ with an event log (200 shuffle partitions, no coalescing: partitions at
 their target size, as on a large cluster), and prints wall time plus the most
 skewed shuffle stage (max / median task time).
 
-Usage: python tools/skew_demo.py [N=3000000] [SHARE=0.33]
+Usage: python tools/skew_demo.py [N=3000000] [SHARE=0.33] [CHUNKS=200]
 
-Thresholds are scaled to N: hot = more than 100,000 events, about N/60
+Thresholds are scaled to N: hot = more than 100,000 events, about N/CHUNKS
 events per (hot user, chunk).
 """
 
@@ -47,6 +47,7 @@ RUN = textwrap.dedent(
 def main():
     n = int(sys.argv[1]) if len(sys.argv) > 1 else 3_000_000
     share = float(sys.argv[2]) if len(sys.argv) > 2 else 0.33
+    chunks = int(sys.argv[3]) if len(sys.argv) > 3 else 200
     from cadence.plans.stages import stage_report
     from cadence.session import local_test_session
     from cadence.sources.generate import generate_interactions
@@ -60,7 +61,7 @@ def main():
         log = os.path.join(base, f"log-{label}")
         os.makedirs(log)
         out = subprocess.run(
-            [sys.executable, "-c", RUN.format(root=ROOT, log=log, data=data, hot=hot, chunk=max(1, n // 60))],
+            [sys.executable, "-c", RUN.format(root=ROOT, log=log, data=data, hot=hot, chunk=max(1, n // chunks))],
             check=True, capture_output=True, text=True, timeout=3600,
         )
         secs = json.loads(out.stdout.strip().splitlines()[-1])["seconds"]
