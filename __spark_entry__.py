@@ -165,6 +165,10 @@ def q_partition_profile(spark, d):
     return skew.partition_profile(interactions(spark, d))
 
 
+def q_key_skew_summary(spark, d):
+    return skew.key_skew_summary(interactions(spark, d), "user_id")
+
+
 def q_key_frequency(spark, d):
     return skew.key_frequency(load(spark, d, "orders"), "o_custkey", top=TOP_K)
 
@@ -365,6 +369,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prepartitioned_join": q_prepartitioned_join,
     "partition_profile": q_partition_profile,
     "key_frequency": q_key_frequency,
+    "key_skew_summary": q_key_skew_summary,
     "retention": q_retention,
     "popular_actions": q_popular_actions,
     "subscription_insights": q_subscription_insights,
@@ -524,6 +529,10 @@ _ORACLE: dict[str, str] = {
     "bucketed_join": _ENRICH_SQL,
     "prepartitioned_join": _ENRICH_SQL,
     "key_frequency": f"SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey ORDER BY count DESC, o_custkey LIMIT {TOP_K}",
+    "key_skew_summary": f"""WITH k AS (SELECT user_id, count(*) AS n FROM {I} GROUP BY user_id)
+      SELECT count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows, max(n) AS max_key_rows,
+        round(max(n) / sum(n), 6) AS max_key_share, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS median_key_rows,
+        round(max(n) / quantile_cont(n, 0.5), 4) AS max_to_median FROM k""",
     "retention": f"""WITH um AS (SELECT DISTINCT user_id, CAST(date_trunc('month', "timestamp") AS DATE) AS m FROM {_ORDERS_ACT}
           WHERE user_id IS NOT NULL AND "timestamp" IS NOT NULL),
         c AS (SELECT user_id, m, min(m) OVER (PARTITION BY user_id) AS cohort_month FROM um),

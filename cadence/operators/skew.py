@@ -2,6 +2,7 @@
 
 * ``partition_profile``  rows per physical partition (file/scan balance)
 * ``key_frequency``      rows per join/group key, most frequent first (real key skew)
+* ``key_skew_summary``   one row: keys, largest key's share, max / median rows per key
 * ``hot_keys``           the keys too big for one task, collected as a bounded list
 """
 
@@ -29,6 +30,26 @@ def key_frequency(df: DataFrame, key: str, top: int | None = 20, count_name: str
     return out.limit(top) if top else out
 
 
+def key_skew_summary(df: DataFrame, key: str) -> DataFrame:
+    """One row describing how skewed ``key`` is: ``keys``, ``rows``,
+    ``max_key_rows``, ``max_key_share``, ``median_key_rows`` (exact) and
+    ``max_to_median`` — the key-level answer to "is there skew?", which rows
+    per scan partition cannot give.  Null keys are one key, as in a join's
+    shuffle."""
+    from cadence.operators.quantiles import percentile_values
+
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    med = percentile_values(per_key, "_n", {"m": 0.5})["m"]
+    return per_key.agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.sum("_n").cast("bigint").alias("rows"),
+        F.max("_n").alias("max_key_rows"),
+        F.round(F.max("_n") / F.sum("_n"), 6).alias("max_key_share"),
+        F.lit(med).cast("double").alias("median_key_rows"),
+        F.round(F.max("_n") / F.lit(med).cast("double"), 4).alias("max_to_median"),
+    )
+
+
 def hot_key_stats(
     df: DataFrame,
     key: str,
