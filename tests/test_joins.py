@@ -130,3 +130,15 @@ def test_auto_bucket_count_grows_with_size_and_is_reused(spark):
     j = joins.layout_join(laid, md)  # dimension bucketed with the stored count
     assert count_exchanges(j) == 0
     assert rows(j.select(*ev.columns, "subscription_type")) == rows(joins.enrich(ev, md))
+
+
+def test_key_skew_summary_sees_a_hot_key(spark):
+    from cadence.operators.skew import key_skew_summary
+
+    ev = interactions(spark, SF001)
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 10 < 3, F.lit(7)).otherwise(F.col("user_id")))
+    flat = key_skew_summary(ev, "user_id").first()
+    skewed = key_skew_summary(hot, "user_id").first()
+    assert flat["rows"] == skewed["rows"] == ev.count()
+    assert flat["max_to_median"] < 2 < 20 < skewed["max_to_median"]
+    assert 0.3 <= skewed["max_key_share"] <= 0.32
