@@ -9,6 +9,8 @@ tables.  Every query reads whole tables.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -631,9 +633,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_session_metrics(spark, SMOKE_DIR)
 
 
+def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the optional ``cadence.llm`` subpackage and its
+    pipeline; empty where these are not installed."""
+    found, sql = {}, {}
+    if importlib.util.find_spec("cadence.llm") is not None:
+        module = importlib.import_module("cadence.llm.queries")
+        found |= module.QUERIES
+        sql |= module.ORACLES
+        if importlib.util.find_spec("corpus_pipeline") is not None:
+            pipeline = importlib.import_module("corpus_pipeline")
+            found["pipeline"] = pipeline.run
+            if pipeline.ORACLE_SQL is not None:
+                sql["pipeline"] = pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_llm()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return {**_ORACLE, **_llm()[1]}

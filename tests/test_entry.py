@@ -21,7 +21,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle_or_a_reason():
-    assert set(E.queries()) - set(E.oracle_sql()) == set(NO_ORACLE)
+    assert set(E._QUERIES) - set(E._ORACLE) == set(NO_ORACLE)
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
@@ -42,7 +42,7 @@ def test_all_queries_match_oracle_at_sf0001(spark):
 def test_count_equals_collected_rows_for_every_query(spark):
     """The driver may count or collect; pruning must not change or break either."""
     bad = []
-    for name, q in E.queries().items():
+    for name, q in E._QUERIES.items():
         df = q(spark, SF0001)
         c, r = df.count(), len(df.collect())
         if c != r:
