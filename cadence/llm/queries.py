@@ -11,14 +11,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import exact_dedup, mixing, sharding
+from cadence.llm import exact_dedup, minhash, mixing, packing, sharding
 from cadence.llm._common import read_table
 
+TOKENIZER = "word_bpe_49k.json"
+SEQUENCE_LENGTH, END_ID = 2048, 1
 N_SHARDS = 40
 SOURCE_WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(
+        read_table(spark, sf_dir, "documents"),
+        public_tokenizers.path(TOKENIZER),
+        capacity=SEQUENCE_LENGTH,
+        end_id=END_ID,
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mixing.mix(docs, SOURCE_WEIGHTS, max_epochs=MAX_EPOCHS).select(
@@ -38,6 +55,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_pack_sequences": op6_pack_sequences,
     "op7_mix_sources": op7_mix_sources,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
