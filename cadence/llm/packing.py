@@ -163,7 +163,7 @@ def first_fit_decreasing(lengths: Sequence[int], capacity: int) -> tuple[list[in
 
 
 def _pack_group(capacity: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = sorted(
             range(table.num_rows),
             key=lambda i, a=table["id"].to_pylist(), b=table["start"].to_pylist(): (a[i] is None, a[i], b[i]),
