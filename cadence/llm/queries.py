@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import exact_dedup, minhash, mixing, packing, sharding
+from cadence.llm import exact_dedup, minhash, mixing, packing, sharding, substring_dedup
 from cadence.llm._common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_mix_sources": op7_mix_sources,
     "op8_rendezvous_shards": op8_rendezvous_shards,
