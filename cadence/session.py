@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -86,6 +87,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers.
+
+    The driver zips its own copy once per session and hands it to Spark, which
+    serves it to every executor (what ``--py-files`` does at submit time).
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cadence_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="cadence-code-"), "cadence_code")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))
+    sc._cadence_shipped = True
+
+
 def local_test_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """Session used by tests and the bench: local mode, small shuffle count."""
     os.environ.setdefault("PYSPARK_PYTHON", "python")
