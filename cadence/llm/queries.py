@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import exact_dedup, minhash, mixing, packing, sharding, substring_dedup
+from cadence.llm import embed_dedup, exact_dedup, minhash, mixing, packing, pii, sharding, substring_dedup
 from cadence.llm._common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -58,13 +62,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_personal_data": op4_personal_data,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_mix_sources": op7_mix_sources,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_nn_descent_dedup": op10_nn_descent_dedup,
 }
 
 
