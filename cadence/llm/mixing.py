@@ -82,15 +82,14 @@ def mix(
     whole_documents: bool = False,
     seed: str = "mix",
     rows_per_range: int = ROWS_PER_RANGE,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Id, source, ``size``, ``source_size``, ``target`` and ``taken`` per row.
+    """Id, source, ``size``, ``source_size``, ``target``, ``taken`` and
+    ``mark`` (hash of the text) per row.
 
     The document in which a budget ends gives only the words still missing;
     with ``whole_documents`` it is taken whole if at least half of it fits.
     ``weights`` go to the sources in code point order, repeating; ``quality``
-    is a weight expression, clipped to [1/16, 1]; ``carry`` names columns to
-    hand through.
+    is a weight expression, clipped to [1/16, 1].
     """
     spark = docs.sparkSession
     q = F.least(F.lit(1.0), F.greatest(F.lit(MIN_QUALITY), quality if quality is not None else text_quality(text_col)))
@@ -100,7 +99,7 @@ def mix(
             F.col(source_col).cast("string").alias("source"),
             word_count(text_col).alias("size"),
             (-F.log(unit_interval(hash52(seed, F.col(id_col)))) / q).alias("draw"),
-            *[F.col(f"`{c}`").alias(f"carry_{c}") for c in carry],
+            F.xxhash64(text_or_empty(text_col)).alias("mark"),
         ),
         "table",
     )
@@ -142,5 +141,19 @@ def mix(
         "source_size",
         "target",
         (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"),
-        *[F.col(f"carry_{c}").alias(c) for c in carry],
+        "mark",
     )
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int], id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The mix as rows of ``docs``: each document as often as it is taken
+    (whole documents), all columns as they came.  Only ids and hashes go
+    through the sampling; texts move once, to the join with the decisions.
+    Rows that repeat both id and text are taken equally often."""
+    taken = mix(docs, weights, id_col, text_col, whole_documents=True, **params).filter("taken > 0")
+    copies = taken.groupBy(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies")
+    )
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_mark"))
+    each = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return docs.join(copies, same).withColumn("_copy", each).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import embed_dedup, exact_dedup, minhash, mixing, packing, pii, sharding, substring_dedup
+from cadence.llm import (
+    embed_dedup,
+    exact_dedup,
+    html_extract,
+    minhash,
+    mixing,
+    packing,
+    pii,
+    quality,
+    sharding,
+    substring_dedup,
+)
 from cadence.llm._common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +32,15 @@ SOURCE_WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.quality_scores(docs, labels).drop("mark")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -67,6 +87,8 @@ def op10_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_suffix_dedup": op5_suffix_dedup,
