@@ -101,15 +101,20 @@ def q_user_timeline(spark, d):
 
 # ---------------------------------------------------------------- sessions
 def q_sessionize(spark, d):
-    return sessions.sessionize(interactions(spark, d), tiebreak=("event_id",), hot_min_rows=1_000_000)
+    return sessions.sessionize(interactions(spark, d), tiebreak=("event_id",))
 
 
 def q_sessionize_6h(spark, d):
-    return sessions.sessionize(interactions(spark, d), gap_seconds=6 * 3600, tiebreak=("event_id",), hot_min_rows=1_000_000)
+    return sessions.sessionize(interactions(spark, d), gap_seconds=6 * 3600, tiebreak=("event_id",))
+
+
+def q_sessionize_split(spark, d):
+    """The same with ten-minute chunks: most users cross chunk borders."""
+    return sessions.sessionize(interactions(spark, d), gap_seconds=6 * 3600, tiebreak=("event_id",), chunk_seconds=600)
 
 
 def q_session_metrics(spark, d):
-    return sessions.session_metrics(interactions(spark, d), tiebreak=("event_id",), hot_min_rows=1_000_000)
+    return sessions.session_metrics(interactions(spark, d), tiebreak=("event_id",))
 
 
 def q_longest_sessions(spark, d):
@@ -324,7 +329,13 @@ def q_sum_numeric(spark, d):
 
 
 def q_running_count(spark, d):
-    return primitives.running_count(interactions(spark, d), tiebreak=("event_id",), hot_min_rows=1_000_000).select(
+    return primitives.running_count(interactions(spark, d), tiebreak=("event_id",)).select(
+        "event_id", "event_number", "seconds_since_previous"
+    )
+
+
+def q_running_count_split(spark, d):
+    return primitives.running_count(interactions(spark, d), tiebreak=("event_id",), chunk_seconds=600).select(
         "event_id", "event_number", "seconds_since_previous"
     )
 
@@ -354,6 +365,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "user_timeline": q_user_timeline,
     "sessionize": q_sessionize,
     "sessionize_6h": q_sessionize_6h,
+    "sessionize_split": q_sessionize_split,
     "session_metrics": q_session_metrics,
     "longest_sessions": q_longest_sessions,
     "avg_session_duration": q_avg_session_duration,
@@ -395,6 +407,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "convert_round_trip": q_convert_round_trip,
     "sum_numeric": q_sum_numeric,
     "running_count": q_running_count,
+    "running_count_split": q_running_count_split,
     "duration_band": q_duration_band,
     "top_users": q_top_users,
     "time_features": q_time_features,
@@ -509,6 +522,7 @@ _ORACLE: dict[str, str] = {
     "user_timeline": f"""SELECT * FROM {I} WHERE user_id IN {TIMELINE_USERS!r} ORDER BY user_id, "timestamp", event_id""",
     "sessionize": f"SELECT * FROM {_sessionized_sql(1800)}",
     "sessionize_6h": f"SELECT * FROM {_sessionized_sql(6 * 3600)}",
+    "sessionize_split": f"SELECT * FROM {_sessionized_sql(6 * 3600)}",
     "session_metrics": _session_metrics_sql(1800) + " ORDER BY session_duration_minutes DESC, session_id",
     "longest_sessions": _session_metrics_sql(6 * 3600) + f" ORDER BY session_duration_minutes DESC, session_id LIMIT {TOP_K}",
     "avg_session_duration": f"""SELECT count(*) AS sessions, round(avg(dur) / 60, 4) AS avg_session_duration_minutes
@@ -608,12 +622,12 @@ _ORACLE: dict[str, str] = {
         round(sum(l_extendedprice), 4) AS sum_l_extendedprice, round(sum(l_discount), 4) AS sum_l_discount,
         round(sum(l_tax), 4) AS sum_l_tax
       FROM lineitem GROUP BY l_returnflag""",
-    "running_count": f"""SELECT event_id,
+    **dict.fromkeys(("running_count", "running_count_split"), f"""SELECT event_id,
         row_number() OVER w AS event_number,
         CASE WHEN row_number() OVER w > 1 THEN
           CASE WHEN lag("timestamp") OVER w IS NOT NULL THEN {_sec('"timestamp"')} - {_sec('lag("timestamp") OVER w')} ELSE 0 END
         END AS seconds_since_previous
-      FROM {I} WINDOW w AS ({_SESSION_WINDOW})""",
+      FROM {I} WINDOW w AS ({_SESSION_WINDOW})"""),
     "duration_band": f"""SELECT coalesce(CASE WHEN duration_ms < 10000 THEN 'short' WHEN duration_ms < 60000 THEN 'medium'
         WHEN duration_ms IS NOT NULL THEN 'long' END, 'unknown') AS duration_band, count(*) AS events FROM {I} GROUP BY 1""",
     "top_users": f"""SELECT user_id, count(*) AS events FROM {I} GROUP BY user_id ORDER BY events DESC, user_id LIMIT {TOP_K}""",

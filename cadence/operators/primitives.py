@@ -28,34 +28,18 @@ def sum_numeric(df: DataFrame, key: str) -> DataFrame:
 
 
 def running_count(
-    df: DataFrame,
-    user: str = "user_id",
-    ts: str = "timestamp",
-    tiebreak: Sequence[str] = (),
-    hot_users: Sequence | None = None,
-    hot_min_rows: int | None = 1_000_000,
-    chunk_seconds: int | str = "auto",
+    df: DataFrame, user: str = "user_id", ts: str = "timestamp", tiebreak: Sequence[str] = (), **kw
 ) -> DataFrame:
     """``(…, event_number, seconds_since_previous)`` per user in time order.
 
     Runs on the session machinery with an infinite gap (one session per
-    user), so a user holding a large share of the rows is split into time
-    chunks instead of one window partition.  ``seconds_since_previous`` is
-    null for a user's first event and 0 after an event without timestamp.
+    user), so a user holding a large share of the rows is spread over many
+    tasks.  ``seconds_since_previous`` is null for a user's first event and 0
+    after an event without timestamp.
     """
     from cadence.operators.sessions import session_core
 
-    core = session_core(
-        df,
-        user=user,
-        ts=ts,
-        gap_seconds=2**62,
-        tiebreak=tiebreak,
-        hot_users=hot_users,
-        hot_min_rows=hot_min_rows,
-        chunk_seconds=chunk_seconds,
-        with_step=True,
-    )
+    core = session_core(df, user=user, ts=ts, gap_seconds=2**62, tiebreak=tiebreak, with_step=True, **kw)
     return core.select(
         *df.columns,
         F.col("session_step").alias("event_number"),

@@ -4,61 +4,111 @@ A user's event starts a new session when it comes more than ``gap_seconds``
 (whole epoch seconds, strict ``>``) after the user's previous event.  The
 session number is the running count of such starts, from 0; events with
 equal timestamps always share a session; a null timestamp sorts first and
-joins session 0; a null user gives a null session id.
+joins session 0; a null user is a user like any other here, and gives a null
+session id.
 
 Scale design
 ------------
-The natural plan is one window per user: exchange by user, sort, lag, running
-sum.  A user holding a large share of all events would put all of them in one
-task.  Such *hot* users (found on a sample by ``skew.hot_key_stats``, or
-passed in) are cut into time chunks, each user with its own width so a chunk
-holds about ``chunk_rows`` events; each (user, chunk) is sessionized locally
-in its own window, then a small per-chunk summary (first/last second, local
-starts, rows) is scanned per user to carry the session counter and the gap
-across chunk borders — a distributed prefix sum.  The summary has one row
-per (hot user, chunk) and joins back on the keys the events are already
-partitioned by, so the event side is shuffled once.  Other users keep a
-single chunk and need no fix-up.  Both paths give identical results (unit and
-property tests check them against each other and against the definition).
+The natural plan, one window per user over the raw events, puts a busy user
+(or all anonymous events) in one task.  Sessions depend on the *seconds* in
+which a user was active only, so the events are first counted per (user,
+second), combined map-side: a burst is one row.  These rows are cut into
+chunks of ``chunk_seconds`` per user, for every user alike, so a window
+partition holds at most ``chunk_seconds`` rows however many events there are.
+A summary per (user, chunk) — first and last second, local starts, events —
+carries the session counter and the gap across chunk borders (a distributed
+prefix sum; per user one row per chunk with events).  Nothing is measured
+beforehand, collected, or treated differently above some size.
+
+Session metrics and averages are sums over the (user, second) rows.  Row-level
+results join the rows back on (user, second), a key that spreads a busy user
+over all tasks; the first event of a second is the one with the least
+timestamp and tie-break, found by a grouped minimum, not by sorting.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions import epoch_seconds
-from cadence.operators.skew import hot_key_stats as find_hot_stats
 from cadence.plans.lineage import cut_lineage
-from cadence.sources.local import local_table
 
+CHUNK_SECONDS = 86_400
 _NULL_CHUNK = -(2**62)  # chunk of null timestamps: sorts before every real chunk
+_PLAIN = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
 
-def _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows):
-    """``[(hot user, chunk width in seconds)]``."""
-    if hot_users is None and hot_min_rows is None:
-        return []
-    if hot_users is not None and chunk_seconds != "auto":
-        return [(u, int(chunk_seconds)) for u in hot_users]
-    if hot_users is not None:
-        stats = find_hot_stats(df, user, 0, ts=ts, only=list(hot_users))
-        known = {r[0] for r in stats}
-        stats += [(u, 0, None, None) for u in hot_users if u not in known]
-    else:
-        stats = find_hot_stats(df, user, hot_min_rows, ts=ts)
-    if chunk_seconds != "auto":
-        return [(r[0], int(chunk_seconds)) for r in stats]
-    # per user: the widest chunk that keeps about ``chunk_rows`` of its events
-    # per chunk, its events spread over its active span
-    out = []
-    for u, n, t0, t1 in stats:
-        width = max(1, ((t1 - t0 + 1) * chunk_rows) // n) if n and t0 is not None else 3600
-        out.append((u, int(width)))
-    return out
+def session_seconds(
+    seconds: DataFrame, user: str, gap_seconds: int, chunk_seconds: int = CHUNK_SECONDS, carry: Sequence[str] = ()
+) -> DataFrame:
+    """For rows (user, ``_sec``, ``_n`` events): ``_diff`` (seconds since the
+    user's previous active second, else 0), ``_flag`` (starts a session),
+    ``_seq`` (session number) and ``_base`` (events of the session before);
+    ``carry`` columns are handed through."""
+    chunk = F.coalesce(F.floor(F.col("_sec") / chunk_seconds), F.lit(_NULL_CHUNK)).cast("bigint")
+    w = Window.partitionBy(user, "_c").orderBy("_sec")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (
+        seconds.withColumn("_c", chunk)
+        .withColumn("_d", (F.col("_sec") - F.lag("_sec").over(w)).cast("bigint"))
+        .withColumn("_f", F.when(F.col("_d") > gap_seconds, 1).otherwise(0))
+        .withColumn("_starts", F.sum("_f").over(so_far))
+        .withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
+        .withColumn("_start", F.max(F.when(F.col("_f") == 1, F.col("_before"))).over(so_far))
+    )
+    wc = Window.partitionBy(user).orderBy("_c")
+    earlier = wc.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (
+        local.groupBy(user, "_c")
+        .agg(
+            F.min("_sec").alias("_first"),
+            F.max("_sec").alias("_last"),
+            F.sum("_f").alias("_k"),
+            F.sum("_n").alias("_events"),
+            F.max("_start").alias("_lstart"),
+        )
+        .withColumn("_cd", F.coalesce(F.col("_first") - F.lag("_last").over(wc), F.lit(0)).cast("bigint"))
+        .withColumn("_cf", F.when(F.col("_cd") > gap_seconds, 1).otherwise(0))
+        .withColumn("_cseq", F.coalesce(F.sum(F.col("_cf") + F.col("_k")).over(earlier), F.lit(0)) + F.col("_cf"))
+        .withColumn("_cbefore", F.coalesce(F.sum("_events").over(earlier), F.lit(0)))
+    )
+    # events before the last session start up to and including this chunk
+    start_here = F.greatest(F.col("_cbefore") + F.col("_lstart"), F.when(F.col("_cf") == 1, F.col("_cbefore")))
+    chunks = chunks.withColumn("_carry", F.coalesce(F.max(start_here).over(earlier), F.lit(0)))
+    chunks = chunks.select(F.col(user).alias("_u"), F.col("_c").alias("_uc"), "_cd", "_cf", "_cseq", "_cbefore", "_carry")
+    joined = local.join(chunks, local[user].eqNullSafe(chunks["_u"]) & (local["_c"] == chunks["_uc"]))
+    first = F.col("_d").isNull()  # of its chunk
+    start = F.coalesce(F.col("_cbefore") + F.col("_start"), F.when(F.col("_cf") == 1, F.col("_cbefore")), F.col("_carry"))
+    return joined.select(
+        user,
+        "_sec",
+        "_n",
+        *carry,
+        F.when(first, F.col("_cd")).otherwise(F.col("_d")).alias("_diff"),
+        F.when(first, F.col("_cf")).otherwise(F.col("_f")).cast("int").alias("_flag"),
+        (F.col("_cseq") + F.col("_starts")).cast("bigint").alias("_seq"),
+        (F.col("_cbefore") + F.col("_before") - start).cast("bigint").alias("_base"),
+    )
+
+
+def _active_seconds(df: DataFrame, user: str, ts: str) -> DataFrame:
+    return df.select(user, epoch_seconds(ts).alias("_sec")).groupBy(user, "_sec").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _first_events(rows: DataFrame, user: str, ts: str, tie: Column, plain: bool) -> DataFrame:
+    """(user, ``_sec``, ``_n``, ``_t0``, ``_tie0``): events of each active
+    second, and the timestamp and tie-break of its first event."""
+    if plain:  # two hash aggregates
+        per_ts = rows.groupBy(user, "_sec", F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_m"), F.min(tie).alias("_tie"))
+        return per_ts.groupBy(user, "_sec").agg(
+            F.sum("_m").cast("bigint").alias("_n"), F.min("_t").alias("_t0"), F.min_by("_tie", "_t").alias("_tie0")
+        )
+    low = rows.groupBy(user, "_sec").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(ts).alias("t"), tie.alias("k"))).alias("_low"))
+    return low.select(user, "_sec", "_n", F.col("_low.t").alias("_t0"), F.col("_low.k").alias("_tie0"))
 
 
 def session_core(
@@ -67,10 +117,7 @@ def session_core(
     ts: str = "timestamp",
     gap_seconds: int = 1800,
     tiebreak: Sequence[str] = (),
-    hot_users: Sequence | None = None,
-    hot_min_rows: int | None = 1_000_000,
-    chunk_seconds: int | str = "auto",
-    chunk_rows: int = 1_000_000,
+    chunk_seconds: int = CHUNK_SECONDS,
     with_step: bool = False,
     cut: str | None = None,
 ) -> DataFrame:
@@ -78,120 +125,40 @@ def session_core(
     ``session_seq`` (BIGINT) and, with ``with_step``, ``session_step``
     (1-based position of the event inside its session).
 
-    Hot users are ``hot_users`` or the users with more than ``hot_min_rows``
-    events, found on a sample (``skew.hot_key_stats``: the list only steers
-    the plan, results are exact for any list); ``hot_min_rows=None`` skips
-    the detection and keeps one window per user.  ``chunk_seconds="auto"``
-    gives each hot user the chunk width that holds about ``chunk_rows`` of its
-    events, from its event count and active span.
+    Events of one second are ordered by timestamp and ``tiebreak`` (without
+    one, by a hash of the row); rows equal in all of these carry equal values.
 
     ``cut`` materializes the input first (``"cache"``, ``"checkpoint"`` or
     ``"table"``, see ``plans.lineage``): worth it when the input is an
-    expensive plan, since hot-user detection and the per-chunk summary read it
-    again.
+    expensive plan, since it is read twice.
     """
     df = cut_lineage(df, cut)
-    widths = _resolve_hot(df, user, ts, hot_users, hot_min_rows, chunk_seconds, chunk_rows)
-    hot = [u for u, _ in widths]
     cols = df.columns
-    sec = epoch_seconds(ts)
-    order = [F.col(ts).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
-
-    if hot:
-        # each hot user's chunk width comes from a broadcast table of at most
-        # the hot-list length (no shuffle; cold users get no width, one chunk)
-        wt = local_table(df.sparkSession, widths, T.StructType([df.schema[user], T.StructField("_w", T.LongType())]))
-        chunk = F.when(
-            F.col("_w").isNotNull(), F.coalesce(F.floor(sec / F.col("_w")), F.lit(_NULL_CHUNK))
-        ).otherwise(F.lit(0))
-        base = df.join(F.broadcast(wt), user, "left").withColumn("_sec", sec).withColumn("_c", chunk.cast("bigint")).drop("_w")
-        part = [user, "_c"]
+    ties = list(tiebreak)
+    plain = not ties or (len(ties) == 1 and isinstance(df.schema[ties[0]].dataType, _PLAIN))
+    rows = df.withColumn("_sec", epoch_seconds(ts))
+    if not ties:
+        rows = rows.withColumn("_k", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    elif len(ties) == 1:
+        rows = rows.withColumn("_k", F.col(ties[0]))
     else:
-        base = df.withColumn("_sec", sec)
-        part = [user]
-
-    w = Window.partitionBy(*part).orderBy(*order)
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = F.lag("_sec").over(w)
-    prev_ts = F.lag(ts).over(w)
-    local = (
-        base.withColumn("_rn", F.row_number().over(w))
-        .withColumn("_tdl", F.when(prev_ts.isNotNull(), F.col("_sec") - prev).otherwise(F.lit(0)).cast("bigint"))
-        .withColumn("_fl", F.when((F.col("_rn") > 1) & (F.col("_tdl") > gap_seconds), 1).otherwise(0))
-        .withColumn("_lseq", F.sum("_fl").over(w_run))
+        rows = rows.withColumn("_k", F.struct(*ties))
+    firsts = _first_events(rows, user, ts, F.col("_k"), plain)
+    numbered = session_seconds(firsts, user, gap_seconds, chunk_seconds, carry=("_t0", "_tie0")).select(
+        F.col(user).alias("_u"), F.col("_sec").alias("_us"), "_diff", "_flag", "_seq", "_base", "_t0", "_tie0"
     )
-    if with_step:
-        local = local.withColumn("_lstart", F.max(F.when(F.col("_fl") == 1, F.col("_rn"))).over(w_run))
-
-    if not hot:
-        out = local.select(
-            *cols,
-            F.col("_tdl").alias("time_diff"),
-            F.col("_fl").alias("is_new_session"),
-            F.col("_lseq").cast("bigint").alias("session_seq"),
-            *([(F.col("_rn") - F.coalesce("_lstart", F.lit(1)) + 1).cast("bigint").alias("session_step")] if with_step else []),
-        )
-        return out
-
-    # Per-chunk summary of hot users.  This branch reads only the user, time
-    # and tie-break columns (Catalyst prunes the rest), and the filter on the
-    # partition key goes through the window down to the Parquet scan, so only
-    # hot users' rows are shuffled a second time.
-    summary = (
-        local.where(F.col(user).isin(hot))
-        .groupBy(user, "_c")
-        .agg(
-            F.min("_sec").alias("_first"),
-            F.max("_sec").alias("_last"),
-            F.sum("_fl").alias("_nfl"),
-            F.count(F.lit(1)).alias("_nrows"),
-            *([F.max(F.when(F.col("_fl") == 1, F.col("_rn"))).alias("_lastart")] if with_step else []),
-        )
-    )
-    wc = Window.partitionBy(user).orderBy("_c")
-    wc_run = wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev_last = F.lag("_last").over(wc)
-    summary = summary.withColumn(
-        "_cdiff", F.when(prev_last.isNotNull(), F.col("_first") - prev_last).otherwise(F.lit(0)).cast("bigint")
-    ).withColumn("_cflag", F.when(F.col("_cdiff") > gap_seconds, 1).otherwise(0))
-    summary = summary.withColumn("_off", F.sum(F.col("_cflag") + F.col("_nfl")).over(wc_run) - F.col("_nfl"))
-    keep = [user, "_c", "_cdiff", "_cflag", "_off"]
-    if with_step:
-        # global 1-based row index of the chunk's first row, and the index of
-        # the last session start strictly before this chunk
-        summary = summary.withColumn("_roff", F.sum("_nrows").over(wc_run) - F.col("_nrows"))
-        chunk_last_start = F.greatest(
-            F.col("_roff") + F.col("_lastart"),
-            F.when(F.col("_cflag") == 1, F.col("_roff") + 1),
-            F.lit(1).cast("bigint"),
-        )
-        summary = summary.withColumn(
-            "_carry",
-            F.coalesce(
-                F.max(chunk_last_start).over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1).cast("bigint")
-            ),
-        )
-        keep += ["_roff", "_carry"]
-    summary = summary.select(*keep)
-
-    j = local.join(summary, [user, "_c"], "left")
-    first_row = F.col("_rn") == 1
-    out_cols = [
-        *cols,
-        F.when(first_row, F.coalesce("_cdiff", F.lit(0))).otherwise(F.col("_tdl")).cast("bigint").alias("time_diff"),
-        F.when(first_row, F.coalesce("_cflag", F.lit(0))).otherwise(F.col("_fl")).cast("int").alias("is_new_session"),
-        (F.coalesce("_off", F.lit(0)) + F.col("_lseq")).cast("bigint").alias("session_seq"),
+    j = rows.join(numbered, rows[user].eqNullSafe(numbered["_u"]) & rows["_sec"].eqNullSafe(numbered["_us"]))
+    first = F.col(ts).eqNullSafe(F.col("_t0")) & F.col("_k").eqNullSafe(F.col("_tie0"))
+    out = [
+        *[rows[c] for c in cols],
+        F.when(first, F.col("_diff")).otherwise(F.lit(0)).cast("bigint").alias("time_diff"),
+        F.when(first, F.col("_flag")).otherwise(F.lit(0)).cast("int").alias("is_new_session"),
+        F.col("_seq").alias("session_seq"),
     ]
     if with_step:
-        roff = F.coalesce("_roff", F.lit(0))
-        start = F.coalesce(
-            roff + F.col("_lstart"),
-            F.when(F.coalesce("_cflag", F.lit(0)) == 1, roff + 1),
-            F.col("_carry"),
-            F.lit(1),
-        )
-        out_cols.append((roff + F.col("_rn") - start + 1).cast("bigint").alias("session_step"))
-    return j.select(*out_cols)
+        inside = Window.partitionBy(rows[user], rows["_sec"]).orderBy(F.col(ts).asc_nulls_first(), F.col("_k").asc_nulls_first())
+        out.append((F.col("_base") + F.row_number().over(inside)).cast("bigint").alias("session_step"))
+    return j.select(*out)
 
 
 def _session_id(user: str, seq: str = "session_seq"):
@@ -204,6 +171,18 @@ def sessionize(df: DataFrame, user: str = "user_id", ts: str = "timestamp", gap_
     return core.withColumn("session_id", _session_id(user)).drop("session_seq")
 
 
+def _sessions(df: DataFrame, user: str, ts: str, gap_seconds: int, chunk_seconds: int = CHUNK_SECONDS, cut: str | None = None, **_) -> DataFrame:
+    """(user, ``_seq``, ``_dur`` seconds, ``_events``) per session."""
+    numbered = session_seconds(_active_seconds(cut_lineage(df, cut), user, ts), user, gap_seconds, chunk_seconds)
+    # all null-user events are one group: their session id is null
+    seq = F.when(F.col(user).isNotNull(), F.col("_seq"))
+    return (
+        numbered.select(user, seq.alias("_seq"), "_sec", "_n")
+        .groupBy(user, "_seq")
+        .agg((F.max("_sec") - F.min("_sec")).alias("_dur"), F.sum("_n").cast("bigint").alias("_events"))
+    )
+
+
 def session_metrics(
     df: DataFrame,
     user: str = "user_id",
@@ -217,16 +196,10 @@ def session_metrics(
     Grouped by (user, session number); the id string is built after the
     aggregate.  All null-user events form one group (their id is null).
     """
-    core = session_core(df, user=user, ts=ts, gap_seconds=gap_seconds, **kw)
-    seq_key = F.when(F.col(user).isNotNull(), F.col("session_seq"))
-    agg = (
-        core.select(F.col(user), seq_key.alias("session_seq"), epoch_seconds(ts).alias("_sec"))
-        .groupBy(user, "session_seq")
-        .agg(
-            F.round((F.max("_sec") - F.min("_sec")) / 60, 2).alias("session_duration_minutes"),
-            F.count(F.lit(1)).alias("action_count"),
-        )
-        .select(_session_id(user).alias("session_id"), "session_duration_minutes", "action_count")
+    agg = _sessions(df, user, ts, gap_seconds, **kw).select(
+        _session_id(user, "_seq").alias("session_id"),
+        F.round(F.col("_dur") / 60, 2).alias("session_duration_minutes"),
+        F.col("_events").alias("action_count"),
     )
     if order:
         agg = agg.orderBy(F.col("session_duration_minutes").desc_nulls_last(), F.col("session_id"))
@@ -239,24 +212,16 @@ def longest_sessions(df: DataFrame, k: int = 20, **kw) -> DataFrame:
     return session_metrics(df, order=True, **kw).limit(k)
 
 
-def session_averages(df: DataFrame, **kw) -> DataFrame:
+def session_averages(df: DataFrame, user: str = "user_id", ts: str = "timestamp", gap_seconds: int = 1800, **kw) -> DataFrame:
     """One row: ``sessions``, ``avg_session_duration_minutes``, ``avg_actions_per_session``.
 
     Averages whole seconds and counts, then rounds once (4 places).
     """
-    user = kw.get("user", "user_id")
-    ts = kw.get("ts", "timestamp")
-    core = session_core(df, **kw)
-    per = (
-        core.where(F.col(user).isNotNull())
-        .select(user, "session_seq", epoch_seconds(ts).alias("_sec"))
-        .groupBy(user, "session_seq")
-        .agg((F.max("_sec") - F.min("_sec")).alias("_dur"), F.count(F.lit(1)).alias("_n"))
-    )
+    per = _sessions(df.where(F.col(user).isNotNull()), user, ts, gap_seconds, **kw)
     return per.agg(
         F.count(F.lit(1)).alias("sessions"),
         F.round(F.avg("_dur") / 60, 4).alias("avg_session_duration_minutes"),
-        F.round(F.avg("_n"), 4).alias("avg_actions_per_session"),
+        F.round(F.avg("_events"), 4).alias("avg_actions_per_session"),
     )
 
 
