@@ -1,42 +1,81 @@
-"""Connected components of a link table by alternating large and small stars.
-
-Each round works on the whole edge table with two grouped minima and two
-joins, is written to the shared folder (so lineage stays short and a lost
-executor costs one round at most), and stops when a round changes nothing;
-then every vertex points at the smallest id of its component.  Minima combine
-map-side and the joins can be split on skew, so a vertex with a third of all
-edges does not meet in one task.
+"""Connected components of a link table.
+
+Edges point from a larger to a smaller id.  A round has two steps.  (1) Edges
+are dealt by their larger end into bundles of bounded size; a bundle joins
+what is connected inside it and points every vertex at the smallest of its
+part, so a vertex with several smaller neighbours ties these together.
+(2) Every edge moves on to the smallest neighbour of the vertex it points at.
+A round is written to the shared folder (short lineage: a lost executor costs
+one round at most); rounds end when nothing changes, and then every vertex
+points at the smallest id of its component.
+
+A vertex many others point at is only ever a join key here, which Spark can
+split; a vertex with many smaller neighbours loses them to the minimum after
+one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cadence.plans.lineage import cut_lineage
 
+EDGES_PER_BUNDLE = 20_000
+LEAST_BUNDLES = 16
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different vertices of the edges (u, v), and for each the smallest
+    vertex connected with it (minimum over neighbours, with path halving)."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[a], label[b])
+        np.minimum.at(new, label[b], label[a])
+        new = new[new]
+        new = new[new[label]]
+        if (new == label).all():
+            return names, names[label]
+        label = new
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-    ).first()
-    return tuple(row)
+
+def _contract(table: pa.Table) -> pa.Table:
+    names, least = smallest_reachable(table["u"].to_numpy(), table["v"].to_numpy())
+    keep = names != least
+    return pa.table({"u": names[keep], "v": least[keep]})
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every vertex that
     has an edge.  Null ends, loops, repeats and either direction are fine."""
-    hi, lo = F.greatest(src, dst), F.least(src, dst)
-    now = cut_lineage(edges.filter(F.col(src) != F.col(dst)).select(hi.alias("u"), lo.alias("v")).distinct(), "table")
-    seen = _fingerprint(now)
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        digest = F.xxhash64("u", "v").cast("decimal(38,0)")
+        out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(digest).alias("digest")), "table")
+        return out, (seen.get["n"], seen.get["digest"])
+
+    now, seen = written(
+        edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
+    )
     while seen[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut_lineage(small.union(least).distinct(), "table")
-        last, seen = seen, _fingerprint(now)
+        bundles = max(LEAST_BUNDLES, seen[0] // EDGES_PER_BUNDLE)
+        tied = (
+            now.withColumn("bundle", F.pmod(F.xxhash64("u"), F.lit(bundles)))
+            .groupBy("bundle")
+            .applyInArrow(lambda t: _contract(t), "u bigint, v bigint")
+        )
+        onward = tied.groupBy("u").agg(F.min("v").alias("onward")).withColumnRenamed("u", "v")
+        moved = tied.join(onward, "v", "left").select("u", F.coalesce("onward", "v").alias("v"))
+        # an edge that moved on leaves the tie between its old and new end to
+        # the edge (v, onward), which is in the table itself
+        last = seen
+        now, seen = written(moved.distinct())
         if seen == last:
             break
     tips = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -12,8 +12,8 @@
     of bounded size; each block compares its own members and a few leaders of
     the cluster that visit every block.  What is linked by then needs no more
     comparison: members outside the cluster's largest linked part are compared
-    with all blocks (block against block, links decided in place, only a
-    spanning forest of the links leaves a task).
+    with all blocks (block against block, links decided in place; only pairs
+    of linked parts leave a task).
 4.  The components of the confirmed links give the result.
 
 With 50 bands of 5 coordinates a pair at similarity 0.75 is missed with
@@ -21,7 +21,7 @@ probability 1.3e-6, at 0.8 with 3e-9.
 
 Edge cases: a text with fewer words than the width is one shingle; a null,
 empty or wordless text has an empty set and links with nothing; rows that
-repeat a doc_id are one document; a row without doc_id links with nothing and
+repeat a doc_id are one document when links are drawn; a row without doc_id links with nothing and
 has a null component; an empty table gives no rows; extra columns are ignored
 by ``near_duplicates`` and carried by ``near_dedup``.
 """
@@ -93,29 +93,30 @@ def link_matrix(left: list[np.ndarray], right: list[np.ndarray], percent: int, t
     return (100 * common >= percent * (sizes - common)) & (common > 0)
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets (index pairs)."""
+def linked_parts(sets: list[np.ndarray], percent: int) -> list[list[int]]:
+    """Indices of the sets, by component of their links; lone sets left out."""
     if len(sets) == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if common and 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common) else []
+        return [[0, 1]] if common and 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common) else []
     links = link_matrix(sets, sets, percent)
-    left, forest = np.ones(len(sets), bool), []
+    left, parts = np.ones(len(sets), bool), []
     for i in range(len(sets)):
-        if not left[i]:
-            continue
-        left[i] = False
-        frontier = [i]
-        while frontier:
-            x = frontier.pop()
-            near = np.flatnonzero(links[x] & left)
-            left[near] = False
-            forest += [(x, int(y)) for y in near]
-            frontier += near.tolist()
-    return forest
+        if left[i]:
+            left[i] = False
+            part, frontier = [i], [i]
+            while frontier:
+                near = np.flatnonzero(links[frontier.pop()] & left)
+                left[near] = False
+                part += near.tolist()
+                frontier += near.tolist()
+            if len(part) > 1:
+                parts.append(part)
+    return parts
 
 
 def _verify(width: int, percent: int):
-    """Links inside each cluster of a task's group."""
+    """Inside each cluster of a task's group, every linked vertex with the
+    smallest one of its part; ``whole``: the group holds the whole cluster."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("id", "ascending")])
@@ -125,49 +126,44 @@ def _verify(width: int, percent: int):
         src, dst = [], []
         for s, e in zip(borders[:-1], borders[1:]):
             if e - s > 1:
-                for i, j in spanning_links(sets[s:e], percent):
-                    src.append(ids[s + i]), dst.append(ids[s + j])
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+                for part in linked_parts(sets[s:e], percent):
+                    names = ids[s + np.array(part)]
+                    src.append(names), dst.append(np.full(len(names), names.min()))
+        src, dst = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst))
+        whole = np.full(len(src), table["g2"][0].as_py() < 0)
+        return pa.table({"src": src, "dst": dst, "whole": whole})
 
     return run
 
 
 def _verify_across(width: int, percent: int):
-    """Links between the two sides of a block pair: per member of one side the
-    first link into each part the other side is linked into so far."""
+    """Parts that are linked between the two sides of a block pair."""
 
     def run(table: pa.Table) -> pa.Table:
         sets = tk.shingle_sets(*tk.text_bytes(table["text"]), width)
-        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
-        part = table["part"].to_numpy()
+        side, part = table["side"].to_numpy(), table["part"].to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        src, dst = [], []
+        found: set[tuple[int, int]] = set()
         if len(a) and len(b):
             links = link_matrix([sets[i] for i in a], [sets[i] for i in b], percent)
             for x in range(len(a)):
-                near = np.flatnonzero(links[x])
-                _, first = np.unique(part[b[near]], return_index=True)
-                for y in near[first]:
-                    src.append(ids[a[x]]), dst.append(ids[b[y]])
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+                found.update((int(part[a[x]]), int(p)) for p in np.unique(part[b[links[x]]]))
+        pairs = sorted(p for p in found if p[0] != p[1])
+        return pa.table({"src": pa.array([p[0] for p in pairs], pa.int64()), "dst": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
-EDGES = "src bigint, dst bigint"
-
-
-def confirmed_links(texts: DataFrame, members: DataFrame, width: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
-    """Links between ``members`` (id, cluster, n) that span every component of
-    the links inside a cluster; ``texts`` has id and text."""
-    spark = texts.sparkSession
+def confirmed_components(
+    texts: DataFrame, members: DataFrame, width: int, percent: int, block_docs: int, block_shingles: int
+) -> DataFrame:
+    """``id`` and ``component`` of the links between ``members`` (id, cluster,
+    n) of a cluster, for linked ids at least; ``texts`` has id and text."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("shingles") / block_shingles)))
     members = cut_lineage(members.join(sizes, "cluster"), "table")
-    total = members.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if not total[0]:
-        return spark.createDataFrame([], EDGES)
-    bundles = max(1, int(max(total[0] / block_docs, total[1] / block_shingles)))
+    docs, shingles, most = members.agg(F.count(F.lit(1)), F.sum("n"), F.max("blocks")).first()
+    bundles = max(1, int(max(docs / block_docs, (shingles or 0) / block_shingles)))
     small = members.filter("blocks = 1").select(
         "id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bundles)).alias("g1"), F.lit(-1).cast("bigint").alias("g2")
     )
@@ -181,15 +177,16 @@ def confirmed_links(texts: DataFrame, members: DataFrame, width: int, percent: i
         .select("id", "cluster", F.col("cluster").alias("g1"), "g2")
     )
     first = cut_lineage(
-        texts.join(small.union(dealt).union(leaders), "id")
+        texts.join(small.union(dealt).union(leaders).hint("merge"), "id")
         .groupBy("g1", "g2")
-        .applyInArrow(_verify(width, percent), EDGES),
+        .applyInArrow(_verify(width, percent), "src bigint, dst bigint, whole boolean"),
         "table",
     )
-    if large.isEmpty():
-        return first
-    parts = connected_components(first.join(large.select(F.col("id").alias("src")), "src", "left_semi"))
-    parted = large.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    result = first.filter("whole").select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    if (most or 0) <= 1:
+        return result
+    parts = connected_components(first.filter("NOT whole")).withColumnRenamed("component", "part")
+    parted = large.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
     weights = parted.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"))
     largest = weights.groupBy("cluster").agg(F.max(F.struct("k", "part")).alias("top"))
     parted = cut_lineage(
@@ -216,12 +213,14 @@ def confirmed_links(texts: DataFrame, members: DataFrame, width: int, percent: i
         .select("id", "cluster", "part", "g2", "g3", F.lit(1).alias("side"))
     )
     across = (
-        texts.join(one.union(other), "id")
+        texts.join(one.union(other).hint("merge"), "id")
         .groupBy("cluster", "g2", "g3")
-        .applyInArrow(_verify_across(width, percent), EDGES)
-        .filter("src != dst")
+        .applyInArrow(_verify_across(width, percent), "src bigint, dst bigint")
+    )
+    joined = connected_components(across).withColumnRenamed("id", "part")
+    return result.union(
+        parted.join(joined, "part", "left").select("id", F.coalesce("component", "part").alias("component"))
     )
-    return first.union(cut_lineage(across, "table"))
 
 
 def _components(
@@ -241,8 +240,7 @@ def _components(
     ties = keys.join(shared, "key").filter("id > first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
     clusters = connected_components(ties).withColumnRenamed("component", "cluster")
     members = clusters.join(usable.groupBy("id").agg(F.max("n").alias("n")), "id")
-    links = confirmed_links(slim, members, width, percent, block_docs, block_shingles)
-    linked = connected_components(links)
+    linked = confirmed_components(slim, members, width, percent, block_docs, block_shingles)
     final = vertices.join(linked.withColumnRenamed("id", "vertex"), "vertex", "left").select(
         "digest", F.coalesce("component", "vertex").alias("component")
     )
