@@ -164,24 +164,32 @@ def confirmed_components(
     members = cut_lineage(members.join(sizes, "cluster"), "table")
     docs, shingles, most = members.agg(F.count(F.lit(1)), F.sum("n"), F.max("blocks")).first()
     bundles = max(1, int(max(docs / block_docs, (shingles or 0) / block_shingles)))
-    small = members.filter("blocks = 1").select(
-        "id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bundles)).alias("g1"), F.lit(-1).cast("bigint").alias("g2")
+    # the one time that all texts move; from here on it is the members' alone
+    texts = cut_lineage(texts.join(members.hint("merge"), "id"), "table")
+    columns = ["id", "cluster", "text", "g1", "g2"]
+    small = (
+        texts.filter("blocks = 1")
+        .withColumn("g1", F.pmod(F.xxhash64("cluster"), F.lit(bundles)))
+        .withColumn("g2", F.lit(-1).cast("bigint"))
+        .select(columns)
     )
-    large = members.filter("blocks > 1")
     home = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = large.select("id", "cluster", F.col("cluster").alias("g1"), home.alias("g2"))
+    crowd = texts.filter("blocks > 1").withColumn("g1", F.col("cluster"))
+    dealt = crowd.withColumn("g2", home).select(columns)
     leaders = (
-        large.filter(F.pmod(F.xxhash64("id", F.lit("leader")), F.col("docs")) < LEADERS)
+        crowd.filter(F.pmod(F.xxhash64("id", F.lit("leader")), F.col("docs")) < LEADERS)
         .withColumn("g2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .filter(F.col("g2") != home)
-        .select("id", "cluster", F.col("cluster").alias("g1"), "g2")
+        .select(columns)
     )
     first = cut_lineage(
-        texts.join(small.union(dealt).union(leaders).hint("merge"), "id")
+        small.union(dealt)
+        .union(leaders)
         .groupBy("g1", "g2")
         .applyInArrow(_verify(width, percent), "src bigint, dst bigint, whole boolean"),
         "table",
     )
+    large = members.filter("blocks > 1")
     result = first.filter("whole").select(F.col("src").alias("id"), F.col("dst").alias("component"))
     if (most or 0) <= 1:
         return result
@@ -213,7 +221,7 @@ def confirmed_components(
         .select("id", "cluster", "part", "g2", "g3", F.lit(1).alias("side"))
     )
     across = (
-        texts.join(one.union(other).hint("merge"), "id")
+        crowd.select("id", "text").join(one.union(other).hint("merge"), "id")
         .groupBy("cluster", "g2", "g3")
         .applyInArrow(_verify_across(width, percent), "src bigint, dst bigint")
     )
