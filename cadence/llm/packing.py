@@ -13,7 +13,7 @@ room; a tournament tree over the sequences' free room finds it in log steps.
 
 Tokenising: white space separates the tokenizer's words, so ids of a text are
 the ids of its white-space chunks in a row.  A task encodes each different
-chunk of a block once and keeps a bounded table of chunks between blocks.
+word once and keeps a bounded table of words between blocks.
 
 Edge cases: a null or empty text is a document of the end id alone; rows that
 repeat a doc_id are packed as documents of their own; an empty table gives no
@@ -33,45 +33,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadence.llm.textkernels import lower_ascii, text_blocks, text_bytes
 from cadence.plans.lineage import cut_lineage
 
 PIECES_PER_GROUP = 2_000
-CHUNK_TABLE = 300_000  # chunks a task remembers; the table starts anew when full
-BLOCK_BYTES = 4 << 20
+WORD_TABLE = 1_200_000  # words a task remembers at most
+BLOCK_BYTES = 6 << 20
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
+LETTERS = frozenset(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1)
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts through a table of white-space chunks."""
+    """Token ids of whole texts through a bounded table of words.
 
-    def __init__(self, path: str, table_size: int = CHUNK_TABLE):
+    White space, and the border between a letter or digit and a run of ASCII
+    punctuation, always separate the tokenizer's words; the tokenizer lowers
+    case itself.  So chunks are lowered, cut before trailing punctuation, and
+    only words not met before are encoded.  The table has two halves: when the
+    younger is full it replaces the older.
+    """
+
+    def __init__(self, path: str, table_size: int = WORD_TABLE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.table_size = table_size
-
-    def chunks(self, chunks: list[str]) -> list[Sequence[int]]:
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > self.table_size:
-            known.clear()
-            new = chunks
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, (tuple(e.ids) for e in self.encode_batch(part, add_special_tokens=False))))
-        return [known[c] for c in chunks]
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = table_size // 2
+
+    def words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word, as bytes of uint32."""
+        found, new = {}, []
+        for w in words:
+            ids = self.young.get(w) or self.old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                found[w] = ids
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            ids = [np.array(e.ids, np.uint32).tobytes() for e in self.encode_batch(part, add_special_tokens=False)]
+            found.update(zip(part, ids))
+            if len(self.young) + len(part) > self.half:
+                self.old, self.young = self.young, {}
+            self.young.update(zip(part, ids))
+        return found
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        parts = []
+        for c in chunks:
+            core = c.rstrip(TAIL)
+            if len(core) < len(c) and core and (core[-1].isascii() and core[-1].isalnum() or core[-1] in LETTERS) and "<|" not in c:
+                parts.append((core, c[len(core) :]))
+            else:
+                parts.append((c, ""))
+        known = self.words({w for p in parts for w in p if w})
+        known[""] = b""
+        return [known[core] + known[tail] for core, tail in parts]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and the len(texts) + 1 borders."""
+        data, offsets = text_bytes(texts)
+        if b"<|" not in memoryview(data).tobytes():  # special tokens are matched as written
+            data = lower_ascii(data)
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
         words = pc.ascii_split_whitespace(texts)
         borders = words.offsets.to_numpy()
         flat = words.flatten().dictionary_encode()
         ids = self.chunks(flat.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(ids) else lengths
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), np.uint32)
+        starts = np.cumsum(lengths) - lengths
         at = flat.indices.to_numpy()
         counts = lengths[at]
         ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -79,42 +113,27 @@ class ChunkTokenizer:
         return table[picks], ends[borders - borders[0]]
 
 
-def _blocks(batch: pa.RecordBatch, text_at: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices of about ``limit`` bytes of text, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
-    begin, held = 0, 0
-    for i, size in enumerate(sizes):
-        if held and held + size > limit:
-            yield batch.slice(begin, i - begin)
-            begin, held = i, 0
-        held += size
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
-
-
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ChunkTokenizer(path)
-        for batch in batches:
-            for block in _blocks(batch, 1):
-                texts = pc.fill_null(block.column(1).cast(pa.large_string()), "")
-                ids, borders = tokenizer.texts(texts)
-                row, start, length, crc, total, lists = [], [], [], [], [], []
-                for r in range(block.num_rows):
-                    own = np.append(ids[borders[r] : borders[r + 1]], np.uint32(end_id))
-                    for s in range(0, len(own), capacity):
-                        piece = own[s : s + capacity]
-                        row.append(r), start.append(s), length.append(len(piece))
-                        crc.append(zlib.crc32(piece.astype("<u4").tobytes())), total.append(len(own))
-                        if with_ids:
-                            lists.append(piece.astype(np.int32))
-                columns = [block.column(0).take(pa.array(row, pa.int64()))]
-                columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-                names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for block in text_blocks(batches, 1, BLOCK_BYTES):
+            ids, borders = tokenizer.texts(block.column(1))
+            row, start, length, crc, total, lists = [], [], [], [], [], []
+            for r in range(block.num_rows):
+                own = np.append(ids[borders[r] : borders[r + 1]], np.uint32(end_id))
+                for s in range(0, len(own), capacity):
+                    piece = own[s : s + capacity]
+                    row.append(r), start.append(s), length.append(len(piece))
+                    crc.append(zlib.crc32(piece.astype("<u4").tobytes())), total.append(len(own))
+                    if with_ids:
+                        lists.append(piece.astype(np.int32))
+            columns = [block.column(0).take(pa.array(row, pa.int64()))]
+            columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+            names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+            if with_ids:
+                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 

@@ -63,6 +63,10 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[borders[0] : borders[-1]], borders - borders[0]
 
 
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash per word, and the borders of the documents' words."""
     none = np.zeros(len(borders), np.int64)
