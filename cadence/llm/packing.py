@@ -12,8 +12,8 @@ holds.  Inside a group, pieces go longest first into the first sequence with
 room; a tournament tree over the sequences' free room finds it in log steps.
 
 Tokenising: white space separates the tokenizer's words, so ids of a text are
-the ids of its white-space chunks in a row.  A task encodes each different
-word once and keeps a bounded table of words between blocks.
+the ids of its white-space chunks in a row.  A worker encodes each
+different word once and keeps a bounded table of words between tasks.
 
 Edge cases: a null or empty text is a document of the end id alone; rows that
 repeat a doc_id are packed as documents of their own; an empty table gives no
@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +40,22 @@ from cadence.plans.lineage import cut_lineage
 
 PIECES_PER_GROUP = 2_000
 WORD_TABLE = 1_200_000  # words a task remembers at most
-BLOCK_BYTES = 6 << 20
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe
-LETTERS = frozenset(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1)
+BLOCK_BYTES = 8 << 20
+_SOLID = np.zeros(256, bool)  # ASCII letters and digits
+_MARK = np.zeros(256, bool)  # ASCII punctuation but the apostrophe
+for _c in range(33, 127):
+    (_SOLID if chr(_c).isalnum() else _MARK)[_c] = True
+_MARK[ord("'")] = False
 
 
-class ChunkTokenizer:
+class WordTokenizer:
     """Token ids of whole texts through a bounded table of words.
 
-    White space, and the border between a letter or digit and a run of ASCII
+    White space, and the border between a letter or digit and following ASCII
     punctuation, always separate the tokenizer's words; the tokenizer lowers
-    case itself.  So chunks are lowered, cut before trailing punctuation, and
-    only words not met before are encoded.  The table has two halves: when the
-    younger is full it replaces the older.
+    case itself.  So texts are lowered and cut there, and only words not met
+    before are encoded.  The table has two halves: when the younger is full it
+    replaces the older.
     """
 
     def __init__(self, path: str, table_size: int = WORD_TABLE):
@@ -63,46 +68,36 @@ class ChunkTokenizer:
         self.old: dict[str, bytes] = {}
         self.half = table_size // 2
 
-    def words(self, words: set[str]) -> dict[str, bytes]:
+    def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of uint32."""
-        found, new = {}, []
-        for w in words:
-            ids = self.young.get(w) or self.old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                found[w] = ids
+        young, old = self.young.get, self.old.get
+        ids = [young(w) or old(w) for w in words]
+        new = [i for i, x in enumerate(ids) if x is None]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            ids = [np.array(e.ids, np.uint32).tobytes() for e in self.encode_batch(part, add_special_tokens=False)]
-            found.update(zip(part, ids))
+            names = [words[i] for i in part]
+            values = [array("I", e.ids).tobytes() for e in self.encode_batch(names, add_special_tokens=False)]
+            for i, x in zip(part, values):
+                ids[i] = x
             if len(self.young) + len(part) > self.half:
                 self.old, self.young = self.young, {}
-            self.young.update(zip(part, ids))
-        return found
-
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        parts = []
-        for c in chunks:
-            core = c.rstrip(TAIL)
-            if len(core) < len(c) and core and (core[-1].isascii() and core[-1].isalnum() or core[-1] in LETTERS) and "<|" not in c:
-                parts.append((core, c[len(core) :]))
-            else:
-                parts.append((c, ""))
-        known = self.words({w for p in parts for w in p if w})
-        known[""] = b""
-        return [known[core] + known[tail] for core, tail in parts]
+            self.young.update(zip(names, values))
+        return ids
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and the len(texts) + 1 borders."""
         data, offsets = text_bytes(texts)
         if b"<|" not in memoryview(data).tobytes():  # special tokens are matched as written
             data = lower_ascii(data)
+            solid = _SOLID[data]
+            solid[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # two-byte letters
+            cuts = np.flatnonzero(solid[:-1] & _MARK[data[1:]]) + 1
+            data, offsets = np.insert(data, cuts, 32), offsets + np.searchsorted(cuts, offsets)
         texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
         words = pc.ascii_split_whitespace(texts)
         borders = words.offsets.to_numpy()
         flat = words.flatten().dictionary_encode()
-        ids = self.chunks(flat.dictionary.to_pylist())
+        ids = self.words(flat.dictionary.to_pylist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         table = np.frombuffer(b"".join(ids), np.uint32)
         starts = np.cumsum(lengths) - lengths
@@ -113,9 +108,15 @@ class ChunkTokenizer:
         return table[picks], ends[borders - borders[0]]
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker: its tasks share the table of words."""
+    return WordTokenizer(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         for block in text_blocks(batches, 1, BLOCK_BYTES):
             ids, borders = tokenizer.texts(block.column(1))
             row, start, length, crc, total, lists = [], [], [], [], [], []
