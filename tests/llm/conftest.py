@@ -1,0 +1,52 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, ROOT)
+
+SF = "/root/testdata/sf0.001"
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from cadence.session import local_test_session, ship_package
+
+    s = local_test_session(cores=4, shuffle_partitions=4)
+    ship_package(s)
+    yield s
+
+
+@pytest.fixture(scope="session")
+def edge_docs(spark):
+    """Nulls in every column, empty, wordless and very long texts, ties and
+    repeated rows, and extra columns whose names the operators use inside."""
+    long = " ".join(f"word{i % 977} item{i}" for i in range(20_000))
+    rows = [
+        (1, "the quick brown fox jumps over the lazy dog again", "en", "a", 49),
+        (2, "the quick brown fox jumps over the lazy dog again", "en", "a", 49),
+        (2, "the quick brown fox jumps over the lazy dog again", "en", "a", 49),
+        (3, None, None, None, None),
+        (4, "", "en", "b", 0),
+        (5, " \t\n ", "en", None, 4),
+        (6, long, "de", "b", len(long)),
+        (7, long + " tail", "de", "c", None),
+        (None, "a row without an id", "en", "c", 19),
+        (None, None, None, None, None),
+        (8, "two words", None, "a", 9),
+        (9, "TWO\twords", None, "a", 9),
+    ]
+    extra = "id bigint, h string, size string, digest string, bucket int, text_crc32 int, component string"
+    filled = [(*r, i, "x", "y", "z", 1, 2, "c") for i, r in enumerate(rows)]
+    return spark.createDataFrame(filled, f"{DOC_SCHEMA}, {extra}")
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOC_SCHEMA)
+
+
+def texts_of(df, id_col="doc_id", text_col="text"):
+    return [(r[0], r[1]) for r in df.select(id_col, text_col).collect()]
