@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,7 +26,7 @@ from cadence.operators.quantiles import exact_percentiles  # noqa: E402
 from cadence.session import scratch_path  # noqa: E402
 from cadence.sources import generate, ingest  # noqa: E402
 from cadence.sources.schemas import INTERACTIONS  # noqa: E402
-from cadence.sources.tables import INTERACTIONS_SQL, interactions, load, user_metadata, user_metadata_sql  # noqa: E402
+from cadence.sources.tables import INTERACTIONS_SQL, METADATA_SQL, interactions, load, user_metadata  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -38,13 +39,16 @@ ACTIVE_ACTIONS = ("click", "view", "purchase", "signup")
 # id filter pushed into Parquet.  Top-k reports keep k rows by design.
 TIMELINE_USERS = (7, 42, 99)
 TOP_K = 20
+# Thresholds that the given tables reach, so the salted and aside paths run.
+SALT_ROWS, LAYOUT_HOT_ROWS = 4, 12
 KNOWN_ACTIONS = ("click", "error", "purchase", "signup", "view")
 DURATION_DOMAIN = (100, 300_000)  # the reference's duration_ms range
 AS_OF = "2024-02-01"
+IMPUTE_DEFAULT = 0
 PERCENTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 I = INTERACTIONS_SQL
-M = user_metadata_sql()
+M = METADATA_SQL
 
 
 def _sec(x: str) -> str:
@@ -63,6 +67,18 @@ def q_dau_series(spark, d):
     return activity.dau_series(interactions(spark, d), date_col="date")
 
 
+def q_dau_series_active(spark, d):
+    return activity.dau_series(interactions(spark, d), date_col="date", actions=ACTIVE_ACTIONS)
+
+
+def q_mau_series_active(spark, d):
+    return activity.mau_series(interactions(spark, d), actions=ACTIVE_ACTIONS)
+
+
+def q_streak_days_active(spark, d):
+    return activity.streak_days(interactions(spark, d), start=YEAR_START, end=YEAR_END, date_col="date", actions=ACTIVE_ACTIONS)
+
+
 def q_mau_series(spark, d):
     return activity.mau_series(_orders_activity(spark, d))
 
@@ -138,33 +154,43 @@ def q_session_actions(spark, d):
 
 
 # ---------------------------------------------------------------- joins
-def _enrich(strategy):
+SUBSCRIPTION = ("subscription_type",)
+
+
+def _enrich(strategy, **kw):
     def q(spark, d):
-        return joins.enrich(interactions(spark, d), user_metadata(spark, d), strategy=strategy)
+        return joins.enrich(interactions(spark, d), user_metadata(spark, d, SUBSCRIPTION), strategy=strategy, **kw)
 
     return q
 
 
+def q_enrich_partial_dimension(spark, d):
+    """A dimension that lacks users (those of one market segment only): the
+    unmatched side of the left join."""
+    users = user_metadata(spark, d, SUBSCRIPTION).where("subscription_type = 'BUILDING'")
+    return joins.enrich(interactions(spark, d), users)
+
+
 def q_activity_by_dims(spark, d):
-    return joins.activity_by(interactions(spark, d), user_metadata(spark, d), strategy="merge", pre_aggregate=False)
+    return joins.activity_by(interactions(spark, d), user_metadata(spark, d, ("country", *SUBSCRIPTION)), strategy="merge")
 
 
 def q_activity_by_dims_broadcast(spark, d):
-    return joins.activity_by(interactions(spark, d), user_metadata(spark, d), strategy="broadcast", cluster_by="country")
+    users = user_metadata(spark, d, ("country", *SUBSCRIPTION))
+    return joins.activity_by(interactions(spark, d), users, strategy="broadcast", cluster_by="country")
 
 
 def q_count_salted(spark, d):
-    return joins.salted_count(load(spark, d, "orders"), "o_custkey", salt_cols=["o_orderkey"])
+    return joins.salted_count_distinct(load(spark, d, "orders"), "o_custkey", "o_orderkey")
 
 
 def q_prepartitioned_join(spark, d):
-    spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
-    laid = joins.prepare_layout(interactions(spark, d), "user_id", partition_by=("date",))
-    return joins.layout_join(laid, user_metadata(spark, d))
+    laid = joins.prepare_layout(interactions(spark, d), "user_id", partition_by=("date",), hot_min_rows=LAYOUT_HOT_ROWS)
+    return joins.layout_join(laid, user_metadata(spark, d, SUBSCRIPTION), salt_rows=SALT_ROWS)
 
 
 def q_bucketed_join(spark, d):
-    return joins.bucketed_join(interactions(spark, d), user_metadata(spark, d))
+    return joins.bucketed_join(interactions(spark, d), user_metadata(spark, d, SUBSCRIPTION))
 
 
 # ---------------------------------------------------------------- skew
@@ -172,6 +198,16 @@ def q_partition_profile(spark, d):
     return skew.partition_profile(interactions(spark, d))
 
 
+def q_partition_totals(spark, d):
+    """What the profiles of both tables add up to (the ids are physical)."""
+    users = user_metadata(spark, d, SUBSCRIPTION)
+    return skew.partition_totals(interactions(spark, d), "interactions").unionByName(skew.partition_totals(users, "metadata"))
+
+
+def q_partition_profile_metadata(spark, d):
+    return skew.partition_profile(user_metadata(spark, d, SUBSCRIPTION))
+
+
 def q_key_skew_summary(spark, d):
     return skew.key_skew_summary(interactions(spark, d), "user_id")
 
@@ -190,7 +226,7 @@ def q_popular_actions(spark, d):
 
 
 def q_subscription_insights(spark, d):
-    return insights.subscription_insights(interactions(spark, d), user_metadata(spark, d))
+    return insights.subscription_insights(interactions(spark, d), user_metadata(spark, d, SUBSCRIPTION))
 
 
 def q_activity_by_hour(spark, d):
@@ -203,7 +239,7 @@ def q_version_usage(spark, d):
 
 # ---------------------------------------------------------------- outliers / quality
 def q_duration_percentiles(spark, d):
-    return exact_percentiles(interactions(spark, d), "duration_ms", PERCENTILES)
+    return exact_percentiles(interactions(spark, d), "duration_ms", PERCENTILES).select("p", "value")
 
 
 def q_duration_capped(spark, d):
@@ -278,10 +314,9 @@ def q_dq_accuracy(spark, d):
     truth = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))).alias("price_from_lines")
     )
-    docs = load(spark, d, "documents")
-    doc_truth = docs.select("doc_id", F.length("text").alias("chars_counted"))
-    return quality.accuracy(load(spark, d, "orders"), truth, "o_orderkey", "o_totalprice", "price_from_lines", "orders.o_totalprice").unionByName(
-        quality.accuracy(docs, doc_truth, "doc_id", "n_chars", "chars_counted", "documents.n_chars")
+    orders = quality.accuracy(load(spark, d, "orders"), truth, "o_orderkey", "o_totalprice", "price_from_lines", "orders.o_totalprice")
+    return orders.unionByName(
+        quality.value_accuracy(load(spark, d, "documents"), "n_chars", F.length("text"), "documents.n_chars")
     )
 
 
@@ -296,9 +331,21 @@ def q_impute(spark, d):
     return out.select("event_id", "action_type", "duration_ms", "imputed")
 
 
-def q_ingest_corrupt_rows(spark, d):
-    from pyspark.sql import types as T
+def _impute(how, **kw):
+    def q(spark, d):
+        rows = interactions(spark, d).select("event_id", "duration_ms")
+        return quality.impute(rows, "duration_ms", how, valid=F.col("duration_ms").between(*DURATION_DOMAIN), **kw)
+
+    return q
+
 
+def q_deduplicate(spark, d):
+    """The latest event per user and action."""
+    rows = interactions(spark, d).select("user_id", "action_type", "timestamp", "event_id", "page_id")
+    return quality.deduplicate(rows, ["user_id", "action_type"], ["timestamp", "event_id"], descending=True)
+
+
+def q_ingest_corrupt_rows(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text", "lang")
     path = scratch_path(spark, "docs-csv")
     docs.write.mode("overwrite").option("header", True).csv(path)
@@ -316,9 +363,8 @@ def q_generate_metadata(spark, d):
 
 
 def q_convert_round_trip(spark, d):
-    inter = interactions(spark, d).drop("event_id").withColumn("user_id", F.col("user_id").cast("string"))
-    back = ingest.csv_parquet_round_trip(inter, INTERACTIONS, ["date"])
-    return back.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    inter = interactions(spark, d)
+    return ingest.csv_parquet_round_trip(inter, inter.schema, ["date"]).select(*inter.columns)
 
 
 # ---------------------------------------------------------------- primitives
@@ -355,7 +401,10 @@ def q_time_features(spark, d):
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dau_series": q_dau_series,
+    "dau_series_active": q_dau_series_active,
     "mau_series": q_mau_series,
+    "mau_series_active": q_mau_series_active,
+    "streak_days_active": q_streak_days_active,
     "mau_series_events": q_mau_series_events,
     "active_users_by_grain": q_active_users_by_grain,
     "users_active_in_n_months": q_users_active_in_n_months,
@@ -374,14 +423,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enrich_sort_merge": _enrich("merge"),
     "enrich_broadcast": _enrich("broadcast"),
     "enrich_shuffle_hash": _enrich("shuffle_hash"),
-    "enrich_salted": _enrich("salted"),
+    "enrich_salted": _enrich("salted", salt_rows=SALT_ROWS),
     "enrich_auto": _enrich("auto"),
+    "enrich_partial_dimension": q_enrich_partial_dimension,
     "activity_by_dims": q_activity_by_dims,
     "activity_by_dims_broadcast": q_activity_by_dims_broadcast,
     "count_salted": q_count_salted,
     "bucketed_join": q_bucketed_join,
     "prepartitioned_join": q_prepartitioned_join,
     "partition_profile": q_partition_profile,
+    "partition_profile_metadata": q_partition_profile_metadata,
+    "partition_totals": q_partition_totals,
     "key_frequency": q_key_frequency,
     "key_skew_summary": q_key_skew_summary,
     "retention": q_retention,
@@ -401,6 +453,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dq_accuracy": q_dq_accuracy,
     "quarantine": q_quarantine,
     "impute": q_impute,
+    "impute_default": _impute("default", value=IMPUTE_DEFAULT),
+    "impute_median": _impute("median"),
+    "impute_mode": _impute("mode"),
+    "deduplicate": q_deduplicate,
     "ingest_corrupt_rows": q_ingest_corrupt_rows,
     "generate_interactions": q_generate_interactions,
     "generate_metadata": q_generate_metadata,
@@ -414,6 +470,43 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # ---------------------------------------------------------------- oracle SQL
+# The generator's rule as SQL.
+def _sql_uniform(stream: int, lo: int, hi: int, seed: int = 0, idx: str = "id") -> str:
+    m = 2147483647
+    x = f"(({idx} * 7919 + {stream * 1000003 + seed * 15485863}) % {m})"
+    x = f"(({x} % {m}) + 1)"
+    for _ in range(3):
+        x = f"(({x} * 48271) % {m})"
+        x = f"xor({x}, {x} >> 11)"
+    return f"({x} % {hi - lo + 1} + {lo})"
+
+
+def _sql_pick(values: list[str], idx: str) -> str:
+    arr = "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    return f"{arr}[{idx} + 1]"
+
+
+def _interactions_sql(source: str, seed: int = 0) -> str:
+    u = lambda s, lo, hi: _sql_uniform(s, lo, hi, seed)
+    ts = f"(TIMESTAMP '{generate.EVENT_START}' + to_seconds({u(2, 0, generate.EVENT_SPAN_SECONDS)}))"
+    return f"""SELECT id, printf('u%06d', {u(1, 1, generate.MAX_USER)}) AS user_id, {ts} AS "timestamp",
+      {_sql_pick(generate.ACTION_TYPES, u(3, 0, len(generate.ACTION_TYPES) - 1))} AS action_type,
+      printf('p%06d', {u(4, 1, generate.MAX_PAGE)}) AS page_id, {u(5, *generate.DURATION_RANGE)} AS duration_ms,
+      CAST({u(6, *generate.VERSION_MAJOR)} AS VARCHAR) || '.' || CAST({u(7, 0, 9)} AS VARCHAR) || '.' || CAST({u(8, 0, 9)} AS VARCHAR) AS app_version,
+      CAST({ts} AS DATE) AS "date"
+    FROM {source}"""
+
+
+def _metadata_sql(source: str, seed: int = 0) -> str:
+    u = lambda s, lo, hi: _sql_uniform(s, lo, hi, seed)
+    return f"""SELECT id, printf('u%06d', {u(11, 1, generate.MAX_USER)}) AS user_id,
+      CAST(DATE '{generate.JOIN_START}' + CAST({u(12, 0, generate.JOIN_SPAN_DAYS)} AS INTEGER) AS DATE) AS join_date,
+      {_sql_pick(generate.COUNTRIES, u(13, 0, len(generate.COUNTRIES) - 1))} AS country,
+      {_sql_pick(generate.DEVICE_TYPES, u(14, 0, len(generate.DEVICE_TYPES) - 1))} AS device_type,
+      {_sql_pick(generate.SUBSCRIPTION_TYPES, u(15, 0, len(generate.SUBSCRIPTION_TYPES) - 1))} AS subscription_type
+    FROM {source}"""
+
+
 _ORDERS_ACT = "(SELECT o_custkey AS user_id, o_orderdate AS \"timestamp\", o_orderkey FROM orders)"
 
 _SESSION_WINDOW = 'PARTITION BY user_id ORDER BY "timestamp" ASC NULLS FIRST, event_id ASC NULLS FIRST'
@@ -496,8 +589,20 @@ def _accuracy_sql(label: str, src: str, key: str, value: str, truth: str) -> str
 _PCT_SQL = ", ".join(f"quantile_cont(duration_ms, {p}) AS q{i}" for i, p in enumerate(PERCENTILES))
 
 
+def _impute_sql(fill: str, counted: bool = False) -> str:
+    valid = f"duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]}"
+    source = f"(SELECT duration_ms, count(*) AS n FROM {I} GROUP BY 1)" if counted else I
+    return f"""SELECT event_id, CASE WHEN {valid} THEN duration_ms
+        ELSE CAST((SELECT {fill} FROM {source} WHERE {valid}) AS BIGINT) END AS duration_ms,
+        NOT coalesce({valid}, false) AS imputed FROM {I}"""
+
+
 _ORACLE: dict[str, str] = {
     "dau_series": f"""SELECT "date", count(DISTINCT user_id) AS daily_active_users FROM {I} GROUP BY "date" """,
+    "dau_series_active": f"""SELECT "date", count(DISTINCT user_id) AS daily_active_users FROM {I}
+        WHERE action_type IN {ACTIVE_ACTIONS!r} GROUP BY "date" """,
+    "mau_series_active": f"""SELECT CAST(date_trunc('month', "timestamp") AS DATE) AS month,
+        count(DISTINCT user_id) AS monthly_active_users FROM {I} WHERE action_type IN {ACTIVE_ACTIONS!r} GROUP BY 1""",
     "mau_series": f"""SELECT CAST(date_trunc('month', "timestamp") AS DATE) AS month,
         count(DISTINCT user_id) AS monthly_active_users FROM {_ORDERS_ACT} GROUP BY 1""",
     "mau_series_events": f"""SELECT CAST(date_trunc('month', "timestamp") AS DATE) AS month,
@@ -517,6 +622,12 @@ _ORACLE: dict[str, str] = {
         FROM (SELECT DISTINCT user_id, "date" AS d FROM {I}
               WHERE "date" >= DATE '{YEAR_START}' AND "date" < DATE '{YEAR_END}'))
         WHERE days_diff = 1 GROUP BY days_diff""",
+    "streak_days_active": f"""SELECT CAST(sum(days_diff) AS BIGINT) AS daily_active_users FROM (
+        SELECT CAST(coalesce(d - lag(d) OVER (PARTITION BY user_id ORDER BY d), 1) AS INTEGER) AS days_diff
+        FROM (SELECT DISTINCT user_id, "date" AS d FROM {I}
+              WHERE "date" >= DATE '{YEAR_START}' AND "date" < DATE '{YEAR_END}'
+                AND action_type IN {ACTIVE_ACTIONS!r}))
+        WHERE days_diff = 1 GROUP BY days_diff""",
     "daily_user_rollup": f"""SELECT user_id, "date", count(*) AS events, min("timestamp") AS first_ts,
         max("timestamp") AS last_ts, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM {I} GROUP BY user_id, "date" """,
     "user_timeline": f"""SELECT * FROM {I} WHERE user_id IN {TIMELINE_USERS!r} ORDER BY user_id, "timestamp", event_id""",
@@ -537,11 +648,15 @@ _ORACLE: dict[str, str] = {
     "enrich_shuffle_hash": _ENRICH_SQL,
     "enrich_salted": _ENRICH_SQL,
     "enrich_auto": _ENRICH_SQL,
+    "enrich_partial_dimension": f"""SELECT i.*, m.subscription_type FROM {I} i
+        LEFT JOIN {M} m ON i.user_id = m.user_id AND m.subscription_type = 'BUILDING'""",
+    "partition_totals": f"""SELECT 'interactions' AS "table", count(*) AS rows FROM {I}
+        UNION ALL SELECT 'metadata', count(*) FROM {M}""",
     "activity_by_dims": f"""SELECT m.country, m.subscription_type, count(*) AS count
         FROM {I} i JOIN {M} m ON i.user_id = m.user_id GROUP BY 1, 2""",
     "activity_by_dims_broadcast": f"""SELECT m.country, m.subscription_type, count(*) AS count
         FROM {I} i JOIN {M} m ON i.user_id = m.user_id GROUP BY 1, 2""",
-    "count_salted": "SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey",
+    "count_salted": "SELECT o_custkey, count(DISTINCT o_orderkey) AS count FROM orders GROUP BY o_custkey",
     "bucketed_join": _ENRICH_SQL,
     "prepartitioned_join": _ENRICH_SQL,
     "key_frequency": f"SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey ORDER BY count DESC, o_custkey LIMIT {TOP_K}",
@@ -606,6 +721,14 @@ _ORACLE: dict[str, str] = {
     + " UNION ALL "
     + _accuracy_sql("documents.n_chars", "documents", "doc_id", "n_chars", "(SELECT doc_id, length(text) AS _t FROM documents)"),
     "quarantine": f"SELECT * FROM (SELECT *, {_reasons_sql()} AS reasons FROM {I}) WHERE reasons IS NOT NULL",
+    "impute_default": _impute_sql(f"any_value({IMPUTE_DEFAULT})"),
+    "impute_median": _impute_sql("round(quantile_cont(duration_ms, 0.5))"),
+    "impute_mode": _impute_sql("(list(duration_ms ORDER BY n DESC, duration_ms))[1]", counted=True),
+    "deduplicate": f"""SELECT user_id, action_type, "timestamp", event_id, page_id FROM {I}
+        QUALIFY row_number() OVER (PARTITION BY user_id, action_type ORDER BY "timestamp" DESC, event_id DESC) = 1""",
+    "ingest_corrupt_rows": r"""WITH t AS (SELECT length(text) - length(replace(text, chr(10), '')) AS breaks FROM documents)
+        SELECT 'ok' AS status, count(*) AS rows, count(*) AS keyed_rows FROM t WHERE breaks = 0
+        UNION ALL SELECT 'corrupt', CAST(sum(breaks + 1) AS BIGINT), count(*) FROM t WHERE breaks > 0""",
     "impute": f"""WITH m AS (SELECT action_type, avg(duration_ms) AS mu FROM {I}
           WHERE duration_ms IS NOT NULL AND duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]} GROUP BY 1)
       SELECT i.event_id, i.action_type,
@@ -613,9 +736,9 @@ _ORACLE: dict[str, str] = {
              THEN i.duration_ms ELSE CAST(round(m.mu) AS BIGINT) END AS duration_ms,
         NOT coalesce(i.duration_ms IS NOT NULL AND i.duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]}, false) AS imputed
       FROM {I} i LEFT JOIN m ON i.action_type = m.action_type""",
-    "generate_interactions": generate.interactions_sql("(SELECT event_id AS id FROM events)"),
-    "generate_metadata": generate.metadata_sql("(SELECT c_custkey AS id FROM customer)"),
-    "convert_round_trip": 'SELECT CAST(ts AS DATE) AS "date", count(*) AS rows FROM events GROUP BY 1',
+    "generate_interactions": _interactions_sql("(SELECT event_id AS id FROM events)"),
+    "generate_metadata": _metadata_sql("(SELECT c_custkey AS id FROM customer)"),
+    "convert_round_trip": f"SELECT * FROM {I}",
     "sum_numeric": """SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS sum_l_orderkey,
         CAST(sum(l_partkey) AS BIGINT) AS sum_l_partkey, CAST(sum(l_suppkey) AS BIGINT) AS sum_l_suppkey,
         CAST(sum(l_linenumber) AS BIGINT) AS sum_l_linenumber, round(sum(l_quantity), 4) AS sum_l_quantity,

@@ -14,17 +14,50 @@ holds at most one entry per calendar period of the range.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.functions import days_between, period_start
+from cadence.functions import period_start
 from cadence.operators._common import in_range
 
 
-_MAX_DAYS = 1 << 30  # "to the end of the array" for slice
+_WORD = 63  # period bits per BIGINT (the sign bit stays clear)
+
+
+def _period_index(ts: str | Column, grain: str) -> Column:
+    """Number of the calendar period since year 0 / 1970 (consecutive)."""
+    if grain == "day":
+        return F.unix_date(F.to_date(ts))
+    months = F.year(ts) * 12 + F.month(ts) - 1
+    return {"month": months, "quarter": F.floor(months / 3), "year": F.year(ts)}[grain].cast("int")
+
+
+def _bit_words(index: Column, low: int, high: int) -> list[Column]:
+    """Per-group bit sets of ``index`` in ``[low, high]``, as one ``bit_or``
+    per word: a fixed-size buffer for the hash aggregate."""
+    words = []
+    for base in range(low, high + 1, _WORD):
+        at = index - F.lit(base)
+        one = F.expr("1L")
+        words.append(F.bit_or(F.when((at >= 0) & (at < _WORD), F.call_function("shiftleft", one, at.cast("int")))))
+    return [F.coalesce(w, F.lit(0).cast("bigint")) for w in words]
+
+
+def _index_range(start, end, grain: str) -> tuple[int, int] | None:
+    """First and last period index of the half-open range (None if open)."""
+    if start is None or end is None or grain not in ("day", "month", "quarter", "year"):
+        return None
+    first, last = (dt.date.fromisoformat(str(x)[:10]) for x in (start, end))
+
+    def number(d: dt.date) -> int:
+        months = d.year * 12 + d.month - 1
+        return {"day": (d - dt.date(1970, 1, 1)).days, "month": months, "quarter": months // 3, "year": d.year}[grain]
+
+    return number(first), number(last)
 
 
 def _restrict(df, ts, start, end, date_col, action_col, actions):
@@ -106,12 +139,16 @@ def users_active_in_n_periods(
         pairs = df.select(F.col(user).alias("_u"), period.alias("_p")).distinct()
         nth = pairs.select("_u", F.row_number().over(Window.partitionBy("_u").orderBy("_p")).alias("_rn"))
         return nth.where(F.col("_rn") == n).agg(F.count("_u").cast("bigint").alias(value_name))
-    # One shuffle by user: each user's set of periods (at most one entry per
-    # period of the range, built map-side) is sized directly.  A null period
-    # counts as one more distinct value, as in a grouping.
-    per_user = df.groupBy(F.col(user).alias("_u")).agg(
-        (F.size(F.collect_set(period)) + F.max(F.when(period.isNull(), 1).otherwise(0))).alias("_n")
-    )
+    span = _index_range(start, end, grain)
+    missing = F.max(F.when(F.col(ts).isNull(), 1).otherwise(0))  # a null period counts as one more value
+    if span is None:  # open range: one row per (user, period) first
+        pairs = df.select(F.col(user).alias("_u"), period.alias("_p")).distinct()
+        per_user = pairs.groupBy("_u").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        # One shuffle by user: each user's periods are bits, set map-side.
+        words = _bit_words(_period_index(ts, grain), *span)
+        per_user = df.groupBy(F.col(user).alias("_u")).agg(*[w.alias(f"_w{i}") for i, w in enumerate(words)], missing.alias("_null"))
+        per_user = per_user.withColumn("_n", sum((F.bit_count(f"_w{i}") for i in range(len(words))), F.col("_null")))
     return per_user.where(F.col("_n") >= n).agg(F.count("_u").cast("bigint").alias(value_name))
 
 
@@ -129,28 +166,34 @@ def streak_days(
     """Count of (user, day) that are the user's first active day in range or
     directly follow an active day — the reference's "daily streak" figure.
 
-    Equals (#users) + (#day-to-day continuations).  Each user's active days
-    are collected as a set (at most one entry per calendar day of the range,
-    however many events the user has) in a single shuffle by user.
+    Equals (#users) + (#day-to-day continuations).  In a closed range each
+    user's active days are bits, set map-side (one shuffle by user, a
+    fixed-size buffer per user); neighbouring bits are continuations.  An open
+    range goes through one row per (user, day).
     One row; no row on empty input (the grouped sum has no group).
     """
     df = _restrict(df, ts, start, end, date_col, action_col, actions)
     day = F.col(date_col) if date_col else F.to_date(ts)
-    # One shuffle by user: the sorted set of the user's active days (at most
-    # one entry per calendar day of the range, de-duplicated map-side), then
-    # consecutive-day pairs counted with array functions — no window sort.
-    per_user = df.groupBy(F.col(user).alias("_u")).agg(
-        F.array_sort(F.collect_set(day)).alias("_ds"), F.max(F.when(day.isNull(), 1).otherwise(0)).alias("_null")
-    )
-    ds = F.col("_ds")
-    gaps = F.zip_with(F.slice(ds, 2, _MAX_DAYS), F.slice(ds, 1, _MAX_DAYS), lambda a, b: F.datediff(a, b))
-    continuations = F.size(F.filter(gaps, lambda g: g == 1))
-    # first day counts 1; a null day sorts first and counts 1, and the day
+    # the first day counts 1; a null day sorts first and counts 1, and the day
     # after it counts 1 too (its difference to null is unknown -> 1)
-    streak = F.col("_null") + F.when(F.size(ds) > 0, 1).otherwise(0) + continuations
+    missing = F.max(F.when(day.isNull(), 1).otherwise(0))
+    span = _index_range(start, end, "day")
+    if span is None:
+        pairs = df.select(F.col(user).alias("_u"), day.alias("_d")).distinct()
+        before = F.lag("_d").over(Window.partitionBy("_u").orderBy("_d"))
+        starts = F.when(F.col("_d").isNull() | before.isNull() | (F.datediff("_d", before) == 1), 1).otherwise(0)
+        per_user = pairs.select("_u", starts.alias("_streak"))
+    else:
+        words = _bit_words(F.unix_date(day), *span)
+        per_user = df.groupBy(F.col(user).alias("_u")).agg(*[w.alias(f"_w{i}") for i, w in enumerate(words)], missing.alias("_null"))
+        w = [F.col(f"_w{i}") for i in range(len(words))]
+        within = [F.bit_count(x.bitwiseAND(F.shiftright(x, 1))) for x in w]
+        across = [F.shiftright(a, _WORD - 1).bitwiseAND(b).bitwiseAND(F.lit(1)).cast("int") for a, b in zip(w, w[1:])]
+        some = F.when(sum((F.bit_count(x) for x in w), F.lit(0)) > 0, 1).otherwise(0)
+        per_user = per_user.select(sum([*within, *across], F.col("_null") + some).alias("_streak"))
     return (
         per_user.groupBy(F.lit(1).alias("_g"))  # grouped: no row on empty input
-        .agg(F.sum(streak).cast("bigint").alias(value_name))
+        .agg(F.sum("_streak").cast("bigint").alias(value_name))
         .select(value_name)
     )
 

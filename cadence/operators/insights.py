@@ -25,17 +25,16 @@ def _month_index(c):
 def retention(df: DataFrame, user: str = "user_id", ts: str = "timestamp") -> DataFrame:
     """``(cohort_month, months_since, active_users, cohort_users, retention)``.
 
-    A user's cohort is the month of their first event.  One shuffle by user
-    collects each user's set of active months (at most one entry per month,
-    built map-side, whatever the user's event volume); the cohort is its
-    minimum, and each month becomes one (cohort, offset) row.
+    A user's cohort is the month of their first event.  Events are reduced to
+    one row per (user, month) map-side; the cohort is the minimum over a
+    user's months (at most one row per calendar month in a window).
     """
-    per_user = (
+    pairs = (
         df.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-        .groupBy(F.col(user).alias("_u"))
-        .agg(F.collect_set(period_start(ts, "month")).alias("_ms"))
+        .select(F.col(user).alias("_u"), period_start(ts, "month").alias("_m"))
+        .distinct()
     )
-    um = per_user.select(F.array_min("_ms").alias("cohort_month"), F.explode("_ms").alias("_m"))
+    um = pairs.select(F.min("_m").over(Window.partitionBy("_u")).alias("cohort_month"), "_m")
     counts = (
         um.select("cohort_month", (_month_index(F.col("_m")) - _month_index(F.col("cohort_month"))).alias("months_since"))
         .groupBy("cohort_month", "months_since")
@@ -76,7 +75,7 @@ def subscription_insights(
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(duration).alias("_d"), F.count(duration).alias("_dn"))
     )
-    dim, _ = apply_strategy(users.select(key, attr), strategy, max_broadcast_bytes)
+    dim = apply_strategy(users.select(key, attr), strategy, max_broadcast_bytes)
     return (
         per_user.join(dim, key)
         .groupBy(attr)

@@ -1,10 +1,11 @@
 """Fact-to-dimension joins with an explicit strategy, and dimensional counts.
 
 * ``enrich``          left-outer lookup of dimension attributes (sort-merge,
-                      size-checked broadcast, shuffle-hash, salted, or auto)
+                      checked broadcast, shuffle-hash, salted, or auto)
 * ``activity_by``     events counted by dimension attributes (inner join)
-* ``salted_count``    two-phase count for skewed keys
-* ``write_bucketed`` / ``bucketed_join``  co-located join without a shuffle
+* ``salted_count_distinct``  two-phase distinct count for skewed keys
+* ``prepare_layout`` / ``layout_join`` / ``bucketed_join``  co-located join
+                      without a shuffle
 
 The dimension here (user metadata) is *not* assumed unique per key: a
 duplicated key duplicates the fact rows it matches, as a join does.
@@ -13,40 +14,42 @@ duplicated key duplicates the fact rows it matches, as a join does.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cadence.functions import det_salt
-from cadence.operators.skew import hot_key_stats
-from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy, estimated_bytes
-from cadence.session import scratch_path
-from cadence.sources.local import local_table
+from cadence.operators.skew import hot_keys
+from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy, input_bytes
+from cadence.session import scratch_path, scratch_table
 
+SALT_ROWS = 1_000_000
 
-def _salt_table(fact: DataFrame, key: str, counts: list[tuple], salt_rows: int, max_salts: int) -> DataFrame:
-    """One row per hot key with its number of salts: enough that each salt
-    carries about ``salt_rows`` fact rows, at most ``max_salts``.  Bounded by
-    the hot-key list, so broadcasting it is safe."""
-    rows = [(k, int(min(max_salts, max(2, -(-n // salt_rows))))) for k, n in counts]
-    return local_table(fact.sparkSession, rows, T.StructType([fact.schema[key], T.StructField("_ns", T.IntegerType())]))
 
-
-def _salted_pair(fact: DataFrame, dim: DataFrame, key: str, salts: DataFrame):
-    """Salt the fact rows of hot keys over that key's number of salts (a hash
-    of the row: deterministic under retries) and replicate only the hot keys'
-    dimension rows over all their salts.  Cold keys keep salt 0."""
-    st = F.broadcast(salts)
-    row_hash = F.xxhash64(*[fact[c] for c in fact.columns])
-    fact_s = fact.join(st, key, "left").withColumn(
-        "_salt", F.when(F.col("_ns").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_ns"))).cast("int")
+def _salted_join(fact: DataFrame, dim: DataFrame, key: str, cols: Sequence[str], salt_rows: int, hot_min_rows: int) -> DataFrame:
+    """Left-outer lookup with the rows of hot keys spread over as many salts
+    as the key's own size asks for, and the hot keys' dimension rows repeated
+    once per salt.  Null keys match nothing and are spread by the row's hash."""
+    hot = hot_keys(fact, key, hot_min_rows).select(
+        F.col(key).alias("_hk"), F.greatest(F.lit(2), F.ceil(F.col("n") / salt_rows)).cast("bigint").alias("_ns")
     )
-    dim_s = dim.join(st, key, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_ns").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_ns") - 1))),
+    salts = F.broadcast(hot)  # bounded by construction, see skew.hot_keys
+    row_hash = F.xxhash64(*[fact[c] for c in fact.columns])
+    spread = (
+        F.when(fact[key].isNull(), row_hash)
+        .when(F.col("_ns").isNotNull(), F.pmod(row_hash, F.col("_ns")))
+        .otherwise(F.lit(0))
     )
-    return fact_s.drop("_ns"), dim_s.drop("_ns")
+    fact_s = fact.join(salts, fact[key] == F.col("_hk"), "left").withColumn("_salt", spread.cast("bigint"))
+    fact_s = fact_s.select(*[F.col(f"`{c}`") for c in fact.columns], "_salt")
+    # dimension attributes travel under private names, so an attribute that
+    # the events also carry cannot make the output ambiguous
+    dim_t = dim.select(F.col(key).alias("_dk"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(cols)])
+    all_salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_ns") - 1, F.lit(0)))
+    dim_s = dim_t.join(salts, F.col("_dk") == F.col("_hk"), "left").withColumn("_dsalt", F.explode(all_salts)).drop("_hk", "_ns")
+    j = fact_s.join(dim_s, (fact_s[key] == F.col("_dk")) & (F.col("_salt") == F.col("_dsalt")), "left_outer")
+    return j.select(*[F.col(f"`{c}`") for c in fact.columns], *[F.col(f"_d{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def enrich(
@@ -57,42 +60,25 @@ def enrich(
     strategy: str = "merge",
     dedupe: bool = False,
     max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-    salts: int = 16,
-    hot_min_rows: int = 1_000_000,
-    hot: Sequence | None = None,
-    salt_rows: int = 1_000_000,
-    max_salts: int | None = None,
+    salt_rows: int = SALT_ROWS,
+    hot_min_rows: int | None = None,
 ) -> DataFrame:
     """All event columns + ``cols`` from ``users``; unmatched events get nulls.
 
-    ``dedupe`` keeps one dimension row per key (which one is unspecified), for
+    ``dedupe`` keeps one dimension row per key, the least in ``cols``, for
     dimensions known to carry accidental duplicates.
 
-    ``strategy="salted"``: keys with more than ``hot_min_rows`` events get
-    ``ceil(rows / salt_rows)`` salts (at most ``max_salts``, default the
-    shuffle partition count), so a key holding a third of the data spreads
-    over as many reducers as it needs.  ``hot`` names the hot keys directly,
-    each with ``salts`` salts.
+    ``strategy="salted"``: keys with more than ``hot_min_rows`` events (default
+    ``salt_rows``) get one salt per ``salt_rows`` of their events, so a key
+    holding a third of the data spreads over as many reducers as it needs.
     """
     dim = users.select(key, *cols)
     if dedupe:
-        dim = dim.dropDuplicates([key])
+        packed = F.struct(*[F.col(c) for c in cols])
+        dim = dim.groupBy(key).agg(F.min(packed).alias("_first")).select(key, *[F.col(f"_first.{c}").alias(c) for c in cols])
     if strategy == "salted":
-        spark = events.sparkSession
-        if max_salts is None:
-            max_salts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        if hot is not None:
-            table = _salt_table(events, key, [(k, salts * salt_rows) for k in hot], salt_rows, max(max_salts, salts))
-        else:
-            table = _salt_table(events, key, [(r[0], r[1]) for r in hot_key_stats(events, key, hot_min_rows)], salt_rows, max_salts)
-        # dimension attributes travel under private names, so an attribute
-        # that the events also carry cannot make the output ambiguous
-        tmp = {c: f"_d{i}" for i, c in enumerate(cols)}
-        dim_t = dim.select(key, *[F.col(c).alias(t) for c, t in tmp.items()])
-        fact_s, dim_s = _salted_pair(events, dim_t, key, table)
-        j = fact_s.join(dim_s, [key, "_salt"], "left_outer")
-        return j.select(*[F.col(f"`{c}`") for c in events.columns], *[F.col(t).alias(c) for c, t in tmp.items()])
-    dim_h, _ = apply_strategy(dim, strategy, max_broadcast_bytes)
+        return _salted_join(events, dim, key, cols, salt_rows, salt_rows if hot_min_rows is None else hot_min_rows)
+    dim_h = apply_strategy(dim, strategy, max_broadcast_bytes)
     j = events.join(dim_h, events[key] == dim_h[key], "left_outer")
     return j.select(*[events[c] for c in events.columns], *[dim_h[c] for c in cols])
 
@@ -103,7 +89,6 @@ def activity_by(
     dims: Sequence[str] = ("country", "subscription_type"),
     key: str = "user_id",
     strategy: str = "auto",
-    pre_aggregate: bool = True,
     cluster_by: str | None = None,
     max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
     count_name: str = "count",
@@ -111,105 +96,107 @@ def activity_by(
     """Event counts per dimension attributes: ``(*dims, count)``; inner join,
     so events without a dimension row (and null keys) are not counted.
 
-    With ``pre_aggregate`` the events are first counted per key (partial
-    aggregation runs map-side), so the join sees one row per user instead of
-    one per event and a very busy user costs one row; the per-key counts are
-    then multiplied through the join — the same number a row-level join gives.
-    ``cluster_by`` hash-distributes the (small) result by that column.
+    The events are first counted per key (partial aggregation runs map-side),
+    so the join sees one row per user instead of one per event and a very busy
+    user costs one row; the per-key counts are then multiplied through the
+    join — the same number a row-level join gives.  ``cluster_by``
+    hash-distributes the (small) result by that column.
     """
-    dim = users.select(key, *dims)
-    dim_h, _ = apply_strategy(dim, strategy, max_broadcast_bytes)
-    if pre_aggregate:
-        fact = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        out = fact.join(dim_h, key, "inner").groupBy(*dims).agg(F.sum("_n").cast("bigint").alias(count_name))
-    else:
-        out = events.select(key).join(dim_h, key, "inner").groupBy(*dims).agg(F.count(F.lit(1)).alias(count_name))
-    if cluster_by:
-        out = out.repartition(cluster_by)
-    return out
-
-
-def salted_count(
-    df: DataFrame, key: str, salts: int = 16, count_name: str = "count", salt_cols: Sequence[str] | None = None
-) -> DataFrame:
-    """Rows per key in two phases: (key, salt) then key.  The first phase
-    spreads one hot key over ``salts`` reducers; result equals a plain count.
+    dim_h = apply_strategy(users.select(key, *dims), strategy, max_broadcast_bytes)
+    fact = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    out = fact.join(dim_h, key, "inner").groupBy(*dims).agg(F.sum("_n").cast("bigint").alias(count_name))
+    return out.repartition(cluster_by) if cluster_by else out
+
+
+def salted_count_distinct(df: DataFrame, key: str, value: str, salts: int = 16, count_name: str = "count") -> DataFrame:
+    """Different non-null ``value`` per ``key`` in two phases.
 
-    The salt hashes ``salt_cols`` (default: every column); pass a row id
-    column so the scan reads only the key and that column."""
-    cols = list(salt_cols) if salt_cols else df.columns
-    first = df.groupBy(key, det_salt(salts, *cols).alias("_salt")).agg(F.count(F.lit(1)).alias("_n"))
+    A plain distinct count sends all different values of a key to one task;
+    they cannot be combined below that.  Salting by the value's hash keeps
+    equal values together and spreads a hot key's values over ``salts`` tasks,
+    whose counts are then added."""
+    first = df.groupBy(key, det_salt(salts, value).alias("_salt")).agg(F.count_distinct(value).alias("_n"))
     return first.groupBy(key).agg(F.sum("_n").cast("bigint").alias(count_name))
 
 
 BUCKET_BYTES = 1 << 30  # target bytes of fact data per bucket for buckets="auto"
+HOT_BUCKETS = 2  # a key with this many buckets' worth of rows is stored aside
 
 
-def auto_buckets(fact: DataFrame, bucket_bytes: int = BUCKET_BYTES, minimum: int = 8) -> int:
-    """Bucket count for a fact table: about one bucket per ``bucket_bytes`` of
-    its (file-based) size estimate, at least ``minimum`` — so the bucketed
-    join runs with parallelism that grows with the data."""
-    size = estimated_bytes(fact) or 0
-    return max(minimum, -(-size // bucket_bytes))
+def auto_buckets(fact: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """One bucket per ``bucket_bytes`` of the files ``fact`` reads.  Raises
+    when it reads no files, or needs more buckets than Spark allows: then the
+    bucket size (or the layout) is for the caller to choose."""
+    size = input_bytes(fact)
+    if size is None:
+        raise ValueError("no input files to size buckets from; pass buckets=")
+    n = max(1, -(-size // bucket_bytes))
+    most = int(fact.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    if n > most:
+        raise ValueError(f"{n} buckets of {bucket_bytes} bytes are over spark.sql.sources.bucketing.maxBuckets = {most}")
+    return n
 
 
-def write_bucketed(
-    df: DataFrame,
-    key: str,
-    buckets: int,
-    name: str | None = None,
-    partition_by: Sequence[str] = (),
-) -> DataFrame:
+def write_bucketed(df: DataFrame, key: str, buckets: int, partition_by: Sequence[str] = ()) -> DataFrame:
     """Store ``df`` as a table bucketed and sorted by ``key`` in the shared
-    folder (the preprocessing layout for repeated joins on ``key``), and
-    return a reader of it.  Both sides of a later join must use the same key
-    and bucket count."""
+    folder, and return a reader of it.  The rows are dealt by the bucket's own
+    hash first, so a task writes one bucket: at most one file per bucket and
+    partition value.  The table is dropped by ``session.clean_scratch``."""
     spark = df.sparkSession
     path = scratch_path(spark, "bucketed")
-    table = name or "bkt_" + path.rsplit("-", 1)[-1]
-    w = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+    table = scratch_table(spark, "bkt")
+    w = df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+    w = w.bucketBy(buckets, key).sortBy(key)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(table)
     return spark.table(table)
 
 
-def prepare_layout(
-    events: DataFrame, key: str = "user_id", buckets: int | str = "auto", partition_by: Sequence[str] = ("date",)
-) -> DataFrame:
-    """Preprocessing for downstream joins and date-range jobs: store the
-    events partitioned by ``partition_by`` (partition pruning for ranges)
-    and bucketed + sorted by ``key`` inside each partition (joins on ``key``
-    need no shuffle).  Returns a reader of the stored table; its bucket count
-    is what ``layout_join`` must use for the dimension."""
-    n = auto_buckets(events) if buckets == "auto" else int(buckets)
-    return write_bucketed(events, key, n, partition_by=partition_by)
-
+class Layout(NamedTuple):
+    """Events stored for joins on a key: bucketed, and hot keys aside."""
 
-def bucket_count(table: DataFrame) -> int | None:
-    """Bucket count of a table read back from ``write_bucketed`` (None if not bucketed)."""
-    spec = table._jdf.queryExecution().analyzed().collectLeaves().head()
-    try:
-        bs = spec.catalogTable().get().bucketSpec()
-        return int(bs.get().numBuckets()) if bs.isDefined() else None
-    except Exception:  # not a catalog table
-        return None
+    bucketed: DataFrame
+    aside: DataFrame
+    buckets: int
+    key: str
 
 
-def layout_join(
-    laid_out: DataFrame,
-    users: DataFrame,
-    cols: Sequence[str] = ("subscription_type",),
+def prepare_layout(
+    events: DataFrame,
     key: str = "user_id",
-    buckets: int | None = None,
-) -> DataFrame:
-    """``enrich`` of a table stored by ``prepare_layout`` with a dimension
-    bucketed the same way (same count, read from the stored table unless
-    given): matching buckets are joined in place."""
-    n = buckets or bucket_count(laid_out) or 8
-    dim = write_bucketed(users.select(key, *cols), key, n)
+    buckets: int | str = "auto",
+    partition_by: Sequence[str] = ("date",),
+    hot_min_rows: int | None = None,
+) -> Layout:
+    """Preprocessing for downstream joins and date-range jobs: store the
+    events partitioned by ``partition_by`` (partition pruning for ranges) and
+    bucketed + sorted by ``key`` inside each partition (joins on ``key`` need
+    no shuffle).  Rows of keys larger than ``HOT_BUCKETS`` even buckets (or
+    ``hot_min_rows``), and rows without key, would fill one bucket; they are
+    stored aside, unbucketed, and joined salted."""
+    n = auto_buckets(events) if buckets == "auto" else int(buckets)
+    limit = hot_min_rows if hot_min_rows is not None else HOT_BUCKETS * (events.count() // n + 1)
+    hot = F.broadcast(hot_keys(events, key, limit).select(F.col(key).alias("_hk")))
+    tagged = events.join(hot, events[key] == F.col("_hk"), "left")
+    is_aside = F.col("_hk").isNotNull() | F.col(key).isNull()
+    columns = [F.col(f"`{c}`") for c in events.columns]
+    bucketed = write_bucketed(tagged.where(~is_aside).select(*columns), key, n, partition_by)
+    path = scratch_path(events.sparkSession, "aside")
+    w = tagged.where(is_aside).select(*columns).write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    aside = events.sparkSession.read.schema(bucketed.schema).parquet(path)
+    return Layout(bucketed, aside, n, key)
+
+
+def layout_join(layout: Layout, users: DataFrame, cols: Sequence[str] = ("subscription_type",), salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``enrich`` of events stored by ``prepare_layout`` with a dimension
+    bucketed the same way: matching buckets are joined in place."""
+    key, laid_out = layout.key, layout.bucketed
+    dim = write_bucketed(users.select(key, *cols), key, layout.buckets)
     j = laid_out.join(dim.hint("merge"), laid_out[key] == dim[key], "left_outer")
-    return j.select(*[laid_out[c] for c in laid_out.columns], *[dim[c] for c in cols])
+    even = j.select(*[laid_out[c] for c in laid_out.columns], *[dim[c] for c in cols])
+    return even.unionByName(_salted_join(layout.aside, users.select(key, *cols), key, cols, salt_rows, salt_rows))
 
 
 def bucketed_join(
@@ -220,12 +207,8 @@ def bucketed_join(
     buckets: int | str = "auto",
 ) -> DataFrame:
     """``enrich`` over bucketed copies of both sides (same bucket count,
-    ``"auto"`` = one per GiB of events): the sort-merge join reads matching
-    buckets directly, with no exchange on either side."""
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
-    n = auto_buckets(events) if buckets == "auto" else int(buckets)
-    ev = write_bucketed(events, key, n)
-    dim = write_bucketed(users.select(key, *cols), key, n)
-    j = ev.join(dim.hint("merge"), ev[key] == dim[key], "left_outer")
-    return j.select(*[ev[c] for c in events.columns], *[dim[c] for c in cols])
+    ``"auto"`` = one per GiB of event files): the sort-merge join reads
+    matching buckets directly, with no exchange on either side."""
+    return layout_join(prepare_layout(events, key, buckets, partition_by=()), users, cols).select(
+        *[F.col(f"`{c}`") for c in events.columns], *cols
+    )

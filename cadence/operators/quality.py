@@ -12,10 +12,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadence.operators._common import bound_literal
 from cadence.operators.quantiles import percentile_values
-from cadence.plans.strategy import bounded_lookup
+from cadence.plans.lineage import cut_lineage
 
 
 def _violates(cond: Column) -> Column:
@@ -149,28 +150,83 @@ def quarantine(df: DataFrame, rules: Mapping[str, Column], path: str, fmt: str =
     and return a reader of the quarantined rows."""
     tagged = with_reasons(df, rules).withColumn("is_valid", F.col("reasons").isNull())
     tagged.write.mode("overwrite").format(fmt).partitionBy("is_valid").save(path)
-    base = df.sparkSession.read.format(fmt).load(path)
+    # read with the known schema: an empty result has no files to infer one from
+    base = df.sparkSession.read.format(fmt).schema(tagged.schema).load(path)
     return base.where(~F.col("is_valid")).drop("is_valid")
 
 
+def value_accuracy(df: DataFrame, value: str, truth: Column, label: str, rel_tol: float = 1e-6) -> DataFrame:
+    """``accuracy`` against a truth that the row itself holds (no join)."""
+    t = F.col("_t")
+    off = F.abs(F.col(value) - t) > F.lit(rel_tol) * F.greatest(F.abs(F.col(value)), F.abs(t), F.lit(1.0))
+    return df.select(value, truth.alias("_t")).agg(
+        F.lit(label).alias("check"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(t.isNull(), 1)).alias("missing"),
+        F.count(F.when(off, 1)).alias("mismatches"),
+        F.round(F.try_divide(F.count(F.when(off, 1)), F.count(F.lit(1))), 6).alias("mismatch_rate"),
+    )
+
+
+def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], descending: bool = False) -> DataFrame:
+    """One row per ``keys`` (nulls are equal): the first by ``order_by``, or the
+    last with ``descending``.  A grouped minimum, combined map-side, so a key
+    repeated a billion times ships one row per task; the remaining columns
+    break ties, so the result is the same on every run."""
+    rest = [c for c in df.columns if c not in keys and c not in order_by]
+    packed = F.struct(*[F.col(f"`{c}`") for c in [*order_by, *rest]])
+    best = df.groupBy(*keys).agg((F.max if descending else F.min)(packed).alias("_row"))
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+
+
+def _fill(df: DataFrame, col: str, out_col: str, good: Column, fill: Column, extra: Sequence[str] = ()) -> DataFrame:
+    keep = F.col("_good")
+    out = df.withColumn(out_col, F.when(keep, F.col(col)).otherwise(fill))
+    return out.withColumn("imputed", ~keep).drop("_good", *extra)
+
+
+def impute(
+    df: DataFrame, col: str, how: str, value=None, valid: Column | None = None, out_col: str | None = None
+) -> DataFrame:
+    """Replace null (or invalid) ``col`` values by ``value`` (``"default"``),
+    or by the ``"mean"``, the exact ``"median"`` or the ``"mode"`` (smallest of
+    the most frequent) of the valid ones; adds ``imputed`` (boolean).
+
+    The fill is one scalar of a distributed job.  Integral and decimal columns
+    keep their type; means and medians are rounded to it."""
+    good = F.col(col).isNotNull() & (valid if valid is not None else F.lit(True))
+    rows = df.where(good)
+    if how == "default":
+        fill = value
+    elif how == "mean":
+        fill = rows.agg(F.avg(col)).first()[0]
+    elif how == "median":
+        fill = percentile_values(rows, col, {"m": 0.5})["m"]
+    elif how == "mode":
+        top = rows.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), F.col(col)).first()
+        fill = top[0] if top else None
+    else:
+        raise ValueError("how must be default, mean, median or mode")
+    kind = df.schema[col].dataType
+    lit = F.lit(fill)
+    if isinstance(kind, (T.IntegralType, T.DecimalType)) and isinstance(fill, float):
+        lit = F.round(lit, getattr(kind, "scale", 0))
+    return _fill(df.withColumn("_good", good), col, out_col or col, good, lit.cast(kind))
+
+
 def impute_by_group(
     df: DataFrame, col: str, group: str, valid: Column | None = None, out_col: str | None = None, integral: bool = True
 ) -> DataFrame:
     """Replace null (or invalid) ``col`` values by the mean of the valid ones
     in the same ``group``; adds ``imputed`` (boolean).  The group means are
-    computed once and broadcast back (``plans.strategy.bounded_lookup``)."""
+    written once as a table, whose true size then lets Spark choose how to
+    join them back."""
     good = F.col(col).isNotNull() & (valid if valid is not None else F.lit(True))
-    means = df.where(good).groupBy(group).agg(F.avg(col).alias("_mean"))
-    # One row per group, computed once and broadcast when the group count is
-    # bounded: a shuffle join on a low-cardinality group would send each group
-    # to one reducer, and re-planning the aggregate would scan the input again.
-    means, _ = bounded_lookup(means)
+    means = df.where(good).groupBy(F.col(group).alias("_g")).agg(F.avg(col).alias("_mean"))
+    means = cut_lineage(means, "table")
     fill = F.round("_mean").cast("bigint") if integral else F.col("_mean")
-    j = df.withColumn("_good", good).join(means, group, "left")
-    out_col = out_col or col
-    return j.withColumn(out_col, F.when(F.col("_good"), F.col(col)).otherwise(fill)).withColumn(
-        "imputed", ~F.col("_good")
-    ).drop("_good", "_mean")
+    j = df.withColumn("_good", good).join(means, F.col(f"`{group}`") == F.col("_g"), "left")
+    return _fill(j, col, out_col or col, good, fill, ("_g", "_mean"))
 
 
 def capped(
@@ -182,9 +238,9 @@ def capped(
     ``mode="cap"`` winsorizes into ``out_col`` (default ``<col>_capped``);
     ``mode="filter"`` keeps only the rows inside the bounds."""
     b = percentile_values(df, col, {"lo": lower, "hi": upper})
-    lo, hi = F.lit(b["lo"]).cast("double"), F.lit(b["hi"]).cast("double")
     if mode == "filter":
-        return df.where(F.col(col).between(lo, hi))
+        return df.where(F.col(col).between(F.lit(b["lo"]), F.lit(b["hi"])))
+    lo, hi = F.lit(b["lo"]).cast("double"), F.lit(b["hi"]).cast("double")
     if mode != "cap":
         raise ValueError("mode must be 'cap' or 'filter'")
     out_col = out_col or f"{col}_capped"
@@ -197,7 +253,7 @@ def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     q = percentile_values(df, col, {"q1": 0.25, "q3": 0.75})
     if q["q1"] is None:
         return df.withColumn("outlier", F.lit(None).cast("string")).limit(0)
-    iqr = q["q3"] - q["q1"]
-    low, high = q["q1"] - k * iqr, q["q3"] + k * iqr
+    q1, q3 = float(q["q1"]), float(q["q3"])
+    low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
     kind = F.when(F.col(col) < F.lit(low), "low").when(F.col(col) > F.lit(high), "high")
     return df.withColumn("outlier", kind).where(F.col("outlier").isNotNull())

@@ -5,20 +5,17 @@ and ``percentile_approx`` is approximate.  Here the exact linear-interpolated
 percentile (same definition as SQL ``percentile_cont``) is computed as a
 distributed selection:
 
-1. histogram: value -> count (map-side combined; a hot value is one row);
-2. cut the value axis into ~``buckets`` ranges with boundaries from a sketch
-   over the distinct values (a bounded list of doubles); the bucket of a
-   value is a binary search over those fixed split points (``Bucketizer``),
-   so it is the same on every retry;
-3. running count inside each bucket, plus the totals of the preceding
-   buckets (one row per bucket) — a two-level prefix sum;
-4. the values at ranks floor(p·(N-1)) and ceil(p·(N-1)) are the histogram
-   rows whose cumulative interval covers them; interpolate.
-
-Only bounded things reach the driver: the sketch boundaries and one count
-per bucket.
-
-The sketch only balances the buckets; the result is exact either way.
+1. histogram: value -> count, in the column's own type (map-side combined; a
+   hot value is one row), range-partitioned by value and written to the shared
+   folder with its partition number: the source is scanned once;
+2. rows per partition and their running total (one row per partition) give
+   the partitions that hold the wanted ranks;
+3. only these are sorted: the values at ranks floor(p·(N-1)) and ceil(p·(N-1))
+   are the histogram rows whose cumulative interval covers them.
+
+Values keep their type until the interpolation between two of them, so
+integers beyond 2^53 and decimals come back exactly where no interpolation is
+needed (``low``, ``high``).
 """
 
 from __future__ import annotations
@@ -31,110 +28,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.plans.lineage import cut_lineage
-from cadence.sources.local import local_table
-
-
-def _with_bucket(hist: DataFrame, bounds: list[float]) -> DataFrame:
-    """Adds ``_b`` = number of ``bounds`` (sorted, distinct) that are <= v.
-
-    Spark's ``Bucketizer`` does the binary search over the split points on
-    the JVM, for any number of buckets (an expression tree would outgrow
-    code generation at tens of thousands of splits)."""
-    from pyspark.ml.feature import Bucketizer
-
-    if not bounds:
-        return hist.withColumn("_b", F.lit(0))
-    splits = [-math.inf, *bounds, math.inf]
-    out = Bucketizer(splits=splits, inputCol="v", outputCol="_bd", handleInvalid="keep").transform(hist)
-    return out.withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
-
-
-def exact_percentiles(
-    df: DataFrame,
-    col: str,
-    probs: Sequence[float],
-    buckets: int | None = None,
-    checkpoint: bool = True,
-    rows_per_bucket: int = 1_000_000,
-    max_buckets: int = 65_536,
-) -> DataFrame:
-    """One row per probability: ``(p, value)`` (DOUBLE); nulls ignored.
-
-    ``buckets`` defaults to about one per ``rows_per_bucket`` distinct values
-    (at least 256, at most ``max_buckets``), so each bucket's running count is
-    a bounded sort however many distinct values there are.
-    Empty input gives no rows.
-    """
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
+    """One row per probability: ``p``, ``value`` (DOUBLE), and ``low`` and
+    ``high``, the neighbouring values in the column's type; nulls ignored.
+    Empty input gives no rows."""
     if any(not 0.0 <= float(p) <= 1.0 for p in probs):
         raise ValueError(f"probabilities must lie in [0, 1], got {list(probs)}")
     spark = df.sparkSession
-    hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    if checkpoint:
-        # The source is scanned once: the histogram (one row per distinct
-        # value) is written to the shared folder and the later passes read it.
-        hist = cut_lineage(hist, "table")
-
-    def sketch(k: int):
-        fracs = [i / k for i in range(1, k)]
-        return F.percentile_approx("v", fracs, max(10_000, 4 * k))
-
-    # one job: distinct-value count and a 256-bucket sketch; a finer sketch
-    # only when the distinct values need more buckets
-    k = buckets or 256
-    first = hist.agg(F.count(F.lit(1)).alias("d"), sketch(k).alias("b")).first()
-    if buckets is None:
-        need = int(min(max_buckets, max(256, -(-first["d"] // rows_per_bucket))))
-        if need > k:
-            k = need
-            first = hist.agg(F.count(F.lit(1)).alias("d"), sketch(k).alias("b")).first()
-    bounds = sorted(set(first["b"] or []))
-    b = _with_bucket(hist, bounds)
-    local = b.withColumn("_cum", F.sum("n").over(Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    # one row per bucket (at most ``buckets`` + 1): collected, it gives the
-    # total count and each bucket's offset.
-    totals = sorted((r["_b"], r["_bn"]) for r in b.groupBy("_b").agg(F.sum("n").alias("_bn")).collect())
-    total = sum(n for _, n in totals)
-    if total == 0:
-        return spark.createDataFrame([], "p double, value double")
-    offsets, run = [], 0
-    for bk, n in totals:
-        offsets.append((bk, run))
-        run += n
-    offs = local_table(spark, offsets, "_b int, _off long")
-    cum = local.join(F.broadcast(offs), "_b").select(
-        "v", (F.col("_off") + F.col("_cum") - F.col("n")).alias("_lo"), (F.col("_off") + F.col("_cum")).alias("_hi")
-    )
-
-    def holds(rank: int) -> Column:
-        return (F.col("_lo") <= rank) & (F.lit(rank) < F.col("_hi"))
-
+    hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    hist = cut_lineage(hist.repartitionByRange("v").withColumn("_b", F.spark_partition_id()), "table")
+    per_part = hist.groupBy("_b").agg(F.sum("n").alias("_bn"))
+    total = per_part.agg(F.sum("_bn")).first()[0]
+    if not total:
+        return spark.createDataFrame([], f"p double, value double, low {hist.schema['v'].dataType.simpleString()}, high {hist.schema['v'].dataType.simpleString()}")
     ranks = []
     for x in probs:
         pos = float(x) * (total - 1)
         ranks.append((float(x), math.floor(pos), math.ceil(pos), pos - math.floor(pos)))
     wanted = sorted({r for _, lo, hi, _ in ranks for r in (lo, hi)})
-    picked = cum.where(reduce(lambda a, c: a | c, [holds(r) for r in wanted])).agg(
-        *[F.max(F.when(holds(r), F.col("v"))).alias(f"_r{r}") for r in wanted]
+
+    def any_rank(holds) -> Column:
+        return reduce(lambda a, c: a | c, [holds(r) for r in wanted])
+
+    # one row per partition; at most one partition per wanted rank remains
+    order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = per_part.withColumn("_end", F.sum("_bn").over(order)).withColumn("_off", F.col("_end") - F.col("_bn"))
+    parts = parts.where(any_rank(lambda r: (F.col("_off") <= r) & (F.lit(r) < F.col("_end")))).select("_b", "_off")
+    inside = Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = (
+        hist.join(F.broadcast(parts), "_b")
+        .withColumn("_hi", F.col("_off") + F.sum("n").over(inside))
+        .withColumn("_lo", F.col("_hi") - F.col("n"))
     )
-    return picked.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("p"),
-                        (F.col(f"_r{lo}") + F.lit(frac) * (F.col(f"_r{hi}") - F.col(f"_r{lo}"))).alias("value"),
-                    )
-                    for p, lo, hi, frac in ranks
-                ]
-            )
-        ).alias("s")
-    ).select("s.p", "s.value")
 
+    def holds(rank: int) -> Column:
+        return (F.col("_lo") <= rank) & (F.lit(rank) < F.col("_hi"))
+
+    picked = cum.where(any_rank(holds)).agg(*[F.max(F.when(holds(r), F.col("v"))).alias(f"_r{r}") for r in wanted])
+
+    def row(p: float, lo: int, hi: int, frac: float) -> Column:
+        low, high = F.col(f"_r{lo}"), F.col(f"_r{hi}")
+        a, b = low.cast("double"), high.cast("double")
+        value = a if frac == 0.0 else a + F.lit(frac) * (b - a)
+        return F.struct(F.lit(p).alias("p"), value.alias("value"), low.alias("low"), high.alias("high"))
 
+    return picked.select(F.explode(F.array(*[row(*r) for r in ranks])).alias("s")).select("s.p", "s.value", "s.low", "s.high")
 
 
-def percentile_values(df: DataFrame, col: str, named: dict[str, float]) -> dict[str, float | None]:
+def percentile_values(df: DataFrame, col: str, named: dict[str, float]) -> dict:
     """``{name: value}`` on the driver (a handful of scalars), e.g.
-    ``{"q1": .25, "q3": .75}``; values are None on empty input."""
-    got = {r["p"]: r["value"] for r in exact_percentiles(df, col, list(named.values())).collect()}
+    ``{"q1": .25, "q3": .75}``: in the column's type where both neighbours are
+    equal, else a double; values are None on empty input."""
+    got = {
+        r["p"]: r["low"] if r["low"] == r["high"] else r["value"]
+        for r in exact_percentiles(df, col, list(named.values())).collect()
+    }
     return {k: got.get(float(v)) for k, v in named.items()}

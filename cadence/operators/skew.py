@@ -3,14 +3,16 @@
 * ``partition_profile``  rows per physical partition (file/scan balance)
 * ``key_frequency``      rows per join/group key, most frequent first (real key skew)
 * ``key_skew_summary``   one row: keys, largest key's share, max / median rows per key
-* ``hot_keys``           the keys too big for one task, collected as a bounded list
+* ``hot_keys``           the keys too big for one task, as a table of proven size
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_HOT_KEYS = 100_000
+
 
 def partition_profile(df: DataFrame) -> DataFrame:
     """``(partition_id, count)`` for the current physical partitioning, largest first."""
@@ -22,6 +24,11 @@ def partition_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def partition_totals(df: DataFrame, label: str) -> DataFrame:
+    """``(table, rows)`` of a partition profile: what its counts add up to."""
+    return partition_profile(df).agg(F.lit(label).alias("table"), F.sum("count").alias("rows"))
+
+
 def key_frequency(df: DataFrame, key: str, top: int | None = 20, count_name: str = "count") -> DataFrame:
     """Rows per key, most frequent first, ties by key (a total order, so the
     top-k cut is deterministic).  Partial aggregation runs map-side, so even a
@@ -35,72 +42,40 @@ def key_skew_summary(df: DataFrame, key: str) -> DataFrame:
     ``max_key_rows``, ``max_key_share``, ``median_key_rows`` (exact) and
     ``max_to_median`` — the key-level answer to "is there skew?", which rows
     per scan partition cannot give.  Null keys are one key, as in a join's
-    shuffle."""
-    from cadence.operators.quantiles import percentile_values
-
-    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    med = percentile_values(per_key, "_n", {"m": 0.5})["m"]
-    return per_key.agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.sum("_n").cast("bigint").alias("rows"),
-        F.max("_n").alias("max_key_rows"),
-        F.round(F.max("_n") / F.sum("_n"), 6).alias("max_key_share"),
-        F.lit(med).cast("double").alias("median_key_rows"),
-        F.round(F.max("_n") / F.lit(med).cast("double"), 4).alias("max_to_median"),
-    )
+    shuffle.
 
-
-def hot_key_stats(
-    df: DataFrame,
-    key: str,
-    min_rows: int,
-    max_keys: int = 10_000,
-    ts: str | None = None,
-    only: list | None = None,
-    sample_rows_per_key: int | None = 400,
-    seed: int = 17,
-) -> list[tuple]:
-    """``[(key, rows[, first_second, last_second])]`` for keys with more than
-    ``min_rows`` rows (nulls excluded), largest first.
-
-    Used only to *steer plans* (which keys to split or salt); every caller is
-    exact for any list.  So by default the statistics come from a seeded
-    Bernoulli sample holding about ``sample_rows_per_key`` rows of a key at
-    the threshold: one scan of the needed columns and a tiny aggregate,
-    instead of a full group-by over all keys.  Keys are kept from half the
-    threshold (estimated) so borderline keys are not missed; ``rows`` is then
-    an estimate.  ``sample_rows_per_key=None`` counts exactly.
-
-    At most ``total_rows / min_rows`` keys can qualify, and ``max_keys``
-    bounds what reaches the driver; keys beyond the list are still handled
-    exactly, just not split.  With ``ts`` the time span of each key comes
-    along (for chunk widths).  ``only`` restricts to given keys (exact).
+    One pass: rows per key, then keys per row count.  N rows have at most
+    sqrt(2 N) different row counts, so the window over these is small for any
+    table (1.4 million rows for 10^12).
     """
-    src = df.where(F.col(key).isNotNull())
-    frac = 1.0
-    if only is not None:
-        src = src.where(F.col(key).isin(list(only)))
-    elif sample_rows_per_key and min_rows > 0:
-        frac = min(1.0, sample_rows_per_key / min_rows)
-    cut = min_rows
-    if frac < 1.0:
-        src = src.sample(withReplacement=False, fraction=frac, seed=seed)
-        cut = min_rows * frac / 2
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if ts:
-        aggs += [F.min(F.unix_timestamp(ts)).alias("_t0"), F.max(F.unix_timestamp(ts)).alias("_t1")]
-    rows = (
-        src.groupBy(key)
-        .agg(*aggs)
-        .where(F.col("_n") > cut)
-        .orderBy(F.col("_n").desc(), F.col(key))
-        .limit(max_keys)
-        .collect()
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    everything = Window.partitionBy(F.lit(0))
+    upto = everything.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = sizes.withColumn("hi", F.sum("k").over(upto)).withColumn("last", F.sum("k").over(everything) - 1)
+
+    def at(rank):
+        return F.max(F.when((F.col("hi") - F.col("k") <= rank) & (rank < F.col("hi")), F.col("n")))
+
+    median = ((at(F.floor(F.col("last") / 2)) + at(F.ceil(F.col("last") / 2))) / 2).cast("double")
+    rows = F.sum(F.col("n") * F.col("k"))
+    return s.agg(
+        F.sum("k").alias("keys"),
+        rows.cast("bigint").alias("rows"),
+        F.max("n").alias("max_key_rows"),
+        F.round(F.max("n") / rows, 6).alias("max_key_share"),
+        median.alias("median_key_rows"),
+        F.round(F.max("n") / median, 4).alias("max_to_median"),
     )
-    scale = 1.0 / frac
-    return [(r[0], int(round(r[1] * scale)), *tuple(r)[2:]) for r in rows]
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int, max_keys: int = 10_000) -> list:
-    """Keys with more than ``min_rows`` rows (see ``hot_key_stats``)."""
-    return [r[0] for r in hot_key_stats(df, key, min_rows, max_keys)]
+def hot_keys(df: DataFrame, key: str, min_rows: int, most: int = MOST_HOT_KEYS) -> DataFrame:
+    """``(key, n)`` of the keys with more than ``min_rows`` rows (nulls
+    excluded), as a lazy table.
+
+    The threshold is raised to ``rows / most`` where that is more, so at most
+    ``most`` keys can qualify whatever the table: the result is safe to
+    broadcast.  (A key below it holds less than 1 / ``most`` of all rows.)
+    """
+    threshold = max(min_rows, df.count() // most)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > threshold)

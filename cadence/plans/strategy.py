@@ -1,41 +1,39 @@
 """Join strategies with an explicit, checked choice.
 
-``broadcast`` is only used behind a size check that is a measurement, not a
-guess: one aggregate over the dimension sums its exact payload (fixed-width
-bytes per column plus the byte length of every string/binary value, plus
-per-row overhead), and the broadcast goes ahead only when that total and the
-row count are under the limits.  Catalyst's estimate is consulted first only
-for a plain file scan, to skip the measuring pass when the files alone are
-far over the limit (the in-memory size is not below the compressed files);
-estimates of derived plans (joins multiply sizes) are never trusted.  Beyond the limits the
-join falls back to sort-merge, so a dimension that grows with the data is
-never collected on the driver.
+``auto`` leaves the choice to Catalyst and AQE.  ``merge`` and
+``shuffle_hash`` are hints.  ``broadcast`` is a promise that must hold: the
+dimension's exact payload is measured (fixed-width bytes per column plus the
+length of every string or binary value, plus per-row overhead), and a
+dimension over the limits raises instead of quietly taking another plan.  A
+derived dimension (joins, aggregates) is written to the shared folder first,
+so it is built once, measured there and broadcast from there.
 """
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-log = logging.getLogger(__name__)
+from cadence.plans.lineage import cut_lineage
 
 STRATEGIES = ("auto", "broadcast", "merge", "shuffle_hash", "salted")
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 DEFAULT_BROADCAST_ROWS = 50_000_000
-_ESTIMATE_SLACK = 64  # estimate this many times over the limit: refuse without measuring
 _ROW_OVERHEAD = 16
+_DERIVED = ("Join", "Aggregate", "Window", "Union", "Generate", "Expand", "Sort", "Limit", "Sample")
+
+
+class BroadcastTooLarge(ValueError):
+    """The dimension of an explicit broadcast join is over the limits."""
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (None when unknown/unbounded)."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - defensive: stats unavailable
-        return None
-    return None if size >= 2**62 else size
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files ``df`` reads (None when it reads none): the sum over
+    the scans of its plan, not an estimate of its result."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()) if "Relation" in leaves.apply(i).nodeName()]
+    return sum(sizes) if sizes and max(sizes) < 2**62 else None
 
 
 def _value_bytes(field: T.StructField):
@@ -57,53 +55,30 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["b"])
 
 
-def _plain_scan(df: DataFrame) -> bool:
-    """True when the optimized plan is only projections over file scans, so
-    the estimate is the (compressed) file size: a floor of the real size."""
-    try:
-        plan = str(df._jdf.queryExecution().optimizedPlan().toString())
-    except Exception:  # no JVM handle (Spark Connect): treat as derived
-        return False
-    return not any(k in plan for k in ("Join", "Aggregate", "Filter", "Window", "Union", "Generate", "Expand"))
+def is_derived(df: DataFrame) -> bool:
+    """Whether building ``df`` takes more than scans, projections and filters."""
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    return any(line.lstrip(" :+-").startswith(_DERIVED) for line in plan.splitlines())
 
 
-def broadcast_ok(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    est = estimated_bytes(df)
-    if est is not None and _plain_scan(df) and est > max_bytes * _ESTIMATE_SLACK:
-        return False
-    rows, size = measured_size(df)
-    return rows <= max_rows and size <= max_bytes
+def broadcast_checked(
+    dim: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES, max_rows: int = DEFAULT_BROADCAST_ROWS
+) -> DataFrame:
+    """``dim`` built once and hinted for broadcast; raises over the limits."""
+    if is_derived(dim):
+        dim = cut_lineage(dim, "table")
+    rows, size = measured_size(dim)
+    if rows > max_rows or size > max_bytes:
+        raise BroadcastTooLarge(f"dimension has {rows} rows, {size} bytes; limits are {max_rows} rows, {max_bytes} bytes")
+    return F.broadcast(dim)
 
 
 def apply_strategy(
     dim: DataFrame, strategy: str, max_bytes: int = DEFAULT_BROADCAST_BYTES, max_rows: int = DEFAULT_BROADCAST_ROWS
-) -> tuple[DataFrame, str]:
-    """Hint ``dim`` for the requested strategy; returns (hinted df, strategy used)."""
+) -> DataFrame:
+    """``dim`` with the hint of the requested strategy."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     if strategy == "broadcast":
-        if broadcast_ok(dim, max_bytes, max_rows):
-            return F.broadcast(dim), "broadcast"
-        log.warning("broadcast refused: dimension over %s bytes / %s rows; using sort-merge", max_bytes, max_rows)
-        return dim.hint("merge"), "merge"
-    if strategy == "merge":
-        return dim.hint("merge"), "merge"
-    if strategy == "shuffle_hash":
-        return dim.hint("shuffle_hash"), "shuffle_hash"
-    return dim, strategy
-
-
-def bounded_lookup(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
-    """Materialize a small result (e.g. per-group statistics) once.
-
-    Runs ``df`` with a ``max_rows + 1`` limit: when it fits, returns a
-    broadcast-hinted local copy (a proven bound: at most ``max_rows`` rows)
-    so the caller's join neither recomputes ``df`` nor shuffles the big side;
-    otherwise returns ``df`` itself for a shuffle join.  (rows, True/False)."""
-    from cadence.sources.local import local_table
-
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    local = local_table(df.sparkSession, [tuple(r) for r in rows], df.schema)
-    return F.broadcast(local), True
+        return broadcast_checked(dim, max_bytes, max_rows)
+    return dim.hint(strategy) if strategy in ("merge", "shuffle_hash") else dim

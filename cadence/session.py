@@ -22,6 +22,15 @@ DEFAULT_CONF = {
 }
 
 
+PARTITION_BYTES = 128 << 20  # of input per shuffle partition
+
+
+def shuffle_partitions_for(input_bytes: int, least: int = 200) -> int:
+    """Initial shuffle partitions for a job over ``input_bytes``: AQE merges
+    partitions that are too small but never adds any."""
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "cadence",
@@ -33,8 +42,8 @@ def build_session(
     """Create (or reuse) a SparkSession with the engine defaults.
 
     ``shuffle_partitions`` and ``max_partition_bytes`` are the knobs the
-    reference tunes by hand (35 partitions, 64 MB splits); on a cluster leave
-    them unset and let AQE coalesce from the cluster default.  ``adaptive``
+    reference tunes by hand (35 partitions, 64 MB splits); for large inputs
+    take the former from ``shuffle_partitions_for``.  ``adaptive``
     switches adaptive query execution (on by default; the reference turns it
     off once to show the plain sort-merge plan).
     """
@@ -55,36 +64,69 @@ def build_session(
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    except Exception:  # Spark Connect: no SparkContext on the client
+        return False
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, for checkpoints and written tables.
 
-    Taken from ``spark.checkpoint.dir`` (the cluster names it).  Only when the
-    session has none — local tests — a fresh folder is created and set.
+    Taken from ``spark.checkpoint.dir`` (the cluster names it).  Only a
+    session in local mode, as in tests, gets a fresh folder of its own when it
+    has none; on a cluster that would scatter files over the machines, so a
+    missing setting is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no SparkContext on the client
         sc = None
+    jdir = sc._jsc.sc().getCheckpointDir() if sc is not None else None
     if sc is not None:
         d = d or sc.getConf().get("spark.checkpoint.dir", None)
-        jdir = sc._jsc.sc().getCheckpointDir()
         if not d and jdir.isDefined():
             d = jdir.get()
-        if not d:
-            d = tempfile.mkdtemp(prefix="cadence-ckpt-")
-        if not jdir.isDefined():
-            sc.setCheckpointDir(d)
     if not d:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cadence-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
+    if jdir is not None and not jdir.isDefined():
+        sc.setCheckpointDir(d)
     return d
 
 
+_scratch_paths: list[str] = []
+_scratch_tables: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the shared folder (see ``clean_scratch``)."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch_paths.append(path)
+    return path
+
+
+def scratch_table(spark: SparkSession, prefix: str) -> str:
+    """A fresh, unique table name (see ``clean_scratch``)."""
+    name = f"{prefix}_{uuid.uuid4().hex[:12]}"
+    _scratch_tables.append(name)
+    return name
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Drop the tables and remove the folders that this process has made under
+    the shared folder; results that still read them must be written by then."""
+    while _scratch_tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_scratch_tables.pop()}")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch_paths:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch_paths.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -12,6 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# What a lossless CSV round trip needs: microseconds (the default format keeps
+# milliseconds), quotes doubled inside quotes, and nulls (nothing between two
+# commas) told from empty strings (two quotes).
+CSV_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "quote": '"',
+    "escape": '"',
+    "charToEscapeQuoteEscaping": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def read_csv(
     spark: SparkSession,
@@ -20,9 +33,14 @@ def read_csv(
     header: bool = True,
     mode: str = "PERMISSIVE",
     corrupt_column: str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """CSV scan with an explicit schema (no inference pass over the data)."""
-    reader = spark.read.format("csv").option("header", header).option("mode", mode)
+    """CSV scan with an explicit schema (no inference pass over the data).
+
+    ``multiline`` reads line breaks inside quoted values, at the price of one
+    task per file."""
+    options = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\0"}
+    reader = spark.read.format("csv").options(**options).option("header", header).option("mode", mode).option("multiLine", multiline)
     if corrupt_column:
         schema = T.StructType(list(schema.fields) + [T.StructField(corrupt_column, T.StringType(), True)])
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
@@ -72,7 +90,8 @@ def write_csv(
     """Partitioned CSV sink, header on by default (see ``write_parquet``)."""
     if partition_by and cluster_files:
         df = df.hint("rebalance", *partition_by)
-    w = df.write.mode(mode).option("header", header)
+    options = {**CSV_OPTIONS, "emptyValue": '""', "nullValue": ""}
+    w = df.write.mode(mode).options(**options).option("header", header)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -115,7 +134,8 @@ def convert(
     schema: T.StructType,
     partition_by: Sequence[str] = (),
     header: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Re-store a CSV table as partitioned Parquet and return the Parquet reader."""
-    write_parquet(read_csv(spark, src_csv, schema, header=header), dst_parquet, partition_by)
+    write_parquet(read_csv(spark, src_csv, schema, header=header, multiline=multiline), dst_parquet, partition_by)
     return read_parquet(spark, dst_parquet, schema)

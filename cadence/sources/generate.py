@@ -84,40 +84,3 @@ def generate_metadata(
         _pick(DEVICE_TYPES, u(14, 0, len(DEVICE_TYPES) - 1)).alias("device_type"),
         _pick(SUBSCRIPTION_TYPES, u(15, 0, len(SUBSCRIPTION_TYPES) - 1)).alias("subscription_type"),
     )
-
-
-# ----------------------------------------------------------------- SQL twins
-def _sql_uniform(stream: int, lo: int, hi: int, seed: int = 0, idx: str = "id") -> str:
-    m = 2147483647
-    x = f"(({idx} * 7919 + {stream * 1000003 + seed * 15485863}) % {m})"
-    x = f"(({x} % {m}) + 1)"
-    for _ in range(3):
-        x = f"(({x} * 48271) % {m})"
-        x = f"xor({x}, {x} >> 11)"
-    return f"({x} % {hi - lo + 1} + {lo})"
-
-
-def _sql_pick(values: list[str], idx: str) -> str:
-    arr = "[" + ", ".join(f"'{v}'" for v in values) + "]"
-    return f"{arr}[{idx} + 1]"
-
-
-def interactions_sql(source: str, seed: int = 0) -> str:
-    u = lambda s, lo, hi: _sql_uniform(s, lo, hi, seed)
-    ts = f"(TIMESTAMP '{EVENT_START}' + to_seconds({u(2, 0, EVENT_SPAN_SECONDS)}))"
-    return f"""SELECT id, printf('u%06d', {u(1, 1, MAX_USER)}) AS user_id, {ts} AS "timestamp",
-      {_sql_pick(ACTION_TYPES, u(3, 0, len(ACTION_TYPES) - 1))} AS action_type,
-      printf('p%06d', {u(4, 1, MAX_PAGE)}) AS page_id, {u(5, *DURATION_RANGE)} AS duration_ms,
-      CAST({u(6, *VERSION_MAJOR)} AS VARCHAR) || '.' || CAST({u(7, 0, 9)} AS VARCHAR) || '.' || CAST({u(8, 0, 9)} AS VARCHAR) AS app_version,
-      CAST({ts} AS DATE) AS "date"
-    FROM {source}"""
-
-
-def metadata_sql(source: str, seed: int = 0) -> str:
-    u = lambda s, lo, hi: _sql_uniform(s, lo, hi, seed)
-    return f"""SELECT id, printf('u%06d', {u(11, 1, MAX_USER)}) AS user_id,
-      CAST(DATE '{JOIN_START}' + CAST({u(12, 0, JOIN_SPAN_DAYS)} AS INTEGER) AS DATE) AS join_date,
-      {_sql_pick(COUNTRIES, u(13, 0, len(COUNTRIES) - 1))} AS country,
-      {_sql_pick(DEVICE_TYPES, u(14, 0, len(DEVICE_TYPES) - 1))} AS device_type,
-      {_sql_pick(SUBSCRIPTION_TYPES, u(15, 0, len(SUBSCRIPTION_TYPES) - 1))} AS subscription_type
-    FROM {source}"""

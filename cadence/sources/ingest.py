@@ -14,9 +14,14 @@ CORRUPT = "_corrupt_record"
 
 def read_csv_capturing_errors(spark, path: str, schema: T.StructType, multiline: bool = False, header: bool = True) -> DataFrame:
     """PERMISSIVE CSV read that keeps malformed lines in ``_corrupt_record``
-    instead of failing the job or dropping them silently."""
+    instead of failing the job or dropping them silently.
+
+    Every declared column is parsed, whichever of them a query uses: with
+    column pruning the parser would not look at the rest of a line and would
+    call a cut line good."""
     df = (
         spark.read.format("csv")
+        .option("columnPruning", False)
         .option("header", header)
         .option("mode", "PERMISSIVE")
         .option("multiLine", multiline)
@@ -41,12 +46,12 @@ def ingest_report(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keyed_rows"))
 
 
-def csv_parquet_round_trip(df: DataFrame, schema: T.StructType, partition_by: list[str]) -> DataFrame:
+def csv_parquet_round_trip(df: DataFrame, schema: T.StructType, partition_by: list[str], multiline: bool = False) -> DataFrame:
     """Write ``df`` as partitioned CSV (with header), convert that CSV to
     partitioned Parquet, and return the Parquet reader — the reference's
     switch of storage format, on the shared folder."""
     spark = df.sparkSession
     csv_path, pq_path = scratch_path(spark, "csv"), scratch_path(spark, "parquet")
     write_csv(df, csv_path, partition_by)
-    write_parquet(read_csv(spark, csv_path, schema), pq_path, partition_by)
+    write_parquet(read_csv(spark, csv_path, schema, multiline=multiline), pq_path, partition_by)
     return read_parquet(spark, pq_path, schema)

@@ -1,49 +1,24 @@
-"""Small local tables (a hot-key list, bucket offsets) as DataFrames.
+"""Small driver-side rows as a DataFrame, for bounded data only.
 
-Built as SQL ``VALUES``, which Catalyst keeps as a ``LocalRelation``:
-broadcasting or joining it runs no Spark job and starts no Python worker,
-unlike ``createDataFrame`` over a Python list (a parallelized RDD that needs
-Python to decode the rows).  For bounded, driver-side data only.
+The rows go to Spark as an Arrow table, typed by the schema: every type Spark
+has is carried as it is (decimals, binary, both kinds of timestamps), and no
+Python worker is needed to read them.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-
-def _sql_literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "TRUE" if v else "FALSE"
-    if isinstance(v, int):
-        return f"{v}L"
-    if isinstance(v, float):
-        if math.isnan(v) or math.isinf(v):
-            return f"CAST('{v}' AS DOUBLE)"
-        return f"CAST({v!r} AS DOUBLE)"
-    if isinstance(v, dt.datetime):
-        return f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'"
-    if isinstance(v, dt.date):
-        return f"DATE '{v.isoformat()}'"
-    if isinstance(v, str):
-        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    raise TypeError(f"unsupported literal {v!r}")
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
-    """A ``LocalRelation`` DataFrame holding ``rows`` with the given schema."""
+    """A DataFrame holding ``rows`` with the given schema."""
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    if not rows:
-        return spark.createDataFrame([], st)
-    names = [f.name for f in st.fields]
-    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
-    cols = ", ".join(f"c{i}" for i in range(len(names)))
-    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({cols})")
-    return df.select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(st.fields)])
+    arrow = to_arrow_schema(st)
+    columns = list(zip(*rows)) if rows else [()] * len(st)
+    table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, st)

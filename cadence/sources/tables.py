@@ -9,7 +9,7 @@ query reads the whole given tables and its work grows with them.
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +19,6 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Metadata snapshot: users whose first order falls after this day are not in
-# the user dimension yet, which gives left joins a real unmatched side.
-METADATA_SNAPSHOT = dt.date(1995, 6, 1)
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
@@ -65,41 +60,37 @@ INTERACTIONS_SQL = """(SELECT event_id, user_id, ts AS "timestamp", event_type A
   FROM events)"""
 
 
-def user_metadata(spark: SparkSession, sf_dir: str, snapshot: dt.date = METADATA_SNAPSHOT) -> DataFrame:
-    """``customer`` ⋈ ``nation`` ⋈ first order, in the metadata shape.
+def user_metadata(
+    spark: SparkSession, sf_dir: str, cols: Sequence[str] = ("join_date", "country", "device_type", "subscription_type")
+) -> DataFrame:
+    """``customer`` in the metadata shape: every customer is a user.
 
-    user_id = c_custkey, join_date = day of first order, country = n_name,
-    device_type is not in the data (null), subscription_type = c_mktsegment.
-    Users who joined after ``snapshot`` are not yet in the dimension.
+    user_id = c_custkey, join_date = day of first order (null without one),
+    country = n_name, device_type is not in the data (null),
+    subscription_type = c_mktsegment.  Only the tables that ``cols`` need are
+    read and joined.
     """
-    first = (
-        load(spark, sf_dir, "orders")
-        .groupBy(F.col("o_custkey").alias("user_id"))
-        .agg(F.to_date(F.min("o_orderdate")).alias("join_date"))
-        .where(F.col("join_date") < F.lit(snapshot))
-    )
-    cust = load(spark, sf_dir, "customer").select(
+    df = load(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), "c_nationkey", F.col("c_mktsegment").alias("subscription_type")
     )
-    nation = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
-    return (
-        cust.join(first, "user_id")
-        .join(nation, cust["c_nationkey"] == nation["n_nationkey"], "left")
-        .select(
-            "user_id",
-            "join_date",
-            "country",
-            F.lit(None).cast("string").alias("device_type"),
-            "subscription_type",
+    if "join_date" in cols:
+        first = (
+            load(spark, sf_dir, "orders")
+            .groupBy(F.col("o_custkey").alias("user_id"))
+            .agg(F.to_date(F.min("o_orderdate")).alias("join_date"))
         )
-    )
+        df = df.join(first, "user_id", "left")
+    if "country" in cols:
+        nation = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
+        df = df.join(nation, df["c_nationkey"] == nation["n_nationkey"], "left")
+    if "device_type" in cols:
+        df = df.withColumn("device_type", F.lit(None).cast("string"))
+    return df.select("user_id", *cols)
 
 
-def user_metadata_sql(snapshot: dt.date = METADATA_SNAPSHOT) -> str:
-    return f"""(SELECT c.c_custkey AS user_id, f.join_date, n.n_name AS country,
+METADATA_SQL = """(SELECT c.c_custkey AS user_id, f.join_date, n.n_name AS country,
     CAST(NULL AS VARCHAR) AS device_type, c.c_mktsegment AS subscription_type
   FROM customer c
-  JOIN (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS join_date FROM orders GROUP BY o_custkey) f
+  LEFT JOIN (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS join_date FROM orders GROUP BY o_custkey) f
     ON c.c_custkey = f.o_custkey
-  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
-  WHERE f.join_date < DATE '{snapshot.isoformat()}')"""
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""

@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 
+import pytest
 from conftest import SF001, rows
 from pyspark.sql import functions as F
 
@@ -41,95 +43,139 @@ def test_strategies_agree_and_plans(spark):
     assert "ShuffledHashJoin" in join_kinds(joins.enrich(ev, md, strategy="shuffle_hash"))
 
 
-def test_broadcast_refused_beyond_threshold(spark):
+def test_broadcast_over_the_limits_is_an_error(spark):
+    from cadence.plans.strategy import BroadcastTooLarge, broadcast_checked, measured_size
+
     ev, md = interactions(spark, SF001), user_metadata(spark, SF001)
-    j = joins.enrich(ev, md, strategy="broadcast", max_broadcast_bytes=10)
-    # the top (fact-to-dimension) join falls back to sort-merge; the joins
-    # inside the dimension's own build may still broadcast
-    assert join_kinds(j)[0] == "SortMergeJoin"
+    with pytest.raises(BroadcastTooLarge):
+        joins.enrich(ev, md, strategy="broadcast", max_broadcast_bytes=10)
+    dim = md.select("user_id", "subscription_type")
+    n, b = measured_size(dim)
+    assert n == dim.count() and b > 0
+    broadcast_checked(dim, max_bytes=b, max_rows=n)
+    for limits in (dict(max_bytes=b - 1), dict(max_rows=n - 1)):
+        with pytest.raises(BroadcastTooLarge):
+            broadcast_checked(dim, **limits)
+
+
+def test_a_derived_dimension_is_built_once_for_a_broadcast(spark):
+    from cadence.plans.strategy import broadcast_checked, is_derived
+
+    md = user_metadata(spark, SF001)
+    assert is_derived(md) and not is_derived(user_metadata(spark, SF001, ("subscription_type",)))
+    assert not is_derived(broadcast_checked(md))
+
+
+def test_every_customer_is_in_the_dimension(spark):
+    ev = interactions(spark, SF001)
+    total = joins.activity_by(ev, user_metadata(spark, SF001)).agg(F.sum("count")).first()[0]
+    assert total == ev.count()
 
 
-def test_salted_equals_plain_with_one_hot_key(spark):
+def _skewed(spark):
     hot = [(i, "hot", "x") for i in range(900)]
-    cold = [(1000 + i, f"c{i % 7}", "x") for i in range(100)]
-    f = facts(spark, hot + cold + [(5000, None, "x")])
-    d = dims(spark, [("hot", "US", "free"), ("c1", "UK", "basic"), ("c2", "DE", "premium"), ("c2", "DE", "free")])
+    warm = [(2000 + i, "warm", "x") for i in range(120)]
+    cold = [(5000 + i, f"c{i % 30}", "x") for i in range(60)]
+    none = [(9000 + i, None, "x") for i in range(400)]
+    f = facts(spark, hot + warm + cold + none)
+    d = dims(spark, [("hot", "US", "free"), ("warm", "UK", "basic"), ("c2", "DE", "premium"), ("c2", "DE", "free")])
+    return f, d
+
+
+def test_salted_equals_plain_with_hot_and_null_keys(spark):
+    f, d = _skewed(spark)
     plain = rows(joins.enrich(f, d))
-    assert rows(joins.enrich(f, d, strategy="salted", hot=["hot"], salts=8)) == plain
-    assert rows(joins.enrich(f, d, strategy="salted", hot_min_rows=100, salts=5)) == plain
-    assert rows(joins.salted_count(f, "user_id", salts=4)) == rows(f.groupBy("user_id").agg(F.count(F.lit(1)).alias("count")))
+    for kw in (dict(salt_rows=50), dict(salt_rows=10, hot_min_rows=100), dict()):
+        assert rows(joins.enrich(f, d, strategy="salted", **kw)) == plain
+    distinct = f.groupBy("user_id").agg(F.count_distinct("event_id").alias("count"))
+    assert rows(joins.salted_count_distinct(f, "user_id", "event_id", salts=4)) == rows(distinct)
 
 
-def test_pre_aggregated_counts_equal_row_join(spark):
-    ev, md = interactions(spark, SF001), user_metadata(spark, SF001)
-    a = rows(joins.activity_by(ev, md, pre_aggregate=True))
-    b = rows(joins.activity_by(ev, md, pre_aggregate=False))
-    assert a == b
+def test_salts_follow_the_keys_own_size_and_nulls_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        f, d = _skewed(spark)
+        j = joins.enrich(f, d, strategy="salted", salt_rows=50)
+        parts = {}
+        for r in j.withColumn("p", F.spark_partition_id()).select("user_id", "p").collect():
+            parts.setdefault(r["user_id"], []).append(r["p"])
+        # 18 salts and 4 partitions: the hot key and the nulls are in all of them
+        for key in ("hot", None):
+            sizes = [parts[key].count(p) for p in set(parts[key])]
+            assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes), key
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_hot_keys_are_bounded_by_the_row_count(spark):
+    from cadence.operators.skew import hot_keys
 
+    f, _ = _skewed(spark)
+    assert rows(hot_keys(f, "user_id", 100)) == [("hot", 900), ("warm", 120)]
+    assert rows(hot_keys(f, "user_id", 0, most=5)) == [("hot", 900)]  # more than a fifth of 1,480 rows
 
-def test_bucketed_join_has_no_exchange_under_join(spark):
+
+def test_bucketed_join_has_no_exchange_under_the_bucketed_side(spark):
     ev, md = interactions(spark, SF001), user_metadata(spark, SF001)
     j = joins.bucketed_join(ev, md, buckets=4)
     assert rows(j) == rows(joins.enrich(ev, md))
-    txt = plan_text(j, "simple")
-    assert "SortMergeJoin" in txt and count_exchanges(j) == 0, txt
+    laid = joins.prepare_layout(ev, "user_id", buckets=4, partition_by=())
+    dim = joins.write_bucketed(md.select("user_id", "subscription_type"), "user_id", 4)
+    even = laid.bucketed.join(dim.hint("merge"), "user_id", "left")
+    assert "SortMergeJoin" in plan_text(even, "simple") and count_exchanges(even) == 0
 
 
-def test_prepared_layout_join_prunes_and_needs_no_exchange(spark):
-    spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
-    ev, md = interactions(spark, SF001), user_metadata(spark, SF001)
-    laid = joins.prepare_layout(ev, "user_id", buckets=4)
-    j = joins.layout_join(laid, md, buckets=4)
-    assert rows(j.select(*ev.columns, "subscription_type")) == rows(joins.enrich(ev, md))
-    assert count_exchanges(j) == 0
+def test_prepared_layout_prunes_and_stores_hot_and_null_keys_aside(spark):
     from cadence.plans.inspect import partition_filters
 
-    ranged = laid.where(F.col("date") == dt.date(2024, 1, 3))
+    md = user_metadata(spark, SF001)
+    ev = interactions(spark, SF001)
+    user = F.when(F.col("event_id") % 10 < 3, F.lit(7)).when(F.col("event_id") % 10 < 5, F.lit(None)).otherwise(F.col("user_id"))
+    ev = ev.withColumn("user_id", user.cast("bigint"))
+    laid = joins.prepare_layout(ev, "user_id", buckets=4, hot_min_rows=500)
+    assert {r[0] for r in laid.aside.select("user_id").distinct().collect()} == {7, None}
+    assert laid.bucketed.count() + laid.aside.count() == ev.count()
+    j = joins.layout_join(laid, md)
+    assert rows(j.select(*ev.columns, "subscription_type")) == rows(joins.enrich(ev, md))
+    ranged = laid.bucketed.where(F.col("date") == dt.date(2024, 1, 3))
     assert any("date" in f for f in partition_filters(ranged))
 
 
-def test_broadcast_check_is_measured(spark):
-    from cadence.plans.strategy import broadcast_ok, measured_size
-
-    md = user_metadata(spark, SF001).select("user_id", "subscription_type")
-    n, b = measured_size(md)
-    assert n == md.count() and b > 0
-    assert broadcast_ok(md, max_bytes=b) and not broadcast_ok(md, max_bytes=b - 1)
-    assert not broadcast_ok(md, max_rows=n - 1)
+def test_at_most_one_file_per_bucket_and_date(spark):
+    ev = interactions(spark, SF001).repartition(16)
+    laid = joins.prepare_layout(ev, "user_id", buckets=4)
+    dates = ev.select("date").distinct().count()
+    assert len(laid.bucketed.inputFiles()) <= 4 * dates
 
 
-def test_salt_count_scales_with_key_size(spark):
-    hot = [(i, "hot", "x") for i in range(900)]
-    warm = [(2000 + i, "warm", "x") for i in range(120)]
-    cold = [(5000 + i, f"c{i}", "x") for i in range(30)]
-    f = facts(spark, hot + warm + cold)
-    d = dims(spark, [("hot", "US", "free"), ("warm", "UK", "basic"), ("c3", "DE", "premium")])
-    from cadence.operators.joins import _salt_table
+def test_scratch_tables_and_folders_are_cleaned(spark):
+    from cadence import session
 
-    t = {r[0]: r[1] for r in _salt_table(f, "user_id", [("hot", 900), ("warm", 120)], salt_rows=50, max_salts=10).collect()}
-    assert t == {"hot": 10, "warm": 3}
-    got = joins.enrich(f, d, strategy="salted", hot_min_rows=100, salt_rows=50, max_salts=10)
-    assert rows(got) == rows(joins.enrich(f, d))
+    laid = joins.prepare_layout(interactions(spark, SF001), "user_id", buckets=2)
+    table, path = session._scratch_tables[-1], session._scratch_paths[-1]
+    assert spark.catalog.tableExists(table) and laid.aside.count() == 0
+    session.clean_scratch(spark)
+    assert not spark.catalog.tableExists(table) and not os.path.exists(path)
 
 
 def test_enrich_attribute_also_in_events(spark):
     f = spark.createDataFrame([(1, "a", "XX"), (2, "b", "YY")], "event_id long, user_id string, country string")
     d = dims(spark, [("a", "US", "free")])
     for strategy in ("merge", "broadcast", "salted"):
-        out = joins.enrich(f, d, cols=("country",), strategy=strategy, hot=["a"] if strategy == "salted" else None)
+        out = joins.enrich(f, d, cols=("country",), strategy=strategy, salt_rows=1)
         assert out.columns == ["event_id", "user_id", "country", "country"]
         assert sorted((r[0], r[3]) for r in out.collect()) == [(1, "US"), (2, None)]
 
 
-def test_auto_bucket_count_grows_with_size_and_is_reused(spark):
-    ev, md = interactions(spark, SF001), user_metadata(spark, SF001)
-    assert joins.auto_buckets(ev) == 8
-    assert joins.auto_buckets(ev, bucket_bytes=10_000) > 8
-    laid = joins.prepare_layout(ev, "user_id", buckets=6)
-    assert joins.bucket_count(laid) == 6
-    j = joins.layout_join(laid, md)  # dimension bucketed with the stored count
-    assert count_exchanges(j) == 0
-    assert rows(j.select(*ev.columns, "subscription_type")) == rows(joins.enrich(ev, md))
+def test_auto_bucket_count_follows_the_files_and_the_limit(spark):
+    ev = interactions(spark, SF001)
+    size = os.path.getsize(f"{SF001}/events.parquet")
+    assert joins.auto_buckets(ev) == 1
+    assert joins.auto_buckets(ev, bucket_bytes=10_000) == -(-size // 10_000)
+    with pytest.raises(ValueError, match="maxBuckets"):
+        joins.auto_buckets(ev, bucket_bytes=1)
+    with pytest.raises(ValueError, match="no input files"):
+        joins.auto_buckets(spark.range(5))
 
 
 def test_key_skew_summary_sees_a_hot_key(spark):

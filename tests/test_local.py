@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -11,10 +12,16 @@ def test_local_table_values_types_and_plan(spark):
     t = local_table(spark, rows, "k string, n int, d double, z string, day date, t timestamp_ntz, b boolean")
     assert [tuple(r) for r in t.collect()] == rows
     assert t.dtypes == [("k", "string"), ("n", "int"), ("d", "double"), ("z", "string"), ("day", "date"), ("t", "timestamp_ntz"), ("b", "boolean")]
-    assert "LocalRelation" in t._jdf.queryExecution().optimizedPlan().toString()
     assert local_table(spark, [], "a long").count() == 0
 
 
+def test_local_table_carries_decimals_binary_and_instants(spark):
+    rows = [(Decimal("123456789012345678.90"), bytearray(b"\x00'\\"), dt.datetime(2024, 6, 1, 12)), (None, None, None)]
+    t = local_table(spark, rows, "d decimal(20,2), b binary, t timestamp")
+    assert t.dtypes == [("d", "decimal(20,2)"), ("b", "binary"), ("t", "timestamp")]
+    assert [tuple(r) for r in t.collect()] == rows
+
+
 def test_in_range_literals_follow_column_type(spark):
     df = spark.createDataFrame(
         [(dt.datetime(2024, 1, 1, 0, 0), dt.date(2024, 1, 1)), (dt.datetime(2024, 1, 1, 23, 59), dt.date(2024, 1, 2))],

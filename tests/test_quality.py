@@ -19,7 +19,7 @@ def test_exact_percentiles_match_numpy_with_hot_value(spark, seed):
     rnd = random.Random(seed)
     xs = [float(rnd.randint(0, 5000)) for _ in range(3000)] + [42.0] * 2000 + [None] * 10
     probs = [0, 0.01, 0.1, 0.25, 0.333, 0.5, 0.9, 0.99, 1]
-    got = {r["p"]: r["value"] for r in exact_percentiles(vals(spark, xs), "x", probs, buckets=8).collect()}
+    got = {r["p"]: r["value"] for r in exact_percentiles(vals(spark, xs), "x", probs).collect()}
     arr = np.array([x for x in xs if x is not None])
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(arr, p)), rel=1e-12)
@@ -76,7 +76,7 @@ def test_exact_percentiles_many_buckets(spark):
     rnd = random.Random(3)
     xs = [float(rnd.randint(0, 10**6)) for _ in range(20000)]
     probs = [0.001, 0.3, 0.5, 0.999]
-    got = {r["p"]: r["value"] for r in exact_percentiles(vals(spark, xs), "x", probs, buckets=5000).collect()}
+    got = {r["p"]: r["value"] for r in exact_percentiles(vals(spark, xs), "x", probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(np.array(xs), p)), rel=1e-12)
 
@@ -89,3 +89,62 @@ def test_reports_on_empty_input(spark):
     assert (val["rows"], val["violations"], val["violation_rate"]) == (0, 0, None)
     with pytest.raises(ValueError):
         exact_percentiles(empty, "k", [1.5])
+
+
+def test_percentiles_keep_integers_beyond_double_and_decimals(spark):
+    from decimal import Decimal
+
+    from cadence.operators.quantiles import percentile_values
+
+    big = 2**53
+    df = spark.createDataFrame([(big + i,) for i in range(1, 8)], "x long")
+    assert percentile_values(df, "x", {"lo": 0.0, "m": 0.5, "hi": 1.0}) == {"lo": big + 1, "m": big + 4, "hi": big + 7}
+    dec = df.withColumn("x", F.col("x").cast("decimal(30,3)"))
+    assert percentile_values(dec, "x", {"m": 0.5}) == {"m": Decimal(big + 4)}
+    assert [r["x"] for r in quality.capped(df, "x", 0.5, 0.5, mode="filter").collect()] == [big + 4]
+
+
+def test_percentiles_over_many_partitions(spark):
+    xs = [float(i % 997) for i in range(5000)]
+    df = vals(spark, xs).repartition(7)
+    probs = [0, 0.2, 0.5, 0.77, 1]
+    got = {r["p"]: r["value"] for r in exact_percentiles(df, "x", probs).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(np.array(xs), p)), rel=1e-12)
+
+
+def test_quarantine_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "id long, v long")
+    out = quality.quarantine(empty, {"v_present": F.col("v").isNotNull()}, os.path.join(tempfile.mkdtemp(), "q"))
+    assert out.count() == 0 and out.columns == ["id", "v", "reasons"]
+
+
+def test_impute_default_mean_median_mode(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 7), (4, 7), (5, 900), (6, 10), (7, 5)], "id long, v long")
+    fill = lambda how, **kw: {r["id"]: r["v"] for r in quality.impute(df, "v", how, valid=F.col("v") < 100, **kw).where("imputed").collect()}
+    assert fill("default", value=-1) == {2: -1, 5: -1}
+    assert fill("mean") == {2: 7, 5: 7}  # 34 / 5 rounded
+    assert fill("median") == {2: 7, 5: 7}
+    assert fill("mode") == {2: 5, 5: 5}  # 5 and 7 twice each: the smaller
+    none = df.where("id = 2")
+    assert quality.impute(none, "v", "median").collect()[0]["v"] is None
+    with pytest.raises(ValueError):
+        quality.impute(df, "v", "guess")
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "double", "string"])
+def test_impute_by_group_on_other_types(spark, kind):
+    df = spark.createDataFrame([(1, "g", 5), (2, "g", None), (3, "h", 9)], "id long, grp string, v long")
+    key = "grp" if kind == "string" else "v"
+    df = df.withColumn(key, F.col(key).cast(kind))
+    out = {r["id"]: (float(r["v"]), r["imputed"]) for r in quality.impute_by_group(df, "v", "grp").collect()}
+    assert out == {1: (5.0, False), 2: (5.0, True), 3: (9.0, False)}
+
+
+def test_deduplicate_keeps_one_row_per_key(spark):
+    data = [(1, "a", 5, "x"), (2, "a", 7, "y"), (3, None, 1, "z"), (4, None, 1, "w"), (5, "b", None, "v"), (5, "b", None, "v")]
+    df = spark.createDataFrame(data, "id long, k string, t long, s string")
+    first = {r["k"]: (r["id"], r["t"], r["s"]) for r in quality.deduplicate(df, ["k"], ["t"]).collect()}
+    last = {r["k"]: (r["id"], r["t"], r["s"]) for r in quality.deduplicate(df, ["k"], ["t"], descending=True).collect()}
+    assert first == {"a": (1, 5, "x"), None: (3, 1, "z"), "b": (5, None, "v")}
+    assert last == {"a": (2, 7, "y"), None: (4, 1, "w"), "b": (5, None, "v")}
