@@ -12,18 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# What a lossless CSV round trip needs: microseconds (the default format keeps
-# milliseconds), quotes doubled inside quotes, and nulls (nothing between two
-# commas) told from empty strings (two quotes).
-CSV_OPTIONS = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+# What a lossless CSV round trip needs: quotes doubled inside quotes, spaces
+# kept, nulls (nothing between two commas) told from empty strings (two
+# quotes), and microseconds, which the default format would cut.  Reading needs
+# no time format: without one Spark takes any ISO timestamp to the microsecond.
+_CSV = {
     "quote": '"',
     "escape": '"',
     "charToEscapeQuoteEscaping": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
+CSV_READ = {**_CSV, "emptyValue": "", "nullValue": "\0"}
+CSV_WRITE = {
+    **_CSV,
+    "emptyValue": '""',
+    "nullValue": "",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def read_csv(
@@ -39,8 +46,8 @@ def read_csv(
 
     ``multiline`` reads line breaks inside quoted values, at the price of one
     task per file."""
-    options = {**CSV_OPTIONS, "emptyValue": "", "nullValue": "\0"}
-    reader = spark.read.format("csv").options(**options).option("header", header).option("mode", mode).option("multiLine", multiline)
+    reader = spark.read.format("csv").options(**CSV_READ)
+    reader = reader.option("header", header).option("mode", mode).option("multiLine", multiline)
     if corrupt_column:
         schema = T.StructType(list(schema.fields) + [T.StructField(corrupt_column, T.StringType(), True)])
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
@@ -90,8 +97,7 @@ def write_csv(
     """Partitioned CSV sink, header on by default (see ``write_parquet``)."""
     if partition_by and cluster_files:
         df = df.hint("rebalance", *partition_by)
-    options = {**CSV_OPTIONS, "emptyValue": '""', "nullValue": ""}
-    w = df.write.mode(mode).options(**options).option("header", header)
+    w = df.write.mode(mode).options(**CSV_WRITE).option("header", header)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)

@@ -5,7 +5,7 @@ import tempfile
 
 from conftest import ROOT
 
-from cadence.sources.files import write_parquet
+from cadence.sources.files import write_csv, write_parquet
 from cadence.sources.generate import generate_interactions, generate_metadata
 
 
@@ -25,3 +25,25 @@ def test_cli_runs_jobs_on_reference_schema_tables(spark):
     )
     res = spark.read.parquet(out)
     assert set(res.columns) == {"country", "subscription_type", "count"} and res.count() > 0
+
+
+def test_cli_covers_generation_conversion_and_quality(spark, capsys):
+    from cadence.__main__ import _jobs, main
+
+    base = tempfile.mkdtemp(prefix="cadence-cli-")
+    ev, md = os.path.join(base, "ui"), os.path.join(base, "um")
+    write_parquet(generate_interactions(spark, 400, seed=1).drop("id"), ev, ["date"])
+    write_parquet(generate_metadata(spark, 50, seed=2).drop("id"), md, ["country"])
+    for job in sorted(_jobs()):
+        out = os.path.join(base, "out", job)
+        args = [job, "--interactions", ev, "--metadata", md, "--out", out, "--rows", "300", "--path", os.path.join(base, "side", job)]
+        if job == "convert":
+            csv = os.path.join(base, "csv")
+            write_csv(spark.read.parquet(ev), csv, ["date"])
+            args[2] = csv
+        assert main(args) == 0
+        assert spark.read.parquet(out).count() >= 0
+    back = spark.read.parquet(os.path.join(base, "out", "convert"))
+    assert back.count() == 400 and back.where("timestamp IS NULL").count() == 0
+    some = ["active_users", "--interactions", ev, "--grain", "quarter", "--actions", "edit", "create", "--show", "5"]
+    assert main(some) == 0 and "active_users" in capsys.readouterr().out
