@@ -1,22 +1,17 @@
-import os
-import sys
+"""Fixtures and helpers of these tests (import them by name)."""
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
 SF = "/root/testdata/sf0.001"
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from cadence.session import local_test_session, ship_package
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    """The operators' Python code is there in the workers."""
+    from cadence.session import ship_package
 
-    s = local_test_session(cores=4, shuffle_partitions=4)
-    ship_package(s)
-    yield s
+    ship_package(spark)
 
 
 @pytest.fixture(scope="session")

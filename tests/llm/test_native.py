@@ -5,7 +5,7 @@ import zlib
 
 import duckdb
 import pytest
-from conftest import SF, texts_of
+from llm_support import SF, edge_docs, no_docs, shipped, texts_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from cadence.llm import exact_dedup, mixing, queries, sharding

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import SF, texts_of
+from llm_support import SF, edge_docs, no_docs, shipped, texts_of  # noqa: F401
 
 from cadence.llm import bwt, embed_dedup, minhash, substring_dedup
 from cadence.llm import textkernels as tk

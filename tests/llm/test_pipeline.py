@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from conftest import SF, texts_of
+from llm_support import SF, edge_docs, no_docs, shipped, texts_of  # noqa: F401
 from test_near import brute_near
 from test_text import check_packing
 

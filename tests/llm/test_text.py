@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF, texts_of
+from llm_support import SF, edge_docs, no_docs, shipped, texts_of  # noqa: F401
 
 from cadence.llm import html_extract, packing, pii, quality
 from cadence.llm.tree import DecisionTree
