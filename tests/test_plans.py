@@ -18,9 +18,9 @@ FORBIDDEN = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E._QUERIES))
 def test_no_cross_joins_or_python_in_plan(spark, name):
-    df = E.queries()[name](spark, SF0001)
+    df = E._QUERIES[name](spark, SF0001)
     txt = plan_text(df, "simple")
     found = [f"{op} ({why})" for op, why in FORBIDDEN.items() if op in txt]
     assert not found, found
@@ -37,7 +37,7 @@ def test_scans_read_only_needed_columns(spark):
         "duration_band": {"value"},
     }
     for name, cols in narrow.items():
-        txt = plan_text(E.queries()[name](spark, SF0001), "simple")
+        txt = plan_text(E._QUERIES[name](spark, SF0001), "simple")
         schemas = re.findall(r"ReadSchema: struct<([^>]*)>", txt)
         read = {f.split(":")[0] for s in schemas for f in s.split(",")}
         assert read == cols, (name, read)
