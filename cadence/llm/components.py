@@ -9,9 +9,8 @@ A round is written to the shared folder (short lineage: a lost executor costs
 one round at most); rounds end when nothing changes, and then every vertex
 points at the smallest id of its component.
 
-A vertex many others point at is only ever a join key here, which Spark can
-split; a vertex with many smaller neighbours loses them to the minimum after
-one round.
+A bundle's edges to one vertex travel as one row, so a vertex that a third of
+all others point at is one row per bundle in the join of step (2).
 """
 
 from __future__ import annotations
@@ -44,39 +43,49 @@ def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.nda
         label = new
 
 
+STARS = "v bigint, us array<bigint>"
+
+
 def _contract(table: pa.Table) -> pa.Table:
+    """A bundle's vertices (``us``) by the smallest vertex of their part."""
     names, least = smallest_reachable(table["u"].to_numpy(), table["v"].to_numpy())
     keep = names != least
-    return pa.table({"u": names[keep], "v": least[keep]})
+    order = np.argsort(least[keep], kind="stable")
+    u, v = names[keep][order], least[keep][order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
+    offsets = pa.array(np.append(first, len(v)), pa.int32())
+    return pa.table({"v": pa.array(v[first], pa.int64()), "us": pa.ListArray.from_arrays(offsets, pa.array(u, pa.int64()))})
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every vertex that
     has an edge.  Null ends, loops, repeats and either direction are fine."""
 
-    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+    def contracted(links: DataFrame, bundles: int) -> tuple[DataFrame, tuple]:
+        stars = (
+            links.withColumn("bundle", F.pmod(F.xxhash64("u"), F.lit(bundles)))
+            .groupBy("bundle")
+            .applyInArrow(lambda t: _contract(t), STARS)
+        )
         seen = Observation()
-        digest = F.xxhash64("u", "v").cast("decimal(38,0)")
-        out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(digest).alias("digest")), "table")
-        return out, (seen.get["n"], seen.get["digest"])
+        digest = F.sum(F.xxhash64("v", "us").cast("decimal(38,0)"))
+        out = cut_lineage(stars.observe(seen, F.sum(F.size("us")).alias("n"), digest.alias("digest")), "table")
+        return out, (seen.get["n"] or 0, seen.get["digest"])
 
-    now, seen = written(
-        edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
-    )
+    links = edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
+    links = cut_lineage(links, "table")
+    bundles = max(LEAST_BUNDLES, links.count() // EDGES_PER_BUNDLE)
+    stars, seen = contracted(links, bundles)
     while seen[0]:
-        bundles = max(LEAST_BUNDLES, seen[0] // EDGES_PER_BUNDLE)
-        tied = (
-            now.withColumn("bundle", F.pmod(F.xxhash64("u"), F.lit(bundles)))
-            .groupBy("bundle")
-            .applyInArrow(lambda t: _contract(t), "u bigint, v bigint")
-        )
-        onward = tied.groupBy("u").agg(F.min("v").alias("onward")).withColumnRenamed("u", "v")
-        moved = tied.join(onward, "v", "left").select("u", F.coalesce("onward", "v").alias("v"))
-        # an edge that moved on leaves the tie between its old and new end to
+        onward = stars.select(F.explode("us").alias("u"), "v").groupBy("u").agg(F.min("v").alias("onward"))
+        # an edge that moves on leaves the tie between its old and new end to
         # the edge (v, onward), which is in the table itself
+        moved = stars.join(onward, F.col("v") == F.col("u"), "left").select(
+            F.explode("us").alias("u"), F.coalesce("onward", "v").alias("v")
+        )
         last = seen
-        now, seen = written(moved.distinct())
+        stars, seen = contracted(moved, bundles)
         if seen == last:
             break
-    tips = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return tips.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    tips = stars.select(F.explode("us").alias("id"), F.col("v").alias("component"))
+    return tips.union(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -161,6 +161,7 @@ def confirmed_components(
     n) of a cluster, for linked ids at least; ``texts`` has id and text."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("shingles") / block_shingles)))
+    sizes = cut_lineage(sizes, "table")  # a plain scan: Spark can split the join on a large cluster
     members = cut_lineage(members.join(sizes, "cluster"), "table")
     docs, shingles, most = members.agg(F.count(F.lit(1)), F.sum("n"), F.max("blocks")).first()
     bundles = max(1, int(max(docs / block_docs, (shingles or 0) / block_shingles)))
@@ -245,6 +246,7 @@ def _components(
         "id", F.explode("bands").alias("key")
     )
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    shared = cut_lineage(shared, "table")  # a plain scan: Spark can split the join on a frequent key
     ties = keys.join(shared, "key").filter("id > first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
     clusters = connected_components(ties).withColumnRenamed("component", "cluster")
     members = clusters.join(usable.groupBy("id").agg(F.max("n").alias("n")), "id")
