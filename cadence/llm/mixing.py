@@ -36,6 +36,7 @@ from cadence.plans.lineage import cut_lineage
 MIN_QUALITY = 0.0625
 RATES = (1.0, 0.5, 0.25, 0.125, 0.0625)
 ROWS_PER_RANGE = 100_000
+RANGES_PER_SHARE = 3  # ranges for as many rows as one should hold: a range holds at most len(RATES) even shares
 
 
 def word_count(col: str | Column) -> Column:
@@ -105,18 +106,18 @@ def mix(
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     total = rows.count()
-    per_range = total / group_count(total, rows_per_range, spark) if total else 1
-    slack = len(RATES)  # a range holds at most about this many times its equal share
+    per_range = total / group_count(total, rows_per_range, spark, per_partition=1) if total else 1
     targets = (
         source_targets(sources, weights, max_epochs)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("bigint"))
-        .withColumn("ranges", F.ceil(F.col("n") * slack / F.lit(float(per_range))))
+        .withColumn("ranges", F.ceil(F.col("n") * RANGES_PER_SHARE / F.lit(float(per_range))))
         .select(
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("src"),
             "source_size", "target", "epochs", "rest", "ranges",
         )
     )
+    targets = cut_lineage(targets, "table")  # a plain scan: Spark can split the join on a large source
     spread = sum((F.lit(1.0) - F.exp(F.col("draw") * F.lit(-r)) for r in RATES), F.lit(0.0)) / F.lit(float(len(RATES)))
     placed = (
         rows.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
