@@ -171,9 +171,13 @@ def quality_scores(
     schema = f"id {id_type}, mark bigint, host string, path string"
     measured = cut_lineage(slim.mapInArrow(_features, f"{schema}, x array<double>"), "table")
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = known.dropDuplicates(["id"]).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(2**40)))
+    # the share of the labels that the sample needs, so that the tasks together
+    # send little more than the sample to the driver
+    share = min(1.0, 1.1 * train_rows / max(1, known.count()))
     sample = (
-        measured.join(known.dropDuplicates(["id"]), "id")
-        .select("id", "mark", "x", "y", F.xxhash64("id").alias("h"))
+        measured.join(known.filter(F.col("h") < int(share * 2**40)), "id")
+        .select("id", "mark", "x", "y", "h")
         .orderBy("h", "id", "mark")
         .limit(train_rows)
         .collect()
@@ -194,7 +198,7 @@ def quality_scores(
         "host", F.col("good").alias("host_good"), F.col("n").alias("host_n"),
         rate(F.col("good"), F.col("n"), F.lit(overall), host_weight).alias("host_rate"),
     )
-    sites = paths.join(hosts, "host")
+    sites = cut_lineage(paths.join(hosts, "host"), "table")  # a plain scan: Spark can split the join on a large site
     path_weight = _moment_weight(sites, "host_rate")
     clip = lambda p: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
     odds = lambda p: F.log(p / (1 - p))
