@@ -774,7 +774,7 @@ def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[st
     """Queries and SQL of the optional ``cadence.llm`` subpackage and its
     pipeline; empty where these are not installed."""
     found, sql = {}, {}
-    if importlib.util.find_spec("cadence.llm") is not None:
+    if importlib.util.find_spec("cadence.llm") and importlib.util.find_spec("cadence.llm.queries"):
         module = importlib.import_module("cadence.llm.queries")
         found |= module.QUERIES
         sql |= module.ORACLES
