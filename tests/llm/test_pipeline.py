@@ -50,3 +50,18 @@ def test_run_and_registration(spark):
     assert packed.count() > 0
     for n in range(1, 11):
         assert len([q for q in E.queries() if q.startswith(f"op{n}_")]) == 1
+
+
+def test_stages_on_edge_rows_and_on_nothing(spark, edge_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows: no stage crashes or changes
+    the columns, and each keeps what its rule says."""
+    docs = edge_docs.select(*no_docs.columns)
+    least = {"quality_classifier": 1, "exact_dedup": 7, "near_dedup": 6, "mix_sources": 1}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert least[name] <= out.count() <= 3 * docs.count(), name
+        assert stage(spark, no_docs, SF).count() == 0, name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert pack(spark, no_docs, SF).count() == 0
