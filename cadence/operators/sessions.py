@@ -43,12 +43,12 @@ _PLAIN = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.Boo
 
 
 def session_seconds(
-    seconds: DataFrame, user: str, gap_seconds: int, chunk_seconds: int = CHUNK_SECONDS, carry: Sequence[str] = ()
+    seconds: DataFrame, user: str, gap_seconds: int, chunk_seconds: int = CHUNK_SECONDS, keep: Sequence[str] = ("_n",)
 ) -> DataFrame:
     """For rows (user, ``_sec``, ``_n`` events): ``_diff`` (seconds since the
     user's previous active second, else 0), ``_flag`` (starts a session),
     ``_seq`` (session number) and ``_base`` (events of the session before);
-    ``carry`` columns are handed through."""
+    ``keep`` names the columns of ``seconds`` that the caller will use."""
     chunk = F.coalesce(F.floor(F.col("_sec") / chunk_seconds), F.lit(_NULL_CHUNK)).cast("bigint")
     w = Window.partitionBy(user, "_c").orderBy("_sec")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -70,7 +70,12 @@ def session_seconds(
             F.sum("_f").alias("_k"),
             F.sum("_n").alias("_events"),
             F.max("_start").alias("_lstart"),
+            sum((F.sum(c) if c == "_n" else F.count(c) for c in keep), F.lit(1)).alias("_all"),
         )
+        # always true; it keeps the same columns of the (user, second) rows in
+        # this branch as in the other, so that Spark reuses their exchange
+        # instead of building the rows a second time from the events
+        .where("_all > 0")
         .withColumn("_cd", F.coalesce(F.col("_first") - F.lag("_last").over(wc), F.lit(0)).cast("bigint"))
         .withColumn("_cf", F.when(F.col("_cd") > gap_seconds, 1).otherwise(0))
         .withColumn("_cseq", F.coalesce(F.sum(F.col("_cf") + F.col("_k")).over(earlier), F.lit(0)) + F.col("_cf"))
@@ -86,8 +91,7 @@ def session_seconds(
     return joined.select(
         user,
         "_sec",
-        "_n",
-        *carry,
+        *keep,
         F.when(first, F.col("_cd")).otherwise(F.col("_d")).alias("_diff"),
         F.when(first, F.col("_cf")).otherwise(F.col("_f")).cast("int").alias("_flag"),
         (F.col("_cseq") + F.col("_starts")).cast("bigint").alias("_seq"),
@@ -144,7 +148,8 @@ def session_core(
     else:
         rows = rows.withColumn("_k", F.struct(*ties))
     firsts = _first_events(rows, user, ts, F.col("_k"), plain)
-    numbered = session_seconds(firsts, user, gap_seconds, chunk_seconds, carry=("_t0", "_tie0")).select(
+    keep = ("_t0", "_tie0", "_n") if with_step else ("_t0", "_tie0")
+    numbered = session_seconds(firsts, user, gap_seconds, chunk_seconds, keep).select(
         F.col(user).alias("_u"), F.col("_sec").alias("_us"), "_diff", "_flag", "_seq", "_base", "_t0", "_tie0"
     )
     j = rows.join(numbered, rows[user].eqNullSafe(numbered["_u"]) & rows["_sec"].eqNullSafe(numbered["_us"]))
