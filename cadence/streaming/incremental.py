@@ -54,7 +54,9 @@ def session_metrics_stream(
     action_count)``.  Sessions close ``gap`` after their last event, once the
     watermark passes.  ``session_window`` compares exact (microsecond) gaps,
     the batch sessionizer compares whole seconds; they agree on whole-second
-    timestamps.  Events without a timestamp are not sessionized here.
+    timestamps.  Events without a timestamp are not sessionized here.  State
+    is kept per user: one user's events of a batch meet in one task, so use the
+    batch sessionizer where a user may hold a large share of all events.
     """
     t = F.col(ts).cast("timestamp")
     s = events.where(F.col(ts).isNotNull()).withColumn("_t", t).withWatermark("_t", lateness)
