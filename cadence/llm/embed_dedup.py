@@ -193,8 +193,11 @@ def start_lists(vectors: DataFrame, n: int, k: int, cell: int, cuts: int, seed:
     )
     placed = cut_lineage(placed, "table")
     counts = placed.groupBy("cut", "cell").agg(F.ceil(F.count(F.lit(1)) / cell).alias("parts"))
-    split = placed.join(counts, ["cut", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", "cut"), F.col("parts")))
-    best = split.select("id", "unit", "cut", "cell", "part").groupBy("cut", "cell", "part").applyInArrow(_best_in_cell(k), EDGES)
+    # one column for the group: rows dealt by (cut, cell) would count as grouped
+    # and leave all parts of a crowded cell in one task
+    part = F.concat_ws(":", "cut", "cell", F.pmod(F.xxhash64("id", "cut"), F.col("parts")))
+    split = placed.join(counts, ["cut", "cell"]).select("id", "unit", part.alias("part"))
+    best = split.groupBy("part").applyInArrow(_best_in_cell(k), EDGES)
     return _bundled(best, bundles, k)
 
 
@@ -292,7 +295,7 @@ def _links(vectors: DataFrame, lists: DataFrame, k: int, threshold: float) -> Da
     sizes = known.groupBy("component").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).alias("cols"), F.ceil(F.sum(F.col("saturated").cast("int")) / BLOCK).alias("rows")
     ).filter("rows > 0")
-    crowd = known.join(sizes, "component")
+    crowd = known.join(cut_lineage(sizes, "table"), "component")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     row_block = F.pmod(F.xxhash64("id", F.lit("row")), F.col("rows"))
     col_block = F.pmod(F.xxhash64("id"), F.col("cols"))
