@@ -48,7 +48,7 @@ def _salted_join(fact: DataFrame, dim: DataFrame, key: str, cols: Sequence[str],
     dim_t = dim.select(F.col(key).alias("_dk"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(cols)])
     all_salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_ns") - 1, F.lit(0)))
     dim_s = dim_t.join(salts, F.col("_dk") == F.col("_hk"), "left").withColumn("_dsalt", F.explode(all_salts)).drop("_hk", "_ns")
-    j = fact_s.join(dim_s, (fact_s[key] == F.col("_dk")) & (F.col("_salt") == F.col("_dsalt")), "left_outer")
+    j = fact_s.join(dim_s.hint("merge"), (fact_s[key] == F.col("_dk")) & (F.col("_salt") == F.col("_dsalt")), "left_outer")
     return j.select(*[F.col(f"`{c}`") for c in fact.columns], *[F.col(f"_d{i}").alias(c) for i, c in enumerate(cols)])
 
 
