@@ -225,7 +225,7 @@ def find_personal_data(
     patterns, scores = score_graph(links, rounds, support, prior, confident)
     accepted = scores.filter(F.col("score") >= accept)
     best = accepted.groupBy("word").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
-    best = best.select("word", (-F.col("b.k")).alias("found_kind"))
+    best = cut_lineage(best.select("word", (-F.col("b.k")).alias("found_kind")), "table")
     new = (
         found.filter("kind IS NULL")
         .join(best, "word")
