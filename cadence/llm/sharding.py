@@ -72,12 +72,20 @@ def shard_rows(
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("shard", "range")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            (F.count("key") + F.max("size") + F.max("crc") + F.max("place") + F.max("grown_shard")).alias("all"),
+        )
+        # always true; it keeps all columns in this branch, so that both
+        # branches read one exchange and the texts are hashed once
+        .where("all >= 0")
+        .select(F.col("shard").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
     inside = Window.partitionBy("shard", "range").orderBy("place", "key", "size", "crc")
     numbered = rows.withColumn("i", F.row_number().over(inside))
-    return numbered.join(starts, ["shard", "range"]).select(
+    # null-safe, so that no not-null filter evaluates the hashes once more
+    same = F.col("shard").eqNullSafe(F.col("s")) & F.col("range").eqNullSafe(F.col("r"))
+    return numbered.join(starts, same).select(
         F.col("key").alias(key_col),
         "size",
         F.col("crc").alias("text_crc32"),
