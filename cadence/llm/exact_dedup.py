@@ -49,8 +49,9 @@ def _with_group(
         "table",
     )
     tagged = docs.withColumn("_h", digest(text))
-    single = by_hash.filter("n_texts = 1").select(F.col("h").alias("_h"), "_keep", "_size")
-    out = tagged.join(single, "_h")
+    single = by_hash.filter("n_texts = 1").select(F.col("h").alias("_gh"), "_keep", "_size")
+    # null-safe, so that no not-null filter normalises and hashes the text once more
+    out = tagged.join(single, F.col("_h").eqNullSafe(F.col("_gh"))).drop("_gh")
     collided = by_hash.filter("n_texts > 1").select("h")
     if not collided.isEmpty():
         exact = (
