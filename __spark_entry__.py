@@ -25,7 +25,6 @@ from cadence.operators import activity, insights, joins, primitives, quality, se
 from cadence.operators.quantiles import exact_percentiles  # noqa: E402
 from cadence.session import scratch_path  # noqa: E402
 from cadence.sources import generate, ingest  # noqa: E402
-from cadence.sources.schemas import INTERACTIONS  # noqa: E402
 from cadence.sources.tables import INTERACTIONS_SQL, METADATA_SQL, interactions, load, user_metadata  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"

@@ -65,8 +65,9 @@ def build_session(
 
 
 def _is_local(spark: SparkSession) -> bool:
+    """Whether all executors are on this machine (``local``, ``local-cluster``)."""
     try:
-        return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        return spark.sparkContext.master.startswith("local")
     except Exception:  # Spark Connect: no SparkContext on the client
         return False
 
@@ -75,8 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, for checkpoints and written tables.
 
     Taken from ``spark.checkpoint.dir`` (the cluster names it).  Only a
-    session in local mode, as in tests, gets a fresh folder of its own when it
-    has none; on a cluster that would scatter files over the machines, so a
+    session on one machine, as in tests, gets a fresh folder of its own when
+    it has none; on a cluster that would scatter files over the machines, so a
     missing setting is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)

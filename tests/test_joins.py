@@ -188,3 +188,13 @@ def test_key_skew_summary_sees_a_hot_key(spark):
     assert flat["rows"] == skewed["rows"] == ev.count()
     assert flat["max_to_median"] < 2 < 20 < skewed["max_to_median"]
     assert 0.3 <= skewed["max_key_share"] <= 0.32
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from cadence.session import _is_local
+
+    on = lambda master: _is_local(SimpleNamespace(sparkContext=SimpleNamespace(master=master)))
+    assert on("local[4]") and on("local-cluster[3,2,1024]")
+    assert not on("yarn") and not on("spark://host:7077") and not on("k8s://x")
