@@ -158,6 +158,19 @@ def mix_sql(docs: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN
+            list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+        grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach(doc_id, c) AS (SELECT doc_id, doc_id FROM sets UNION
+            SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.doc_id WHERE reach.c < links.b),
+        parts AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN parts USING (doc_id)""",
     "op7_mix_sources": f"""WITH {mix_sql("documents")}
         SELECT doc_id, size, source_size, target,
                (epochs * size + greatest(0, least(size, room)))::BIGINT AS taken FROM mixed""",
