@@ -9,9 +9,11 @@
     beats the end of a list enters it.  Rounds stop when few lists change.
 4.  Edges at or above the threshold are confirmed in double precision; their
     components are the result.  A list whose worst entry still reaches the
-    threshold is saturated: it is enlarged to the vertex's whole component,
-    compared exactly in blocks, so no link inside a component is lost to the
-    list length.
+    threshold is saturated.  Saturated vertices get further lists, of the
+    ``k`` best outside their component, by the same search; links found this
+    way join components, and the search is repeated until it finds none, so
+    no list that is left is saturated.  Inside a component saturated vertices
+    are compared exactly, in blocks.
 5.  Audit: a sample of vertices (``audit`` of them, by hash) is compared with
     all vectors; while the share of their links that was found is below
     ``goal``, new cells and rounds are added.  The share is returned.
@@ -99,8 +101,10 @@ def _cells(seed: int, cuts: int, bits: int):
                                 pa.array(np.full(len(x), cut), pa.int32()),
                                 pa.array(code * 4096 + dim, pa.int64()),
                                 pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()),
+                                rows.column(3),
+                                rows.column(4),
                             ],
-                            ["id", "cut", "cell", "unit"],
+                            ["id", "cut", "cell", "unit", "own", "open"],
                         )
 
     return run
@@ -121,17 +125,20 @@ def _edge_table(u, v, sim) -> pa.Table:
 def _best_in_cell(k: int):
     def run(table: pa.Table) -> pa.Table:
         ids, x = table["id"].to_numpy(), _matrix(table["unit"], np.float32)
+        own, seek = table["own"].to_numpy(), np.flatnonzero(table["open"].to_numpy())
         if len(ids) < 2:
             return _edge_table([], [], [])
         keep = min(k, len(ids) - 1)
         u, v, s = [], [], []
-        for at in range(0, len(ids), BLOCK):
-            sims = x[at : at + BLOCK] @ x.T
-            sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
+        for at in range(0, len(seek), BLOCK):
+            rows = seek[at : at + BLOCK]
+            sims = x[rows] @ x.T
+            sims[own[rows][:, None] == own[None, :]] = -2
             best = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-            u.append(np.repeat(ids[at : at + BLOCK], keep))
-            v.append(ids[best.ravel()])
-            s.append(np.take_along_axis(sims, best, 1).ravel())
+            near = np.take_along_axis(sims, best, 1).ravel()
+            u.append(np.repeat(ids[rows], keep)[near > -2])
+            v.append(ids[best.ravel()][near > -2])
+            s.append(near[near > -2])
         return _edge_table(u, v, s)
 
     return run
@@ -163,6 +170,7 @@ def _compare_neighbours(table: pa.Table) -> pa.Table:
     table = table.sort_by([("pivot", "ascending"), ("part", "ascending")])
     pivot, part, ids = table["pivot"].to_numpy(), table["part"].to_numpy(), table["id"].to_numpy()
     fresh, floor = table["fresh"].to_numpy(), table["floor"].to_numpy()
+    group, seek = table["own"].to_numpy(), table["open"].to_numpy()
     units = table["unit"].to_pylist()
     begin = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])]))
     us, vs, ss = [], [], []
@@ -171,8 +179,8 @@ def _compare_neighbours(table: pa.Table) -> pa.Table:
             continue
         x = np.frombuffer(b"".join(units[s:e]), np.float32).reshape(e - s, -1)
         sims = x @ x.T
-        own, new = ids[s:e], fresh[s:e]
-        good = (sims > floor[s:e, None]) & (new[:, None] | new[None, :]) & (own[:, None] != own[None, :])
+        own, new, side = ids[s:e], fresh[s:e], group[s:e]
+        good = (sims > floor[s:e, None]) & (new[:, None] | new[None, :]) & (side[:, None] != side[None, :]) & seek[s:e, None]
         a, b = np.nonzero(good)
         us.append(own[a]), vs.append(own[b]), ss.append(sims[a, b])
     return _edge_table(us, vs, ss)
@@ -186,37 +194,43 @@ def _bundled(edges: DataFrame, bundles: int, k: int) -> DataFrame:
     )
 
 
+def cell_bits(n: int, cell: int) -> int:
+    return max(0, min(40, int(np.ceil(np.log2(max(1, n / (cell / 2)))))))
+
+
 def start_lists(vectors: DataFrame, n: int, k: int, cell: int, cuts: int, seed: int, bundles: int) -> DataFrame:
-    bits = max(0, min(40, int(np.ceil(np.log2(max(1, n / (cell / 2)))))))
-    placed = vectors.select("id", "dim", "unit").mapInArrow(
-        _cells(seed, cuts, bits), "id bigint, cut int, cell bigint, unit binary"
+    bits = cell_bits(n, cell)
+    placed = vectors.select("id", "dim", "unit", "own", "open").mapInArrow(
+        _cells(seed, cuts, bits), "id bigint, cut int, cell bigint, unit binary, own bigint, open boolean"
     )
     placed = cut_lineage(placed, "table")
     counts = placed.groupBy("cut", "cell").agg(F.ceil(F.count(F.lit(1)) / cell).alias("parts"))
     # one column for the group: rows dealt by (cut, cell) would count as grouped
     # and leave all parts of a crowded cell in one task
     part = F.concat_ws(":", "cut", "cell", F.pmod(F.xxhash64("id", "cut"), F.col("parts")))
-    split = placed.join(counts, ["cut", "cell"]).select("id", "unit", part.alias("part"))
+    split = placed.join(counts, ["cut", "cell"]).select("id", "unit", "own", "open", part.alias("part"))
     best = split.groupBy("part").applyInArrow(_best_in_cell(k), EDGES)
     return _bundled(best, bundles, k)
 
 
-def descent_round(lists: DataFrame, vectors: DataFrame, k: int, bundles: int, seed: int) -> DataFrame:
-    """Lists after one neighbours-of-neighbours comparison."""
+def descent_round(lists: DataFrame, vectors: DataFrame, k: int, bundles: int, seed: int, paths: DataFrame | None = None) -> DataFrame:
+    """Lists after one neighbours-of-neighbours comparison; ``paths`` are
+    further edges whose ends count as neighbours."""
     floors = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-    both = lists.select(F.col("u").alias("pivot"), F.col("v").alias("id"), "fresh").union(
-        lists.select(F.col("v").alias("pivot"), F.col("u").alias("id"), "fresh")
+    ways = lists if paths is None else lists.union(paths.withColumn("fresh", F.lit(False)))
+    both = ways.select(F.col("u").alias("pivot"), F.col("v").alias("id"), "fresh").union(
+        ways.select(F.col("v").alias("pivot"), F.col("u").alias("id"), "fresh")
     )
     both = both.groupBy("pivot", "id").agg(F.max("fresh").alias("fresh"))
     parts = both.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     members = both.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("id", "pivot", F.lit(seed)), F.col("parts")))
     single = vectors.join(floors, F.col("id") == F.col("u"), "left").select(
-        "id", "single", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor")
+        "id", "single", "own", "open", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor")
     )
     found = (
         members.join(single, "id")
         .select(
-            "pivot", "part", "id", "fresh", "floor", F.col("single").alias("unit"),
+            "pivot", "part", "id", "fresh", "floor", "own", "open", F.col("single").alias("unit"),
             F.pmod(F.xxhash64("pivot", "part"), F.lit(bundles)).alias("bundle"),
         )
         .groupBy("bundle")
@@ -267,25 +281,33 @@ def _audit_counts(sample: np.ndarray, dim: int, threshold: float):
     return run
 
 
-def _links(vectors: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    """vertex id, component and number of linked vectors other than its copies."""
+def _confirmed(vectors: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """The list entries at or above the threshold in double precision."""
     near = lists.filter(F.col("sim") >= threshold - MARGIN).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     left = vectors.select(F.col("id").alias("u"), F.col("unit").alias("x"))
     right = vectors.select(F.col("id").alias("v"), F.col("unit").alias("y"))
-    edges = cut_lineage(
+    return cut_lineage(
         near.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_exact, "u bigint, v bigint, cosine double")
         .filter(F.col("cosine") >= threshold).select("u", "v"),
         "table",
     )
+
+
+def _known(vectors: DataFrame, lists: DataFrame, edges: DataFrame, k: int, threshold: float) -> DataFrame:
+    """id, copies, component and whether the vertex's list is saturated."""
     parts = connected_components(edges, "u", "v")
     full = lists.groupBy("u").agg((F.count(F.lit(1)) >= k).alias("full"), F.min("sim").alias("worst"))
     full = full.filter(F.col("full") & (F.col("worst") >= threshold - MARGIN)).select(F.col("u").alias("id"), F.lit(True).alias("saturated"))
-    known = cut_lineage(
+    return cut_lineage(
         vectors.select("id", "copies").join(parts, "id", "left").join(full, "id", "left").select(
             "id", "copies", F.coalesce("component", "id").alias("component"), F.coalesce("saturated", F.lit(False)).alias("saturated")
         ),
         "table",
     )
+
+
+def _links(vectors: DataFrame, edges: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """vertex id, component and number of linked vectors other than its copies."""
     # links between vertices with open lists, from the confirmed edges
     ends = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     flags = known.select(F.col("id").alias("v"), F.col("copies").alias("c"), F.col("saturated").alias("sat_v"))
@@ -358,15 +380,37 @@ def near_vectors(
     vertices = cut_lineage(chosen.select("id", "dim", "unit", "copies").mapInArrow(_single, "id bigint, dim int, unit binary, copies bigint, single binary"), "table")
     n = vertices.count()
     bundles = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, n // 2000)
-    lists, recall, links = None, 1.0, None
-    for attempt in range(attempts):
-        started = start_lists(vertices, n, k, cell, cuts, seed + attempt, bundles)
-        lists = cut_lineage(started if lists is None else _bundled(lists.union(started), bundles, k), "table")
+    def searched(found: DataFrame | None, who: DataFrame, many: int, seed: int, paths: DataFrame | None = None) -> DataFrame:
+        """Lists of the open ones of ``who`` from new cells and rounds."""
+        started = start_lists(who, n, k, cell, cuts, seed, bundles)
+        lists = cut_lineage(started if found is None else _bundled(found.union(started), bundles, k), "table")
         for r in range(rounds):
-            lists = cut_lineage(descent_round(lists, vertices, k, bundles, seed + 100 * attempt + r), "table")
-            if lists.filter("fresh").count() <= 0.01 * k * n:
+            lists = cut_lineage(descent_round(lists, who, k, bundles, seed + 1000 + r, paths), "table")
+            if lists.filter("fresh").count() <= 0.01 * k * many:
+                break
+        return lists
+
+    everyone = vertices.withColumn("own", F.col("id")).withColumn("open", F.lit(True))
+    lists, recall, links, across = None, 1.0, None, None
+    for attempt in range(attempts):
+        at = seed + 100_000 * attempt
+        lists = searched(lists, everyone, n, at)
+        edges = _confirmed(vertices, lists, threshold)
+        edges = edges if across is None else edges.union(across).distinct()
+        while True:
+            known = _known(vertices, lists, edges, k, threshold)
+            full = known.filter("saturated").count()
+            if not full or known.select("component").distinct().count() == 1:
+                break
+            at += 2000
+            sides = known.select("id", F.col("component").alias("own"), F.col("saturated").alias("open"))
+            who = cut_lineage(vertices.join(sides, "id"), "table")
+            new = _confirmed(vertices, searched(None, who, full, at, lists), threshold)
+            if new.isEmpty():
                 break
-        links = _links(vertices, lists, k, threshold)
+            across = new if across is None else across.union(new)
+            edges = cut_lineage(edges.union(new).distinct(), "table")
+        links = _links(vertices, edges, known, threshold)
         recall = _recall(vertices, links, audit, n, threshold)
         if recall >= goal:
             break

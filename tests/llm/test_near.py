@@ -237,3 +237,21 @@ def test_vectors_of_the_driver_table(spark):
     got = embed_dedup.near_vectors(df).collect()
     rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
     assert sorted((tuple(r)[:4] for r in got), key=str) == brute_vectors(rows)
+
+
+def family(rng, centre, n, spread):
+    out = centre + spread * rng.standard_normal((n, len(centre)))
+    return (out / np.linalg.norm(out, axis=1)[:, None]).tolist()
+
+
+def test_tight_families_linked_with_each_other(spark):
+    """Lists full of the own family hide the links to the others."""
+    rng = np.random.default_rng(4)
+    a, b = np.eye(16)[:2]
+    c = 0.93 * a + (1 - 0.93**2) ** 0.5 * b
+    vectors = [v for x in (a, c, -a, -c) for v in family(rng, x, 14, 0.005)] + rng.standard_normal((60, 16)).tolist()
+    rows = list(enumerate(vectors))
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cell=32).collect()
+    want = brute_vectors(rows)
+    assert sorted((tuple(r)[:4] for r in got), key=str) == want
+    assert {r[2] for r in want if r[0] < 56} == {0, 28}
