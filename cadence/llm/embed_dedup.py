@@ -14,9 +14,14 @@
     way join components, and the search is repeated until it finds none, so
     no list that is left is saturated.  Inside a component saturated vertices
     are compared exactly, in blocks.
-5.  Audit: a sample of vertices (``audit`` of them, by hash) is compared with
-    all vectors; while the share of their links that was found is below
-    ``goal``, new cells and rounds are added.  The share is returned.
+5.  Audit: a sample of vertices is compared with all vertices.  A vertex's
+    recall is the share of its links that was found; the audit is the lowest
+    mean over the linked vertices of a size class (``SIZES``).  While it is
+    below ``goal``, new cells and rounds are added; if it stays below,
+    ``near_vectors`` raises.  The audit is returned.
+
+The number of cuts follows the table: so many that two vectors at the threshold
+share a cell with probability ``goal``, whatever the number of cells.
 
 All comparisons work on groups of bounded size: cells and the neighbour lists
 of popular vertices are split at random, saturated components are cut into
@@ -49,6 +54,8 @@ ROUNDS = 4
 BLOCK = 512
 MEMBERS = 64
 AUDIT = 400
+SIZES = (8, 64, 512)  # upper limits of the audit's size classes
+SAMPLE = 2048  # vertices that the audit compares in one pass
 GOAL = 0.97
 MARGIN = 1e-4  # lists are kept in single precision; what is this near is confirmed in double
 
@@ -198,6 +205,15 @@ def cell_bits(n: int, cell: int) -> int:
     return max(0, min(40, int(np.ceil(np.log2(max(1, n / (cell / 2)))))))
 
 
+def cuts_for(n: int, cell: int, threshold: float, goal: float) -> int:
+    """Cuts after which two vectors at the threshold have shared a cell with
+    probability ``goal``."""
+    together = (1 - np.arccos(min(1.0, max(-1.0, threshold))) / np.pi) ** cell_bits(n, cell)
+    if together >= goal:
+        return 1
+    return int(np.ceil(np.log(1 - min(goal, 1 - 1e-9)) / np.log(1 - together)))
+
+
 def start_lists(vectors: DataFrame, n: int, k: int, cell: int, cuts: int, seed: int, bundles: int) -> DataFrame:
     bits = cell_bits(n, cell)
     placed = vectors.select("id", "dim", "unit", "own", "open").mapInArrow(
@@ -332,24 +348,48 @@ def _links(vectors: DataFrame, edges: DataFrame, known: DataFrame, threshold: fl
     )
 
 
-def _recall(vectors: DataFrame, links: DataFrame, audit: int, n: int, threshold: float) -> float:
-    """Share of the links of a sample of vertices that was found."""
-    picked = (
-        vectors.filter(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(max(1, n // audit))) == 0)
-        .orderBy(F.xxhash64("id"), "id").limit(audit).select("id", "dim", "unit", "copies")
+def _size_class(size):
+    return sum((F.when(size > limit, 1).otherwise(0) for limit in SIZES), F.when(size > 1, 1).otherwise(0))
+
+
+def _recall(vectors: DataFrame, links: DataFrame, audit: int, threshold: float) -> float:
+    """Lowest mean recall of a size class' linked vertices.
+
+    The sample has ``audit`` vertices of each class of found components.  Of
+    the vertices without a found link it has as large a share as of the
+    smallest class of components, so that a miss weighs as little there as a
+    found vertex; all of them where fewer than ``audit`` are linked.  A vertex
+    counts in the class of its component or of its links, whichever is larger,
+    with the inverse of its share in the sample.
+    """
+    sizes = links.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    graded = cut_lineage(
+        links.join(sizes, "component").select("id", "size", F.col("n").alias("found"), _size_class(F.col("size")).alias("grade")), "table"
     )
-    rows = picked.join(links.select("id", F.col("n").alias("found")), "id").collect()
-    found = true = 0
-    for dim in {r["dim"] for r in rows}:
-        some = [r for r in rows if r["dim"] == dim]
+    counts = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
+    share = {g: min(1.0, audit / m) for g, m in counts.items()}
+    if 0 in share:
+        share[0] = max([share[0], share[min(g for g in counts if g)] if len(counts) > 1 else 1.0])
+    fraction = F.create_map(*[F.lit(x) for g in share for x in (g, float(share[g]))]) if share else F.create_map()
+    order = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 40)) / float(1 << 40)
+    picked = graded.filter(order < F.element_at(fraction, F.col("grade"))) if share else graded
+    turns = max(1, int(np.ceil(sum(share[g] * counts[g] for g in counts) / SAMPLE)))
+    picked = picked.withColumn("turn", F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(turns)))
+    picked = cut_lineage(picked.join(vectors.select("id", "dim", "unit", "copies"), "id"), "table")
+    weight, hits = {}, {}
+    for dim, turn in sorted(map(tuple, picked.select("dim", "turn").distinct().collect())):
+        some = picked.filter((F.col("dim") == dim) & (F.col("turn") == turn)).collect()
         sample = np.frombuffer(b"".join(r["unit"] for r in some), np.float64).reshape(len(some), dim)
-        counts = vectors.select("dim", "unit", "copies").mapInArrow(_audit_counts(sample, dim, threshold), "i int, n bigint")
-        total = {r["i"]: r["n"] for r in counts.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+        per = vectors.select("dim", "unit", "copies").mapInArrow(_audit_counts(sample, dim, threshold), "i int, n bigint")
+        total = {r["i"]: r["n"] for r in per.groupBy("i").agg(F.sum("n").alias("n")).collect()}
         for i, r in enumerate(some):
-            expected = total[i] - r["copies"]  # itself and its copies
-            true += expected
-            found += min(r["found"], expected)
-    return found / true if true else 1.0
+            true = total[i] - r["copies"]  # itself and its copies
+            if true > 0:
+                size = max(r["size"], true + 1)
+                grade = 1 + sum(size > limit for limit in SIZES)
+                weight[grade] = weight.get(grade, 0.0) + 1 / share[r["grade"]]
+                hits[grade] = hits.get(grade, 0.0) + min(r["found"], true) / true / share[r["grade"]]
+    return min((hits[g] / weight[g] for g in weight), default=1.0)
 
 
 def near_vectors(
@@ -366,7 +406,10 @@ def near_vectors(
     attempts: int = 4,
     seed: int = 11,
 ) -> DataFrame:
-    """Id, ``n_links``, ``component_id``, ``kept`` and ``audited_recall`` per row."""
+    """Id, ``n_links``, ``component_id``, ``kept`` and ``audited_recall`` per row.
+
+    ``cuts``, ``rounds`` and ``attempts`` are the least limits; all three grow
+    with the table.  Raises if the audit stays below ``goal``."""
     spark = vectors.sparkSession
     rows = cut_lineage(
         vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(
@@ -380,6 +423,10 @@ def near_vectors(
     vertices = cut_lineage(chosen.select("id", "dim", "unit", "copies").mapInArrow(_single, "id bigint, dim int, unit binary, copies bigint, single binary"), "table")
     n = vertices.count()
     bundles = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, n // 2000)
+    cuts = max(cuts, cuts_for(n, cell, threshold, goal))
+    rounds = max(rounds, cell_bits(n, cell))
+    attempts = max(attempts, cell_bits(n, cell))
+
     def searched(found: DataFrame | None, who: DataFrame, many: int, seed: int, paths: DataFrame | None = None) -> DataFrame:
         """Lists of the open ones of ``who`` from new cells and rounds."""
         started = start_lists(who, n, k, cell, cuts, seed, bundles)
@@ -411,9 +458,11 @@ def near_vectors(
             across = new if across is None else across.union(new)
             edges = cut_lineage(edges.union(new).distinct(), "table")
         links = _links(vertices, edges, known, threshold)
-        recall = _recall(vertices, links, audit, n, threshold)
+        recall = _recall(vertices, links, audit, threshold)
         if recall >= goal:
             break
+    if recall < goal:
+        raise RuntimeError(f"audited recall {recall:.4f} is below {goal} after {attempts} attempts")
     result = groups.join(links.select(F.col("id").alias("vertex"), "component", "n"), "vertex").select(
         "digest", "component", (F.col("n") + F.col("copies") - 1).alias("n")
     )

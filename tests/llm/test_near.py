@@ -255,3 +255,28 @@ def test_tight_families_linked_with_each_other(spark):
     want = brute_vectors(rows)
     assert sorted((tuple(r)[:4] for r in got), key=str) == want
     assert {r[2] for r in want if r[0] < 56} == {0, 28}
+
+
+def test_audit_sees_missed_pairs_beside_a_large_component(spark):
+    rng = np.random.default_rng(8)
+    vectors = np.array(family(rng, np.eye(32)[0], 300, 0.001))
+    for centre in rng.standard_normal((40, 32)):
+        vectors = np.concatenate([vectors, family(rng, centre / np.linalg.norm(centre), 2, 0.001)])
+    rows = [(i, 32, v.tobytes(), 1) for i, v in enumerate(vectors)]
+    vertices = spark.createDataFrame(rows, "id bigint, dim int, unit binary, copies bigint")
+    # the family's links are found, those of 30 of the 40 pairs are not
+    links = [(i, 0, 299) if i < 300 else (i, i, 0) if i < 360 else (i, i - i % 2, 1) for i in range(380)]
+    found = spark.createDataFrame(links, "id bigint, component bigint, n bigint")
+    assert embed_dedup._recall(vertices, found, 400, 0.9) == pytest.approx(0.25)
+    none = spark.createDataFrame([(i, i, 0) for i in range(380)], "id bigint, component bigint, n bigint")
+    assert embed_dedup._recall(vertices, none, 400, 0.9) == 0.0
+
+
+def test_effort_follows_the_table_and_a_missed_goal_raises(spark, monkeypatch):
+    p = lambda n, cuts: 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** embed_dedup.cell_bits(n, 192)) ** cuts
+    for n in (10, 10**4, 10**6, 10**8):
+        assert p(n, embed_dedup.cuts_for(n, 192, 0.9, 0.97)) >= 0.97
+    monkeypatch.setattr(embed_dedup, "_recall", lambda *a: 0.5)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        embed_dedup.near_vectors(df, attempts=1)
