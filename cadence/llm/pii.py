@@ -1,10 +1,13 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
 The base patterns (email, ip, card, phone) give the seed entities.  Every
-identifier-like token of the corpus (four digits or an ``@``, at most 64
-characters, not part of a base match) is an instance, and so is every seed.  The words beside an
-instance are its lexical patterns: the word before, the two words before, and
-the words on both sides.
+maximal identifier-like run outside the base matches (four digits or an inner
+``@``; ASCII letters and digits with the separators of the base patterns,
+blanks between groups of digits included) is an instance, and so is every seed.
+The words beside an instance, which may be or hold base matches, are its lexical
+patterns: the word before, the two words before, and the words on both sides.
+Words end at white space and at the marks of records (quotes, brackets, commas,
+semicolons, ``=``, ``&``, ``|``); ideographs and kana are words of their own.
 
 Spark scores the bipartite graph of patterns and instances in rounds.  A
 pattern's confidence for a kind is the mass of its instances known to be of
@@ -36,7 +39,6 @@ from cadence.llm._common import text_or_empty
 from cadence.plans.lineage import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 64  # characters of an unseen identifier
 ROUNDS = 3
 SUPPORT = 5.0
 PRIOR = 1.0
@@ -51,8 +53,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\S+")
-_EDGE = "\"'`<>()[]{},;:!?.#*$%&|"
+# groups of hexadecimal digits between colons, or a run of identifier characters
+_RUN = re.compile(
+    r"(?<![A-Za-z0-9:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,}(?![A-Za-z0-9:])"
+    r"|(?:[A-Za-z0-9._%+@-]|\([0-9]++\)|(?<=[0-9])/(?=[0-9])|(?<=[0-9)])\x20(?=\(?[0-9]))++"
+)
+_LONE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_LONE}]|[^\s{_LONE}\"'`<>()\[\]{{}},;=&|、。，；：「」（）]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -99,42 +106,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _unseen(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens that touch no base span."""
-    taken = sorted((s, e) for _, s, e in spans)
-    i, at, size = 0, 0, len(text)
-    digit = near = -1  # next digit and next @, or the text's length
-    while True:
-        if digit < at:
-            mark = _DIGIT.search(text, at)
-            digit = mark.start() if mark else size
-        if near < at:
-            near = text.find("@", at)
-            near = near if near >= 0 else size
-        spot = min(digit, near)
-        if spot == size:
-            return
-        start = spot
-        while start > at and not text[start - 1].isspace():
-            start -= 1
-        end = _TOKEN.match(text, spot).end()
-        at = end
-        while i < len(taken) and taken[i][1] <= start:
-            i += 1
-        if i < len(taken) and taken[i][0] < end:
-            continue
-        token = text[start:end]
-        cut = max(token.rfind(c, 0, spot - start) for c in "=:\"'") + 1
-        core = token[cut:].rstrip(_EDGE)
-        skip = len(core) - len(core.lstrip(_EDGE))
-        core = core[skip:]
-        inner = core.find("@")
-        if len(core) <= LONGEST and (sum("0" <= c <= "9" for c in core) >= 4 or 0 < inner < len(core) - 1):
-            yield start + cut + skip, start + cut + len(core) + skip
+    """Maximal identifier-like runs outside the base spans."""
+    if "@" not in text and not _DIGIT.search(text):
+        return
+    at = 0
+    for s, e in [*sorted((s, e) for _, s, e in spans), (len(text), len(text))]:
+        for m in _RUN.finditer(text, at, max(at, s)):
+            run = m[0].rstrip(" .%")
+            core = run.lstrip(" .%")
+            inner = core.find("@")
+            if 0 < inner < len(core) - 1 or len(core) >= 4 and len(_DIGIT.findall(core)) >= 4:
+                yield m.start() + len(run) - len(core), m.start() + len(run)
+        at = max(at, e)
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    before = text[max(0, start - 100) : start].lower().split()
-    after = text[end : end + 50].lower().split()
+    before = _WORD.findall(text[max(0, start - 100) : start].lower())
+    after = _WORD.findall(text[end : end + 50].lower())
     one = before[-1] if before else "^"
     two = " ".join(before[-2:]) if before else "^"
     return list(dict.fromkeys([f"1 {one}", f"2 {two}", f"3 {one} _ {after[0] if after else '$'}"]))

@@ -170,6 +170,34 @@ def test_contexts_of_seeds_discover_unseen_identifiers(spark):
         assert got[i]["n_email"] == len(base)
 
 
+def test_unseen_identifiers_in_unspaced_records_and_with_blanks():
+    def runs(text):
+        return [text[s:e] for s, e in pii._unseen(text, pii.base_spans(text))]
+
+    assert runs("mail=a@b.com;id=123-45-6789") == ["123-45-6789"]
+    assert runs('{"mail":"a@b.com","ssn":"123-45-6789","card":"4111 1111 1111 1112"}') == ["123-45-6789", "4111 1111 1111 1112"]
+    assert runs("call 555 123 4567 or (555) 123-4568.") == ["555 123 4567", "(555) 123-4568"]
+    assert runs("1234567,a@b.com,7654321") == ["1234567", "7654321"]
+    assert runs("电话5551234567，身份证号110101199001011237。") == ["5551234567", "110101199001011237"]
+    assert runs("https://x.org/?user=me@host&key=" + "a1b2" * 40) == ["me@host", "a1b2" * 40]
+    assert runs("mac 00:1A:2B:3C:4D:5E at 12/31/1999") == ["00:1A:2B:3C:4D:5E", "12/31/1999"]
+    assert runs("no digits 12 3x 4") == [] and runs("") == []
+    text = '{"mail":"a@b.com","ssn=123-45-6789"}'
+    at = text.index("123")
+    assert "1 ssn" in pii._contexts(text, at, at + 11)
+    assert "2 电 话" in pii._contexts("请打电话5551234567", 4, 14)
+
+
+def test_records_without_blanks_discover_identifiers(spark):
+    rows = [(i, f"name=n{i};phone=+1 555 010 {1000 + i};mail=u{i}@x.org") for i in range(40)]
+    rows += [(100, "name=x;mail=z@x.org;phone=555 123 4567;end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
+    start = rows[-1][1].index("555")
+    assert got[100]["n_discovered"] == 1 and f"phone:{start}:{start + 12}" in got[100]["spans"]
+
+
+
 # ----------------------------------------------------------------- quality
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
