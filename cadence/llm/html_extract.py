@@ -3,7 +3,9 @@
 A page is cut into flat blocks at block-level tags.  A block is described by
 its own words and link density, those of its neighbours before and after, and
 what surrounds it: headings, article-like ancestors and boilerplate-like
-ancestors (by tag, role, class or id).  A decision tree trained on a small
+ancestors (by tag, role, class or id): whether the nearest marked ancestor is
+boilerplate (1), an article (0) or marked as both (0.5), and the share of the
+page's words under the nearest boilerplate one (1 without one).  A decision tree trained on a small
 labelled table of pages (below) says which blocks are main text.
 
 Edge cases: a null or empty html, or one without main text, gives an empty
@@ -62,7 +64,7 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "boilerplate_around", "article_around", "heading",
+    "boilerplate_nearest", "boilerplate_share", "article_around", "heading",
 )
 
 
@@ -87,12 +89,14 @@ def _surroundings(name: str, rest: str) -> tuple[int, int]:
     return plain, main
 
 
-def flat_blocks(page: str) -> list[tuple[str, float, int, int, int]]:
-    """(text, share of linked words, boilerplate, article, heading) of the
-    page's non-empty blocks in order."""
-    blocks: list[tuple[str, float, int, int, int]] = []
-    # open elements: name, boilerplate, article, link, heading (all inherited)
-    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+def flat_blocks(page: str) -> list[tuple[str, float, float, float, int, int]]:
+    """(text, share of linked words, nearest mark, share of the page's words
+    under the nearest boilerplate, article, heading) of the page's non-empty
+    blocks in order."""
+    blocks: list[tuple[str, float, float, int, int, int]] = []
+    above = [0]  # the boilerplate element around each boilerplate element; 0 is the page
+    # open elements: name, boilerplate element, article, link, heading, nearest mark (all inherited)
+    stack: list[tuple[str, int, int, int, int, float]] = [("", 0, 0, 0, 0, 0.0)]
     pieces: list[tuple[str, int]] = []
     state = stack[0]
 
@@ -102,7 +106,7 @@ def flat_blocks(page: str) -> list[tuple[str, float, int, int, int]]:
             if text:
                 linked = sum(len(p.split()) for p, link in pieces if link)
                 words = max(1, sum(len(p.split()) for p, _ in pieces))
-                blocks.append((text, linked / words, state[1], state[2], state[4]))
+                blocks.append((text, linked / words, state[5], state[1], state[2], state[4]))
             pieces.clear()
 
     def cut_stack(size: int) -> None:
@@ -162,20 +166,29 @@ def flat_blocks(page: str) -> list[tuple[str, float, int, int, int]]:
             plain = 0  # an article's own header
         if name in ("html", "body"):
             plain = main = 0
+        if plain:
+            above.append(state[1])
+        nearest = (0.5 if main else 1.0) if plain else 0.0 if main else state[5]
         state = (
-            name, state[1] + plain, int(state[2] or main), int(state[3] or name == "a"), int(state[4] or name in HEADINGS),
+            name, len(above) - 1 if plain else state[1], int(state[2] or main), int(state[3] or name == "a"),
+            int(state[4] or name in HEADINGS), nearest,
         )
         stack.append(state)
     close_block()
-    return blocks
+    words_in = [0] * len(above)
+    for b in blocks:
+        words_in[b[3]] += len(b[0].split())
+    for i in range(len(above) - 1, 0, -1):
+        words_in[above[i]] += words_in[i]
+    return [(*b[:3], words_in[b[3]] / words_in[0], *b[4:]) for b in blocks]
 
 
-def block_features(blocks: list[tuple[str, float, int, int, int]]) -> np.ndarray:
+def block_features(blocks: list[tuple[str, float, float, float, int, int]]) -> np.ndarray:
     n = len(blocks)
     own = np.zeros((n + 2, 2))
-    for i, (text, linked, _, _, _) in enumerate(blocks):
+    for i, (text, linked, *_) in enumerate(blocks):
         own[i + 1] = len(text.split()), linked
-    marks = np.array([b[2:] for b in blocks], float).reshape(n, 3)
+    marks = np.array([b[2:] for b in blocks], float).reshape(n, 4)
     return np.column_stack([own[1:-1], own[:-2], own[2:], marks])
 
 
@@ -211,6 +224,27 @@ LABELLED = (
     ("<body><div class=post><h2>Stars</h2><p>Look up.</p><p>The light you see left them long before you were born, and some of them are gone "
      "by now.</p></div><div class=sidebar><p>About me: I write about the night sky and everything that moves in it.</p><p><a href=/a>Archive</a></p></div>"
      "<div class=banner>Telescopes at half the price, only this week and only in our shop, so come and see.</div></body>", "111000"),
+    ('<body><nav><a href=/>Home</a></nav><div class=content-with-sidebar><article><h1>The flood</h1><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p><p>Over.</p></article><div class=sidebar><p>About me: I write about rivers and everything that lives in them.</p></div></div><footer><p>All rights reserved by the owner of this page.</p></footer></body>',
+     "011111100"),
+    ('<body><div class=elementor-widget><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p></div><div class=elementor-widget><p>Subscribe to our letter now and never miss a story, it is free.</p></div><div class=widget><a href=/a>Archive of all stories</a></div></body>',
+     "111100"),
+    ('<body class=x><div class="main has-ads"><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p><p>So it was.</p><div class=ads>Boots for wet days at half the price, only in our shop and only this week.</div></div><aside><p>Ten rivers that you must see before they run dry for good.</p></aside></body>',
+     "1111100"),
+    ('<body><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p></article><div class=related><article><p>The dry summer: how the same village lived through a year without any rain at all.</p></article><article><a href=/m>The mill and its owners</a></article></div><section id=comments><article class=comment><p>I was there as a child and remember the sheep on the hill very well, thank you.</p></article></section></body>',
+     "1111000"),
+    ('<body><div class=widget-area><div class=social-layout><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p><p>The end.</p></article></div></div><div class="post-share"><a href=/f>Share it with friends</a></div><div class="entry-meta">Written by a friend of the house on a wet day in May</div></body>',
+     "11100"),
+    ('<body><article><p>Open.</p></article></body>', "1"),
+    ('<body><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></article></body>', "11"),
+    ('<body><nav><a href=/>Home</a></nav><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></article></body>', "011"),
+    ('<body><nav><a href=/>Home</a></nav><div class=page-with-sidebar><main><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>So it was.</p></main></div></body>', "0111"),
+    ('<body><div class=widget><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></div></body>', "11"),
+    ('<body><nav><a href=/>Home</a></nav><div><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></div></body>', "011"),
+    ('<body><nav><a href=/>Home</a></nav><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p></article></body>', "01111"),
+    ('<body><div><a href=/>Start</a></div><div><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p></div><div><a href=/n>Next</a></div></body>', "0110"),
+    ('<body><div><a href=/>Start</a></div><div>Menu of the day</div><div><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p></div></body>', "0011"),
+    ('<body><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=related><article><p>The fishermen and their boats, in ten old pictures.</p></article></div></body>', "1111111111110"),
+    ('<body><div class=cookie-banner><p>We and our partners store and read data on your device to show you advertisements, to measure how they are seen and to find out more about our readers, and you can agree to this or change your mind at any time.</p></div><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p></article><section id=comments><p>I have read this twice now and must say that the market in our own town was never like that, since the bakers there always slept until noon and nobody ever saw a cat near the tables.</p><p>I have read this twice now and must say that the market in our own town was never like that, since the bakers there always slept until noon and nobody ever saw a cat near the tables.</p></section><aside><p>I have read this twice now and must say that the market in our own town was never like that, since the bakers there always slept until noon and nobody ever saw a cat near the tables.</p></aside><footer><p>We and our partners store and read data on your device to show you advertisements, to measure how they are seen and to find out more about our readers, and you can agree to this or change your mind at any time.</p></footer></body>', "01110000"),
 )
 
 

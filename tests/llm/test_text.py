@@ -72,6 +72,27 @@ def test_boilerplate_of_many_kinds_goes():
     assert text == "Title One & two three <b>. Loose Four five six Seven ∉ eight Nine Ten Eleven Twelve"
 
 
+def test_main_text_under_containers_with_boilerplate_names():
+    words = "The old harbour was rebuilt after the war with stone from the quarry behind the town and {} ships came back to it."
+    text = [words.format(n) for n in ("many", "a few", "no", "only small", "the large")]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    for name in ("content-with-sidebar", "elementor-widget", "main has-ads", "page social-layout"):
+        page = (
+            f"<body><nav><a href=/>Home</a></nav><div class='{name}'><article>{body}</article></div>"
+            "<div class=related><article><p>Another harbour, and what became of its ships in the end.</p></article></div>"
+            "<footer><p>Contact us by mail at any time of the day.</p></footer></body>"
+        )
+        assert html_extract.main_texts([page], html_extract.block_classifier()) == [" ".join(text)], name
+    parts = "".join(f"<div class=elementor-widget><article><p>{t}</p><p>{t}</p></article></div>" for t in text)
+    page = f"<body><nav><a href=/>Home</a></nav>{parts}<aside><p>Read more of this in our letter.</p></aside></body>"
+    assert html_extract.main_texts([page], html_extract.block_classifier()) == [" ".join(t for t in text for _ in range(2))]
+    long = " ".join(text[:2])
+    page = f"<body><article>{body}</article><section id=comments><p>{long}</p></section><aside><p>{long}</p></aside></body>"
+    assert html_extract.main_texts([page], html_extract.block_classifier()) == [" ".join(text)]
+    page = f"<body><div class=elementor-widget>{body}</div><div class=sidebar><p>Read more of this in our letter.</p></div></body>"
+    assert html_extract.main_texts([page], html_extract.block_classifier()) == [" ".join(text)]
+
+
 def test_broken_and_empty_pages(spark):
     long = "<article>" + "<p>word &amp; more</p>" * 20_000
     rows = [
