@@ -6,8 +6,10 @@ table and derives the digest columns of the result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,13 @@ from cadence.llm import (
     minhash,
     mixing,
     packing,
+    periodic,
     pii,
     quality,
     sharding,
     substring_dedup,
+    url_filter,
+    whitening,
 )
 from cadence.llm._common import read_table
 
@@ -30,6 +35,14 @@ SEQUENCE_LENGTH, END_ID = 2048, 1
 N_SHARDS = 40
 SOURCE_WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
+# Fixed by the data contract: host, path, verdict.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +99,53 @@ def op10_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def planted_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Numbers of the words that stand in a document of ``n`` words; None
+    leaves it as it is (fixed by the data contract)."""
+    if doc_id is None or not n:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    words = np.arange(n)
+    words[a:] = a + (words[a:] - a) % p
+    return words
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(read_table(spark, sf_dir, "documents"), rewrite=planted_words)
+    ranked = F.transform(
+        "runs",
+        lambda r: F.struct(
+            (r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length")
+        ),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.when(F.size("runs") > 0, F.array_max(ranked))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_quality_classifier": op2_quality_classifier,
@@ -97,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_nn_descent_dedup": op10_nn_descent_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_url_filter": op12_url_filter,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 
@@ -157,6 +220,8 @@ def mix_sql(docs: str) -> str:
         FROM raw JOIN epoched ON raw.source IS NOT DISTINCT FROM epoched.source)"""
 
 
+_RULES_SQL = ", ".join(str(r) for r in URL_RULES)
+
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -186,4 +251,33 @@ ORACLES: dict[str, str] = {
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g ON n.t = g.t""",
+    "op11_periodic_runs": f"""
+        WITH crc AS ({_CRC_TABLE}),
+        raw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+            {_crc32("coalesce(doc_id::VARCHAR, '')")} AS h FROM documents, crc),
+        placed AS (SELECT *, len(w) AS n, h // 10 AS g FROM raw),
+        planted AS (SELECT *, doc_id IS NOT NULL AND h % 10 = 0 AND n > 0 AS yes, CASE WHEN n > 0 THEN g % n END AS a FROM placed),
+        cut AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM planted),
+        words AS (SELECT doc_id, r, n, i, w[1 + CASE WHEN yes AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+            FROM (SELECT *, unnest(range(n)) AS i FROM cut)),
+        same AS (SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        isles AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same),
+        spans AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM isles GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+        runs AS (SELECT r, s, l, min(q) AS q FROM spans GROUP BY r, s, l),
+        best AS (SELECT r, count(*) AS n_runs, arg_min({{'s': s, 'l': l, 'q': q}}, {{'e': -l::DOUBLE / q::DOUBLE, 's': s, 'q': q}}) AS b,
+            string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+        gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT raw.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM raw LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
+    "op12_url_filter": f"""
+        WITH rules(rh, rp, rv) AS (VALUES {_RULES_SQL}),
+        rest AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS t FROM pages),
+        parts AS (SELECT page_id, r, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        best AS (SELECT r, arg_max(rh || rp, {{'n': length(rh) + length(rp), 'h': length(rh)}}) AS rule,
+            arg_max(rv, {{'n': length(rh) + length(rp), 'h': length(rh)}}) AS rv
+            FROM parts, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+        SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)""",
 }

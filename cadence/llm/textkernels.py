@@ -67,6 +67,24 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def word_names(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word (as written) its first byte, its size and a whole number that
+    equal words share, and the borders of the documents' words."""
+    solid = ~_SPACE[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    first = borders[:-1][borders[:-1] < len(data)]
+    begins[first] = solid[first]
+    starts = np.flatnonzero(begins)
+    at = np.searchsorted(starts, borders)
+    if not len(starts):
+        return starts, starts, starts, at
+    sizes = np.add.reduceat(solid, starts, dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])])
+    return starts, sizes, words.dictionary_encode().indices.to_numpy().astype(np.int64), at
+
+
 def word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash per word, and the borders of the documents' words."""
     none = np.zeros(len(borders), np.int64)
