@@ -71,15 +71,10 @@ class Level(NamedTuple):
     seed: int
 
 
-def _place(key: Column, size: int, hashes: int, seed: int) -> tuple[Column, Column]:
-    """A key's word and its bits in there (six bits of a hash choose one)."""
-    word = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(size))
-    spread = F.xxhash64(key, F.lit(seed))
-    mask = F.expr("0L")
-    for j in range(hashes):
-        at = F.shiftrightunsigned(spread, 6 * j).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.expr("1L"), at))
-    return word, mask
+def _place(key: str, size: int, hashes: int, seed: int) -> tuple[str, str]:
+    """SQL of a key's word and its bits in there (six bits of a hash choose one)."""
+    bits = [f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({key}, {seed}), {6 * j}) & 63 AS int))" for j in range(hashes)]
+    return f"pmod(xxhash64({seed}, {key}), {size}L)", " | ".join(bits)
 
 
 def build_level(keys: DataFrame, n: int, rate: float, seed: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> Level:
@@ -89,7 +84,7 @@ def build_level(keys: DataFrame, n: int, rate: float, seed: int, max_filter_byte
     size = math.ceil(max(1, n) * hashes / math.log(2) / 64)
     if size * 8 > max_filter_bytes:
         raise ValueError(f"a level of {size * 8} bytes is over max_filter_bytes = {max_filter_bytes}")
-    word, mask = _place(F.col("key"), size, hashes, seed)
+    word, mask = map(F.expr, _place("key", size, hashes, seed))
     # every word, set or not, so that a word's place in its chunk is its number
     every = keys.sparkSession.range(size).select(F.col("id").alias("w"), F.expr("0L").alias("word"))
     words = keys.select(word.alias("w"), mask.alias("word")).union(every).groupBy("w").agg(F.bit_or("word").alias("word"))
@@ -98,19 +93,20 @@ def build_level(keys: DataFrame, n: int, rate: float, seed: int, max_filter_byte
     return Level(cut_lineage(chunks.agg(gathered("chunk").alias("words")), "table"), size, hashes, seed)
 
 
-def holds(level: Level, key: Column) -> Column:
-    """Whether all bits of ``key`` are set."""
+def holds(level: Level, key: str) -> Column:
+    """Whether all bits of ``key`` (SQL of a string) are set."""
     at, mask = _place(key, level.size, level.hashes, level.seed)
-    chunk = F.element_at(level.words.scalar(), (F.floor(at / CHUNK) + 1).cast("int"))
-    word = F.element_at(chunk, (F.pmod(at, F.lit(CHUNK)) + 1).cast("int"))
+    chunk = F.element_at(level.words.scalar(), F.expr(f"cast({at} div {CHUNK} + 1 AS int)"))
+    word = F.element_at(chunk, F.expr(f"cast({at} % {CHUNK} + 1 AS int)"))
+    mask = F.expr(mask)
     return word.bitwiseAND(mask) == mask
 
 
 class Cascade(NamedTuple):
     levels: Sequence[Level]
 
-    def lists(self, key: Column) -> Column:
-        """Whether ``key`` is listed; exact for keys of the universe."""
+    def lists(self, key: str) -> Column:
+        """Whether ``key`` (SQL of a string) is listed; exact for keys of the universe."""
         verdict = F.lit(len(self.levels) % 2 == 1)
         for i in reversed(range(len(self.levels))):
             verdict = F.when(~holds(self.levels[i], key), F.lit(i % 2 == 1)).otherwise(verdict)
@@ -133,7 +129,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_filter_bytes: int
             raise RuntimeError(f"no exact cascade in {LEVELS} levels")
         level = build_level(inside, n, rate, seed + len(levels), max_filter_bytes)
         levels.append(level)
-        passed = wrong.filter(holds(level, F.col("key")))
+        passed = wrong.filter(holds(level, "key"))
         if len(levels) == 1:
             passed = passed.join(listed, "key", "left_anti")
         # what this level lets through by mistake is what the next one holds
@@ -203,11 +199,12 @@ def judge_urls(
     )
     judged = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
     # one column a candidate: a scalar subquery can't stand in a lambda
-    best = F.lit(None).cast("struct<size:int,host_size:int,key:string,block:boolean>")
+    kind = "struct<size:int,host_size:int,key:string,block:boolean>"
+    best = F.lit(None).cast(kind)
     for i in range(labels * len(lengths)):
-        c = F.get("keys", F.lit(i))
-        block = blocked.lists(c.key)
-        found = F.struct(c.size.alias("size"), c.host_size.alias("host_size"), c.key.alias("key"), block.alias("block"))
-        best = F.greatest(best, F.when(c.isNotNull() & (block | allowed.lists(c.key)), found))
+        c = f"get(keys, {i})"
+        block = blocked.lists(f"{c}.key")
+        found = F.struct(F.expr(f"{c}.size"), F.expr(f"{c}.host_size"), F.expr(f"{c}.key"), block)
+        best = F.greatest(best, F.when(F.expr(f"{c} IS NOT NULL") & (block | allowed.lists(f"{c}.key")), found.cast(kind)))
     judged = judged.withColumn("best", best)
     return judged.select(*out, F.col("best.key").alias("rule"), F.when(F.col("best.block"), "block").otherwise("allow").alias("verdict"))
