@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cadence.operators import activity, insights, joins, primitives, quality, sessions, skew  # noqa: E402
+from cadence.operators import activity, insights, joins, partitioning, primitives, quality, sessions, skew, streaks  # noqa: E402
+from cadence.operators.group_quantiles import group_percentiles  # noqa: E402
 from cadence.operators.quantiles import exact_percentiles  # noqa: E402
 from cadence.session import scratch_path  # noqa: E402
 from cadence.sources import generate, ingest  # noqa: E402
@@ -31,6 +32,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Parameters of the registered queries (shared by Spark and SQL sides).
 YEAR_START, YEAR_END = "2024-01-01", "2025-01-01"
+STREAK_START, STREAK_END = "2024-01-01", "2024-01-31"  # the days that the given events cover
 ORDERS_YEAR_START, ORDERS_YEAR_END, ORDERS_N_MONTHS = "1996-01-01", "1997-01-01", 4
 ACTIVE_ACTIONS = ("click", "view", "purchase", "signup")
 # The timeline of a few named users is the feature itself (the reference's
@@ -106,6 +108,14 @@ def q_streak_days(spark, d):
     return activity.streak_days(interactions(spark, d), start=YEAR_START, end=YEAR_END, date_col="date")
 
 
+def q_longest_streaks(spark, d):
+    return streaks.longest_streaks(interactions(spark, d), start=YEAR_START, end=YEAR_END, date_col="date")
+
+
+def q_full_streak_users(spark, d):
+    return streaks.users_with_streak(interactions(spark, d), start=STREAK_START, end=STREAK_END, date_col="date")
+
+
 def q_daily_user_rollup(spark, d):
     return activity.daily_user_rollup(interactions(spark, d))
 
@@ -180,7 +190,11 @@ def q_activity_by_dims_broadcast(spark, d):
 
 
 def q_count_salted(spark, d):
-    return joins.salted_count_distinct(load(spark, d, "orders"), "o_custkey", "o_orderkey")
+    return partitioning.balanced_count_distinct(load(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+def q_enrich_balanced(spark, d):
+    return partitioning.balanced_join(interactions(spark, d), user_metadata(spark, d, SUBSCRIPTION))
 
 
 def q_prepartitioned_join(spark, d):
@@ -241,6 +255,11 @@ def q_duration_percentiles(spark, d):
     return exact_percentiles(interactions(spark, d), "duration_ms", PERCENTILES).select("p", "value")
 
 
+def q_duration_percentiles_by_version(spark, d):
+    out = group_percentiles(interactions(spark, d), "app_version", "duration_ms", (0.25, 0.5, 0.9))
+    return out.select("app_version", "p", "value")
+
+
 def q_duration_capped(spark, d):
     return quality.capped(interactions(spark, d).select("event_id", "duration_ms"), "duration_ms", 0.01, 0.99)
 
@@ -330,6 +349,14 @@ def q_impute(spark, d):
     return out.select("event_id", "action_type", "duration_ms", "imputed")
 
 
+def _impute_group(how):
+    def q(spark, d):
+        rows = interactions(spark, d).select("event_id", "app_version", "duration_ms")
+        return quality.impute_by_group(rows, "duration_ms", "app_version", F.col("duration_ms").between(*DURATION_DOMAIN), how=how)
+
+    return q
+
+
 def _impute(how, **kw):
     def q(spark, d):
         rows = interactions(spark, d).select("event_id", "duration_ms")
@@ -366,6 +393,12 @@ def q_convert_round_trip(spark, d):
     return ingest.csv_parquet_round_trip(inter, inter.schema, ["date"]).select(*inter.columns)
 
 
+def q_convert_multiline(spark, d):
+    """Texts with line breaks through CSV: read split by split, not file by file."""
+    docs = load(spark, d, "documents")
+    return ingest.csv_parquet_round_trip(docs, docs.schema, ["lang"], multiline="parallel").select(*docs.columns)
+
+
 # ---------------------------------------------------------------- primitives
 def q_sum_numeric(spark, d):
     out = primitives.sum_numeric(load(spark, d, "lineitem"), "l_returnflag")
@@ -409,6 +442,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "users_active_in_n_months": q_users_active_in_n_months,
     "users_active_in_n_months_window": q_users_active_in_n_months_window,
     "streak_days": q_streak_days,
+    "longest_streaks": q_longest_streaks,
+    "full_streak_users": q_full_streak_users,
     "daily_user_rollup": q_daily_user_rollup,
     "user_timeline": q_user_timeline,
     "sessionize": q_sessionize,
@@ -466,6 +501,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duration_band": q_duration_band,
     "top_users": q_top_users,
     "time_features": q_time_features,
+    "enrich_balanced": q_enrich_balanced,
+    "duration_percentiles_by_version": q_duration_percentiles_by_version,
+    "impute_group_median": _impute_group("median"),
+    "impute_group_mode": _impute_group("mode"),
+    "convert_multiline": q_convert_multiline,
 }
 
 # ---------------------------------------------------------------- oracle SQL
@@ -596,7 +636,36 @@ def _impute_sql(fill: str, counted: bool = False) -> str:
         NOT coalesce({valid}, false) AS imputed FROM {I}"""
 
 
+def _impute_group_sql(fill: str, counted: bool = False) -> str:
+    valid = f"duration_ms BETWEEN {DURATION_DOMAIN[0]} AND {DURATION_DOMAIN[1]}"
+    source = f"(SELECT app_version, duration_ms, count(*) AS n FROM {I} GROUP BY 1, 2)" if counted else I
+    return f"""WITH m AS (SELECT app_version, {fill} AS fill FROM {source} WHERE {valid} GROUP BY 1)
+      SELECT i.event_id, i.app_version, CASE WHEN {valid} THEN i.duration_ms ELSE CAST(m.fill AS BIGINT) END AS duration_ms,
+        NOT coalesce({valid}, false) AS imputed FROM {I} i LEFT JOIN m ON i.app_version = m.app_version"""
+
+
+def _streaks_sql(start: str, end: str) -> str:
+    """Gaps and islands: one row per user with the longest run of days."""
+    return f"""WITH d AS (SELECT DISTINCT user_id, "date" AS day FROM {I}
+          WHERE "date" >= DATE '{start}' AND "date" < DATE '{end}' AND user_id IS NOT NULL),
+        runs AS (SELECT user_id, min(day) AS first_day, count(*) AS n FROM (SELECT user_id, day,
+          day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM d) GROUP BY user_id, island)
+      SELECT user_id, CAST(sum(n) AS INTEGER) AS active_days, CAST(max(n) AS INTEGER) AS longest_streak,
+        arg_min(first_day, {{'n': -n, 'day': first_day}}) AS streak_start,
+        max(n) = date_diff('day', DATE '{start}', DATE '{end}') AS full_streak FROM runs GROUP BY user_id"""
+
+
 _ORACLE: dict[str, str] = {
+    "longest_streaks": _streaks_sql(YEAR_START, YEAR_END),
+    "full_streak_users": f"SELECT count(*) AS users FROM ({_streaks_sql(STREAK_START, STREAK_END)}) WHERE full_streak",
+    "enrich_balanced": _ENRICH_SQL,
+    "duration_percentiles_by_version": " UNION ALL ".join(
+        f"SELECT app_version, CAST({p} AS DOUBLE) AS p, quantile_cont(duration_ms, {p}) AS value FROM {I} WHERE duration_ms IS NOT NULL GROUP BY 1"
+        for p in (0.25, 0.5, 0.9)
+    ),
+    "impute_group_median": _impute_group_sql("round(quantile_cont(duration_ms, 0.5))"),
+    "impute_group_mode": _impute_group_sql("(list(duration_ms ORDER BY n DESC, duration_ms))[1]", counted=True),
+    "convert_multiline": "SELECT * FROM documents",
     "dau_series": f"""SELECT "date", count(DISTINCT user_id) AS daily_active_users FROM {I} GROUP BY "date" """,
     "dau_series_active": f"""SELECT "date", count(DISTINCT user_id) AS daily_active_users FROM {I}
         WHERE action_type IN {ACTIVE_ACTIONS!r} GROUP BY "date" """,

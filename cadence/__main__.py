@@ -34,7 +34,7 @@ def _rules(a):
 def _jobs():
     from pyspark.sql import functions as F
 
-    from cadence.operators import activity, insights, joins, quality, sessions, skew
+    from cadence.operators import activity, insights, joins, partitioning, quality, sessions, skew, streaks
     from cadence.session import scratch_path
     from cadence.sources import generate
     from cadence.sources.files import convert
@@ -48,8 +48,8 @@ def _jobs():
         return rule.unionByName(quality.orphans(ev, "user_id", md, "user_id", "user_id in metadata")) if md is not None else rule
 
     def impute(a, ev, md):
-        if a.how == "group_mean":
-            return quality.impute_by_group(ev, "duration_ms", "action_type")
+        if a.how.startswith("group_"):
+            return quality.impute_by_group(ev, "duration_ms", "action_type", how=a.how.removeprefix("group_"))
         return quality.impute(ev, "duration_ms", a.how, value=a.value)
 
     return {
@@ -58,12 +58,14 @@ def _jobs():
         "active_users": lambda a, ev, md: activity.active_users(ev, grain=a.grain, **year(a)),
         "users_active_all_months": lambda a, ev, md: activity.users_active_in_n_periods(ev, n=a.n, **year(a)),
         "streak_days": lambda a, ev, md: activity.streak_days(ev, **year(a)),
+        "longest_streaks": lambda a, ev, md: streaks.longest_streaks(ev, **year(a)),
+        "full_streak_users": lambda a, ev, md: streaks.users_with_streak(ev, **year(a)),
         "daily_user_rollup": lambda a, ev, md: activity.daily_user_rollup(ev),
         "sessionize": lambda a, ev, md: sessions.sessionize(ev, gap_seconds=a.gap),
         "session_metrics": lambda a, ev, md: sessions.session_metrics(ev, gap_seconds=a.gap),
         "session_averages": lambda a, ev, md: sessions.session_averages(ev, gap_seconds=a.gap),
         "session_actions": lambda a, ev, md: sessions.session_actions(ev, gap_seconds=a.gap),
-        "enrich": lambda a, ev, md: joins.enrich(ev, md, strategy=a.strategy),
+        "enrich": lambda a, ev, md: partitioning.balanced_join(ev, md) if a.strategy == "balanced" else joins.enrich(ev, md, strategy=a.strategy),
         "activity_by_country_subscription": lambda a, ev, md: joins.activity_by(ev, md, strategy=a.strategy),
         "key_frequency": lambda a, ev, md: skew.key_frequency(ev, "user_id", top=a.top),
         "key_skew": lambda a, ev, md: skew.key_skew_summary(ev, "user_id"),
@@ -112,11 +114,11 @@ def main(argv=None) -> int:
     p.add_argument("--end", default="2025-01-01")
     p.add_argument("--n", type=int, default=12, help="periods for users_active_all_months")
     p.add_argument("--gap", type=int, default=1800, help="session inactivity gap, seconds")
-    p.add_argument("--strategy", default="auto", help="join strategy: auto, broadcast, merge, shuffle_hash, salted")
+    p.add_argument("--strategy", default="auto", help="join strategy: auto, broadcast, merge, shuffle_hash, salted, balanced (enrich)")
     p.add_argument("--top", type=int, default=20)
     p.add_argument("--grain", default="day", choices=["hour", "day", "week", "month", "quarter", "year"], help="period of active_users")
     p.add_argument("--actions", nargs="+", help="action types that count as activity (default: all)")
-    p.add_argument("--how", default="group_mean", choices=["group_mean", "default", "mean", "median", "mode"], help="fill of impute")
+    p.add_argument("--how", default="group_mean", choices=["group_mean", "group_median", "group_mode", "default", "mean", "median", "mode"], help="fill of impute")
     p.add_argument("--value", type=int, default=0, help="default value of impute")
     p.add_argument("--min-duration", type=int, default=100)
     p.add_argument("--max-duration", type=int, default=300_000)

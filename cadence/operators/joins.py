@@ -3,7 +3,6 @@
 * ``enrich``          left-outer lookup of dimension attributes (sort-merge,
                       checked broadcast, shuffle-hash, salted, or auto)
 * ``activity_by``     events counted by dimension attributes (inner join)
-* ``salted_count_distinct``  two-phase distinct count for skewed keys
 * ``prepare_layout`` / ``layout_join`` / ``bucketed_join``  co-located join
                       without a shuffle
 
@@ -19,7 +18,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.functions import det_salt
 from cadence.operators.skew import hot_keys
 from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy, input_bytes
 from cadence.session import scratch_path, scratch_table
@@ -108,17 +106,6 @@ def activity_by(
     return out.repartition(cluster_by) if cluster_by else out
 
 
-def salted_count_distinct(df: DataFrame, key: str, value: str, salts: int = 16, count_name: str = "count") -> DataFrame:
-    """Different non-null ``value`` per ``key`` in two phases.
-
-    A plain distinct count sends all different values of a key to one task;
-    they cannot be combined below that.  Salting by the value's hash keeps
-    equal values together and spreads a hot key's values over ``salts`` tasks,
-    whose counts are then added."""
-    first = df.groupBy(key, det_salt(salts, value).alias("_salt")).agg(F.count_distinct(value).alias("_n"))
-    return first.groupBy(key).agg(F.sum("_n").cast("bigint").alias(count_name))
-
-
 BUCKET_BYTES = 1 << 30  # target bytes of fact data per bucket for buckets="auto"
 HOT_BUCKETS = 2  # a key with this many buckets' worth of rows is stored aside
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.operators._common import bound_literal
+from cadence.operators.group_quantiles import group_modes, group_percentiles
 from cadence.operators.quantiles import percentile_values
 from cadence.plans.lineage import cut_lineage
 
@@ -215,13 +216,40 @@ def impute(
 
 
 def impute_by_group(
-    df: DataFrame, col: str, group: str, valid: Column | None = None, out_col: str | None = None, integral: bool = True
+    df: DataFrame,
+    col: str,
+    group: str,
+    valid: Column | None = None,
+    out_col: str | None = None,
+    integral: bool = True,
+    how: str = "mean",
 ) -> DataFrame:
-    """Replace null (or invalid) ``col`` values by the mean of the valid ones
-    in the same ``group``; adds ``imputed`` (boolean).  The group means are
-    written once as a table, whose true size then lets Spark choose how to
-    join them back."""
+    """Replace null (or invalid) ``col`` values by the mean, the exact
+    ``"median"`` or the ``"mode"`` (smallest of the most frequent) of the valid
+    ones in the same ``group``; adds ``imputed`` (boolean).  The groups' values
+    are written once as a table, whose true size then lets Spark choose how to
+    join them back.
+
+    Medians and modes come from a histogram that no group gathers in one task
+    (``group_quantiles``) and keep the column's type; a median between two
+    values is rounded to it (whole numbers, decimals)."""
     good = F.col(col).isNotNull() & (valid if valid is not None else F.lit(True))
+    if how in ("median", "mode"):
+        kind = df.schema[col].dataType
+        slim = df.where(good).select(F.col(f"`{group}`").alias("g0"), F.col(f"`{col}`").alias("v0"))
+        if how == "mode":
+            fills = group_modes(slim, "g0", "v0").select(F.col("g0").alias("_g"), F.col("mode").alias("_fill"))
+        else:
+            between = F.col("value")
+            if isinstance(kind, (T.IntegralType, T.DecimalType)):
+                between = F.round(between, getattr(kind, "scale", 0))
+            middle = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between.cast(kind))
+            fills = group_percentiles(slim, "g0", "v0", [0.5]).select(F.col("g0").alias("_g"), middle.alias("_fill"))
+        fills = cut_lineage(fills, "table")
+        j = df.withColumn("_good", good).join(fills, F.col(f"`{group}`") == F.col("_g"), "left")
+        return _fill(j, col, out_col or col, good, F.col("_fill"), ("_g", "_fill"))
+    if how != "mean":
+        raise ValueError("how must be mean, median or mode")
     means = df.where(good).groupBy(F.col(group).alias("_g")).agg(F.avg(col).alias("_mean"))
     means = cut_lineage(means, "table")
     fill = F.round("_mean").cast("bigint") if integral else F.col("_mean")

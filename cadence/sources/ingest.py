@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cadence.session import scratch_path
 from cadence.sources.files import read_csv, read_parquet, write_csv, write_parquet
+from cadence.sources.multiline import read_csv_multiline
 
 CORRUPT = "_corrupt_record"
 
@@ -46,12 +47,17 @@ def ingest_report(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keyed_rows"))
 
 
-def csv_parquet_round_trip(df: DataFrame, schema: T.StructType, partition_by: list[str], multiline: bool = False) -> DataFrame:
+def csv_parquet_round_trip(df: DataFrame, schema: T.StructType, partition_by: list[str], multiline: bool | str = False) -> DataFrame:
     """Write ``df`` as partitioned CSV (with header), convert that CSV to
     partitioned Parquet, and return the Parquet reader — the reference's
-    switch of storage format, on the shared folder."""
+    switch of storage format, on the shared folder.  ``multiline="parallel"``
+    reads values with line breaks split by split."""
     spark = df.sparkSession
     csv_path, pq_path = scratch_path(spark, "csv"), scratch_path(spark, "parquet")
     write_csv(df, csv_path, partition_by)
-    write_parquet(read_csv(spark, csv_path, schema, multiline=multiline), pq_path, partition_by)
+    if multiline == "parallel":
+        source = read_csv_multiline(spark, csv_path, schema, partition_by=partition_by)
+    else:
+        source = read_csv(spark, csv_path, schema, multiline=bool(multiline))
+    write_parquet(source, pq_path, partition_by)
     return read_parquet(spark, pq_path, schema)
