@@ -2,11 +2,14 @@
 
 A page is cut into flat blocks at block-level tags.  A block is described by
 its own words and link density, those of its neighbours before and after, and
-what surrounds it: headings, article-like ancestors and boilerplate-like
-ancestors (by tag, role, class or id): whether the nearest marked ancestor is
-boilerplate (1), an article (0) or marked as both (0.5), and the share of the
-page's words under the nearest boilerplate one (1 without one).  A decision tree trained on a small
-labelled table of pages (below) says which blocks are main text.
+what surrounds it: headings, article-like ancestors, and boilerplate ancestors
+(by tag, role, class or id).  Some names of these say what an element holds
+(comments, a footer, a notice); others are hints that containers of the main text
+have as well (a widget, a page with a sidebar).  The features are the nearest
+mark, the share of the page's words under the nearest element of either sort (1
+without one), and the share of its words in articles outside boilerplate.  A
+decision tree trained on a small labelled table of pages (``html_labels``) says
+which blocks are main text.
 
 Edge cases: a null or empty html, or one without main text, gives an empty
 text; unclosed tags, comments, scripts and truncated pages end with the page;
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.llm.html_labels import labelled_pages
 from cadence.llm.textkernels import text_blocks
 from cadence.llm.tree import DecisionTree
 
@@ -46,10 +50,12 @@ PLAIN_TAGS = frozenset("nav footer aside form menu dialog head fieldset".split()
 MAIN_TAGS = frozenset("article main".split())
 PLAIN_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 PLAIN_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments consent cookie "
-    "cookies copyright disclaimer disqus footer footnav gdpr login masthead menu meta modal nav navbar navigation newsletter notice "
-    "notices notification pager pagination paywall popup promo promoted promotion related replies reply respond search share sharing "
-    "sidebar sidenav signup skip social sponsor sponsored subscribe tagcloud tags teaser toolbar topbar widget widgets".split()
+    "advert adverts advertisement advertising breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies copyright "
+    "disclaimer disqus footer footnav gdpr login masthead menu nav navbar navigation newsletter notice notices notification pager "
+    "pagination paywall popup related replies reply respond sidenav signup skip sponsor sponsored subscribe tagcloud toolbar topbar".split()
+)
+HINT_WORDS = frozenset(
+    "ad ads banner meta modal promo promoted promotion search share sharing sidebar social tags teaser widget widgets".split()
 )
 MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
 
@@ -64,39 +70,41 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 FEATURES = (
     "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-    "boilerplate_nearest", "boilerplate_share", "article_around", "heading",
+    "nearest", "boilerplate_share", "hint_share", "article_share", "article_around", "heading",
 )
+# Values of "nearest": the sort of the nearest marked element around a block.
+ARTICLE, UNMARKED, MIXED, HINT, BOILERPLATE = 0.0, 0.25, 0.5, 0.75, 1.0
 
 
 def _surroundings(name: str, rest: str) -> tuple[int, int]:
-    """(boilerplate, article) marks of an element."""
-    plain = int(name in PLAIN_TAGS or name == "header")
+    """Boilerplate (2 by what it says, 1 by a hint) and article marks of an element."""
+    plain = 2 * int(name in PLAIN_TAGS or name == "header")
     main = int(name in MAIN_TAGS)
     if rest and not rest.isspace():
         for m in _ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                plain = 1
+                plain = 2
             elif key == "style":
-                plain |= int("display:none" in value.replace(" ", "").lower())
+                plain = max(plain, 2 * int("display:none" in value.replace(" ", "").lower()))
             elif key == "role":
-                plain |= int(value.lower() in PLAIN_ROLES)
+                plain = max(plain, 2 * int(value.lower() in PLAIN_ROLES))
                 main |= int(value.lower() in ("main", "article"))
             elif key in ("class", "id"):
                 parts = {p.lower() for p in _NAME_PART.findall(value)}
-                plain |= int(not parts.isdisjoint(PLAIN_WORDS))
+                plain = max(plain, 2 * int(not parts.isdisjoint(PLAIN_WORDS)), int(not parts.isdisjoint(HINT_WORDS)))
                 main |= int(not parts.isdisjoint(MAIN_WORDS))
     return plain, main
 
 
-def flat_blocks(page: str) -> list[tuple[str, float, float, float, int, int]]:
-    """(text, share of linked words, nearest mark, share of the page's words
-    under the nearest boilerplate, article, heading) of the page's non-empty
-    blocks in order."""
-    blocks: list[tuple[str, float, float, int, int, int]] = []
-    above = [0]  # the boilerplate element around each boilerplate element; 0 is the page
-    # open elements: name, boilerplate element, article, link, heading, nearest mark (all inherited)
-    stack: list[tuple[str, int, int, int, int, float]] = [("", 0, 0, 0, 0, 0.0)]
+def flat_blocks(page: str) -> list[tuple[str, float, float, float, float, float, int, int]]:
+    """The page's non-empty blocks in order: text, share of linked words, and
+    from ``nearest`` on the features of its surroundings."""
+    blocks: list[tuple[str, float, float, int, int, int, int]] = []
+    # the boilerplate (hint) element around each boilerplate (hint) element; 0 is the page
+    above: tuple[list[int], list[int]] = ([0], [0])
+    # open elements: name, boilerplate element, hint element, article, link, heading, nearest mark (all inherited)
+    stack: list[tuple[str, int, int, int, int, int, float]] = [("", 0, 0, 0, 0, 0, UNMARKED)]
     pieces: list[tuple[str, int]] = []
     state = stack[0]
 
@@ -106,7 +114,7 @@ def flat_blocks(page: str) -> list[tuple[str, float, float, float, int, int]]:
             if text:
                 linked = sum(len(p.split()) for p, link in pieces if link)
                 words = max(1, sum(len(p.split()) for p, _ in pieces))
-                blocks.append((text, linked / words, state[5], state[1], state[2], state[4]))
+                blocks.append((text, linked / words, state[6], state[1], state[2], state[3], state[5]))
             pieces.clear()
 
     def cut_stack(size: int) -> None:
@@ -119,12 +127,12 @@ def flat_blocks(page: str) -> list[tuple[str, float, float, float, int, int]]:
         open_at = page.find("<", at)
         open_at = size if open_at < 0 else open_at
         if open_at > at:
-            pieces.append((html.unescape(page[at:open_at]), state[3]))
+            pieces.append((html.unescape(page[at:open_at]), state[4]))
         if open_at == size:
             break
         m = _TAG.match(page, open_at)
         if not m:
-            pieces.append(("<", state[3]))
+            pieces.append(("<", state[4]))
             at = open_at + 1
             continue
         at = m.end()
@@ -162,102 +170,53 @@ def flat_blocks(page: str) -> list[tuple[str, float, float, float, int, int]]:
                 at = end.end() if end else size
             continue
         plain, main = _surroundings(name, rest)
-        if name == "header" and state[2]:
+        if name == "header" and state[3] and plain == 2:
             plain = 0  # an article's own header
         if name in ("html", "body"):
             plain = main = 0
+        inside = [state[1], state[2]]
         if plain:
-            above.append(state[1])
-        nearest = (0.5 if main else 1.0) if plain else 0.0 if main else state[5]
+            sort = 0 if plain == 2 else 1
+            above[sort].append(inside[sort])
+            inside[sort] = len(above[sort]) - 1
+        nearest = BOILERPLATE if plain == 2 else MIXED if plain and main else HINT if plain else ARTICLE if main else state[6]
         state = (
-            name, len(above) - 1 if plain else state[1], int(state[2] or main), int(state[3] or name == "a"),
-            int(state[4] or name in HEADINGS), nearest,
+            name, *inside, int(state[3] or (main and plain < 2)), int(state[4] or name == "a"), int(state[5] or name in HEADINGS), nearest,
         )
         stack.append(state)
     close_block()
-    words_in = [0] * len(above)
-    for b in blocks:
-        words_in[b[3]] += len(b[0].split())
-    for i in range(len(above) - 1, 0, -1):
-        words_in[above[i]] += words_in[i]
-    return [(*b[:3], words_in[b[3]] / words_in[0], *b[4:]) for b in blocks]
-
-
-def block_features(blocks: list[tuple[str, float, float, float, int, int]]) -> np.ndarray:
+    sizes = [len(b[0].split()) for b in blocks]
+    total = max(1, sum(sizes))
+    article = sum(n for n, b in zip(sizes, blocks) if b[5] and not b[3]) / total
+    words_in = [[0] * len(a) for a in above]
+    for n, b in zip(sizes, blocks):
+        for sort in (0, 1):
+            words_in[sort][b[3 + sort]] += n
+    for sort in (0, 1):
+        for i in range(len(above[sort]) - 1, 0, -1):
+            words_in[sort][above[sort][i]] += words_in[sort][i]
+    return [(*b[:3], words_in[0][b[3]] / total, words_in[1][b[4]] / total, article, *b[5:]) for b in blocks]
+
+
+def block_features(blocks: list[tuple]) -> np.ndarray:
     n = len(blocks)
     own = np.zeros((n + 2, 2))
     for i, (text, linked, *_) in enumerate(blocks):
         own[i + 1] = len(text.split()), linked
-    marks = np.array([b[2:] for b in blocks], float).reshape(n, 4)
+    marks = np.array([b[2:] for b in blocks], float).reshape(n, 6)
     return np.column_stack([own[1:-1], own[:-2], own[2:], marks])
 
 
-# The labelled table: pages and, block by block, 1 for main text.
-LABELLED = (
-    ("<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News and more</a></li></ul></nav>"
-     "<div class=ad>Buy one now and get two of the best for free today.</div><article><h1>A day at the sea</h1>"
-     "<p>We left early and the road was empty all the way to the coast, which took three hours.</p><p>Rain.</p>"
-     "<p>Then the sun came out and stayed for the rest of the afternoon, so we swam twice.</p></article>"
-     "<footer>&copy; example.org all rights reserved by the owner of this fine page.</footer></body></html>", "00011110"),
-    ("<body><header><div>My Site</div><p>The best stories about gardens in the whole north, every week.</p></header><main><h1>Roses</h1>"
-     "<p>Cut them back in <a href=/x>March</a>, before the first leaves open, and feed them well.</p><h2>Soil</h2><p>Heavy.</p>"
-     "<ul><li>Clay holds water and keeps the roots cool in summer</li><li>Sand</li></ul></main>"
-     "<aside><h3>Popular</h3><p>Ten plants that survive everything you can do to them in a winter.</p></aside></body>", "0011111100"),
-    ("<body><div id=menu><a href=/>Home</a> <a href=/s>Shop</a></div><div class=content><h1>Bread</h1><p>Mix flour, water and salt, wait a night "
-     "and bake it hot until the crust is dark.</p><p>Cool it.</p><div class=share><a href=/f>Share this with your friends</a></div></div>"
-     "<section id=comments><h2>Comments</h2><p>I tried this recipe last week and it was wonderful, thank you so much for it.</p><p>Nice!</p></section></body>",
-     "01110000"),
-    ("<body><div class=cookie-notice>We use cookies to make this page better for all of our readers.</div><article><header><h1>Long road</h1></header>"
-     "<p>It was a long road and nobody knew where it would end, but they went on.</p><aside class=related><a href=/r>Read also: the short road</a></aside>"
-     "<p>Home.</p><blockquote>All roads lead somewhere in the end, said the old man.</blockquote></article>"
-     "<form><label>Mail</label><p>Subscribe to our letter and never miss a story again, it is free.</p></form></body>", "01101100"),
-    ("<body><table><tr><td><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></td></tr></table><div><p>This old page has no article around it, but "
-     "the paragraphs are long and hold hardly any links at all, as main text does.</p><p>A second paragraph follows the first one and it is just as "
-     "long, with a <a href=/l>link</a> inside and many words.</p><p>The third one ends the story, and says so in plain and quiet words for all "
-     "to read.</p></div><div><a href=/n>Next page</a></div><div>Page 3 of 7</div></body>", "0111"+"00"),
-    ("<body><div><a href=/>Start</a></div><div>Menu</div><div>Two brothers lived by the lake, and one of them had never seen the other side of the water "
-     "in all his life.</div><div>He built a boat from the wood of the old barn and went across on the first calm day of the year.</div>"
-     "<div><a href=/t>Tell a friend about it</a></div><div>Printed in 2003</div></body>", "001100"),
-    ("<body><nav>All the pages of this site in one long list without any links in it, so that you can find them.</nav><article><p>Yes.</p><p>No.</p>"
-     "<p><a href=/w>One linked line</a></p><div>And a line of the article in a plain box.</div></article><footer><p>Written by the people who "
-     "made this site, in their free time, for nothing but fun.</p></footer></body>", "011110"),
-    ("<body><div class=post><h2>Stars</h2><p>Look up.</p><p>The light you see left them long before you were born, and some of them are gone "
-     "by now.</p></div><div class=sidebar><p>About me: I write about the night sky and everything that moves in it.</p><p><a href=/a>Archive</a></p></div>"
-     "<div class=banner>Telescopes at half the price, only this week and only in our shop, so come and see.</div></body>", "111000"),
-    ('<body><nav><a href=/>Home</a></nav><div class=content-with-sidebar><article><h1>The flood</h1><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p><p>Over.</p></article><div class=sidebar><p>About me: I write about rivers and everything that lives in them.</p></div></div><footer><p>All rights reserved by the owner of this page.</p></footer></body>',
-     "011111100"),
-    ('<body><div class=elementor-widget><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p></div><div class=elementor-widget><p>Subscribe to our letter now and never miss a story, it is free.</p></div><div class=widget><a href=/a>Archive of all stories</a></div></body>',
-     "111100"),
-    ('<body class=x><div class="main has-ads"><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p><p>So it was.</p><div class=ads>Boots for wet days at half the price, only in our shop and only this week.</div></div><aside><p>Ten rivers that you must see before they run dry for good.</p></aside></body>',
-     "1111100"),
-    ('<body><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>Nobody in the village could remember a flood like this one, and the oldest of them had seen more than eighty springs.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p></article><div class=related><article><p>The dry summer: how the same village lived through a year without any rain at all.</p></article><article><a href=/m>The mill and its owners</a></article></div><section id=comments><article class=comment><p>I was there as a child and remember the sheep on the hill very well, thank you.</p></article></section></body>',
-     "1111000"),
-    ('<body><div class=widget-area><div class=social-layout><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>When the water went down again it left a layer of black mud on the fields, which gave the best harvest in years.</p><p>The end.</p></article></div></div><div class="post-share"><a href=/f>Share it with friends</a></div><div class="entry-meta">Written by a friend of the house on a wet day in May</div></body>',
-     "11100"),
-    ('<body><article><p>Open.</p></article></body>', "1"),
-    ('<body><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></article></body>', "11"),
-    ('<body><nav><a href=/>Home</a></nav><article><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></article></body>', "011"),
-    ('<body><nav><a href=/>Home</a></nav><div class=page-with-sidebar><main><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p><p>So it was.</p></main></div></body>', "0111"),
-    ('<body><div class=widget><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></div></body>', "11"),
-    ('<body><nav><a href=/>Home</a></nav><div><p>The river rose in the night and by the morning the lower meadow was under water from the mill to the bridge.</p><p>They carried the sheep up the hill one by one and waited there under the trees until the rain had stopped.</p></div></body>', "011"),
-    ('<body><nav><a href=/>Home</a></nav><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p></article></body>', "01111"),
-    ('<body><div><a href=/>Start</a></div><div><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p></div><div><a href=/n>Next</a></div></body>', "0110"),
-    ('<body><div><a href=/>Start</a></div><div>Menu of the day</div><div><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night and are hungry.</p><p>By noon the tables are empty and the square is quiet again, and only the cats stay behind to look for what has fallen between the stones while the bakers go home to sleep until the next night begins.</p></div></body>', "0011"),
-    ('<body><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=elementor-widget><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>By noon the tables are empty, the square is quiet, and only the cats look for what has fallen between the stones.</p></article></div><div class=related><article><p>The fishermen and their boats, in ten old pictures.</p></article></div></body>', "1111111111110"),
-    ('<body><div class=cookie-banner><p>We and our partners store and read data on your device to show you advertisements, to measure how they are seen and to find out more about our readers, and you can agree to this or change your mind at any time.</p></div><article><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p><p>Every morning before the sun is up the bakers carry their bread down to the market, set it out on long tables and wait for the first of the boats, whose crews have been at sea all night.</p></article><section id=comments><p>I have read this twice now and must say that the market in our own town was never like that, since the bakers there always slept until noon and nobody ever saw a cat near the tables.</p><p>I have read this twice now and must say that the market in our own town was never like that, since the bakers there always slept until noon and nobody ever saw a cat near the tables.</p></section><aside><p>I have read this twice now and must say that the market in our own town was never like that, since the bakers there always slept until noon and nobody ever saw a cat near the tables.</p></aside><footer><p>We and our partners store and read data on your device to show you advertisements, to measure how they are seen and to find out more about our readers, and you can agree to this or change your mind at any time.</p></footer></body>', "01110000"),
-)
-
-
 @lru_cache(maxsize=1)
 def block_classifier() -> DecisionTree:
     rows, labels = [], []
-    for page, marks in LABELLED:
+    for page, marks in labelled_pages():
         blocks = flat_blocks(page)
         if len(blocks) != len(marks):
             raise ValueError(f"{len(blocks)} blocks, {len(marks)} labels: {page[:60]}")
         rows.append(block_features(blocks))
         labels += [int(c) for c in marks]
-    return DecisionTree().fit(np.concatenate(rows), np.array(labels))
+    return DecisionTree(max_depth=8, min_leaf=3).fit(np.concatenate(rows), np.array(labels))
 
 
 def main_texts(pages: list[str], tree: DecisionTree) -> list[str]:
