@@ -12,8 +12,9 @@ holds.  Inside a group, pieces go longest first into the first sequence with
 room; a tournament tree over the sequences' free room finds it in log steps.
 
 Tokenising: white space separates the tokenizer's words, so ids of a text are
-the ids of its white-space chunks in a row.  A worker encodes each
-different word once and keeps a bounded table of words between tasks.
+the ids of its white-space chunks in a row.  A task encodes each different
+word once, as far as its table of words (bounded in bytes) holds it, and drops
+the table at its end: a worker that goes on to other work keeps none of it.
 
 Edge cases: a null or empty text is a document of the end id alone; rows that
 repeat a doc_id are packed as documents of their own; an empty table gives no
@@ -39,8 +40,9 @@ from cadence.llm.textkernels import lower_ascii, text_blocks, text_bytes
 from cadence.plans.lineage import cut_lineage
 
 PIECES_PER_GROUP = 2_000
-WORD_TABLE = 1_200_000  # words a task remembers at most
-BLOCK_BYTES = 8 << 20
+TABLE_BYTES = 96 << 20  # a task's table of words takes at most
+ENTRY_BYTES = 230  # of a word with its ids, beyond their own lengths
+BLOCK_BYTES = 1 << 20
 _SOLID = np.zeros(256, bool)  # ASCII letters and digits
 _MARK = np.zeros(256, bool)  # ASCII punctuation but the apostrophe
 for _c in range(33, 127):
@@ -54,19 +56,24 @@ class WordTokenizer:
     White space, and the border between a letter or digit and following ASCII
     punctuation, always separate the tokenizer's words; the tokenizer lowers
     case itself.  So texts are lowered and cut there, and only words not met
-    before are encoded.  The table has two halves: when the younger is full it
-    replaces the older.
+    before are encoded.  The table has two halves: when the younger is full (by
+    bytes, so long words count as what they are) it replaces the older.
     """
 
-    def __init__(self, path: str, table_size: int = WORD_TABLE):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.half = table_bytes // 2
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the table of words."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.half = table_size // 2
+        self.held = 0
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of uint32."""
@@ -79,9 +86,12 @@ class WordTokenizer:
             values = [array("I", e.ids).tobytes() for e in self.encode_batch(names, add_special_tokens=False)]
             for i, x in zip(part, values):
                 ids[i] = x
-            if len(self.young) + len(part) > self.half:
-                self.old, self.young = self.young, {}
-            self.young.update(zip(names, values))
+            size = sum(map(len, names)) + sum(map(len, values)) + ENTRY_BYTES * len(part)
+            if self.held + size > self.half:
+                self.old, self.young, self.held = self.young, {}, 0
+            if size <= self.half:
+                self.young.update(zip(names, values))
+                self.held += size
         return ids
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,31 +120,35 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker: its tasks share the table of words."""
+    """One per Python worker; a task's table of words ends with the task."""
     return WordTokenizer(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
-        for block in text_blocks(batches, 1, BLOCK_BYTES):
-            ids, borders = tokenizer.texts(block.column(1))
-            row, start, length, crc, total, lists = [], [], [], [], [], []
-            for r in range(block.num_rows):
-                own = np.append(ids[borders[r] : borders[r + 1]], np.uint32(end_id))
-                for s in range(0, len(own), capacity):
-                    piece = own[s : s + capacity]
-                    row.append(r), start.append(s), length.append(len(piece))
-                    crc.append(zlib.crc32(piece.astype("<u4").tobytes())), total.append(len(own))
-                    if with_ids:
-                        lists.append(piece.astype(np.int32))
-            columns = [block.column(0).take(pa.array(row, pa.int64()))]
-            columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for block in text_blocks(batches, 1, BLOCK_BYTES):
+                ids, borders = tokenizer.texts(block.column(1))
+                row, start, length, crc, total, lists = [], [], [], [], [], []
+                for r in range(block.num_rows):
+                    own = np.append(ids[borders[r] : borders[r + 1]], np.uint32(end_id))
+                    for s in range(0, len(own), capacity):
+                        piece = own[s : s + capacity]
+                        row.append(r), start.append(s), length.append(len(piece))
+                        crc.append(zlib.crc32(piece.astype("<u4").tobytes())), total.append(len(own))
+                        if with_ids:
+                            lists.append(piece.astype(np.int32))
+                columns = [block.column(0).take(pa.array(row, pa.int64()))]
+                columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+                names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+                if with_ids:
+                    columns.append(pa.array(lists, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            tokenizer.forget()
+            pa.default_memory_pool().release_unused()
 
     return run
 

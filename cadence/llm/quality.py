@@ -17,9 +17,11 @@ Probabilities are summed as whole millionths, so reruns agree exactly.
 
 Edge cases: a null or empty text has zero counts and is judged on these; a
 null host or path is a site of its own; without labelled documents of both
-kinds every document's evidence is neutral and all are kept; rows that repeat
-a doc_id are judged by their own text; an empty table gives no rows; extra
-columns are ignored by ``quality_scores`` and carried by ``keep_good``.
+kinds every document's evidence is neutral and all are kept; an id labelled
+both good and bad counts as bad; rows that repeat a doc_id are judged by their
+own text; a text of any length is one row (about 20 bytes of memory a word); an
+empty table gives no rows; extra columns are ignored by ``quality_scores`` and
+carried by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm import textkernels as tk
-from cadence.llm._common import text_or_empty
+from cadence.llm._common import free_names, named, text_or_empty
 from cadence.plans.lineage import cut_lineage
 
 TRAIN_ROWS = 20_000
@@ -40,7 +42,7 @@ KEEP_FROM = 0.5
 RIDGE = 1e-3
 LARGEST_WEIGHT = 1e6
 
-_CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 other mark, 6 space, 7 beyond ASCII
+_CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 other mark, 6 space, 7 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _CLASS[_c] = 4 if _c in b".,;:'-" else 5
@@ -55,12 +57,13 @@ FEATURES = (
 def text_features(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """One row of ``FEATURES`` per text."""
     n = len(borders) - 1
-    kinds = _CLASS[data]
     counts = np.zeros((n, 8))
-    nonempty = np.flatnonzero(np.diff(borders) > 0)
-    for k in range(1, 8):
-        if len(nonempty):
-            counts[nonempty, k] = np.add.reduceat((kinds == k).astype(np.int64), borders[:-1][nonempty])
+    for at in range(0, len(data), tk.SLICE_BYTES):  # the kinds of bytes, per document and slice
+        part = _CLASS[data[at : at + tk.SLICE_BYTES]]
+        first, last = np.searchsorted(borders, at, "right") - 1, np.searchsorted(borders, at + len(part), "left")
+        sizes = np.diff(np.clip(borders[first : last + 1], at, at + len(part)))
+        each = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes) * 8 + part
+        counts[first:last] += np.bincount(each, minlength=8 * len(sizes)).reshape(-1, 8)
     words, at = tk.word_hashes(data, borders)
     total = np.diff(at).astype(float)
     different, commonest = np.zeros(n), np.zeros(n)
@@ -171,7 +174,7 @@ def quality_scores(
     schema = f"id {id_type}, mark bigint, host string, path string"
     measured = cut_lineage(slim.mapInArrow(_features, f"{schema}, x array<double>"), "table")
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    known = known.dropDuplicates(["id"]).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(2**40)))
+    known = known.groupBy("id").agg(F.min("y").alias("y")).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(2**40)))
     # the share of the labels that the sample needs, so that the tasks together
     # send little more than the sample to the driver
     share = min(1.0, 1.1 * train_rows / max(1, known.count()))
@@ -219,6 +222,7 @@ def quality_scores(
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` without the rejected documents, all columns as they came."""
     scores = quality_scores(docs, labels, id_col, text_col, **params)
-    out = scores.filter(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_mark"))
+    out_id, out_mark = free_names(docs, "out_id", "out_mark")
+    out = scores.filter(~F.col("kept")).select(named(scores, id_col).alias(out_id), F.col("mark").alias(out_mark)).distinct()
+    same = named(docs, id_col).eqNullSafe(F.col(out_id)) & (F.xxhash64(text_or_empty(named(docs, text_col))) == F.col(out_mark))
     return docs.join(out, same, "left_anti")

@@ -1,7 +1,9 @@
 """Vectorised text kernels on Arrow columns: bytes, words, shingles.
 
 Words are runs of bytes outside the six ASCII white-space characters, with
-A-Z lower-cased.  Everything runs on whole blocks of texts at once.
+A-Z lower-cased.  Everything runs on whole blocks of texts at once; what needs
+several numbers per byte runs in slices of ``SLICE_BYTES``, so that a very long
+text costs memory per word, not per byte.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,25 +88,42 @@ def word_names(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, sizes, words.dictionary_encode().indices.to_numpy().astype(np.int64), at
 
 
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(SLICE_BYTES, _ODD)]), dtype=np.uint64)
+
+
 def word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word, and the borders of the documents' words."""
-    none = np.zeros(len(borders), np.int64)
-    if not len(data):
-        return np.empty(0, np.uint64), none
-    space = _SPACE[data]
-    begins = np.ones(len(data), bool)
-    begins[1:] = space[:-1]
-    begins[borders[:-1][borders[:-1] < len(data)]] = True
-    starts = np.flatnonzero(begins & ~space)
-    if not len(starts):
-        return np.empty(0, np.uint64), none
-    spans = np.diff(np.append(starts, len(data)))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(spans.max()) - 1, _ODD)]), dtype=np.uint64)
-    values = _BYTE[_LOWER[data[starts[0] :]]]
-    values *= powers[place]
-    sums = np.add.reduceat(values, starts - starts[0])
-    return mix64(sums), np.searchsorted(starts, borders)
+    """A 64-bit hash per word, and the borders of the documents' words.
+
+    A word's hash mixes the sum of its bytes' numbers, each times a power by its
+    place in the word; a word that goes on in the next slice adds to its sum."""
+    starts_of, sums_of = [], []
+    firsts = borders[:-1]
+    length = 0  # bytes so far of the word that the last slice ended in
+    for at in range(0, len(data), SLICE_BYTES):
+        part = data[at : at + SLICE_BYTES]
+        space = _SPACE[part]
+        begins = np.empty(len(part), bool)
+        begins[0] = at == 0 or _SPACE[data[at - 1]]
+        begins[1:] = space[:-1]
+        begins[firsts[np.searchsorted(firsts, at) : np.searchsorted(firsts, at + len(part))] - at] = True
+        starts = np.flatnonzero(begins & ~space)
+        values = _BYTE[_LOWER[part]]
+        head = int(starts[0]) if len(starts) else len(part)
+        if length:  # (at most the word goes on here: white space counts nothing)
+            base = np.uint64(pow(int(_ODD), length, 1 << 64))
+            sums_of[-1][-1:] += base * np.sum(values[:head] * _POWERS[:head], keepdims=True)
+            gap = np.flatnonzero(space[:head])
+            length = length + head if not len(gap) and not len(starts) else 0
+        if len(starts):
+            spans = np.diff(np.append(starts, len(part)))
+            place = np.arange(starts[0], len(part), dtype=np.int32) - np.repeat(starts.astype(np.int32), spans)
+            values = values[head:] * _POWERS[place]
+            sums_of.append(np.add.reduceat(values, starts - starts[0]))
+            starts_of.append(starts + at)
+            length = 0 if space[-1] else len(part) - int(starts[-1])
+    if not starts_of:
+        return np.empty(0, np.uint64), np.zeros(len(borders), np.int64)
+    return mix64(np.concatenate(sums_of)), np.searchsorted(np.concatenate(starts_of), borders)
 
 
 def shingle_sets(data: np.ndarray, borders: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -111,20 +131,19 @@ def shingle_sets(data: np.ndarray, borders: np.ndarray, width: int = 5) -> list[
     ``width`` words, or all words as one where there are fewer."""
     words, at = word_hashes(data, borders)
     n = len(words)
-    rolled = [mix64(words + np.uint64(1))]
-    for j in range(1, width):
-        if n <= j:
-            break
-        rolled.append(mix64(rolled[-1][: n - j] * np.uint64(0xC2B2AE3D27D4EB4F) + words[j:]))
-    empty = np.empty(0, np.uint64)
-    out = []
-    for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-        if e - s >= width:
-            out.append(np.unique(rolled[width - 1][s : e - width + 1]))
-        elif e > s:
-            out.append(rolled[e - s - 1][s : s + 1] ^ np.uint64(e - s))
-        else:
-            out.append(empty)
+    many = np.diff(at)
+    out = [np.empty(0, np.uint64)] * len(many)
+    rolled = mix64(words + np.uint64(1))
+    for j in range(min(width, n)):  # ``rolled``: runs of j + 1 words by their first
+        if j:
+            rolled = rolled[: n - j] * np.uint64(0xC2B2AE3D27D4EB4F)
+            rolled += words[j:]
+            rolled = mix64(rolled)
+        if j < width - 1:
+            for r in np.flatnonzero(many == j + 1).tolist():
+                out[r] = rolled[at[r] : at[r] + 1] ^ np.uint64(j + 1)
+    for r in np.flatnonzero(many >= width).tolist():
+        out[r] = np.unique(rolled[at[r] : at[r + 1] - width + 1])
     return out
 
 
