@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadence.plans.lineage import cut_lineage
 from cadence.session import ship_package
 
 # Fixed by the data contract: the six ASCII white-space characters.
@@ -19,6 +21,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(df: DataFrame, name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col(f"`{name}`")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` as names that no column of ``df`` has (nor one another)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sums_before(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, per name, the sum of the expression over all rows that come
+    earlier in ``order`` (a total order).  Rows are dealt by ranges of it; the
+    only window over everything has one row per range."""
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()), "table")
+    totals = ranged.groupBy("range_no").agg(*[F.sum(c).alias(f"all_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("range_no", *[F.coalesce(F.sum(f"all_{n}").over(earlier), F.lit(0)).alias(f"from_{n}") for n in sums])
+    inside = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged
+    for n, c in sums.items():
+        out = out.withColumn(n, F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    out = out.join(starts, "range_no")
+    for n in sums:
+        out = out.withColumn(n, F.col(n) + F.col(f"from_{n}"))
+    return out.drop("range_no", *[f"from_{n}" for n in sums])
+
+
 def text_or_empty(col: str | Column) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     return F.coalesce(col.cast("string"), F.lit(""))

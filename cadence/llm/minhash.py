@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm import textkernels as tk
+from cadence.llm._common import free_names, named
 from cadence.llm.components import connected_components
 from cadence.plans.lineage import cut_lineage
 
@@ -285,5 +286,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the documents that another one of their group stands
     for; rows without id stay.  All columns as they came."""
     found = near_duplicates(docs, id_col, text_col, **params)
-    drop = found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    (drop_id,) = free_names(docs, "drop_id")
+    drop = found.filter(~F.col("kept") & named(found, id_col).isNotNull()).select(named(found, id_col).alias(drop_id)).distinct()
+    return docs.join(drop, named(docs, id_col) == F.col(drop_id), "left_anti")

@@ -20,7 +20,8 @@ which bounds a range's load whatever the weights are.
 Edge cases: a null or wordless text has size 0 and takes 0; a null source is a
 source of its own, last in order; rows that repeat a doc_id share its draw and
 are ordered by size; an empty table gives no rows; sources without words get
-target 0.
+target 0; a text of any length is counted where it lies; extra columns are
+ignored by ``mix`` and carried by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.llm._common import WORD_PATTERN, group_count, hash52, text_or_empty, unit_interval
+from cadence.llm._common import WORD_PATTERN, free_names, group_count, hash52, named, sums_before, text_or_empty, unit_interval
 from cadence.plans.lineage import cut_lineage
 
 MIN_QUALITY = 0.0625
@@ -54,21 +55,19 @@ def text_quality(col: str | Column) -> Column:
 
 def source_targets(sources: DataFrame, weights: Sequence[int], max_epochs: int = 3) -> DataFrame:
     """``sources`` (one row per source: ``source``, ``source_size``) with
-    ``target``.  The windows run over this table of sources only."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = sources.withColumn("w", w.cast("bigint")).withColumn("cap", F.col("source_size") * max_epochs)
-    by_level = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy(F.lit(0))
-    t = (
-        t.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("w_left", F.sum("w").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("capped", F.col("cap") * F.col("w_left") <= F.col("w") * (F.col("total") - F.col("cap_before")))
-        .withColumn("w_open", F.sum(F.when(~F.col("capped"), F.col("w")).otherwise(0)).over(everything))
-        .withColumn("cap_sum", F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(everything))
-    )
-    level = F.col("w").cast("double") * (F.col("total") - F.col("cap_sum")).cast("double") / F.col("w_open").cast("double")
+    ``target``.  Numbers and prefix sums go by ranges of sources."""
+    by_name = [F.col("source").isNull(), F.col("source")]
+    t = sums_before(sources, by_name, {"number": F.lit(1)})
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    t = t.withColumn("w", w.cast("bigint")).withColumn("cap", F.col("source_size") * max_epochs)
+    by_level = [F.col("cap") / F.col("w"), *by_name]
+    t = cut_lineage(sums_before(t, by_level, {"w_before": F.col("w"), "cap_before": F.col("cap")}), "table")
+    total, w_all = t.agg(F.sum("source_size"), F.sum("w")).first()
+    left = F.lit(w_all or 0) - F.col("w_before")
+    t = t.withColumn("capped", F.col("cap") * left <= F.col("w") * (F.lit(total or 0) - F.col("cap_before")))
+    open_ = ~F.col("capped")
+    w_open, cap_sum = t.agg(F.sum(F.when(open_, F.col("w"))), F.sum(F.when(F.col("capped"), F.col("cap")))).first()
+    level = F.col("w").cast("double") * F.lit(float((total or 0) - (cap_sum or 0))) / F.lit(float(w_open or 1))
     return t.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level))
 
 
@@ -87,8 +86,10 @@ def mix(
     """Id, source, ``size``, ``source_size``, ``target``, ``taken`` and
     ``mark`` (hash of the text) per row.
 
-    The document in which a budget ends gives only the words still missing;
-    with ``whole_documents`` it is taken whole if at least half of it fits.
+    The document in which a budget ends gives only the words still missing.
+    With ``whole_documents`` a document larger than the whole budget is passed
+    over (it takes no room from others), and the one in which the budget ends is
+    taken whole if at least half of it fits.
     ``weights`` go to the sources in code point order, repeating; ``quality``
     is a weight expression, clipped to [1/16, 1].
     """
@@ -125,16 +126,18 @@ def mix(
         .withColumn("range", F.least(F.floor(spread * F.col("ranges")), F.col("ranges") - 1))
         .repartition("src", "range")
     )
+    fits = F.col("size") <= F.col("rest") if whole_documents else F.lit(True)
+    fitting = F.when(fits, F.col("size")).otherwise(0)
     earlier = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("src", "range")
-        .agg(F.sum("size").alias("words"))
+        .agg(F.sum(fitting).alias("words"))
         .select("src", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
     )
     inside = Window.partitionBy("src", "range").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("words_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["src", "range"])
+    summed = placed.withColumn("words_before", F.coalesce(F.sum(fitting).over(inside), F.lit(0))).join(starts, ["src", "range"])
     room = F.col("rest") - F.col("start") - F.col("words_before")
-    part = F.when(room * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole_documents else F.greatest(F.lit(0), F.least(F.col("size"), room))
+    part = F.when(fits & (room * 2 >= F.col("size")), F.col("size")).otherwise(0) if whole_documents else F.greatest(F.lit(0), F.least(F.col("size"), room))
     return summed.select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
@@ -152,9 +155,10 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int], id_col: str = "doc_
     through the sampling; texts move once, to the join with the decisions.
     Rows that repeat both id and text are taken equally often."""
     taken = mix(docs, weights, id_col, text_col, whole_documents=True, **params).filter("taken > 0")
-    copies = taken.groupBy(F.col(id_col).alias("_id"), F.col("mark").alias("_mark")).agg(
-        F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies")
+    own_id, own_mark, copies, copy = free_names(docs, "own_id", "own_mark", "copies", "copy")
+    times = taken.groupBy(named(taken, id_col).alias(own_id), F.col("mark").alias(own_mark)).agg(
+        F.max((F.col("taken") / F.col("size")).cast("int")).alias(copies)
     )
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_mark"))
-    each = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return docs.join(copies, same).withColumn("_copy", each).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = named(docs, id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_or_empty(named(docs, text_col))) == F.col(own_mark))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    return docs.join(times, same).withColumn(copy, each).select(*[F.col(f"`{c}`") for c in docs.columns])
