@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,8 +173,9 @@ def _top_lists(k: int):
     return run
 
 
-def _compare_neighbours(table: pa.Table) -> pa.Table:
-    """Neighbours of one vertex (``pivot``, ``part``) compared with each other."""
+def _compare_neighbours(table: pa.Table, k: int) -> pa.Table:
+    """Neighbours of one vertex (``pivot``, ``part``) compared with each other;
+    of all pivots of the bundle together, the ``k`` best for each vertex."""
     table = table.sort_by([("pivot", "ascending"), ("part", "ascending")])
     pivot, part, ids = table["pivot"].to_numpy(), table["part"].to_numpy(), table["id"].to_numpy()
     fresh, floor = table["fresh"].to_numpy(), table["floor"].to_numpy()
@@ -190,7 +192,8 @@ def _compare_neighbours(table: pa.Table) -> pa.Table:
         good = (sims > floor[s:e, None]) & (new[:, None] | new[None, :]) & (side[:, None] != side[None, :]) & seek[s:e, None]
         a, b = np.nonzero(good)
         us.append(own[a]), vs.append(own[b]), ss.append(sims[a, b])
-    return _edge_table(us, vs, ss)
+    found = _edge_table(us, vs, ss)
+    return _top_lists(k)(found) if found.num_rows else found
 
 
 def _bundled(edges: DataFrame, bundles: int, k: int) -> DataFrame:
@@ -250,7 +253,7 @@ def descent_round(lists: DataFrame, vectors: DataFrame, k: int, bundles: int, se
             F.pmod(F.xxhash64("pivot", "part"), F.lit(bundles)).alias("bundle"),
         )
         .groupBy("bundle")
-        .applyInArrow(lambda t: _compare_neighbours(t), EDGES)
+        .applyInArrow(lambda t: _compare_neighbours(t, k), EDGES)
     )
     return _bundled(lists.withColumn("fresh", F.lit(False)).union(found), bundles, k)
 
@@ -258,9 +261,14 @@ def descent_round(lists: DataFrame, vectors: DataFrame, k: int, bundles: int, se
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the cosine in double precision to rows with both unit vectors."""
     for batch in batches:
-        cosine = np.empty(0) if not batch.num_rows else np.einsum("ij,ij->i", _matrix(batch.column(2)), _matrix(batch.column(3)))
+        cosine = np.empty(batch.num_rows)
+        sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):  # pairs of one dimension at a time
+            at = np.flatnonzero(sizes == size)
+            some = batch.take(pa.array(at))
+            cosine[at] = np.einsum("ij,ij->i", _matrix(some.column(2)), _matrix(some.column(3)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.asarray(cosine, np.float64))], ["u", "v", "cosine"]
+            [batch.column(0), batch.column(1), pa.array(cosine)], ["u", "v", "cosine"]
         )
 
 
@@ -352,24 +360,26 @@ def _size_class(size):
     return sum((F.when(size > limit, 1).otherwise(0) for limit in SIZES), F.when(size > 1, 1).otherwise(0))
 
 
-def _recall(vectors: DataFrame, links: DataFrame, audit: int, threshold: float) -> float:
+def _recall(vectors: DataFrame, links: DataFrame, lists: DataFrame, audit: int, threshold: float) -> float:
     """Lowest mean recall of a size class' linked vertices.
 
-    The sample has ``audit`` vertices of each class of found components.  Of
-    the vertices without a found link it has as large a share as of the
-    smallest class of components, so that a miss weighs as little there as a
-    found vertex; all of them where fewer than ``audit`` are linked.  A vertex
-    counts in the class of its component or of its links, whichever is larger,
-    with the inverse of its share in the sample.
+    The sample has ``audit`` vertices of each class of found components, as many
+    of the vertices without a found link, and the ``audit`` unlinked ones whose
+    best list entry comes nearest to the threshold (grade -1), where a miss is
+    likeliest; its size does not follow the table's.  A vertex counts in the
+    class of its component or of its links, whichever is larger, with the inverse
+    of its share in the sample.  Where no sampled unlinked vertex has a link, at
+    most 3 / ``audit`` of the unlinked ones have one, with 95 % confidence.
     """
     sizes = links.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    graded = cut_lineage(
-        links.join(sizes, "component").select("id", "size", F.col("n").alias("found"), _size_class(F.col("size")).alias("grade")), "table"
-    )
+    graded = links.join(sizes, "component").select("id", "size", F.col("n").alias("found"), _size_class(F.col("size")).alias("grade"))
+    best = lists.groupBy("u").agg(F.max("sim").alias("best"))
+    close = graded.filter("grade = 0").join(best, F.col("id") == F.col("u")).orderBy(F.col("best").desc(), "id").limit(audit)
+    close = close.select("id", F.lit(True).alias("close"))
+    graded = graded.join(close, "id", "left").withColumn("grade", F.when(F.col("close"), -1).otherwise(F.col("grade"))).drop("close")
+    graded = cut_lineage(graded, "table")
     counts = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
     share = {g: min(1.0, audit / m) for g, m in counts.items()}
-    if 0 in share:
-        share[0] = max([share[0], share[min(g for g in counts if g)] if len(counts) > 1 else 1.0])
     fraction = F.create_map(*[F.lit(x) for g in share for x in (g, float(share[g]))]) if share else F.create_map()
     order = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 40)) / float(1 << 40)
     picked = graded.filter(order < F.element_at(fraction, F.col("grade"))) if share else graded
@@ -458,7 +468,7 @@ def near_vectors(
             across = new if across is None else across.union(new)
             edges = cut_lineage(edges.union(new).distinct(), "table")
         links = _links(vertices, edges, known, threshold)
-        recall = _recall(vertices, links, audit, threshold)
+        recall = _recall(vertices, links, lists, audit, threshold)
         if recall >= goal:
             break
     if recall < goal:
