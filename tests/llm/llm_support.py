@@ -3,6 +3,11 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
+# Names that the operators and stages use inside, or have used.
+CLASHES = (
+    "keep gh t keep_id group_size drop_id out_id out_mark own_id own_mark copies copy mark src range draw taken target source_size "
+    "epochs rest _keep _size _gh _h _drop _id _mark _copies _copy host path good kept p_good n_shingles v cut cell runs collapsed"
+).split()
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -34,8 +39,8 @@ def edge_docs(spark):
         (9, "TWO\twords", None, "a", 9),
     ]
     extra = "id bigint, h string, size string, digest string, bucket int, text_crc32 int, component string"
-    filled = [(*r, i, "x", "y", "z", 1, 2, "c") for i, r in enumerate(rows)]
-    return spark.createDataFrame(filled, f"{DOC_SCHEMA}, {extra}")
+    filled = [(*r, i, "x", "y", "z", 1, 2, "c", *[f"{n}{i}" for n in CLASHES]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(filled, f"{DOC_SCHEMA}, {extra}, " + ", ".join(f"{n} string" for n in CLASHES))
 
 
 @pytest.fixture(scope="session")

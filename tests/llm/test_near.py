@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_support import SF, edge_docs, no_docs, shipped, texts_of  # noqa: F401
 
@@ -264,12 +265,13 @@ def test_audit_sees_missed_pairs_beside_a_large_component(spark):
         vectors = np.concatenate([vectors, family(rng, centre / np.linalg.norm(centre), 2, 0.001)])
     rows = [(i, 32, v.tobytes(), 1) for i, v in enumerate(vectors)]
     vertices = spark.createDataFrame(rows, "id bigint, dim int, unit binary, copies bigint")
+    lists = spark.createDataFrame([], embed_dedup.EDGES)
     # the family's links are found, those of 30 of the 40 pairs are not
     links = [(i, 0, 299) if i < 300 else (i, i, 0) if i < 360 else (i, i - i % 2, 1) for i in range(380)]
     found = spark.createDataFrame(links, "id bigint, component bigint, n bigint")
-    assert embed_dedup._recall(vertices, found, 400, 0.9) == pytest.approx(0.25)
+    assert embed_dedup._recall(vertices, found, lists, 400, 0.9) == pytest.approx(0.25)
     none = spark.createDataFrame([(i, i, 0) for i in range(380)], "id bigint, component bigint, n bigint")
-    assert embed_dedup._recall(vertices, none, 400, 0.9) == 0.0
+    assert embed_dedup._recall(vertices, none, lists, 400, 0.9) == 0.0
 
 
 def test_effort_follows_the_table_and_a_missed_goal_raises(spark, monkeypatch):
@@ -280,3 +282,86 @@ def test_effort_follows_the_table_and_a_missed_goal_raises(spark, monkeypatch):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id bigint, embedding array<double>")
     with pytest.raises(RuntimeError, match="recall"):
         embed_dedup.near_vectors(df, attempts=1)
+
+
+def test_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for dim, first in ((2, 0), (4, 1000), (7, 2000)):
+        centres = rng.standard_normal((5, dim))
+        rows += [(first + i, (centres[i % 5] + 0.2 * rng.standard_normal(dim)).tolist()) for i in range(45)]
+    rng.shuffle(rows)
+    rows = [(int(i), [float(x) for x in v]) for i, v in rows]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cell=16).collect()
+    want = brute_vectors(rows)
+    assert sorted((tuple(r)[:4] for r in got), key=str) == want
+    assert all(any(r[1] for r in want if lo <= r[0] < lo + 1000) for lo in (0, 1000, 2000))
+
+
+def test_the_audit_of_unlinked_vectors_does_not_grow(spark, monkeypatch):
+    seen = []
+    counts = embed_dedup._audit_counts
+    monkeypatch.setattr(embed_dedup, "_audit_counts", lambda sample, *a: seen.append(len(sample)) or counts(sample, *a))
+    for n in (300, 900):
+        v = np.random.default_rng(n).standard_normal((n, 32))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        vertices = spark.createDataFrame([(i, 32, x.tobytes(), 1) for i, x in enumerate(v)], "id bigint, dim int, unit binary, copies bigint")
+        alone = spark.createDataFrame([(i, i, 0) for i in range(n)], "id bigint, component bigint, n bigint")
+        lists = spark.createDataFrame([(i, (i + 1) % n, float(i) / n, False) for i in range(n)], embed_dedup.EDGES)
+        seen.clear()
+        assert embed_dedup._recall(vertices, alone, lists, 50, 0.9) == 1.0
+        assert 70 <= sum(seen) <= 130
+
+
+def test_a_missed_link_next_to_the_threshold_is_audited(spark):
+    """One missed pair among 2,000 unlinked vertices: its lists came nearest."""
+    v = np.random.default_rng(5).standard_normal((2000, 32))
+    v[77] = v[1234] + 0.01
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    vertices = spark.createDataFrame([(i, 32, x.tobytes(), 1) for i, x in enumerate(v)], "id bigint, dim int, unit binary, copies bigint")
+    alone = spark.createDataFrame([(i, i, 0) for i in range(2000)], "id bigint, component bigint, n bigint")
+    lists = spark.createDataFrame([(i, 0, 0.89 if i == 77 else 0.3, False) for i in range(2000)], embed_dedup.EDGES)
+    assert embed_dedup._recall(vertices, alone, lists, 10, 0.9) == 0.0
+
+
+@pytest.mark.parametrize("kernel", ["shingle_sets", "text_features"])
+def test_memory_of_the_text_kernels(kernel):
+    """Per byte of text: a text of 64 MB, and a block of 4 MiB of short ones."""
+    import tracemalloc
+
+    from cadence.llm import quality
+
+    run = {"shingle_sets": tk.shingle_sets, "text_features": quality.text_features}[kernel]
+    chunk = " ".join(f"word{i % 5003}" for i in range(100_000)).encode()
+    long = np.frombuffer((chunk + b" ") * (64_000_000 // len(chunk)), np.uint8)
+    for data, borders, limit in (
+        (long, np.array([0, len(long)]), 7 * len(long)),
+        (long[: 4 << 20], np.arange(0, (4 << 20) + 1, 2048), 24 << 20),
+    ):
+        tracemalloc.start()
+        run(data, borders)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < limit, (peak, limit)
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 18, 64, 7])
+def test_slices_do_not_change_hashes(monkeypatch, slice_bytes):
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice([" ", "\n", "a", "b", "Zz", "é", "word", "."]) for _ in range(rng.randrange(0, 120)))
+    texts = [rng.choice([None, "", text(), "x" * rng.randrange(300)]) for _ in range(200)]
+    data, borders = tk.text_bytes(pa.array(texts))
+    words, at = tk.word_hashes(data, borders)
+    sets = tk.shingle_sets(data, borders)
+    one = {}
+    for r, t in enumerate(texts):
+        split = (t or "").lower().replace("\n", " ").split(" ")
+        split = [w for w in split if w]
+        assert at[r + 1] - at[r] == len(split)
+        for w, h in zip(split, words[at[r] : at[r + 1]].tolist()):
+            assert one.setdefault(w, h) == h
+        assert len(sets[r]) == len(shingles(t))
+    assert len(set(one.values())) == len(one)
+    monkeypatch.setattr(tk, "SLICE_BYTES", slice_bytes)
+    again, at2 = tk.word_hashes(data, borders)
+    assert (again == words).all() and (at2 == at).all()

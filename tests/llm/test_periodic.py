@@ -85,8 +85,7 @@ def test_edge_rows(spark, edge_docs, no_docs):
         want.append((str(i), str(runs), brute_collapsed(words, runs)))
     assert got == sorted(want)
     assert periodic.find_runs(no_docs).count() == 0
-    clash = edge_docs.withColumnRenamed("h", "runs").withColumnRenamed("size", "collapsed")
-    assert periodic.find_runs(clash).columns == ["doc_id", "runs", "collapsed"]
+    assert periodic.find_runs(edge_docs).columns == ["doc_id", "runs", "collapsed"]
     with pytest.raises(ValueError):
         periodic.find_runs(docs, min_exponent=2)
 

@@ -48,7 +48,7 @@ def test_run_and_registration(spark):
     assert E.queries()["pipeline"] is corpus_pipeline.run
     packed = corpus_pipeline.run(spark, SF)
     assert packed.count() > 0
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in E.queries() if q.startswith(f"op{n}_")]) == 1
 
 
@@ -62,6 +62,11 @@ def test_stages_on_edge_rows_and_on_nothing(spark, edge_docs, no_docs):
         assert out.columns == docs.columns, name
         assert least[name] <= out.count() <= 3 * docs.count(), name
         assert stage(spark, no_docs, SF).count() == 0, name
+        # columns of any name come through with their values
+        wide = stage(spark, edge_docs, SF)
+        assert wide.columns == edge_docs.columns, name
+        assert wide.distinct().exceptAll(edge_docs.distinct()).count() == 0 and wide.count() >= least[name], name
     pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, edge_docs, SF).count() == pack(spark, docs, SF).count()
     assert pack(spark, docs, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert pack(spark, no_docs, SF).count() == 0

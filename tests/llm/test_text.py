@@ -93,6 +93,58 @@ def test_main_text_under_containers_with_boilerplate_names():
     assert html_extract.main_texts([page], html_extract.block_classifier()) == [" ".join(text)]
 
 
+PARAGRAPHS = (
+    "The lake froze early that year and the boys skated to school along the shore.",
+    "It was forty years before it froze again.",
+    "Whoever wants to see the ice boats now has to go to the museum, where two of them hang from the ceiling of the great hall.",
+)
+REMARKS = tuple(f"I liked part number {k} the most, and so did everybody in our house who has read it aloud since." for k in range(9))
+LEGAL = "Nothing on this page may be taken as advice of any sort, and whoever takes it does so at a risk of their own making. " * 6
+
+
+@pytest.mark.parametrize("frame", [
+    "<body><article>{a}</article><section id=comments>{c}</section></body>",
+    "<body><article>{a}</article><div class='reader-replies'>{c}</div></body>",
+    "<body><article>{a}<section class=comments>{c}</section></article></body>",
+    "<body><article>{a}</article><footer class=disclaimer>{l}</footer></body>",
+    "<body><div class=cookie-notice>{l}</div><article>{a}</article></body>",
+    "<body><div id=gdprConsent><p>{l}</p><p>{l}</p></div><main>{a}</main><div role=contentinfo>{l}</div></body>",
+    "<body><article>{a}</article><div>{c}</div></body>",
+    "<body><div class=cookie-notice>{l}</div>{a}<footer>{l}</footer></body>",
+    "<body><div class=textwidget>{a}</div><ol class=commentlist>{c}</ol></body>",
+    "<body><form id=page><nav><a href=/>Home</a></nav><article>{a}</article><aside>{c}</aside></form></body>",
+])
+def test_boilerplate_with_most_of_the_words_goes(frame):
+    """Pages that are not in the labelled table, nor any of their texts."""
+    page = frame.format(a="".join(f"<p>{t}</p>" for t in PARAGRAPHS), c="".join(f"<div class=comment><p>{t}</p></div>" for t in REMARKS), l=LEGAL)
+    assert html_extract.main_texts([page], html_extract.block_classifier()) == [" ".join(PARAGRAPHS)]
+
+
+def test_short_and_linked_blocks_of_an_article_stay():
+    page = "<body><p>Start</p><article><h1>Ice</h1><p>Why?</p><p><a href=/x>One line that is a link from end to end</a></p><ul><li>Cold<li>Clear</ul></article></body>"
+    assert html_extract.main_texts([page], html_extract.block_classifier()) == ["Ice Why? One line that is a link from end to end Cold Clear"]
+
+
+def test_labelled_table_is_learnt_and_varied():
+    from cadence.llm.html_labels import labelled_pages
+
+    pages = labelled_pages()
+    blocks = [b[0] for page, _ in pages for b in html_extract.flat_blocks(page)]
+    marks = "".join(m for _, m in pages)
+    assert len(blocks) == len(marks) and len({p for p, _ in pages}) == len(pages)
+    tree = html_extract.block_classifier()
+    rows = np.concatenate([html_extract.block_features(html_extract.flat_blocks(p)) for p, _ in pages])
+    hit = (tree.predict(rows) >= 0.5) == (np.array(list(marks)) == "1")
+    assert hit.mean() >= 0.98
+    # no leaf stands for one or two blocks
+    leaf = np.zeros(len(rows), int)
+    for _ in range(tree.max_depth):
+        inner = tree.feature[leaf] >= 0
+        down = rows[np.arange(len(rows)), tree.feature[leaf]] <= tree.cut[leaf]
+        leaf = np.where(inner, np.where(down, tree.low[leaf], tree.high[leaf]), leaf)
+    assert np.unique(leaf, return_counts=True)[1].min() >= 3
+
+
 def test_broken_and_empty_pages(spark):
     long = "<article>" + "<p>word &amp; more</p>" * 20_000
     rows = [
@@ -229,8 +281,67 @@ def test_held_out_accuracy(spark):
     assert sum(r["kept"] for r in good) >= 0.98 * len(good) and sum(r["kept"] for r in bad) <= 0.1 * len(bad)
 
 
-def test_sites_shrink_toward_their_parent():
-    """Rates against the formulas, on counts small enough to check by hand."""
+def moment_weight(sites, parent):
+    """Documents that the parent's rate is worth: plain sums over (good, n)."""
+    some = [(g / n, n, parent(k)) for k, (g, n) in sites.items() if n > 1]
+    n = sum(m for _, m, _ in some)
+    mass = sum(m * p * (1 - p) for _, m, p in some)
+    if not some or not mass:
+        return quality.LARGEST_WEIGHT
+    beyond = (sum(m * (r - p) ** 2 for r, m, p in some) - sum(p * (1 - p) for _, _, p in some)) / n
+    return quality.LARGEST_WEIGHT if beyond <= 0 else min(quality.LARGEST_WEIGHT, max(1.0, mass / n / beyond - 1))
+
+
+def test_rates_and_posteriors_against_plain_sums(spark):
+    """Hosts shrink toward all, paths toward their host, each row left out of its own path."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scores = {r["doc_id"]: r for r in quality.quality_scores(docs, labels).collect()}
+    rows = [(r["doc_id"], r["source"], r["lang"], scores[r["doc_id"]]["p_document"]) for r in docs.collect()]
+    hosts, paths = {}, {}
+    for _, host, lang, p in rows:
+        for table, key in ((hosts, host), (paths, (host, lang))):
+            good, n = table.get(key, (0.0, 0))
+            table[key] = (good + p, n + 1)
+    overall = sum(g for g, _ in hosts.values()) / len(rows)
+    host_weight = moment_weight(hosts, lambda k: overall)
+    rate = lambda good, n, parent, weight: (good + parent * weight) / (n + weight)
+    host_rate = {h: rate(g, n, overall, host_weight) for h, (g, n) in hosts.items()}
+    path_weight = moment_weight(paths, lambda k: host_rate[k[0]])
+    odds = lambda p: np.log(p / (1 - p))
+    for i, host, lang, p in rows:
+        others_host = rate(hosts[host][0] - p, hosts[host][1] - 1, overall, host_weight)
+        others_path = rate(paths[host, lang][0] - p, paths[host, lang][1] - 1, others_host, path_weight)
+        clip = lambda x: min(1 - 1e-6, max(1e-6, x))
+        posterior = 1 / (1 + np.exp(-(odds(clip(p)) + odds(clip(others_path)) - odds(overall))))
+        got = scores[i]
+        assert (got["host_rate"], got["path_rate"], got["p_good"]) == pytest.approx((host_rate[host], others_path, posterior), rel=1e-6)
+        assert got["kept"] == (got["p_good"] >= 0.5)
+    assert len({round(r, 6) for r in host_rate.values()}) > 1
+
+
+def test_conflicting_labels_count_as_bad(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (1 + i % 5), "en", "a") for i in range(40)], "doc_id bigint, text string, lang string, source string")
+    sure = [(i, int(i % 5 > 2)) for i in range(40)]
+    both = spark.createDataFrame(sure + [(i, 1) for i in range(20)] + [(i, 0) for i in range(20)], "doc_id bigint, quality int")
+    least = spark.createDataFrame([(i, 0 if i < 20 else y) for i, y in sure], "doc_id bigint, quality int")
+    a, b = (sorted(map(tuple, quality.quality_scores(docs, x).collect())) for x in (both, least))
+    assert a == b
+
+
+def test_the_word_table_is_bounded_and_forgotten():
+    table = packing.WordTokenizer(TOKENIZER, table_bytes=20_000)
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(40)) for i in range(40)] + ["q" * 50_000])
+    ids, borders = table.texts(texts)
+    assert [ids[a:b].tolist() + [1] for a, b in zip(borders[:-1], borders[1:])] == [token_ids(t) for t in texts.to_pylist()]
+    assert table.held <= 10_000 and len(table.young) + len(table.old) < 100
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], ["id", "text"])
+    packing.worker_tokenizer.cache_clear()
+    assert sum(b.num_rows for b in packing._pieces(TOKENIZER, 2048, 1, False)(iter([docs]))) == 2
+    kept = packing.worker_tokenizer(TOKENIZER)
+    assert not kept.young and not kept.old and not kept.held
+
+
+def test_the_logistic_fit_separates():
     x = np.array([[0.0], [0.1], [0.9], [1.0]] * 5)
     w, mean, scale = quality.fit_logistic(x, (x[:, 0] > 0.5).astype(float))
     p = 1 / (1 + np.exp(-((quality._widened(x) - mean) / scale) @ w))
