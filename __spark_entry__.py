@@ -21,17 +21,34 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cadence.operators import activity, insights, joins, partitioning, primitives, quality, sessions, skew, streaks  # noqa: E402
+from cadence.operators import (  # noqa: E402
+    activity,
+    freshness,
+    insights,
+    joins,
+    lookup,
+    partitioning,
+    primitives,
+    quality,
+    sessions,
+    skew,
+    streaks,
+    user_bitmaps,
+    verify,
+)
 from cadence.operators.group_quantiles import group_percentiles  # noqa: E402
 from cadence.operators.quantiles import exact_percentiles  # noqa: E402
 from cadence.session import scratch_path  # noqa: E402
 from cadence.sources import generate, ingest  # noqa: E402
+from cadence.streaming.sessions import replay_sessions  # noqa: E402
 from cadence.sources.tables import INTERACTIONS_SQL, METADATA_SQL, interactions, load, user_metadata  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Parameters of the registered queries (shared by Spark and SQL sides).
 YEAR_START, YEAR_END = "2024-01-01", "2025-01-01"
+BATCH_CUTS = ("2024-01-08", "2024-01-15", "2024-01-23")  # first days of the later batches
+CHECK_RANGES = 64
 STREAK_START, STREAK_END = "2024-01-01", "2024-01-31"  # the days that the given events cover
 ORDERS_YEAR_START, ORDERS_YEAR_END, ORDERS_N_MONTHS = "1996-01-01", "1997-01-01", 4
 ACTIVE_ACTIONS = ("click", "view", "purchase", "signup")
@@ -116,6 +133,19 @@ def q_full_streak_users(spark, d):
     return streaks.users_with_streak(interactions(spark, d), start=STREAK_START, end=STREAK_END, date_col="date")
 
 
+def q_trailing_active_users(spark, d):
+    """28-day active users from stored daily bitmaps."""
+    path = scratch_path(spark, "bitmaps")
+    user_bitmaps.add_days(interactions(spark, d), path)
+    return user_bitmaps.trailing_actives(user_bitmaps.read_days(spark, path))
+
+
+def q_user_lookup(spark, d):
+    path = scratch_path(spark, "lookup")
+    lookup.write_lookup_store(interactions(spark, d), path)
+    return lookup.lookup(spark, path, TIMELINE_USERS).orderBy("user_id", "timestamp", "event_id")
+
+
 def q_daily_user_rollup(spark, d):
     return activity.daily_user_rollup(interactions(spark, d))
 
@@ -138,6 +168,15 @@ def q_sessionize_split(spark, d):
     return sessions.sessionize(interactions(spark, d), gap_seconds=6 * 3600, tiebreak=("event_id",), chunk_seconds=600)
 
 
+def q_sessionize_incremental(spark, d):
+    """The same events in four batches, each read once."""
+    ev = interactions(spark, d)
+    day = F.col("date")
+    cuts = [F.lit(c).cast("date") for c in BATCH_CUTS]
+    parts = [day.isNull() | (day < cuts[0]), *[(day >= a) & (day < b) for a, b in zip(cuts, cuts[1:])], day >= cuts[-1]]
+    return replay_sessions([ev.where(p) for p in parts], gap_seconds=6 * 3600, tiebreak=("event_id",))
+
+
 def q_session_metrics(spark, d):
     return sessions.session_metrics(interactions(spark, d), tiebreak=("event_id",))
 
@@ -327,6 +366,19 @@ def q_dq_timeliness(spark, d):
     )
 
 
+def q_dq_missing_hours(spark, d):
+    return freshness.missing_intervals(interactions(spark, d), "timestamp", STREAK_START, STREAK_END, label="action_type", expected=KNOWN_ACTIONS)
+
+
+def q_dq_arrival_lag(spark, d):
+    """Shipping as the arrival of an order's lines, by day of the order."""
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate")
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    return freshness.arrival_lag(
+        lines.join(orders, "l_orderkey"), "o_orderdate", "l_shipdate", "l_returnflag", allowed_seconds=60 * 86_400, step_seconds=86_400
+    )
+
+
 def q_dq_accuracy(spark, d):
     li = load(spark, d, "lineitem")
     truth = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
@@ -399,6 +451,14 @@ def q_convert_multiline(spark, d):
     return ingest.csv_parquet_round_trip(docs, docs.schema, ["lang"], multiline="parallel").select(*docs.columns)
 
 
+def q_verify_round_trip(spark, d):
+    """CSV to Parquet, and the checksums of the result against the source."""
+    inter = interactions(spark, d)
+    stored = ingest.csv_parquet_round_trip(inter, inter.schema, ["date"]).select(*inter.columns)
+    low, high = verify.key_bounds(inter, stored, "event_id")
+    return verify.range_checksums(inter, stored, "event_id", low, high, CHECK_RANGES)
+
+
 # ---------------------------------------------------------------- primitives
 def q_sum_numeric(spark, d):
     out = primitives.sum_numeric(load(spark, d, "lineitem"), "l_returnflag")
@@ -506,6 +566,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "impute_group_median": _impute_group("median"),
     "impute_group_mode": _impute_group("mode"),
     "convert_multiline": q_convert_multiline,
+    "sessionize_incremental": q_sessionize_incremental,
+    "trailing_active_users": q_trailing_active_users,
+    "user_lookup": q_user_lookup,
+    "dq_missing_hours": q_dq_missing_hours,
+    "dq_arrival_lag": q_dq_arrival_lag,
+    "verify_round_trip": q_verify_round_trip,
 }
 
 # ---------------------------------------------------------------- oracle SQL
@@ -656,6 +722,23 @@ def _streaks_sql(start: str, end: str) -> str:
 
 
 _ORACLE: dict[str, str] = {
+    "trailing_active_users": f"""WITH d AS (SELECT DISTINCT user_id, "date" AS day FROM {I} WHERE user_id IS NOT NULL AND "date" IS NOT NULL),
+        days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
+      SELECT days.day AS "date", count(DISTINCT d.user_id) AS trailing_active_users
+      FROM days JOIN d ON d.day <= days.day AND d.day > days.day - 28 GROUP BY 1""",
+    "dq_missing_hours": f"""WITH slots AS (SELECT unnest(generate_series(TIMESTAMP '{STREAK_START}', TIMESTAMP '{STREAK_END}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h),
+        labels AS (SELECT unnest({list(KNOWN_ACTIONS)!r}) AS label UNION SELECT DISTINCT action_type FROM {I} WHERE action_type IS NOT NULL),
+        present AS (SELECT DISTINCT action_type AS label, date_trunc('hour', "timestamp") AS h FROM {I}),
+        missing AS (SELECT label, h FROM labels, slots WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.label = labels.label AND p.h = slots.h)),
+        islands AS (SELECT label, h, h - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY label ORDER BY h) AS island FROM missing)
+      SELECT label, min(h) AS gap_start, max(h) + INTERVAL 1 HOUR AS gap_end, count(*) AS slots FROM islands GROUP BY label, island""",
+    "dq_arrival_lag": f"""SELECT l_returnflag AS label, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS slot_start, count(*) AS rows,
+        min(epoch_us(l_shipdate - o_orderdate) // 1000000) AS min_lag_seconds, max(epoch_us(l_shipdate - o_orderdate) // 1000000) AS max_lag_seconds,
+        count(CASE WHEN epoch_us(l_shipdate - o_orderdate) // 1000000 > {60 * 86_400} THEN 1 END) AS late_rows
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+    "verify_round_trip": f"""WITH b AS (SELECT min(event_id) AS lo, max(event_id) AS hi, CAST(ceil((max(event_id) - min(event_id) + 1) / {CHECK_RANGES}) AS BIGINT) AS w FROM events)
+      SELECT (event_id - lo) // w AS range_no, lo + (event_id - lo) // w * w AS low_key, least(lo + (event_id - lo) // w * w + w - 1, hi) AS high_key,
+        count(*) AS rows_a, count(*) AS rows_b, true AS equal FROM events, b GROUP BY 1, 2, 3""",
     "longest_streaks": _streaks_sql(YEAR_START, YEAR_END),
     "full_streak_users": f"SELECT count(*) AS users FROM ({_streaks_sql(STREAK_START, STREAK_END)}) WHERE full_streak",
     "enrich_balanced": _ENRICH_SQL,
@@ -831,6 +914,8 @@ _ORACLE: dict[str, str] = {
         (hour("timestamp") >= 9 AND hour("timestamp") < 17) AS office_hours
       FROM {I}""",
 }
+_ORACLE["sessionize_incremental"] = _ORACLE["sessionize_6h"]
+_ORACLE["user_lookup"] = _ORACLE["user_timeline"]
 
 
 def entry(spark: SparkSession) -> DataFrame:
