@@ -13,18 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.functions import epoch_seconds
 from cadence.operators._common import bound_literal
 
 HOUR = 3600
 
 
-def _slot(ts: Column, step_seconds: int) -> Column:
-    return F.floor(epoch_seconds(ts) / step_seconds)
+def _epoch(df: DataFrame, ts: str) -> Column:
+    return bound_literal(df, ts, "1970-01-01")
 
 
-def _start(slot: Column, step_seconds: int) -> Column:
-    return F.timestamp_seconds(slot * step_seconds).cast("timestamp_ntz")
+def _slot(epoch: Column, ts: Column, step_seconds: int) -> Column:
+    """Number of the slot: whole steps from the epoch by the column's own clock
+    (wall clock for TIMESTAMP_NTZ), whatever the session time zone."""
+    micros, step = F.timestamp_diff("MICROSECOND", epoch, ts), F.lit(step_seconds * 1_000_000)
+    return ((micros - F.pmod(micros, step)) / step).cast("bigint")
+
+
+def _start(epoch: Column, slot: Column, step_seconds: int) -> Column:
+    return F.timestamp_add("SECOND", slot * step_seconds, epoch)
 
 
 def missing_intervals(
@@ -43,8 +49,10 @@ def missing_intervals(
     spark = df.sparkSession
     name = F.col(f"`{label}`").cast("string") if label else F.lit("all")
     low, high = (bound_literal(df, ts, x) for x in (start, end))
-    first, last = spark.range(1).select(_slot(low, step_seconds), F.ceil(epoch_seconds(high) / step_seconds) - 1).first()
-    present = df.where((F.col(ts) >= low) & (F.col(ts) < high)).select(name.alias("label"), _slot(F.col(ts), step_seconds).alias("slot"))
+    epoch = _epoch(df, ts)
+    behind = F.timestamp_add("MICROSECOND", F.lit(-1), high)
+    first, last = spark.range(1).select(_slot(epoch, low, step_seconds), _slot(epoch, behind, step_seconds)).first()
+    present = df.where((F.col(ts) >= low) & (F.col(ts) < high)).select(name.alias("label"), _slot(epoch, F.col(ts), step_seconds).alias("slot"))
     present = present.where("label IS NOT NULL").distinct()
     labels = [str(x) for x in expected] if expected is not None else [] if label else ["all"]
     wanted = df.select(name.alias("label")).where("label IS NOT NULL").distinct() if label else None
@@ -57,7 +65,7 @@ def missing_intervals(
     runs = missing.withColumn("island", island).groupBy("label", "island").agg(
         F.min("slot").alias("a"), F.max("slot").alias("b"), F.count(F.lit(1)).alias("slots")
     )
-    return runs.select("label", _start(F.col("a"), step_seconds).alias("gap_start"), _start(F.col("b") + 1, step_seconds).alias("gap_end"), "slots")
+    return runs.select("label", _start(epoch, F.col("a"), step_seconds).alias("gap_start"), _start(epoch, F.col("b") + 1, step_seconds).alias("gap_end"), "slots")
 
 
 def arrival_lag(
@@ -67,10 +75,11 @@ def arrival_lag(
     late_rows)`` per slot of ``ts``: how long after the event its row arrived,
     and how many took longer than allowed.  Rows without either time count in
     ``rows`` only."""
+    epoch = _epoch(df, ts)
     lag = F.timestamp_diff("SECOND", F.col(ts), F.col(arrived))
     name = F.col(f"`{label}`").cast("string") if label else F.lit("all")
     return (
-        df.select(name.alias("label"), _slot(F.col(ts), step_seconds).alias("slot"), lag.alias("lag"))
+        df.select(name.alias("label"), _slot(epoch, F.col(ts), step_seconds).alias("slot"), lag.alias("lag"))
         .groupBy("label", "slot")
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -78,5 +87,5 @@ def arrival_lag(
             F.max("lag").alias("max_lag_seconds"),
             F.count(F.when(F.col("lag") > allowed_seconds, 1)).alias("late_rows"),
         )
-        .select("label", _start(F.col("slot"), step_seconds).alias("slot_start"), "rows", "min_lag_seconds", "max_lag_seconds", "late_rows")
+        .select("label", _start(epoch, F.col("slot"), step_seconds).alias("slot_start"), "rows", "min_lag_seconds", "max_lag_seconds", "late_rows")
     )
