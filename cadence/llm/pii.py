@@ -7,12 +7,18 @@ blanks between groups of digits included) is an instance, and so is every seed.
 The words beside an instance, which may be or hold base matches, are its lexical
 patterns: the word before, the two words before, and the words on both sides.
 Words end at white space and at the marks of records (quotes, brackets, commas,
-semicolons, ``=``, ``&``, ``|``); ideographs and kana are words of their own.
+semicolons, ``=``, ``&``, ``|``); ideographs and kana are words of their own.  They
+are looked for in the ``BEFORE`` characters before an instance and the ``AFTER``
+behind it, so a longer word counts by its end (its beginning): that keeps the
+patterns' size, and the search, in proportion to the text.
 
 Spark scores the bipartite graph of patterns and instances in rounds.  A
 pattern's confidence for a kind is the mass of its instances known to be of
-that kind over all its different instances, shrunk by ``prior`` unknown ones;
-it counts from ``support`` known instances on.  An unseen instance's score is
+that kind over the mass of all its different instances and ``prior`` unknown ones.
+Instances known to be of another kind speak against it in full, unseen ones only
+with the weight ``unlabelled``, and the less the more they score themselves: a
+context may hold as many unseen instances as known ones and still be sure.  A
+pattern counts from ``support`` known instances on.  An unseen instance's score is
 the noisy-or of its confident patterns.  Instances are different texts, so a
 frequent one counts once per pattern.  After the last round unseen instances
 at or above ``accept`` become spans of that kind wherever a confident pattern
@@ -38,10 +44,12 @@ from pyspark.sql import functions as F
 from cadence.llm._common import text_or_empty
 from cadence.plans.lineage import cut_lineage
 
+BEFORE, AFTER = 100, 50
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SUPPORT = 5.0
 PRIOR = 1.0
+UNLABELLED = 0.25
 CONFIDENT = 0.8
 ACCEPT = 0.8
 
@@ -121,8 +129,8 @@ def _unseen(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    before = _WORD.findall(text[max(0, start - 100) : start].lower())
-    after = _WORD.findall(text[end : end + 50].lower())
+    before = _WORD.findall(text[max(0, start - BEFORE) : start].lower())
+    after = _WORD.findall(text[end : end + AFTER].lower())
     one = before[-1] if before else "^"
     two = " ".join(before[-2:]) if before else "^"
     return list(dict.fromkeys([f"1 {one}", f"2 {two}", f"3 {one} _ {after[0] if after else '$'}"]))
@@ -156,17 +164,23 @@ SCAN = (
 
 
 def score_graph(
-    links: DataFrame, rounds: int, support: float, prior: float, confident: float
+    links: DataFrame, rounds: int, support: float, prior: float, confident: float, unlabelled: float = UNLABELLED
 ) -> tuple[DataFrame, DataFrame]:
     """``links``: word, kind (null: unseen), pattern.  Returns the confident
     patterns (pattern, kind, confidence) and the unseen words (word, kind,
     score)."""
     edges = cut_lineage(links.groupBy("pattern", "word").agg(F.max("kind").alias("kind")), "table")
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    counts = edges.groupBy("pattern").agg(F.count("kind").alias("known"), (F.count(F.lit(1)) - F.count("kind")).alias("unseen"))
     seeds = edges.filter("kind IS NOT NULL").select("pattern", "word", "kind", F.lit(1.0).alias("score"))
     unseen = edges.filter("kind IS NULL").select("pattern", "word")
-    mass = seeds
+    mass, sure = seeds, None
     for _ in range(rounds):
+        against = F.col("known") + F.lit(unlabelled) * F.col("unseen")
+        sizes = counts.withColumn("n", against.cast("double"))
+        if sure is not None:  # an unseen instance that scores s counts as s known ones and 1 - s unlabelled ones
+            more = F.lit(1 - unlabelled) * F.coalesce("sure", F.lit(0.0))
+            sizes = counts.join(sure, "pattern", "left").withColumn("n", against + more)
+        sizes = sizes.select("pattern", "n")
         known = mass.groupBy("pattern", "kind").agg(F.sum("score").alias("mass")).filter(F.col("mass") >= support)
         patterns = cut_lineage(
             known.join(sizes, "pattern")
@@ -181,6 +195,8 @@ def score_graph(
             "table",
         )
         mass = seeds.union(unseen.join(scores, "word").select("pattern", "word", "kind", "score"))
+        best = scores.groupBy("word").agg(F.max("score").alias("score"))
+        sure = unseen.join(best, "word").groupBy("pattern").agg(F.sum("score").alias("sure"))
     return patterns, scores
 
 
