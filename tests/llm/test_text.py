@@ -243,6 +243,59 @@ def test_contexts_of_seeds_discover_unseen_identifiers(spark):
         assert got[i]["n_email"] == len(base)
 
 
+def plain_rounds(links, rounds, support, prior, confident, unlabelled):
+    """Scores of the pattern-instance graph by plain sums."""
+    kind, ends = {}, {}
+    for word, k, pattern in links:
+        ends.setdefault(pattern, set()).add(word)
+        key = (pattern, word)
+        kind[key] = max(x for x in (kind.get(key), k, -1) if x is not None)
+    unseen = {w for (p, w), k in kind.items() if k < 0}
+    patterns, scores = {}, {}
+    for _ in range(rounds):
+        found = {}
+        for p, words in ends.items():
+            own = [(w, kind[p, w]) for w in words]
+            best = {w: max((s for (x, _), s in scores.items() if x == w), default=0.0) for w, k in own if k < 0}
+            n = sum(k >= 0 for _, k in own) + sum(s + unlabelled * (1 - s) for s in best.values())
+            for k in range(4):
+                mass = sum(x == k for _, x in own) + sum(scores.get((w, k), 0.0) for w in best)
+                if mass >= support and mass / (n + prior) >= confident:
+                    found[p, k] = mass / (n + prior)
+        patterns, scores = found, {}
+        for w in unseen:
+            for k in range(4):
+                sure = [c for (p, x), c in patterns.items() if x == k and kind.get((p, w), 0) < 0]
+                if sure:
+                    scores[w, k] = 1 - np.prod([max(1 - c, 1e-9) for c in sure])
+    return patterns, scores
+
+
+@pytest.mark.parametrize("unlabelled", [0.25, 1.0])
+def test_rounds_of_the_graph_against_plain_sums(spark, unlabelled):
+    rng = random.Random(8)
+    links = []
+    for p in range(40):
+        for _ in range(rng.randrange(1, 25)):
+            w = rng.randrange(200)
+            links.append((f"w{w}", w % 4 if w % 3 else None, f"p{p % 30}"))
+    df = spark.createDataFrame(links, "word string, kind int, pattern string")
+    args = (3, 1.5, 1.0, 0.35, unlabelled)
+    patterns, scores = pii.score_graph(df, *args)
+    want_patterns, want_scores = plain_rounds(links, *args)
+    assert {(r["pattern"], r["kind"]): r["confidence"] for r in patterns.collect()} == pytest.approx(want_patterns)
+    assert {(r["word"], r["kind"]): r["score"] for r in scores.collect()} == pytest.approx(want_scores)
+    assert want_patterns and want_scores
+
+
+def test_a_context_with_many_unseen_identifiers(spark):
+    rows = [(i, f"badge holder u{i}@x.org entered") for i in range(600)] + [(1000 + i, f"badge holder u{i}@desk entered") for i in range(400)]
+    rows += [(5000 + i, f"in the year {10_000 + i} the {20_000 + i} came") for i in range(40)]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sum(r["n_discovered"] for r in got if 1000 <= r["doc_id"] < 5000) == 400
+    assert sum(r["n_discovered"] for r in got if r["doc_id"] < 1000 or r["doc_id"] >= 5000) == 0
+
+
 def test_unseen_identifiers_in_unspaced_records_and_with_blanks():
     def runs(text):
         return [text[s:e] for s, e in pii._unseen(text, pii.base_spans(text))]
