@@ -30,6 +30,7 @@ from cadence.operators import (  # noqa: E402
     partitioning,
     primitives,
     quality,
+    semijoin,
     sessions,
     skew,
     streaks,
@@ -219,6 +220,16 @@ def q_enrich_partial_dimension(spark, d):
     return joins.enrich(interactions(spark, d), users)
 
 
+def _reduced(how):
+    """The same dimension by a join that only possible partners are shuffled for."""
+
+    def q(spark, d):
+        users = user_metadata(spark, d, SUBSCRIPTION).where("subscription_type = 'BUILDING'")
+        return semijoin.reduced_join(interactions(spark, d), users, how=how)
+
+    return q
+
+
 def q_activity_by_dims(spark, d):
     return joins.activity_by(interactions(spark, d), user_metadata(spark, d, ("country", *SUBSCRIPTION)), strategy="merge")
 
@@ -572,6 +583,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dq_missing_hours": q_dq_missing_hours,
     "dq_arrival_lag": q_dq_arrival_lag,
     "verify_round_trip": q_verify_round_trip,
+    "enrich_reduced": _reduced("left_outer"),
+    "join_reduced": _reduced("inner"),
 }
 
 # ---------------------------------------------------------------- oracle SQL
@@ -915,6 +928,9 @@ _ORACLE: dict[str, str] = {
       FROM {I}""",
 }
 _ORACLE["sessionize_incremental"] = _ORACLE["sessionize_6h"]
+_ORACLE["enrich_reduced"] = _ORACLE["enrich_partial_dimension"]
+_ORACLE["join_reduced"] = f"""SELECT i.*, m.subscription_type FROM {I} i
+    JOIN {M} m ON i.user_id = m.user_id AND m.subscription_type = 'BUILDING'"""
 _ORACLE["user_lookup"] = _ORACLE["user_timeline"]
 
 
