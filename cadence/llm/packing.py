@@ -14,7 +14,8 @@ room; a tournament tree over the sequences' free room finds it in log steps.
 Tokenising: white space separates the tokenizer's words, so ids of a text are
 the ids of its white-space chunks in a row.  A task encodes each different
 word once, as far as its table of words (bounded in bytes) holds it, and drops
-the table at its end: a worker that goes on to other work keeps none of it.
+the table at its end.  The words that a worker meets first, mostly common ones,
+stay for its later tasks: a third of the table's bytes at most.
 
 Edge cases: a null or empty text is a document of the end id alone; rows that
 repeat a doc_id are packed as documents of their own; an empty table gives no
@@ -40,7 +41,7 @@ from cadence.llm.textkernels import lower_ascii, text_blocks, text_bytes
 from cadence.plans.lineage import cut_lineage
 
 PIECES_PER_GROUP = 2_000
-TABLE_BYTES = 96 << 20  # a task's table of words takes at most
+TABLE_BYTES = 96 << 20  # a task's table of words takes at most; a third of it outlives the task
 ENTRY_BYTES = 230  # of a word with its ids, beyond their own lengths
 BLOCK_BYTES = 1 << 20
 _SOLID = np.zeros(256, bool)  # ASCII letters and digits
@@ -56,8 +57,9 @@ class WordTokenizer:
     White space, and the border between a letter or digit and following ASCII
     punctuation, always separate the tokenizer's words; the tokenizer lowers
     case itself.  So texts are lowered and cut there, and only words not met
-    before are encoded.  The table has two halves: when the younger is full (by
-    bytes, so long words count as what they are) it replaces the older.
+    before are encoded.  A third of the table takes the first words and keeps them
+    as long as the worker lives.  The rest has two halves: when the younger is full
+    (by bytes, so long words count as what they are) it replaces the older.
     """
 
     def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
@@ -66,19 +68,21 @@ class WordTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.half = table_bytes // 2
+        self.half = table_bytes // 3
+        self.kept: dict[str, bytes] = {}
+        self.room = table_bytes // 3
         self.forget()
 
     def forget(self) -> None:
-        """Drop the table of words."""
+        """Drop the table of words, but for those kept."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of uint32."""
-        young, old = self.young.get, self.old.get
-        ids = [young(w) or old(w) for w in words]
+        kept, young, old = self.kept.get, self.young.get, self.old.get
+        ids = [kept(w) or young(w) or old(w) for w in words]
         new = [i for i, x in enumerate(ids) if x is None]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
@@ -87,6 +91,10 @@ class WordTokenizer:
             for i, x in zip(part, values):
                 ids[i] = x
             size = sum(map(len, names)) + sum(map(len, values)) + ENTRY_BYTES * len(part)
+            if size <= self.room:
+                self.kept.update(zip(names, values))
+                self.room -= size
+                continue
             if self.held + size > self.half:
                 self.old, self.young, self.held = self.young, {}, 0
             if size <= self.half:
@@ -120,7 +128,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker; a task's table of words ends with the task."""
+    """One per Python worker; a task's table of words ends with the task, but for the words kept."""
     return WordTokenizer(path)
 
 

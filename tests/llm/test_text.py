@@ -394,6 +394,19 @@ def test_the_word_table_is_bounded_and_forgotten():
     assert not kept.young and not kept.old and not kept.held
 
 
+def test_the_words_kept_between_tasks_are_bounded_and_change_nothing():
+    table = packing.WordTokenizer(TOKENIZER, table_bytes=30_000)
+    first = pa.array([" ".join(f"w{i}x{j}" for j in range(20)) for i in range(40)])
+    for texts in (first, pa.array(["w0x0 w39x19 other", "", "w1x1, w2x2"]), first):
+        ids, borders = table.texts(texts)
+        assert [ids[a:b].tolist() + [1] for a, b in zip(borders[:-1], borders[1:])] == [token_ids(t) for t in texts.to_pylist()]
+        before = dict(table.kept)
+        table.forget()
+        assert table.kept == before and not table.young
+    size = sum(packing.ENTRY_BYTES + len(w) + len(x) for w, x in table.kept.items())
+    assert 0 < size <= 10_000 and size + table.room == 10_000
+
+
 def test_the_logistic_fit_separates():
     x = np.array([[0.0], [0.1], [0.9], [1.0]] * 5)
     w, mean, scale = quality.fit_logistic(x, (x[:, 0] > 0.5).astype(float))
