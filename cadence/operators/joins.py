@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.operators.skew import hot_keys
-from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy, input_bytes
+from cadence.plans.strategy import DEFAULT_BROADCAST_BYTES, apply_strategy, input_bytes, measured_size
 from cadence.session import scratch_path, scratch_table
 
 SALT_ROWS = 1_000_000
@@ -106,7 +106,8 @@ def activity_by(
     return out.repartition(cluster_by) if cluster_by else out
 
 
-BUCKET_BYTES = 1 << 30  # target bytes of fact data per bucket for buckets="auto"
+BUCKET_BYTES = 1 << 30  # most bytes of fact files per bucket for buckets="auto"
+BUCKET_PAYLOAD = 128 << 20  # target payload of a bucket's rows, which one task sorts
 HOT_BUCKETS = 2  # a key with this many buckets' worth of rows is stored aside
 
 
@@ -124,6 +125,15 @@ def auto_buckets(fact: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return n
 
 
+def payload_buckets(df: DataFrame, bucket_payload: int = BUCKET_PAYLOAD) -> int:
+    """One bucket per ``bucket_payload`` bytes of the rows of ``df``, measured:
+    a task sorts a bucket's rows as they are, however small their files.  At
+    most as many as Spark allows; from there on buckets grow."""
+    _, size = measured_size(df)
+    most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return max(1, min(most, -(-size // bucket_payload)))
+
+
 def write_bucketed(df: DataFrame, key: str, buckets: int, partition_by: Sequence[str] = ()) -> DataFrame:
     """Store ``df`` as a table bucketed and sorted by ``key`` in the shared
     folder, and return a reader of it.  The rows are dealt by the bucket's own
@@ -159,10 +169,11 @@ def prepare_layout(
     """Preprocessing for downstream joins and date-range jobs: store the
     events partitioned by ``partition_by`` (partition pruning for ranges) and
     bucketed + sorted by ``key`` inside each partition (joins on ``key`` need
-    no shuffle).  Rows of keys larger than ``HOT_BUCKETS`` even buckets (or
+    no shuffle); ``buckets="auto"`` takes one per 128 MiB of row payload, at
+    least one per GiB of files.  Rows of keys larger than ``HOT_BUCKETS`` even buckets (or
     ``hot_min_rows``), and rows without key, would fill one bucket; they are
     stored aside, unbucketed, and joined salted."""
-    n = auto_buckets(events) if buckets == "auto" else int(buckets)
+    n = max(auto_buckets(events), payload_buckets(events)) if buckets == "auto" else int(buckets)
     limit = hot_min_rows if hot_min_rows is not None else HOT_BUCKETS * (events.count() // n + 1)
     hot = F.broadcast(hot_keys(events, key, limit).select(F.col(key).alias("_hk")))
     tagged = events.join(hot, events[key] == F.col("_hk"), "left")
@@ -180,7 +191,8 @@ def layout_join(layout: Layout, users: DataFrame, cols: Sequence[str] = ("subscr
     """``enrich`` of events stored by ``prepare_layout`` with a dimension
     bucketed the same way: matching buckets are joined in place."""
     key, laid_out = layout.key, layout.bucketed
-    dim = write_bucketed(users.select(key, *cols), key, layout.buckets)
+    dim = users.select(key, *cols).where(F.col(key).isNotNull())  # null keys match nothing, and would fill one bucket
+    dim = write_bucketed(dim, key, layout.buckets)
     j = laid_out.join(dim.hint("merge"), laid_out[key] == dim[key], "left_outer")
     even = j.select(*[laid_out[c] for c in laid_out.columns], *[dim[c] for c in cols])
     return even.unionByName(_salted_join(layout.aside, users.select(key, *cols), key, cols, salt_rows, salt_rows))
@@ -194,8 +206,10 @@ def bucketed_join(
     buckets: int | str = "auto",
 ) -> DataFrame:
     """``enrich`` over bucketed copies of both sides (same bucket count,
-    ``"auto"`` = one per GiB of event files): the sort-merge join reads
-    matching buckets directly, with no exchange on either side."""
+    ``"auto"`` = what the larger side's payload asks for): the sort-merge join
+    reads matching buckets directly, with no exchange on either side."""
+    if buckets == "auto":
+        buckets = max(auto_buckets(events), payload_buckets(events), payload_buckets(users.select(key, *cols)))
     return layout_join(prepare_layout(events, key, buckets, partition_by=()), users, cols).select(
         *[F.col(f"`{c}`") for c in events.columns], *cols
     )

@@ -176,6 +176,36 @@ def test_auto_bucket_count_follows_the_files_and_the_limit(spark):
         joins.auto_buckets(spark.range(5))
 
 
+def test_auto_buckets_follow_the_rows_and_not_their_compressed_files(spark, tmp_path):
+    wide = F.concat(F.repeat(F.lit("x"), 400), (F.col("id") % 3).cast("string"))
+    spark.range(400_000).select((F.col("id") % 1000).alias("user_id"), wide.alias("page_id")).write.parquet(f"{tmp_path}/ev")
+    ev = spark.read.parquet(f"{tmp_path}/ev")
+    assert joins.auto_buckets(ev) == 1  # the files are small, the rows take about 170 MB
+    laid = joins.prepare_layout(ev, "user_id", partition_by=())
+    assert laid.buckets == joins.payload_buckets(ev) == 2
+    parts = [r["count"] for r in laid.bucketed.groupBy(F.input_file_name()).count().collect()]
+    assert sum(parts) == 400_000 and max(parts) < 250_000
+
+
+def test_buckets_of_a_join_follow_the_larger_side(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins.payload_buckets, "__defaults__", (10_000,))
+    spark.range(50).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id")).write.parquet(f"{tmp_path}/ev")
+    ev = spark.read.parquet(f"{tmp_path}/ev")
+    keys = F.when(F.col("id") % 2 == 0, F.col("id"))  # half of the users have no id
+    md = spark.range(2000).select(keys.alias("user_id"), F.col("id").cast("string").alias("subscription_type"))
+    seen = []
+    real = joins.write_bucketed
+    monkeypatch.setattr(joins, "write_bucketed", lambda df, key, n, *a: seen.append((n, df.count())) or real(df, key, n, *a))
+    assert rows(joins.bucketed_join(ev, md)) == rows(joins.enrich(ev, md))
+    n = joins.payload_buckets(md)
+    assert n > 5 > joins.payload_buckets(ev) and seen == [(n, 50), (n, 1000)]
+
+
+def test_payload_buckets_stay_within_sparks_limit(spark):
+    assert joins.payload_buckets(spark.range(0)) == 1
+    assert joins.payload_buckets(spark.range(200_000), bucket_payload=1) == 100_000
+
+
 def test_key_skew_summary_sees_a_hot_key(spark):
     from cadence.operators.skew import key_skew_summary
 
